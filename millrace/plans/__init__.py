@@ -1 +1,6 @@
-"""plans of the engine."""
+"""Registered queries and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
