@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, lm_score, pii, sharding, simhash, suffix_dedup, token_counts
+from . import ann, bpe_codec, decontaminate, language_id, lm_score, pii, sharding, simhash, suffix_dedup, token_counts
 from .common import hold_out
 
 
@@ -41,6 +41,14 @@ def op2_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark windows in all documents."""
+    found = decontaminate.contamination(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,6 +61,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the passages that come anywhere else."""
     kept = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -86,6 +99,60 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_codec, op2_shuffle_shards, op4_simhash, op5_token_counts, op7_suffix_dedup, op8_language_id, op9_pii, op10_lm_score)
+    for f in (
+        op1_bpe_codec, op2_shuffle_shards, op3_decontaminate, op4_simhash, op5_token_counts,
+        op6_ann, op7_suffix_dedup, op8_language_id, op9_pii, op10_lm_score,
+    )
+}
+
+#: In DuckDB's SQL; operators that draw, learn or tokenise can't be expressed there.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": r"""
+with d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w
+  from documents
+), b as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w
+  from benchmark
+), windows as (
+  select distinct item_id, least(13, len(w)) as n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') as phrase
+  from (select item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0)
+), sizes as (select distinct n from windows),
+places as (
+  select doc_id, n, unnest(range(1, len(w) - n + 2)) as i, w from d, sizes where len(w) >= n
+), hits as (
+  select p.doc_id, p.i, p.n, x.item_id from places p join windows x on x.n = p.n and x.phrase = array_to_string(p.w[p.i : p.i + p.n - 1], ' ')
+), counted as (
+  select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(i, i + n)) as pos from hits) group by doc_id
+), items as (
+  select doc_id, count(*) as n_items, string_agg(name, ',' order by name) as names
+  from (select distinct doc_id, cast(item_id as varchar) as name from hits) group by doc_id
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from d left join counted using (doc_id) left join items using (doc_id)
+""",
+    "op7_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+s as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as m from (select doc_id, h, unnest(range(0, n - 199)) as i from d where n >= 200)),
+r as (select doc_id, i from s where m in (select m from s group by m having count(*) > 1)),
+g as (select doc_id, i, coalesce(i - lag(i) over (partition by doc_id order by i), 1000) > 200 as fresh from r),
+k as (select doc_id, i, sum(fresh::int) over (partition by doc_id order by i) as run from g),
+runs as (select doc_id, run, min(i) as a, max(i) + 200 as b from k group by doc_id, run),
+kept as (
+  select doc_id, lag(b, 1, 0) over (partition by doc_id order by a) as a, a as b from runs
+  union all
+  select doc_id, max(b), null from runs group by doc_id
+),
+rest as (
+  select d.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' order by a) as h
+  from kept join d using (doc_id) group by d.doc_id
+),
+sums as (select doc_id, sum(b - a) as removed, count(*) as spans from runs group by doc_id)
+select d.doc_id, cast(d.n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(rest.h, d.h))) as kept_sha256
+from d left join sums using (doc_id) left join rest using (doc_id)
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
