@@ -3,7 +3,7 @@
 Postings of the documents' words, (word, document, position), are intersected list by list. Of
 each window of ``window`` consecutive benchmark words the rarest in the documents is looked up
 first; its postings, moved by its offset in the item, say where the item would have to begin in a
-document (an alignment). Alignments are then met with the postings of the other words, moved
+document (an alignment). Where m words of a window may miss, the m + 1 rarest are looked up. Alignments are then met with the postings of the other words, moved
 likewise; runs of at least ``window`` meeting words are exact matches. ``proximity_matches`` asks
 instead that a share of an alignment's window meets, in any places.
 
@@ -20,6 +20,8 @@ benchmark hits nothing; columns of other names are left alone.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +54,10 @@ def item_words(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
     return named.select("item", "name", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
 
 
-def alignments(docs: DataFrame, items: DataFrame, window: int, few: bool) -> DataFrame:
-    """(rid, rkey, item, start): where an item would begin, by the postings of each window's rarest word.
+def alignments(docs: DataFrame, items: DataFrame, window: int, few: bool, misses: int = 0) -> DataFrame:
+    """(rid, rkey, item, start): where an item would begin, by the postings of each window's rarest words.
 
-    ``docs``: rid, rkey, text. start may lie before a document's first word or after its last.
+    ``docs``: rid, rkey, text. ``misses``: words of a window that need not meet; one more is looked up. start may lie before a document's first word or after its last.
     """
     vocabulary = items.select("word").distinct()
     postings = docs.select("rid", "rkey", F.posexplode(words_of("text")).alias("pos", "word"))
@@ -63,8 +65,11 @@ def alignments(docs: DataFrame, items: DataFrame, window: int, few: bool) -> Dat
     ranked = items.join(frequency, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # the rarest word of each window, found per item; an item is one text
     span = Window.partitionBy("item").orderBy("at").rowsBetween(0, window - 1)
+    least = F.min(F.struct("df", "at", "word")).over(span)
+    if misses:
+        least = F.explode(F.slice(F.array_sort(F.collect_list(F.struct("df", "at", "word")).over(span)), 1, misses + 1))
     rarest = (
-        ranked.withColumn("least", F.min(F.struct("df", "at", "word")).over(span))
+        ranked.select("item", "at", "size", least.alias("least"))
         .where((F.col("at") + window <= F.col("size")) | (F.col("at") == 0))
         .where("least.df > 0")  # a word that no document has ends its window's search
         .select("item", F.col("least.at").alias("at"), F.col("least.word").alias("word"))
@@ -74,11 +79,13 @@ def alignments(docs: DataFrame, items: DataFrame, window: int, few: bool) -> Dat
     return postings.join(_bench(rarest, few), "word").select("rid", "rkey", "item", (F.col("pos") - F.col("at")).alias("start")).distinct()
 
 
-def meetings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def meetings(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", misses: int = 0
+) -> DataFrame:
     """(rid, rkey, item, name, size, start, at): item words that meet the document's words in an alignment."""
     items = cut(item_words(benchmark, item_id, item_text))
     few = small(items, BROADCAST_ROWS)
-    lines = cut(alignments(docs, items, window, few))
+    lines = cut(alignments(docs, items, window, few, misses))
     asked = lines.join(_bench(items, few), "item").withColumn("pos", F.col("start") + F.col("at"))
     which = lines.select("rid", "rkey").distinct()
     found = docs.join(which, [docs["rid"].eqNullSafe(which["rid"]), docs["rkey"] == which["rkey"]], "left_semi")
@@ -100,8 +107,16 @@ def exact_hits(met: DataFrame, window: int = WINDOW) -> DataFrame:
     return long.where(F.col("long") >= F.least(F.lit(window), "size")).select("rid", "rkey", "name", (F.col("start") + F.col("at")).alias("pos"))
 
 
+def misses_of(share: float, window: int = WINDOW) -> int:
+    """How many words of a window need not meet where a share must."""
+    return window - math.ceil(share * window)
+
+
 def proximity_matches(met: DataFrame, window: int = WINDOW, share: float = 0.8) -> DataFrame:
-    """(rid, rkey, name, start, at): windows of which at least a share of the words meets in place."""
+    """(rid, rkey, name, start, at): windows of which at least a share of the words meets in place.
+
+    ``met``: from ``meetings`` with ``misses_of(share)``.
+    """
     line = Window.partitionBy("rid", "rkey", "item", "start").orderBy("at").rangeBetween(0, window - 1)
     near = met.withColumn("n", F.count("*").over(line))
     return near.where(F.col("n") >= F.ceil(share * F.least(F.lit(window), "size"))).select("rid", "rkey", "name", "start", "at")
