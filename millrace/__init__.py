@@ -1 +1 @@
-"""Millrace: retail catalogue, purchase and preference analytics on PySpark."""
+"""Retail catalog, purchase and preference analytics on Spark DataFrames."""

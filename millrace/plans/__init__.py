@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import catalog, documents, preferences, purchases
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (catalog, purchases, preferences, documents):
+    QUERIES |= _part.PLANS.queries
+    ORACLE_SQL |= _part.PLANS.sql
