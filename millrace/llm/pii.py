@@ -219,7 +219,7 @@ def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """Adds ``spans`` (base spans and terms, by start and kind) and ``base`` (base spans only)."""
     extra = cut(
         disclosing_spans(df, doc_id, text, **options)
-        .groupBy("rid", "rkey")
+        .groupBy(F.col("rid").alias("__rid"), F.col("rkey").alias("__rkey"))
         .agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("__terms"))
     )
     if small(extra, BROADCAST_ROWS):
@@ -231,10 +231,10 @@ def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         " x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))"
     )
     return (
-        base.join(extra, (F.col(f"`{doc_id}`").cast("string").eqNullSafe(F.col("rid"))) & (F.col("__key") == F.col("rkey")), "left")
+        base.join(extra, (F.col(f"`{doc_id}`").cast("string").eqNullSafe(F.col("__rid"))) & (F.col("__key") == F.col("__rkey")), "left")
         .withColumn("__both", both)
         .withColumn("spans", keyed)
-        .drop("rid", "rkey", "__terms", "__both", "__key")
+        .drop("__rid", "__rkey", "__terms", "__both", "__key")
     )
 
 

@@ -337,9 +337,9 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     outputs = ["kept", "n_bytes", "n_removed", "n_spans"]
     df = df.drop(*outputs)
     marks = repeated_passages(df, doc_id, text, length)
-    spans = marks.distinct().groupBy("rid", "rkey").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))  # of one text
+    spans = marks.distinct().groupBy(F.col("rid").alias("__id"), F.col("rkey").alias("__hash")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))  # of one text
     keyed = df.withColumn("__rid", F.col(f"`{doc_id}`").cast("string")).withColumn("__rkey", text_key(text))
-    joined = keyed.join(spans, keyed["__rid"].eqNullSafe(spans["rid"]) & (keyed["__rkey"] == spans["rkey"]), "left").drop("rid", "rkey", "__rid", "__rkey")
+    joined = keyed.join(spans, F.col("__rid").eqNullSafe(F.col("__id")) & (F.col("__rkey") == F.col("__hash")), "left").drop("__id", "__hash", "__rid", "__rkey")
     kept_columns = df.columns
     schema = T.StructType(
         [df.schema[c] for c in kept_columns]
