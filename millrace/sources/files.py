@@ -39,6 +39,7 @@ def read_uploads(spark: SparkSession, path: str, most: int = MOST_UPLOAD_BYTES)
     """Uploaded documents with a status: pending, or the reason for the refusal.
 
     The size is checked on the file's metadata, so content is only read of those that are kept.
+    Spark lists no empty files; a table of uploads can hold empty content, which is refused.
     """
     files = spark.read.format("binaryFile").load(path)
     reason = (
