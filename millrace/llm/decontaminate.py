@@ -3,14 +3,15 @@
 Postings of the documents' words, (word, document, position), are intersected list by list. Of
 each window of ``window`` consecutive benchmark words the rarest in the documents is looked up
 first; its postings, moved by its offset in the item, say where the item would have to begin in a
-document (an alignment). Where m words of a window may miss, the m + 1 rarest are looked up. Alignments are then met with the postings of the other words, moved
-likewise; runs of at least ``window`` meeting words are exact matches. ``proximity_matches`` asks
-instead that a share of an alignment's window meets, in any places.
+document (an alignment). Where m words of a window may miss, the m + 1 rarest are looked up. The
+other lists of an item are then met in its alignments only: the document's words from the
+alignment's start on, against the item's. Windows of which all words meet are exact matches, those
+of which a share does are proximity matches.
 
-Only postings that are asked for are kept: the vocabulary of the benchmark is counted first, then
-the rarest words of the windows are posted, then all words of documents that have an alignment.
-The benchmark side is broadcast only if counted small, else all joins shuffle. Everything is
-DataFrame and SQL expressions.
+Only postings that are asked for leave a task: the vocabulary of the benchmark is counted first,
+then the rarest words of the windows are posted. Of documents with an alignment the text is sent
+once, cut to the alignments. The benchmark side is broadcast only if counted small, else all joins
+shuffle. Everything is DataFrame and SQL expressions.
 
 Cases: null and empty texts have no words and no hits; an item without words has no window, one
 with fewer words than a window is one window; an item that comes twice, or with a null id, counts
@@ -30,6 +31,8 @@ from .common import cut, small, text_key
 WINDOW = 13
 #: Words of benchmark items up to which their side of a join is broadcast.
 BROADCAST_ROWS = 200_000
+#: Alignments of a text are verified together by stretches of so many words.
+STRETCH = 4096
 #: Everything that is no word: ASCII other than digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,10 +51,9 @@ def _bench(df: DataFrame, small_enough: bool) -> DataFrame:
 
 
 def item_words(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, name, at, word, size) of every word of every distinct item text; item is a number for joins."""
+    """(item, name, size, words) of every distinct item text; item is a number for joins."""
     named = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("name"), words_of(F.col(f"`{text}`")).alias("words"))
-    named = named.where(F.size("words") > 0).distinct().withColumn("item", F.xxhash64("name", "words"))
-    return named.select("item", "name", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
+    return named.where(F.size("words") > 0).distinct().select(F.xxhash64("name", "words").alias("item"), "name", F.size("words").alias("size"), "words")
 
 
 def alignments(docs: DataFrame, items: DataFrame, window: int, few: bool, misses: int = 0) -> DataFrame:
@@ -65,12 +67,11 @@ def alignments(docs: DataFrame, items: DataFrame, window: int, few: bool, misses
     ranked = items.join(frequency, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # the rarest word of each window, found per item; an item is one text
     span = Window.partitionBy("item").orderBy("at").rowsBetween(0, window - 1)
-    least = F.min(F.struct("df", "at", "word")).over(span)
-    if misses:
-        least = F.explode(F.slice(F.array_sort(F.collect_list(F.struct("df", "at", "word")).over(span)), 1, misses + 1))
+    place = F.struct("df", "at", "word")
+    least = F.array(F.min(place).over(span)) if not misses else F.slice(F.array_sort(F.collect_list(place).over(span)), 1, misses + 1)
+    windows = ranked.withColumn("least", least).where((F.col("at") + window <= F.col("size")) | (F.col("at") == 0))
     rarest = (
-        ranked.select("item", "at", "size", least.alias("least"))
-        .where((F.col("at") + window <= F.col("size")) | (F.col("at") == 0))
+        windows.select("item", F.explode("least").alias("least"))
         .where("least.df > 0")  # a word that no document has ends its window's search
         .select("item", F.col("least.at").alias("at"), F.col("least.word").alias("word"))
         .distinct()
@@ -79,47 +80,37 @@ def alignments(docs: DataFrame, items: DataFrame, window: int, few: bool, misses
     return postings.join(_bench(rarest, few), "word").select("rid", "rkey", "item", (F.col("pos") - F.col("at")).alias("start")).distinct()
 
 
-def meetings(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", misses: int = 0
+def matches(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 1.0, item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """(rid, rkey, item, name, size, start, at): item words that meet the document's words in an alignment."""
-    items = cut(item_words(benchmark, item_id, item_text))
-    few = small(items, BROADCAST_ROWS)
-    lines = cut(alignments(docs, items, window, few, misses))
-    asked = lines.join(_bench(items, few), "item").withColumn("pos", F.col("start") + F.col("at"))
-    which = lines.select("rid", "rkey").distinct()
-    found = docs.join(which, [docs["rid"].eqNullSafe(which["rid"]), docs["rkey"] == which["rkey"]], "left_semi")
-    # a document that comes twice is posted once
-    postings = found.dropDuplicates(["rid", "rkey"]).select(
-        F.col("rid").alias("prid"), F.col("rkey").alias("prkey"), F.posexplode(words_of("text")).alias("ppos", "pword")
-    )
-    return asked.join(
-        postings,
-        asked["rid"].eqNullSafe(postings["prid"]) & (asked["rkey"] == postings["prkey"]) & (asked["pos"] == postings["ppos"]) & (asked["word"] == postings["pword"]),
-    ).select("rid", "rkey", "item", "name", "size", "start", "at")
-
-
-def exact_hits(met: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rid, rkey, name, pos) of document words inside an occurrence of a window."""
-    line = Window.partitionBy("rid", "rkey", "item", "start")
-    runs = met.withColumn("run", F.col("at") - F.row_number().over(line.orderBy("at")))
-    long = runs.withColumn("long", F.count("*").over(Window.partitionBy("rid", "rkey", "item", "start", "run")))
-    return long.where(F.col("long") >= F.least(F.lit(window), "size")).select("rid", "rkey", "name", (F.col("start") + F.col("at")).alias("pos"))
-
+    """(rid, rkey, name, start, n, at): windows, by their offset ``at`` in the item, of which a share of the words meets.
 
-def misses_of(share: float, window: int = WINDOW) -> int:
-    """How many words of a window need not meet where a share must."""
-    return window - math.ceil(share * window)
-
-
-def proximity_matches(met: DataFrame, window: int = WINDOW, share: float = 0.8) -> DataFrame:
-    """(rid, rkey, name, start, at): windows of which at least a share of the words meets in place.
-
-    ``met``: from ``meetings`` with ``misses_of(share)``.
+    A window's words are those of the document from start + at on, n of them. ``docs``: rid, rkey, text.
     """
-    line = Window.partitionBy("rid", "rkey", "item", "start").orderBy("at").rangeBetween(0, window - 1)
-    near = met.withColumn("n", F.count("*").over(line))
-    return near.where(F.col("n") >= F.ceil(share * F.least(F.lit(window), "size"))).select("rid", "rkey", "name", "start", "at")
+    named = cut(item_words(benchmark, item_id, item_text))
+    items = named.select("item", "size", F.posexplode("words").alias("at", "word"))
+    few = small(items, BROADCAST_ROWS)
+    misses = window - math.ceil(share * window - 1e-9)
+    lines = cut(alignments(docs, items, window, few, misses).join(_bench(named.select("item", "size"), few), "item"))
+    # of one stretch of one text
+    asked = lines.groupBy(F.col("rid").alias("__rid"), F.col("rkey").alias("__rkey"), F.floor(F.col("start") / STRETCH).alias("stretch")).agg(
+        F.collect_list(F.struct("item", "start", "size")).alias("lines")
+    )
+    whole = docs.join(asked, docs["rid"].eqNullSafe(F.col("__rid")) & (docs["rkey"] == F.col("__rkey"))).select("rid", "rkey", "lines", words_of("text").alias("w"))
+    # the words of each alignment: those before the document's first are left out, and counted
+    parts = whole.select(
+        "rid", "rkey",
+        F.explode(F.expr("transform(lines, x -> struct(x.item as item, x.start as start, greatest(-x.start, 0) as skip, slice(w, greatest(x.start, 0) + 1, greatest(x.size + least(x.start, 0), 0)) as part))")).alias("p"),
+    ).select("rid", "rkey", "p.*")
+    n = F.least(F.lit(window), F.col("size"))
+    flags = F.expr("array_join(transform(words, (x, k) -> if(k >= skip and k - skip < size(part) and x = part[greatest(least(k - skip, size(part) - 1), 0)], '1', '')), ',')")
+    marked = parts.where(F.size("part") > 0).join(_bench(named, few), "item").select("rid", "rkey", "name", "start", "size", n.alias("n"), F.split(flags, ",").alias("met"))
+    # how many words meet before each place, so that a window's number is a difference
+    summed = F.expr("aggregate(met, array(0), (s, x) -> array_append(s, element_at(s, -1) + length(x)))")
+    found = marked.where(F.array_contains("met", "1")).withColumn("sums", summed)
+    need = F.ceil(share * F.col("n") - 1e-9)
+    windows = F.filter(F.sequence(F.lit(0), F.col("size") - F.col("n")), lambda i: F.element_at("sums", i + F.col("n") + 1) - F.element_at("sums", i + 1) >= F.col("need"))
+    return found.withColumn("need", need).select("rid", "rkey", "name", "start", "n", F.explode(windows).alias("at"))
 
 
 def contamination(
@@ -127,9 +118,10 @@ def contamination(
 ) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, n_items, items (names, sorted), contaminated, rkey."""
     docs = documents.select(F.col(f"`{doc_id}`").alias("rid"), text_key(text).alias("rkey"), F.col(f"`{text}`").alias("text"))
-    hits = exact_hits(meetings(docs, benchmark, window, item_id, item_text), window)
+    hits = cut(matches(docs, benchmark, window, 1.0, item_id, item_text).select("rid", "rkey", "name", (F.col("start") + F.col("at")).alias("first"), "n").distinct())
     per_item = hits.select("rid", "rkey", "name").distinct().groupBy("rid", "rkey").agg(F.array_sort(F.collect_list("name")).alias("items"))
-    per_doc = hits.select("rid", "rkey", "pos").distinct().groupBy("rid", "rkey").agg(F.count("*").alias("n_hit"))
+    covered = hits.select("rid", "rkey", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("pos"))
+    per_doc = covered.distinct().groupBy("rid", "rkey").agg(F.count("*").alias("n_hit"))
     found = cut(per_doc.join(per_item.withColumnsRenamed({"rid": "irid", "rkey": "irkey"}), F.col("rid").eqNullSafe(F.col("irid")) & (F.col("rkey") == F.col("irkey"))).select(F.col("rid").alias("frid"), F.col("rkey").alias("frkey"), "n_hit", "items"))
     counted = docs.select("rid", "rkey", F.size(words_of("text")).cast("bigint").alias("n_words"))
     both = counted.join(_bench(found, small(found, BROADCAST_ROWS // 4)), F.col("rid").eqNullSafe(F.col("frid")) & (F.col("rkey") == F.col("frkey")), "left")

@@ -67,9 +67,9 @@ def test_proximity(spark):
     far = item.replace("w3 ", "q ").replace("w8 ", "q ")
     frame = docs(spark, [(1, f"a b {far} c"), (2, "w0 w1 w2 w3 z z z"), (3, item)])
     keyed = frame.select(F.col("doc_id").alias("rid"), F.xxhash64("text").alias("rkey"), "text")
-    met = decontaminate.meetings(keyed, spark.createDataFrame([(1, item)], "item_id bigint, text string"), misses=decontaminate.misses_of(0.8))
-    assert {r.rid for r in decontaminate.proximity_matches(met).collect()} == {1, 3}
-    assert {r.rid for r in decontaminate.exact_hits(met).collect()} == {3}
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert {r.rid for r in decontaminate.matches(keyed, bench, share=0.8).collect()} == {1, 3}
+    assert {(r.rid, r.start, r.at) for r in decontaminate.matches(keyed, bench).collect()} == {(3, 0, 0)}
 
 
 def test_dropping(spark):
