@@ -27,7 +27,9 @@ from .vocabulary import PIECES, SPACE, Vocabulary, byte_alphabet, loaded, read_v
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Words remembered in a Python worker, and the longest that is.
-MOST_WORDS, LONGEST_WORD = 200_000, 48
+MOST_WORDS, LONGEST_WORD = 60_000, 48
+#: Pairs of tokens whose compatibility is remembered.
+MOST_PAIRS = 200_000
 
 
 class _Words(dict):
@@ -113,7 +115,7 @@ class Encoder:
                 pair = (ends[before], token)
                 fits = stands.get(pair)
                 if fits is None:
-                    if len(stands) > 1_000_000:
+                    if len(stands) > MOST_PAIRS:
                         stands.clear()
                     fits = stands[pair] = kept_apart(*pair)
                 if not fits:
@@ -180,3 +182,21 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", vocabula
         return lambda column: [pa.array([decoder.text(x or b"") for x in column.to_pylist()], pa.string())]
 
     return with_arrow_columns(df, [ids], [T.StructField(out, T.StringType())], make)
+
+
+def encode_decode(df: DataFrame, text: str = "text", out: str = "token_ids", decoded: str = "decoded", vocabulary: str | None = None) -> DataFrame:
+    """Adds both the ids of each text and their text, in one pass with one vocabulary a worker."""
+    path = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
+    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+
+    def make():
+        encoder = loaded(Encoder, shared.value)
+        decoder = Decoder(encoder.vocabulary)
+
+        def compute(column):
+            ids = [encoder.packed(x) for x in texts(column)]
+            return [pa.array(ids, pa.binary()), pa.array([decoder.text(x) for x in ids], pa.string())]
+
+        return compute
+
+    return with_arrow_columns(df, [text], [T.StructField(out, T.BinaryType()), T.StructField(decoded, T.StringType())], make)

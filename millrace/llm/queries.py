@@ -20,7 +20,7 @@ def _digest(column: str):
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all documents, as digests."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe_codec.decode(bpe_codec.encode(docs, "text", "token_ids"), "token_ids", "decoded")
+    both = bpe_codec.encode_decode(docs)
     return both.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
