@@ -27,9 +27,9 @@ from .vocabulary import PIECES, SPACE, Vocabulary, byte_alphabet, loaded, read_v
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Words remembered in a Python worker, and the longest that is.
-MOST_WORDS, LONGEST_WORD = 60_000, 48
+MOST_WORDS, LONGEST_WORD = 200_000, 48
 #: Pairs of tokens whose compatibility is remembered.
-MOST_PAIRS = 200_000
+MOST_PAIRS = 500_000
 
 
 class _Words(dict):

@@ -96,6 +96,18 @@ def texts(array: pa.Array) -> Iterator[str]:
     return (x or "" for x in array.to_pylist())
 
 
+def portions(whole: list, size: int = 1 << 20) -> Iterator[slice]:
+    """Slices of a list of texts with about ``size`` characters each, for arrays that grow with the text."""
+    start = held = 0
+    for k, x in enumerate(whole):
+        held += len(x or "")
+        if held >= size:
+            yield slice(start, k + 1)
+            start, held = k + 1, 0
+    if start < len(whole):
+        yield slice(start, len(whole))
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether a frame has at most so many rows: the check before any broadcast."""
     return df.limit(rows + 1).count() <= rows

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, with_arrow_columns
+from .common import portions, texts, with_arrow_columns
 
 FEATURES = 1 << 15
 #: The bound on the training sample: labelled rows of a language, in expectation.
@@ -102,6 +102,11 @@ class Model:
             return [UNKNOWN] * n, [0.0] * n, [False] * n
         if len(self.languages) == 1:
             return [self.languages[0] if h else UNKNOWN for h in has], [float(h) for h in has], [False] * n
+        parts = [self._scored(whole[p], has[p]) for p in portions(whole)]
+        return tuple([x for p in parts for x in p[k]] for k in range(3))
+
+    def _scored(self, whole: list[str | None], has: list[bool]) -> tuple[list[str], list[float], list[bool]]:
+        n = len(whole)
         index, starts = grams([x or "" for x in whole])
         sums = np.stack([np.add.reduceat(w[index], starts[:-1], dtype=np.float64) for w in self.odds], axis=1)
         length = np.maximum(1, np.diff(starts) - 3)[:, None]
@@ -145,9 +150,11 @@ def fit(
     def run(batches):
         counts = np.zeros((len(languages), FEATURES), np.int64)
         for batch in batches:
-            index, starts = grams(list(texts(batch.column(0))))
-            whose = np.repeat([number[x] for x in batch.column(1).to_pylist()], np.diff(starts))
-            counts += np.bincount(whose * FEATURES + index[: len(whose)], minlength=counts.size).reshape(counts.shape)
+            whole, names = list(texts(batch.column(0))), [number[x] for x in batch.column(1).to_pylist()]
+            for p in portions(whole):
+                index, starts = grams(whole[p])
+                whose = np.repeat(names[p], np.diff(starts))
+                counts += np.bincount(whose * FEATURES + index[: len(whose)], minlength=counts.size).reshape(counts.shape)
         k, f = counts.nonzero()
         yield pa.RecordBatch.from_arrays(
             [pa.array(k.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(counts[k, f])], names=["k", "f", "n"]
