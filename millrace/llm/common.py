@@ -53,6 +53,18 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch sent to Python: texts of some KB each, in several copies there and in the JVM.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch, so that batches of texts fit beside each other in an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def with_arrow_columns(
     df: DataFrame,
     inputs: list[str],
@@ -64,6 +76,7 @@ def with_arrow_columns(
     ``make()`` runs once in a task and returns a function from the input arrays of a batch to the
     output arrays. Existing columns with an output's name are replaced.
     """
+    small_batches(df.sparkSession)
     names = {f.name for f in outputs}
     kept = [c for c in df.columns if c not in names]
     missing = [c for c in inputs if c not in df.columns]

@@ -18,6 +18,7 @@ hashes as the empty text; a column with an output's name is replaced.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import portions, texts, with_arrow_columns
+from .common import portions, small_batches, texts, with_arrow_columns
 
 FEATURES = 1 << 15
 #: The bound on the training sample: labelled rows of a language, in expectation.
@@ -54,7 +55,7 @@ def codewords(n: int) -> np.ndarray:
                 rows[k + 1][column] = bit
         return np.array(rows) * 2.0 - 1
     rng, columns = np.random.default_rng(7), {}
-    width = 15 * int(np.ceil(np.log2(n)))
+    width = min(15 * int(np.ceil(np.log2(n))), math.comb(n, n // 2) // 2)  # there are no more even splits
     while len(columns) < width:
         column = rng.permutation(np.arange(n) % 2)
         column = column if column[0] else 1 - column
@@ -132,6 +133,7 @@ def fit(
     where: Column | None = None,
 ) -> Model:
     """Learns from labelled rows; ``where`` keeps only some of them."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows if where is None else rows.where(where)
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # one row a language

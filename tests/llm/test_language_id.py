@@ -43,7 +43,7 @@ def test_training_leaves_out_what_is_not_asked_for(spark):
 
 
 def test_codewords_tell_all_languages_apart():
-    for n in (2, 3, 5, 7, 8, 20):
+    for n in (2, 3, 5, 7, 8, 9, 20):
         c = language_id.codewords(n)
         assert len({tuple(x) for x in c}) == n
         columns = {tuple(x) for x in c.T} | {tuple(-x) for x in c.T}
