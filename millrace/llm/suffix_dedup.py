@@ -271,6 +271,7 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.where(F.octet_length("t") >= length)
     all_seen = table(_occurrences(docs, length))
     anchors = all_seen.groupBy("g").agg(F.count("*").alias("all"), (F.min("c") != F.max("c")).alias("mixed")).where("all > 1").select("g", "mixed")
+    anchors = table(anchors)  # the join then has exchanges of its own, in which a frequent anchor is split
     seen = table(all_seen.join(anchors, "g"))
     kept_once = seen.groupBy("g", "c").agg(
         F.count("*").alias("copies"), F.min(F.struct("rid", "rkey", "lo", "n")).alias("at"), F.first("mixed").alias("mixed")
@@ -281,7 +282,6 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     # different contexts of one anchor: fetch their bytes
     mixed = kept_once.where("mixed").select("g", "copies", "at.*")
-    wanted = mixed.groupBy("rid", "rkey").agg(F.collect_list(F.struct("g", "copies", "lo", "n")).alias("want"))  # of one text
 
     def fetch(batches):
         for batch in batches:
@@ -293,20 +293,23 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["g", "copies", "rid", "rkey", "lo", "n", "raw"])
 
-    same = docs["rid"].eqNullSafe(wanted["rid"]) & (docs["rkey"] == wanted["rkey"])
-    fetched = docs.join(wanted, same).select(docs["rid"], docs["rkey"], "t", "want").mapInArrow(
-        fetch, "g bigint, copies bigint, rid string, rkey bigint, lo bigint, n int, raw binary"
-    )
+    def fetched(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.groupBy("rid", "rkey").agg(F.collect_list(F.struct("g", "copies", "lo", "n")).alias("want"))  # of one text
+        same = docs["rid"].eqNullSafe(wanted["rid"]) & (docs["rkey"] == wanted["rkey"])
+        return docs.join(wanted, same).select(docs["rid"], docs["rkey"], "t", "want").mapInArrow(
+            fetch, "g bigint, copies bigint, rid string, rkey bigint, lo bigint, n int, raw binary"
+        )
+
     hot = table(mixed.groupBy("g").count().where(F.col("count") > large).select("g"))
     some_hot = not hot.isEmpty()
-    usual = fetched.join(hot, "g", "left_anti") if some_hot else fetched
+    usual = fetched(mixed.join(hot, "g", "left_anti") if some_hot else mixed)
     marks = usual.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_marks(length), "rid string, rkey bigint, start bigint, end bigint")
     marks = marks.unionByName(copied)
     if some_hot:
-        windows = fetched.join(hot, "g", "left_semi").mapInArrow(
-            _windows(length), "g bigint, w binary, copies bigint, rid string, rkey bigint, start bigint"
+        windows = table(
+            fetched(mixed.join(hot, "g", "left_semi")).mapInArrow(_windows(length), "g bigint, w binary, copies bigint, rid string, rkey bigint, start bigint")
         )
-        repeats = windows.groupBy("g", "w").agg(F.sum("copies").alias("all")).where("all > 1").select("g", "w")
+        repeats = table(windows.groupBy("g", "w").agg(F.sum("copies").alias("all")).where("all > 1").select("g", "w"))
         marks = marks.unionByName(
             windows.where("copies = 1").join(repeats, ["g", "w"], "left_semi").select("rid", "rkey", "start", (F.col("start") + length).alias("end"))
         )
