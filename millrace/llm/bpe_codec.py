@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import texts, with_arrow_columns
-from .vocabulary import PIECES, SPACE, Vocabulary, byte_alphabet, loaded, read_vocabulary
+from .vocabulary import SPACE, Vocabulary, byte_alphabet, loaded, pieces_of, read_vocabulary
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Words remembered in a Python worker, and the longest that is.
@@ -58,9 +58,10 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.alphabet = byte_alphabet()
+        self.printable = dict(enumerate(self.alphabet))
         self.pairs = {pair: rank for pair, (rank, _) in vocabulary.pairs.items()}
         self.made = vocabulary.made
-        self.stands: dict[tuple[int, int], bool] = {}
+        self.stands: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         reachable = self._reachable()
         for token, raw in vocabulary.token_bytes.items():
@@ -98,9 +99,9 @@ class Encoder:
             else:
                 last, right = b[2] + 1, b[0]
 
-    def _piece(self, piece: str) -> list[int]:
-        """Ids of one piece: the last token of every prefix, then back from the end."""
-        symbols = "".join([self.alphabet[b] for b in piece.encode()])
+    def _piece(self, piece: str) -> bytes:
+        """Packed ids of one piece: the last token of every prefix, then back from the end."""
+        symbols = piece.encode().decode("latin-1").translate(self.printable)
         ends = [0] * (len(symbols) + 1)
         lengths = [0] * (len(symbols) + 1)
         stands, kept_apart = self.stands, self._kept_apart
@@ -112,12 +113,12 @@ class Encoder:
             if before:
                 if not lengths[before]:
                     continue
-                pair = (ends[before], token)
+                pair = ends[before] << 32 | token
                 fits = stands.get(pair)
                 if fits is None:
                     if len(stands) > MOST_PAIRS:
                         stands.clear()
-                    fits = stands[pair] = kept_apart(*pair)
+                    fits = stands[pair] = kept_apart(ends[before], token)
                 if not fits:
                     continue
             ends[at], lengths[at] = token, length
@@ -126,11 +127,10 @@ class Encoder:
             out.append(ends[at])
             at -= lengths[at]
         out.reverse()
-        return out
+        return struct.pack(f"<{len(out)}I", *out)  # cached by the hundred thousand: bytes cost the garbage collector nothing
 
     def _word(self, word: str) -> bytes:
-        ids = [i for piece in PIECES.findall(word) for i in self.pieces[piece]]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.pieces[piece] for piece in pieces_of(word)])
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""

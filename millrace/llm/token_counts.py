@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from .bpe_codec import DEFAULT_VOCABULARY, WORDS, _Words
 from .common import texts, with_arrow_columns
-from .vocabulary import PIECES, Vocabulary, loaded, read_vocabulary
+from .vocabulary import Vocabulary, loaded, pieces_of, read_vocabulary
 
 
 class Counter:
@@ -64,7 +64,7 @@ class Counter:
         return len(raw) - self.merges(raw)
 
     def _word(self, word: str) -> int:
-        return sum(self.pieces[p] for p in PIECES.findall(word))
+        return sum(self.pieces[p] for p in pieces_of(word))
 
     def count(self, text: str) -> int:
         """Tokens of a text."""

@@ -16,6 +16,15 @@ PIECES = regex.compile(
 )
 SPACE = "\t-\r \x85\xa0  -     　"
 
+
+
+def pieces_of(word: str) -> list[str]:
+    """The pieces of one word; ASCII letters after one space at most are a single piece."""
+    if word.isascii() and (word.isalpha() or (word[0] == " " and word[1:].isalpha())):
+        return [word]
+    return PIECES.findall(word)
+
+
 #: Largest vocabulary file that is broadcast.
 MOST_BYTES = 64 << 20
 
