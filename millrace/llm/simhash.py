@@ -14,9 +14,8 @@ verified by their full distance, and only links that join parts of the bucket no
 emitted, never all pairs of a group. A bucket over ``LARGE_BUCKET`` is dealt out again by all bits
 (exact agreement in one of DISTANCE + 1 parts, again by the pigeonhole).
 
-``keep_one`` asks for a similarity of word shingles instead of a distance. The share of bits in
-which two fingerprints differ estimates the angle between their shingle sets, and with it their
-Jaccard similarity. 64 bits are too few to tell, so 64 more are verified along with them.
+``keep_one`` asks for a similarity of word shingles instead of a distance, which fingerprints are too
+coarse to tell: there the sets of shingles themselves are compared (``similar``).
 
 Cases: null, empty and wordless texts have fingerprint zero, linked like any other; shorter texts
 than a shingle hash whole; repeated rows are in the same component; a component without any
@@ -39,6 +38,7 @@ from pyspark.sql import types as T
 
 from .common import cut, text_bytes, text_key, with_arrow_columns
 from .components import components
+from .similar import similar_groups
 
 BITS, DISTANCE, SHINGLE = 64, 4, 4
 PARTITIONS = (1, 2, 3, 4, 5)
@@ -50,8 +50,6 @@ TINY_BUCKET = 8
 MOST_FLIPS = 2
 #: Similarity of texts that count as copies of each other, and the words of their shingles.
 SIMILARITY, SIMILARITY_SHINGLE = 0.8, 5
-#: Bits of 64 within which similar texts are looked for, and bits of 128 granted for the estimate's error.
-SIMILARITY_DISTANCE, SLACK = 11, 4
 #: Cost of a probe and of a comparison, in units of the latter (measured: about 2 us and 20 ns).
 PROBE_COST = 100.0
 
@@ -323,18 +321,13 @@ def near_duplicates(
     return docs.join(named, "node").select("doc_id", "rkey", "fp", "class", "component_id")
 
 
-def whole_distance(similarity: float, slack: int = SLACK) -> int:
-    """Bits of 128 in which shingle sets of a Jaccard similarity differ on average, and the slack."""
-    return math.floor(2 * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi) + slack
-
-
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SIMILARITY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest id stays.
 
     Rows that repeat id and text count as copies. A component without ids keeps the text whose hash
     is smallest. Texts without words are all copies of each other.
     """
-    found = near_duplicates(df, doc_id, text, shingle, SIMILARITY_DISTANCE, whole_distance(similarity))
+    found = similar_groups(df, doc_id, text, shingle, similarity)
     stays = cut(
         found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("rkey").alias("rkey"))
         .unionByName(found.where("component_id is null").groupBy("class").agg(F.min("rkey").alias("rkey")).select(F.lit(None).cast(df.schema[doc_id].dataType).alias("doc_id"), "rkey"))

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import similar, simhash
 from millrace.llm.components import components
 from millrace.llm.queries import QUERIES
 
@@ -120,3 +120,44 @@ def test_components_of_a_long_chain(spark):
     links = [(k, k + 1) for k in range(300)] + [(1000, 1001), (5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert found == {**{k: 0 for k in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def sets(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def edited(seed=8, n=260):
+    """Pairs of texts from a similarity of 0.6 to 0.95, and pairs that share one line many times over."""
+    rng = random.Random(seed)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    pairs = []
+    for k in range(n):
+        words = new(200)
+        pairs.append((2 * k, " ".join(words)))
+        for at in rng.sample(range(200), rng.randrange(1, 11)):
+            words[at] = "changed"
+        pairs.append((2 * k + 1, " ".join(words)))
+    line = new(12)
+    return pairs + [(2 * n + k, " ".join([*line * 40, *new(60)])) for k in range(4)]
+
+
+@pytest.mark.parametrize("small", [similar.SMALL_BUCKET, 1])
+def test_similar_groups_are_brute_forces(spark, small):
+    pairs = edited()
+    hub = pairs[0][1].split()
+    for k in range(30):  # a large group, some members alike and some not
+        words = list(hub)
+        for at in range(k, 200, 25 if k % 2 else 100):
+            words[at] = f"v{k}"
+        pairs.append((5000 + k, " ".join(words)))
+    own = [sets(t) for _, t in pairs]
+    near = lambda a: np.array([9 * len(own[a] & s) >= 4 * (len(own[a]) + len(s)) for s in own])
+    root = brute_components(near, len(pairs))
+    least = {}
+    for (i, _), r in zip(pairs, root):
+        least[r] = min(least.get(r, i), i)
+    want = {i: least[r] for (i, _), r in zip(pairs, root)}
+    found = {r.doc_id: r.component_id for r in similar.similar_groups(docs(spark, pairs), "doc_id", "text", 5, 0.8, small).collect()}
+    assert found == want
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, pairs)).collect()} == set(want.values())
