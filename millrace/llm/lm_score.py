@@ -7,17 +7,18 @@ Dirichlet smoothing over add-0.1 unigrams:
     P(w|h) = (n(h R) + mu P1(R)) / (c(h) + mu) * P1(w) / P1(R)      w in R, the class of all others
     P1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
-As an automaton: the ``STATES`` most frequent words and the start are states; all other words lead
-to the root. A state has an arc for every frequent word seen after it, weighted log10 P(w|h), and
-failure arcs to the root: one for other frequent words, weighted log10 mu / (c(h) + mu), and one
-for R, weighted as above. The root has an arc for every word, weighted log10 P1(w). One traversal
-from left to right carries the state and adds up the weights.
-
-No task holds the whole automaton. Texts are dealt to blocks of about ``BLOCK_BYTES``; a block
-names the words and the pairs of frequent words that occur in it, with its own counts; counts are summed
-over the corpus and only those a block named come back to it, so that it loads the part of the
-automaton its texts can reach. A word or pair counted once in the corpus is not sent back to the
-block of its only occurrence. Counts cover all training rows, however many.
+As an automaton: every word of the training rows and the start are states; unknown words lead to the
+root. A state has an arc for every word seen after it, weighted log10 P(w|h), and a failure arc to
+the root, weighted log10 mu / (c(h) + mu). The root has an arc for every word, weighted log10 P1(w).
+One traversal from left to right carries the state and adds up the weights. All training bigrams
+count: no word is frequent less than another. A caller may ask for a smaller automaton (``states``),
+of the most frequent words only; then all others lead to the root and are the class R of arcs.
+
+No task holds the whole automaton, nor does the driver or a broadcast. Words are numbered. Texts are
+dealt to blocks of about ``BLOCK_BYTES``; a block names its words, gets their numbers and counts, and
+names the pairs of numbers that occur in it, with its own counts; these are summed over the corpus
+and only what other blocks add comes back, so that it loads the part of the automaton its texts can
+reach. Counts cover all training rows, however many.
 
 Cases: a null or empty text is one end; an empty training set leaves N = V = 0 and scores by the
 smoothing alone; repeated rows are scored alike; a null id hashes as the empty text; an empty frame
@@ -30,19 +31,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import table, text_bytes, text_key
+from .common import cut, table, text_bytes, text_key
 
-STATES = 2048
+#: Every word is a state.
+STATES = None
 MU = 30.0
 ADD = 0.1
 BLOCK_BYTES = 16 << 20
 #: Words counted in a Python worker before it hands its counts on.
 MOST_WORDS = 300_000
-END, START = b"", b"\x00"
+END = b""
+#: Numbers of the start, the class of all others, and the first word; words without a number are -1.
+START, REST, FIRST = 0, 1, 2
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -74,95 +78,106 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def _numbered(counts: DataFrame, states: int | None) -> DataFrame:
+    """(w, n, id, state): words with numbers from ``FIRST`` on, and whether each is a state of the automaton."""
+    if states is None:
+        rows = counts.withColumn("state", F.length("w") > 0)
+    else:
+        top = cut(counts.where(F.length("w") > 0).orderBy(F.desc("n"), "w").limit(states).select("w", F.lit(True).alias("state")))
+        rows = counts.join(top, "w", "left").withColumn("state", F.coalesce("state", F.lit(False)))
+    place = F.monotonically_increasing_id()
+    rows = table(rows.withColumn("part", F.shiftright(place, 33)).withColumn("at", place.bitwiseAND((1 << 33) - 1)))
+    sizes = {r[0]: r[1] for r in rows.groupBy("part").count().collect()}  # a row a partition
+    if sum(sizes.values()) + FIRST >= 1 << 31:
+        raise ValueError("too many words for pairs of 32-bit numbers")
+    before, firsts = FIRST, []
+    for part in sorted(sizes):
+        firsts.append((part, before))
+        before += sizes[part]
+    offsets = counts.sparkSession.createDataFrame(firsts, "part bigint, first bigint")
+    return rows.join(F.broadcast(offsets), "part").select("w", "n", (F.col("first") + F.col("at")).alias("id"), "state")
+
+
+def _block_words(chunk: pa.Table) -> pa.Table:
+    """The distinct words of a block."""
+    words = set()
+    for raw in text_bytes(chunk.column("t").combine_chunks()):
+        words.update(tokens(raw))
+    number = chunk.column("block")[0].as_py()
+    return pa.table({"block": pa.array(np.full(len(words), number, np.int32)), "w": pa.array(list(words), pa.binary())})
+
+
 class _Block:
-    """Texts of one block as numbers: words in order of first occurrence, and the arcs they ask for."""
+    """Texts of one block as numbers, with the states they lead to and the arcs they ask for."""
 
-    def __init__(self, column: pa.Array, states: dict[bytes, int]):
-        number: dict[bytes, int] = {}
+    def __init__(self, column: pa.Array, lexicon: pa.Table, n_texts: int):
+        words = lexicon.column("w").to_pylist()
+        number = {w: k for k, w in enumerate(words)}
         parts, sizes = [], []
         for raw in text_bytes(column):
             t = tokens(raw)
             sizes.append(len(t))
-            parts.append(np.array([number.setdefault(w, len(number)) for w in t], np.int64))
-        self.words = list(number)
+            # unknown words share the last place
+            parts.append(np.array([number.get(w, len(words)) for w in t], np.int64))
         self.ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        start = states[START]
-        #: the state each word leads to; -1 is the root
-        self.leads = np.array([states.get(w, -1) for w in self.words], np.int64)
-        #: what an arc to each word is called: the word's state, the end, or the class of all others
-        self.end, self.rest = start + 1, start + 2
-        called = np.where(self.leads >= 0, self.leads, self.rest)
+        state = np.append(lexicon.column("state").to_numpy(), False).astype(bool)
+        name = np.append(lexicon.column("id").to_numpy(), -1).astype(np.int64)
+        #: training count of each word; unknown ones have none
+        self.counts = np.append(lexicon.column("n").to_numpy(), 0).astype(float)
+        lead = np.where(state, name, -1)
+        called = np.where(state, name, REST)
         if END in number:
-            called[number[END]] = self.end
-        state = np.full(len(self.ids), start, np.int64)
-        state[1:] = self.leads[self.ids[:-1]]
-        state[self.starts] = start
-        self.state = state
-        #: state * (rest + 1) + the arc's name; -1 at the root
-        self.arc = np.where(state >= 0, state * (self.rest + 1) + called[self.ids], -1)
-
-
-def _arc_keys(arcs: np.ndarray) -> list[bytes]:
-    """Arcs as bytes that no word can be: white space and a number."""
-    return [b"\t" + a.to_bytes(5, "big") for a in arcs.tolist()]
-
-
-def _requests(states):
-    """Words and arcs of a block with their training counts there."""
-
-    def run(chunk: pa.Table) -> pa.Table:
-        block = _Block(chunk.column("t").combine_chunks(), states.value)
-        train = np.repeat(chunk.column("train").to_numpy(), block.sizes)
-        n_words = np.bincount(block.ids[train], minlength=len(block.words))
-        asked = np.flatnonzero(block.leads < 0)
-        arcs, inverse = np.unique(block.arc[block.arc >= 0], return_inverse=True)
-        n_arcs = np.bincount(inverse[train[block.arc >= 0]], minlength=len(arcs))
-        keys = [block.words[k] for k in asked.tolist()] + _arc_keys(arcs)
-        n = np.concatenate((n_words[asked], n_arcs)).astype(np.int64)
-        number = chunk.column("block")[0].as_py()
-        return pa.table({"block": pa.array(np.full(len(keys), number, np.int32)), "k": pa.array(keys, pa.binary()), "n": pa.array(n)})
+            called[number[END]] = name[number[END]]
+        history, of = np.full(len(self.ids), START, np.int64), np.full(len(self.ids), n_texts, float)
+        history[1:], of[1:] = lead[self.ids[:-1]], self.counts[self.ids[:-1]]
+        history[self.starts], of[self.starts] = START, n_texts
+        self.inside, self.of, self.called = history >= 0, of, called[self.ids]
+        #: history and word of an arc in one number; -1 at the root
+        self.arc = np.where(self.inside, (history << 32) | self.called, -1)
+
+    def arcs(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct arcs, the place of each inner token's among them, and the block's training counts."""
+        arcs, inverse = np.unique(self.arc[self.inside], return_inverse=True)
+        return arcs, inverse, np.bincount(inverse[train[self.inside]], minlength=len(arcs)).astype(np.int64)
+
+
+def _requests(n_texts: int):
+    """Arcs of a block with their training counts there."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = _Block(left.column("t").combine_chunks(), right, n_texts)
+        arcs, _, n = block.arcs(np.repeat(left.column("train").to_numpy(), block.sizes))
+        number = left.column("block")[0].as_py() if len(left) else 0
+        return pa.table({"block": pa.array(np.full(len(arcs), number, np.int32)), "k": pa.array(arcs), "n": pa.array(n)})
 
     return run
 
 
-def _scores(states, counts, total: int, distinct: int, add: float, mu: float):
+def _scores(n_texts: int, rest: float, total: int, distinct: int, add: float, mu: float):
     """Traverses the part of the automaton that a block's texts can reach."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = _Block(left.column("t").combine_chunks(), states.value)
-        train = np.repeat(left.column("train").to_numpy(), block.sizes)
-        sent = dict(zip(right.column("k").to_pylist(), right.column("c").to_pylist()))
-        # what was seen in the block's own training texts and isn't sent back was seen once
-        own = np.zeros(len(block.words), bool)
-        own[block.ids[train]] = True
-        known = counts.value
-        c = np.array([known[lead] if lead >= 0 else sent.get(w, o) for w, lead, o in zip(block.words, block.leads.tolist(), own.tolist())], float)
-        size = total + add * (distinct + 1)
-        root = np.log10((c + add) / size)
+        named = pa.compute.is_valid(right.column("w"))
+        block = _Block(left.column("t").combine_chunks(), right.filter(named), n_texts)
+        arcs, inverse, n = block.arcs(np.repeat(left.column("train").to_numpy(), block.sizes))
+        # what isn't sent back was counted in this block only
+        sent = right.filter(pa.compute.invert(named))
+        n[np.searchsorted(arcs, sent.column("id").to_numpy())] = sent.column("n").to_numpy()
+        root = np.log10((block.counts + add) / (total + add * (distinct + 1)))
         weight = root[block.ids]
-        inside = block.arc >= 0
-        arcs, first, inverse = np.unique(block.arc[inside], return_index=True, return_inverse=True)
-        mine = np.zeros(len(arcs), bool)
-        mine[inverse[train[inside]]] = True
-        n = np.array([sent.get(k, o) for k, o in zip(_arc_keys(arcs), mine.tolist())], float)
-        state, name = np.divmod(arcs, block.rest + 1)
-        of = np.array(known[: block.end], float)[state]
-        below = root[block.ids[inside][first]]  # the root's arc; of the rest's words it differs
-        rest = max(1 - sum((x + add) / size for x in known[: block.end - 1] + known[block.end :]), add / size)
-        with np.errstate(divide="ignore"):
-            seen = np.log10((n + mu * 10**below) / (of + mu)) - below
-        failure = np.log10(mu / (of + mu))
-        others = np.log10((n + mu * rest) / (of + mu)) - np.log10(rest)
-        above = np.where(name == block.rest, others, np.where(n > 0, seen, failure))
-        weight[inside] += above[inverse]
+        inside, below = block.inside, weight[block.inside]
+        of, seen = block.of[inside], n[inverse].astype(float)
+        smooth = np.where(block.called[inside] == REST, rest, 10**below)
+        weight[inside] += np.log10((seen + mu * smooth) / (of + mu)) - np.log10(smooth)
+        known = (block.counts[block.ids] > 0).astype(np.int64)
         add_up = lambda x: np.add.reduceat(x, block.starts) if len(x) else np.zeros(0)
         return pa.table(
             {
                 "rid": left.column("rid"), "rkey": left.column("rkey"), "train": left.column("train"),
                 "n_tokens": pa.array(block.sizes),
-                "n_known": pa.array(add_up((c[block.ids] > 0).astype(np.int64)).astype(np.int64)),
+                "n_known": pa.array(add_up(known).astype(np.int64)),
                 "base_score": pa.array(add_up(root[block.ids]).astype(float)),
                 "score": pa.array(add_up(weight).astype(float)),
             }
@@ -172,35 +187,35 @@ def _scores(states, counts, total: int, distinct: int, add: float, mu: float):
 
 
 def score_texts(
-    df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", states: int = STATES, mu: float = MU, add: float = ADD
+    df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", states: int | None = STATES, mu: float = MU, add: float = ADD
 ) -> DataFrame:
     """A row for each row of ``df``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``train``: true for the rows that the model learns from.
+    ``train``: true for the rows that the model learns from. ``states``: None, or how many words are states.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(f"`{doc_id}`").alias("rid"), text_key(text).alias("rkey"), F.col(f"`{text}`").alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
-    counted = table(_word_counts(rows.where("train").select("t")))
-    total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_texts = counted.where(F.col("w") == F.lit(bytearray(END))).agg(F.max("n")).first()[0] or 0
-    # at most `states` rows
-    top = counted.where(F.length("w") > 0).orderBy(F.desc("n"), "w").limit(states).collect()
-    names = {bytes(r["w"]): k for k, r in enumerate(top)} | {START: len(top)}
-    shared = spark.sparkContext.broadcast(names)
-    counts = spark.sparkContext.broadcast([r["n"] for r in top] + [n_texts, n_texts])  # of the start and the end
+    counted = _numbered(table(_word_counts(rows.where("train").select("t"))), states)
+    ends = F.length("w") == 0
+    total, distinct, n_texts, frequent, n_frequent = counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(ends, F.col("n"))), F.lit(0)),
+        F.coalesce(F.sum(F.when(F.col("state") | ends, F.col("n"))), F.lit(0)), F.count(F.when(F.col("state") & ~ends, 1)),
+    ).first()
+    mass = total + add * (distinct + 1)
+    rest = max(1 - (frequent + add * (n_frequent + 1)) / mass, add / mass)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 1), F.lit(0))).first()[0]
     n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("rid", "rkey"), F.lit(n_blocks)).cast("int")).repartition("block")
-    asked = dealt.groupBy("block").applyInArrow(_requests(shared), "block int, k binary, n bigint").repartition("k")
-    # the sum keeps the block's column, so that both sides read one exchange of the requests
-    sums = asked.groupBy("k").agg(F.sum("n").alias("c"), F.max("block").alias("any")).where("c > 0 and any >= 0").drop("any")
-    back = asked.join(sums, "k").where("c > 1 or n = 0").select("block", "k", "c")
+    lexicon = table(dealt.groupBy("block").applyInArrow(_block_words, "block int, w binary").join(counted, "w").select("block", "w", "id", "n", "state"))
+    asked = dealt.groupBy("block").cogroup(lexicon.groupBy("block")).applyInArrow(_requests(n_texts), "block int, k bigint, n bigint")
+    # a block asks for an arc once, so a window has at most as many rows as there are blocks
+    summed = asked.withColumn("c", F.sum("n").over(Window.partitionBy("k")))
+    back = summed.where("c > n").select("block", F.lit(None).cast("binary").alias("w"), F.col("k").alias("id"), F.col("c").alias("n"), F.lit(None).cast("boolean").alias("state"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     scored = (
         dealt.groupBy("block")
-        .cogroup(back.groupBy("block"))
+        .cogroup(lexicon.unionByName(back).groupBy("block"))
         .applyInArrow(
-            _scores(shared, counts, total, distinct, add, mu),
+            _scores(n_texts, rest, total, distinct, add, mu),
             f"rid {kinds['rid']}, rkey bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double",
         )
     )

@@ -76,3 +76,16 @@ def test_query(spark):
     assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 10 == 0) for r in rows)
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_every_word_is_a_state(spark, tmp_path, monkeypatch):
+    """More words than any cap of states: each pair seen in training counts."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 8000)
+    pairs = [(k, " ".join(f"w{k}x{j} v{j}" for j in range(30))) for k in range(100)]
+    pairs += [(100 + k, pairs[k][1]) for k in range(0, 100, 3)] + [(300, "w0x0 unknown v0 w0x1"), (310, None)]
+    docs(spark, pairs).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op10_lm_score"](spark, str(tmp_path)).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows), key=str)
+    for a, b in zip(got, brute(pairs, 10**9), strict=True):
+        assert a[:4] == b[:4]
+        assert a[4:] == pytest.approx(b[4:], rel=1e-9)
