@@ -1,15 +1,18 @@
 """Operator 9: personal data by patterns, and terms that disclose it by information theory.
 
 Base spans are found by pattern in every whole text. The corpus then says how strongly the words
-near a protected value reveal it: over all documents, with n(t) documents holding term t, n(e)
-texts holding value e, n(e,t) texts where t stands within ``WINDOW`` words of e, and N documents,
+of texts with a protected value reveal it: over N documents, with n(t) documents holding term
+t, n(e) texts holding value e, and n(e,t) texts holding both,
 
     PMI(e;t) = log2(N n(e,t) / (n(e) n(t)))        IC(e) = log2(N / n(e))
 
 A term discloses e where PMI >= alpha * IC and n(e,t) >= ``min_support``; with alpha = 1 the term is
-never seen without e. Such terms become spans of kind ``term`` beside e; ``sanitise`` replaces base
-spans by their kind and generalises terms. Copies of one text count once for n(e) and n(e,t), but
-each time for n(t), so copies alone are no evidence.
+never seen without e. Each occurrence of such terms outside base spans, in texts that hold e, becomes
+a span of kind ``term``; ``sanitise`` replaces base spans by their kind and generalises terms. Copies
+of one text count once for n(e) and n(e,t), but each time for n(t).
+
+``window``: with None, as the queries ask, terms are those of the whole text. With a number only
+those within so many words of e are counted in n(e,t) and marked, beside e.
 
 Cases: a null or empty text has no spans; ties in a start are listed in the order email, ip, card,
 phone, term; repeated rows get the same spans; an empty frame gives an empty frame; a column with
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small, text_key, texts, with_arrow_columns
+from .common import cut, small, small_batches, table, text_key, texts, with_arrow_columns
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 4
@@ -99,10 +102,10 @@ def _value(kind: str, raw: str) -> str:
     return f"{kind}:{raw.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(_DIGIT.findall(raw))}"
 
 
-def _near(text: str, spans: list[tuple[str, int, int]], window: int) -> Iterator[tuple[str, str, int, int]]:
-    """(value, term, start, end) for the words within a window of each span, outside all spans."""
+def _free(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the words outside all spans."""
     words = [(m.start(), m.end()) for m in _TERM.finditer(text)]
-    reach, merged = 0, []
+    merged = []
     for _, a, b in spans:
         if merged and a < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
@@ -114,6 +117,12 @@ def _near(text: str, spans: list[tuple[str, int, int]], window: int) -> Iterator
             k += 1
         if k == len(merged) or b <= merged[k][0]:
             free.append((a, b))
+    return free
+
+
+def _near(text: str, spans: list[tuple[str, int, int]], window: int) -> Iterator[tuple[str, str, int, int]]:
+    """(value, term, start, end) for the words within a window of each span, outside all spans."""
+    free, reach = _free(text, spans), 0
     for kind, a, b in spans:
         value = _value(kind, text[a:b])
         while reach < len(free) and free[reach][0] < a:
@@ -162,7 +171,7 @@ def _contexts(df: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
 
 
 def _term_counts(df: DataFrame, text: str) -> DataFrame:
-    """In how many documents each term occurs; counts of a task are summed before the shuffle."""
+    """In how many of the rows each term occurs; counts of a task are summed before the shuffle."""
 
     def run(batches):
         counts: dict[str, int] = {}
@@ -185,23 +194,108 @@ def _term_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
+def _values(df: DataFrame) -> DataFrame:
+    """(rkey, value) of each protected value in the texts (rkey, t)."""
+
+    def run(batches):
+        for batch in batches:
+            keys, values = [], []
+            for key, x in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+                for v in {_value(k, x[a:b]) for k, a, b in base_spans(x)}:
+                    keys.append(key)
+                    values.append(hashlib.blake2b(v.encode(), digest_size=8).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.string())], names=["rkey", "value"])
+
+    return df.mapInArrow(run, "rkey bigint, value string")
+
+
+def _pair_counts(df: DataFrame) -> DataFrame:
+    """(value, term, n_pair) over texts (t, held): a task sums its own before the shuffle."""
+
+    def run(batches):
+        counts: dict[tuple[str, str], int] = {}
+
+        def flush():
+            rows = [list(x) for x in zip(*counts)] or [[], []]
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["value", "term", "n"]
+            )
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for x, held in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
+                for term in {x[a:b].lower() for a, b in _free(x, base_spans(x))}:
+                    for value in held:
+                        counts[value, term] = counts.get((value, term), 0) + 1
+                if len(counts) >= MOST_TERMS:
+                    yield flush()
+        yield flush()
+
+    return df.select("t", "held").mapInArrow(run, "value string, term string, n bigint").groupBy("value", "term").agg(F.sum("n").alias("n_pair"))
+
+
+def _text_terms(df: DataFrame) -> DataFrame:
+    """(rkey, value, term) of each term in the texts (rkey, t, held) and each value there."""
+
+    def run(batches):
+        for batch in batches:
+            cols: list[list] = [[], [], []]
+            for rkey, x, held in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist()):
+                for term in {x[a:b].lower() for a, b in _free(x, base_spans(x))}:
+                    for value in held:
+                        for c, v in zip(cols, (rkey, value, term)):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["rkey", "value", "term"])
+
+    return df.select("rkey", "t", "held").mapInArrow(run, "rkey bigint, value string, term string")
+
+
+def _occurrences(df: DataFrame) -> DataFrame:
+    """(rid, rkey, start, end) of each occurrence of a text's ``terms`` outside base spans."""
+
+    def run(batches):
+        for batch in batches:
+            cols: list[list] = [[], [], [], []]
+            for rid, rkey, x, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist()):
+                asked = set(terms)
+                for a, b in _free(x, base_spans(x)):
+                    if x[a:b].lower() in asked:
+                        for c, v in zip(cols, (rid, rkey, a, b)):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["rid", "rkey", "start", "end"]
+            )
+
+    return df.select("rid", "rkey", "t", "terms").mapInArrow(run, "rid string, rkey bigint, start bigint, end bigint")
+
+
 def disclosing_spans(
     df: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     alpha: float = ALPHA,
     min_support: int = MIN_SUPPORT,
-    window: int = WINDOW,
+    window: int | None = WINDOW,
 ) -> DataFrame:
-    """(rid, rkey, start, end) of terms that disclose a value near them."""
-    near = cut(_contexts(df, doc_id, text, window))
+    """(rid, rkey, start, end) of terms that disclose a value of their text, or near them within a window."""
+    small_batches(df.sparkSession)
+    rows = df.select(F.col(f"`{doc_id}`").cast("string").alias("rid"), text_key(text).alias("rkey"), F.col(f"`{text}`").alias("t"))
     total = df.count()
-    seen = near.select("rkey", "value", "term").distinct()
-    pairs = (
-        seen.where("term is not null").groupBy("value", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= min_support)
-    )
-    values = seen.where("term is null").groupBy("value").agg(F.count("*").alias("n_value"))
-    terms = _term_counts(df, text)
+    if window is None:
+        # values of few texts can't have support; only texts with other values are looked into
+        found = cut(_values(rows.select("rkey", "t")).distinct())
+        values = found.groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= min_support)
+        holding = found.join(values.select("value"), "value", "left_semi").groupBy("rkey").agg(F.collect_list("value").alias("held"))
+        holding = table(rows.join(_hinted(holding), "rkey"))
+        once = holding.dropDuplicates(["rkey"])
+        pairs = _pair_counts(once).where(F.col("n_pair") >= min_support)
+    else:
+        near = cut(_contexts(df, doc_id, text, window))
+        seen = near.select("rkey", "value", "term").distinct()
+        pairs = seen.where("term is not null").groupBy("value", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= min_support)
+        values = seen.where("term is null").groupBy("value").agg(F.count("*").alias("n_value"))
+    terms = _term_counts(rows, "t")
     # only terms of pairs with support take part in the join; the counts come from all documents
     scored = (
         pairs.join(values, "value")
@@ -212,7 +306,17 @@ def disclosing_spans(
         )
         .select("value", "term")
     )
-    return near.where("term is not null").join(scored, ["value", "term"], "left_semi").select("rid", "rkey", "start", "end").distinct()
+    if window is not None:
+        return near.where("term is not null").join(scored, ["value", "term"], "left_semi").select("rid", "rkey", "start", "end").distinct()
+    scored = _hinted(scored)
+    marked = _text_terms(once).join(scored, ["value", "term"], "left_semi").groupBy("rkey").agg(F.collect_set("term").alias("terms"))
+    return _occurrences(holding.join(marked, "rkey")).distinct()
+
+
+def _hinted(df: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if it is small."""
+    df = cut(df)
+    return F.broadcast(df) if small(df, BROADCAST_ROWS) else df
 
 
 def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

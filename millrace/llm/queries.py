@@ -82,7 +82,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, and terms that disclose it."""
-    found = pii.find_personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find_personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"), window=None)
     listed = "array_join(transform({}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
     count = "cast(size(filter(base, x -> x.kind = '{0}')) as bigint) as n_{0}"
     return found.select(

@@ -95,3 +95,28 @@ def test_sanitising(spark):
 
 def test_empty(spark):
     assert pii.find_personal_data(docs(spark, [])).count() == pii.sanitise(docs(spark, [])).count() == 0
+
+
+def far_terms():
+    """A name that stands far from its address, in a letter head and in the text."""
+    rng = random.Random(5)
+    filler = lambda n: " ".join(rng.choice("red green blue happy little house river cloud".split()) for _ in range(n))
+    pairs = [(k, filler(30)) for k in range(80)]
+    return pairs + [(200 + k, f"Quimby {filler(20)} quimby's {filler(12)} zq@mail.org {filler(9)}") for k in range(5)]
+
+
+def test_terms_anywhere_in_the_text(spark):
+    pairs = far_terms()
+    found = pii.find_personal_data(docs(spark, pairs), window=None).collect()
+    marked = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "term"] for r in found}
+    assert marked == {i: ["Quimby", "quimby"] * (i >= 200) for i, _ in pairs}
+    assert all("quimby" not in r.text.lower() for r in pii.sanitise(docs(spark, pairs), window=None).collect())
+
+
+def test_query_and_pipeline_mark_terms_far_away(spark, tmp_path):
+    import corpus_pipeline
+
+    frame = docs(spark, far_terms())
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sum("term:" in r.spans for r in QUERIES["op9_pii"](spark, str(tmp_path)).collect()) == 5
+    assert all("quimby" not in r.text.lower() for r in corpus_pipeline.remove_personal_data(spark, frame, str(tmp_path)).collect())
