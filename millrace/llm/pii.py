@@ -1,7 +1,7 @@
 """Operator 9: personal data by patterns, and terms that disclose it by information theory.
 
 Base spans are found by pattern in every whole text. The corpus then says how strongly the words
-of texts with a protected value reveal it: over N documents, with n(t) documents holding term
+of texts with a protected value reveal it: over the N distinct texts, with n(t) texts holding term
 t, n(e) texts holding value e, and n(e,t) texts holding both,
 
     PMI(e;t) = log2(N n(e,t) / (n(e) n(t)))        IC(e) = log2(N / n(e))
@@ -9,7 +9,7 @@ t, n(e) texts holding value e, and n(e,t) texts holding both,
 A term discloses e where PMI >= alpha * IC and n(e,t) >= ``min_support``; with alpha = 1 the term is
 never seen without e. Each occurrence of such terms outside base spans, in texts that hold e, becomes
 a span of kind ``term``; ``sanitise`` replaces base spans by their kind and generalises terms. Copies
-of one text count once for n(e) and n(e,t), but each time for n(t).
+of one text count once in all four counts, so copies alone are no evidence.
 
 ``window``: with None, as the queries ask, terms are those of the whole text. With a number only
 those within so many words of e are counted in n(e,t) and marked, beside e.
@@ -281,7 +281,7 @@ def disclosing_spans(
     """(rid, rkey, start, end) of terms that disclose a value of their text, or near them within a window."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{doc_id}`").cast("string").alias("rid"), text_key(text).alias("rkey"), F.col(f"`{text}`").alias("t"))
-    total = df.count()
+    total = rows.select("rkey").distinct().count()
     if window is None:
         # values of few texts can't have support; only texts with other values are looked into
         found = cut(_values(rows.select("rkey", "t")).distinct())
@@ -295,8 +295,8 @@ def disclosing_spans(
         seen = near.select("rkey", "value", "term").distinct()
         pairs = seen.where("term is not null").groupBy("value", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= min_support)
         values = seen.where("term is null").groupBy("value").agg(F.count("*").alias("n_value"))
-    terms = _term_counts(rows, "t")
-    # only terms of pairs with support take part in the join; the counts come from all documents
+    terms = _term_counts(rows.dropDuplicates(["rkey"]), "t")
+    # only terms of pairs with support take part in the join; the counts come from all distinct texts
     scored = (
         pairs.join(values, "value")
         .join(terms, "term")

@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+import pytest
+
 from millrace.llm import pii
 from millrace.llm.queries import QUERIES
 
@@ -120,3 +122,14 @@ def test_query_and_pipeline_mark_terms_far_away(spark, tmp_path):
     frame.write.parquet(str(tmp_path / "documents.parquet"))
     assert sum("term:" in r.spans for r in QUERIES["op9_pii"](spark, str(tmp_path)).collect()) == 5
     assert all("quimby" not in r.text.lower() for r in corpus_pipeline.remove_personal_data(spark, frame, str(tmp_path)).collect())
+
+
+@pytest.mark.parametrize("window", [pii.WINDOW, None])
+def test_copies_count_once(spark, window):
+    rng = random.Random(6)
+    filler = lambda n: " ".join(rng.choice("red green blue happy little house river cloud".split()) for _ in range(n))
+    pairs = [(k, filler(30)) for k in range(100)] + [(200 + k, f"{filler(9)} Quimby zq@mail.org {filler(9)}") for k in range(3)]
+    pairs += [(1000 + k, pairs[-1][1]) for k in range(50)]
+    found = pii.find_personal_data(docs(spark, pairs), window=window).collect()
+    marked = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "term"] for r in found}
+    assert marked == {i: ["Quimby"] * (i >= 200) for i, _ in pairs}
