@@ -59,9 +59,12 @@ def _(d):
 
 @add("history_with_terpenes", "purchases purchase_items products terpenes product_terpenes", "select i.id as item_id, p.name as product_name, count(t.terpene_id) as n_terpenes from purchases b join purchase_items i on i.purchase_id = b.id join products p on p.id = i.product_id left join product_terpenes t on t.product_id = p.id where b.customer_id = 88 group by 1, 2")
 def _(d):
-    items = P.purchase_history(d, 88, 100).select(F.explode("items").alias("i")).select("i.*")
+    own = d.purchases.where("customer_id = 88").select(F.col("id").alias("purchase_id"))
+    names = d.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
+    items = d.purchase_items.join(own, "purchase_id", "left_semi").join(names, "product_id")
     links = d.product_terpenes.join(items, "product_id", "left_semi").groupBy("product_id").agg(F.count("*").alias("n_terpenes"))
-    return items.join(links, "product_id", "left").select(F.col("id").alias("item_id"), "product_name", F.coalesce("n_terpenes", F.lit(0)).alias("n_terpenes"))
+    counted = items.join(links, "product_id", "left").select(F.col("id").alias("item_id"), "product_name", F.coalesce("n_terpenes", F.lit(0)).alias("n"))
+    return counted.groupBy("item_id", "product_name").agg(F.sum("n").alias("n_terpenes"))
 
 
 @add("distinct_products", "purchases purchase_items", "select distinct product_id from purchase_items where purchase_id in (select id from purchases where customer_id = 88)")
