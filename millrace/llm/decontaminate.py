@@ -1,7 +1,8 @@
 """Operator 3: benchmark decontamination by a distributed positional inverted index (native).
 
-Postings of the documents' words, (word, document, position), are intersected list by list. Of
-each window of ``window`` consecutive benchmark words the rarest in the documents is looked up
+Postings of the documents' rarest words, (word, document, position), find where items may begin;
+alignments are then verified on slices of the documents' text, not on further postings. Of each
+window of ``window`` consecutive benchmark words the rarest in the documents is looked up
 first; its postings, moved by its offset in the item, say where the item would have to begin in a
 document (an alignment). Where m words of a window may miss, the m + 1 rarest are looked up. The
 other lists of an item are then met in its alignments only: the document's words from the
