@@ -13,7 +13,8 @@ then blind tries for the groups whose common prefix is longer. Equal neighbours
 are repeats.
 
 Contexts of an anchor that has over ``LARGE_ANCHOR`` different ones are dealt out once more, by
-the hash of each window, so that no group in a task is unbounded.
+the hash of each window, so that no group in a task is unbounded: repeated windows there, like
+copies of a whole context, are settled by hash (128 and 64 bits) and not by the sort.
 
 Cases: null and empty texts have 0 bytes and keep nothing; texts under LENGTH bytes are kept whole;
 a row that comes twice repeats itself; documents may have a null id; an empty frame gives an empty
