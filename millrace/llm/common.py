@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,35 +23,61 @@ def hold_out(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == 0
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables: the session's ``spark.checkpoint.dir``, or the context's.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder is taken.
+    Only one machine (a ``local`` master, as in tests) may do without: it gets a temporary folder. On
+    a cluster a folder of one machine would lose data, so there it is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared checkpoint folder."""
+    folder, context = shared_folder(df.sparkSession), df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Writes a frame as a Parquet table in the shared checkpoint folder and reads it back.
+class Tables:
+    """Parquet tables of one call in the shared folder, for what is large and read more than once.
 
-    For what is large and read more than once: unlike a checkpoint it is compressed and columns
-    are read one by one.
+    Unlike a checkpoint a table is compressed and its columns are read one by one. ``drop`` deletes
+    those that no frame still to be run reads; the others stay until the folder is cleared, as a
+    result may be read at any time.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = context._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Writes a frame and reads it back."""
+        path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes tables that ``write`` gave."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for frame in frames:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(frame))[0])
+            path.getFileSystem(conf).delete(path, True)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Writes a frame as a table in the shared folder and reads it back."""
+    return Tables(df.sparkSession).write(df)
 
 
 #: Rows of a batch sent to Python: texts of some KB each, in several copies there and in the JVM.
@@ -124,8 +151,3 @@ def portions(whole: list, size: int = 1 << 20) -> Iterator[slice]:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether a frame has at most so many rows: the check before any broadcast."""
     return df.limit(rows + 1).count() <= rows
-
-
-def session(df: DataFrame) -> SparkSession:
-    """The session of a frame."""
-    return df.sparkSession

@@ -12,9 +12,17 @@ contexts of an anchor, is sorted: multikey quicksort, eight bytes at a time, to
 then blind tries for the groups whose common prefix is longer. Equal neighbours at LENGTH bytes
 are repeats.
 
-Contexts of an anchor that has over ``LARGE_ANCHOR`` different ones are dealt out once more, by
-the hash of each window, so that no group in a task is unbounded: repeated windows there, like
-copies of a whole context, are settled by hash (128 and 64 bits) and not by the sort.
+An anchor with over ``LARGE_ANCHOR`` different contexts is dealt out further before it is sorted, so
+that no task holds an unbounded group. Of its contexts the least and the greatest, forwards from the
+anchor and backwards from it, say which bytes around the anchor all of them share. Windows inside
+what is shared are repeats. Every other window reaches beyond it, to the left or to the right, and
+if less than LENGTH bytes are shared then by half of what is missing on one side at least. So the
+context goes on as one part for either side, dealt by the bytes next to what is shared, with the
+windows that reach so far; parts of one anchor that are still too many are dealt again. Each window
+is in one part, equal windows are in one group, and a group's rows are contexts, not windows.
+
+Documents are told apart by a 64-bit number: the id, if it is a whole number that all rows have and
+no two share, else a number drawn from a table of all ids and texts' hashes.
 
 Cases: null and empty texts have 0 bytes and keep nothing; texts under LENGTH bytes are kept whole;
 a row that comes twice repeats itself; documents may have a null id; an empty frame gives an empty
@@ -23,7 +31,6 @@ frame; columns with an output's name are replaced.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_bytes, text_key
+from .common import Tables, cut, small, text_bytes, text_key
 
 LENGTH, GRAM = 200, 32
 SHALLOW = 32
 LARGE_ANCHOR = 2000
 #: Bytes of texts or contexts that are worked on at once in a Python worker.
 CHUNK = 4 << 20
+#: Anchors dealt out further up to which they are broadcast to their contexts; beyond it both sides shuffle.
+BROADCAST_ROWS = 100_000
+#: Bits of a context's place: its start in the text, then its windows and the windows before the anchor.
+START_BITS, COUNT_BITS = 40, 12
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 _PLACE = np.uint64((1 << 24) - 1)
@@ -70,10 +81,10 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(raw: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Contexts of texts laid end to end: (text, start, number of windows, anchor's hash, context's hash)."""
+    """Contexts of texts laid end to end: (text, start, number of windows, bytes before the anchor, anchor's hash, context's hash)."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     h = gram_hashes(np.frombuffer(raw, np.uint8), gram)
     packed = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     anchor = (_least(packed, length - gram + 1) & _PLACE).astype(np.int64)
@@ -92,7 +103,7 @@ def contexts(raw: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRA
         [digest(raw[s : s + c - 1 + length], a - s) for s, c, a in zip(start.tolist(), count.tolist(), places.tolist())], np.uint64
     )
     begins = np.concatenate(([0], ends))[whose[start]]
-    return whose[start], start - begins, count, h[places], own
+    return whose[start], start - begins, count, places - start, h[places], own
 
 
 def _slices(keys: list, batch: Iterator[bytes], length: int) -> Iterator[tuple[list, list[int], bytes, np.ndarray]]:
@@ -115,24 +126,24 @@ def _slices(keys: list, batch: Iterator[bytes], length: int) -> Iterator[tuple[l
 
 
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """(g, c, rid, rkey, lo, n) of every context of every text."""
+    """(g, c, who, at) of every context of every text (who, t); ``at`` holds start, windows and bytes before the anchor."""
 
     def run(batches):
         for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for held, shifts, raw, ends in _slices(keys, text_bytes(batch.column(2)), length):
-                who, lo, n, g, c = contexts(raw, ends, length)
+            numbers = batch.column(0).to_pylist()
+            for held, shifts, raw, ends in _slices(numbers, text_bytes(batch.column(1)), length):
+                which, lo, n, before, g, c = contexts(raw, ends, length)
+                at = (lo + np.array(shifts, np.int64)[which]) | n << START_BITS | before << (START_BITS + COUNT_BITS)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(g.view(np.int64)), pa.array(c.view(np.int64)),
-                        pa.array([held[w][0] for w in who.tolist()], pa.string()),
-                        pa.array([held[w][1] for w in who.tolist()], pa.int64()),
-                        pa.array(lo + np.array(shifts, np.int64)[who]), pa.array(n.astype(np.int32)),
-                    ],
-                    names=["g", "c", "rid", "rkey", "lo", "n"],
-                )
+                    [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.array(held, np.int64)[which]), pa.array(at)], names=["g", "c", "who", "at"]
+                )
 
-    return docs.mapInArrow(run, "g bigint, c bigint, rid string, rkey bigint, lo bigint, n int")
+    return docs.mapInArrow(run, "g bigint, c bigint, who bigint, at bigint")
+
+
+def _unpacked(at: int) -> tuple[int, int, int]:
+    """Start, windows and bytes before the anchor."""
+    return at & ((1 << START_BITS) - 1), (at >> START_BITS) & ((1 << COUNT_BITS) - 1), at >> (START_BITS + COUNT_BITS)
 
 
 class BlindTrie:
@@ -220,13 +231,18 @@ def sort_suffixes(raw: bytes, starts: np.ndarray, group: np.ndarray, length: int
             yield from (c for c in trie.classes() if len(c) > 1)
 
 
+#: A context: the bytes before its anchor, backwards, and those from the anchor on; ``lo`` is its start in the text.
+CONTEXT = "g bigint, copies bigint, who bigint, lo bigint, before binary, after binary"
+
+
 def _sorted_marks(length: int):
-    """Sorts the contexts of whole anchors; returns the runs of repeated windows of contexts met once."""
+    """Sorts the contexts of whole groups; returns the runs of repeated windows of contexts met once."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
-        raw = b"".join(r[6] for r in rows)
-        at = np.cumsum([0] + [len(r[6]) for r in rows])[:-1]
-        counts = np.array([r[5] for r in rows])
+        whole = [r[4][::-1] + r[5] for r in rows]
+        raw = b"".join(whole)
+        sizes = np.array([len(x) for x in whole])
+        at, counts = np.cumsum(sizes) - sizes, sizes - length + 1
         which = np.repeat(np.arange(len(rows)), counts)
         shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = at[which] + shift
@@ -236,7 +252,7 @@ def _sorted_marks(length: int):
         repeated = np.zeros(len(raw) + 1, bool)
         for places in sort_suffixes(raw, starts, group[which], length):
             repeated[places] = True
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], []]
         once = np.array([r[1] == 1 for r in rows])
         hit = np.flatnonzero(repeated)
         hit = hit[once[owner[hit]]]
@@ -244,106 +260,171 @@ def _sorted_marks(length: int):
             cuts = np.flatnonzero((np.diff(hit) != 1) | (owner[hit[1:]] != owner[hit[:-1]])) + 1
             for run in np.split(hit, cuts):
                 r = rows[owner[run[0]]]
-                first = r[4] + int(run[0]) - int(at[owner[run[0]]])
-                for c, v in zip(out, (r[2], r[3], first, first + len(run) - 1 + length)):
+                first = r[3] + int(run[0]) - int(at[owner[run[0]]])
+                for c, v in zip(out, (r[2], first, first + len(run) - 1 + length)):
                     c.append(v)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["rid", "rkey", "start", "end"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["who", "start", "end"])
 
     def run(batches):
         rows, size = [], 0
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            for r in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if rows and r[0] != rows[-1][0] and size >= CHUNK // 2:
                     yield work(rows)
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[6])
+                size += len(r[4]) + len(r[5])
         if rows:
             yield work(rows)
 
     return run
 
 
-def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, large: int = LARGE_ANCHOR) -> DataFrame:
-    """(rid, rkey, start, end): byte ranges to remove of each text, overlapping; rid is the id as text."""
-    docs = df.select(F.col(f"`{doc_id}`").cast("string").alias("rid"), text_key(text).alias("rkey"), F.col(f"`{text}`").alias("t"))
-    docs = docs.where(F.octet_length("t") >= length)
-    all_seen = table(_occurrences(docs, length))
-    anchors = all_seen.groupBy("g").agg(F.count("*").alias("all"), (F.min("c") != F.max("c")).alias("mixed")).where("all > 1").select("g", "mixed")
-    anchors = table(anchors)  # the join then has exchanges of its own, in which a frequent anchor is split
-    seen = table(all_seen.join(anchors, "g"))
-    kept_once = seen.groupBy("g", "c").agg(
-        F.count("*").alias("copies"), F.min(F.struct("rid", "rkey", "lo", "n")).alias("at"), F.first("mixed").alias("mixed")
-    )
-    kept_once = table(kept_once)
-    copied = seen.join(kept_once.where("copies > 1").select("g", "c"), ["g", "c"], "left_semi").select(
-        "rid", "rkey", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end")
-    )
-    # different contexts of one anchor: fetch their bytes
-    mixed = kept_once.where("mixed").select("g", "copies", "at.*")
-
-    def fetch(batches):
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for rid, rkey, raw, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist()):
-                for w in want:
-                    for c, v in zip(out, (w["g"], w["copies"], rid, rkey, w["lo"], w["n"], raw[w["lo"] : w["lo"] + w["n"] - 1 + length])):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["g", "copies", "rid", "rkey", "lo", "n", "raw"])
+def _shared(x: bytes, y: bytes) -> int:
+    """How many bytes two strings begin with alike."""
+    n = min(len(x), len(y))
+    differ = int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
 
-    def fetched(chosen: DataFrame) -> DataFrame:
-        wanted = chosen.groupBy("rid", "rkey").agg(F.collect_list(F.struct("g", "copies", "lo", "n")).alias("want"))  # of one text
-        same = docs["rid"].eqNullSafe(wanted["rid"]) & (docs["rkey"] == wanted["rkey"])
-        return docs.join(wanted, same).select(docs["rid"], docs["rkey"], "t", "want").mapInArrow(
-            fetch, "g bigint, copies bigint, rid string, rkey bigint, lo bigint, n int, raw binary"
-        )
 
-    hot = table(mixed.groupBy("g").count().where(F.col("count") > large).select("g"))
-    some_hot = not hot.isEmpty()
-    usual = fetched(mixed.join(hot, "g", "left_anti") if some_hot else mixed)
-    marks = usual.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_marks(length), "rid string, rkey bigint, start bigint, end bigint")
-    marks = marks.unionByName(copied)
-    if some_hot:
-        windows = table(
-            fetched(mixed.join(hot, "g", "left_semi")).mapInArrow(_windows(length), "g bigint, w binary, copies bigint, rid string, rkey bigint, start bigint")
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, x, y): the bytes before and from the anchor that all contexts of a group share, by its least and greatest."""
+    for batch in batches:
+        g, *ends = (c.to_pylist() for c in batch.columns)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array([_shared(a, b) for a, b in zip(ends[k], ends[k + 1])], pa.int32()) for k in (0, 2))], names=["g", "x", "y"]
         )
-        repeats = table(windows.groupBy("g", "w").agg(F.sum("copies").alias("all")).where("all > 1").select("g", "w"))
-        marks = marks.unionByName(
-            windows.where("copies = 1").join(repeats, ["g", "w"], "left_semi").select("rid", "rkey", "start", (F.col("start") + length).alias("end"))
-        )
-    return marks
 
 
-def _windows(length: int):
-    """Each window of a context as a 128-bit hash."""
+def _parts(length: int):
+    """Contexts with x and y of their group: repeats within what is shared (no bytes), and the parts that reach beyond it."""
+
+    def split(g: int, lo: int, before: bytes, after: bytes, x: int, y: int) -> Iterator[tuple]:
+        missing = length - x - y
+        if missing <= 0:
+            yield None, lo + len(before) - x, lo + len(before) + y
+        left = max(1, (missing + 1) // 2)
+        right = max(1, missing - left + 1)
+        seed = g & (1 << 64) - 1
+        # windows that start at least ``left`` bytes before what is shared
+        if len(before) >= x + left:
+            yield xxhash.xxh64_intdigest(before[x : x + left], seed ^ 1), lo, before, after[: length - x - left]
+        # all others: they end at least ``right`` bytes after it
+        if len(after) >= y + right:
+            kept = before[: length - y - right]
+            yield xxhash.xxh64_intdigest(after[y : y + right], seed ^ 2), lo + len(before) - len(kept), kept, after
 
     def run(batches):
         for batch in batches:
-            for g, copies, rid, rkey, lo, n, raw in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([g] * n, pa.int64()),
-                        pa.array([hashlib.blake2b(raw[k : k + length], digest_size=16).digest() for k in range(n)], pa.binary()),
-                        pa.array([copies] * n, pa.int64()), pa.array([rid] * n, pa.string()), pa.array([rkey] * n, pa.int64()),
-                        pa.array(range(lo, lo + n), pa.int64()),
-                    ],
-                    names=["g", "w", "copies", "rid", "rkey", "start"],
-                )
+            out: list[list] = [[], [], [], [], [], [], []]
+            for g, copies, who, lo, before, after, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                for key, start, *rest in split(g, lo, before, after, x, y):
+                    row = (None, copies, who, start, None, None, rest[0]) if key is None else (key - (key >> 63 << 64), copies, who, start, *rest, None)
+                    for c, v in zip(out, row):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["g", "copies", "who", "lo", "before", "after", "end"])
 
     return run
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def _marked(rows: DataFrame, length: int) -> DataFrame:
+    """(who, start, end) of the repeated windows of contexts met once, of groups that a task can hold."""
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_marks(length), "who bigint, start bigint, end bigint")
+
+
+def _over(rows: DataFrame, large: int) -> DataFrame | None:
+    """(g) of the groups of over ``large`` contexts, to be broadcast if few; None if there are none."""
+    hot = cut(rows.groupBy("g").count().where(F.col("count") > large).select("g"))
+    if hot.isEmpty():
+        return None
+    return F.broadcast(hot) if small(hot, BROADCAST_ROWS) else hot
+
+
+def _dealt_marks(tables: Tables, rows: DataFrame, hot: DataFrame, length: int, large: int) -> Iterator[DataFrame]:
+    """Marks of anchors with many contexts: their contexts are dealt by further bytes until each group is small."""
+    while hot is not None:
+        ends = rows.groupBy("g").agg(F.min("before").alias("a"), F.max("before").alias("b"), F.min("after").alias("c"), F.max("after").alias("d"))
+        stretches = cut(ends.mapInArrow(_stretches, "g bigint, x int, y int"))
+        stretches = F.broadcast(stretches) if small(stretches, BROADCAST_ROWS) else stretches
+        met = rows.join(stretches, "g").select("g", "copies", "who", "lo", "before", "after", "x", "y")
+        dealt = tables.write(met.mapInArrow(_parts(length), CONTEXT + ", end bigint"))
+        yield dealt.where("g is null and copies = 1").select("who", F.col("lo").alias("start"), "end")
+        parts = dealt.where("g is not null").drop("end")
+        hot = _over(parts, large)
+        yield _marked(parts if hot is None else parts.join(hot, "g", "left_anti"), length)
+        rows = parts if hot is None else parts.join(hot, "g", "left_semi")
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, large: int = LARGE_ANCHOR) -> DataFrame:
+    """(who, start, end): byte ranges to remove of each text, overlapping. ``docs``: who, a number for each text, and t."""
+    if length - GRAM + 1 >= 1 << (COUNT_BITS - 1):
+        raise ValueError("passages are too long")
+    docs = docs.where(F.octet_length("t") >= length)
+    tables = Tables(docs.sparkSession)
+    all_seen = tables.write(_occurrences(docs, length))
+    # a table: the join then has exchanges of its own, in which a frequent anchor is split
+    anchors = tables.write(all_seen.groupBy("g").count().where("count > 1").select("g"))
+    seen = tables.write(all_seen.join(anchors, "g"))
+    tables.drop(all_seen, anchors)
+    kept_once = tables.write(seen.groupBy("g", "c").agg(F.count("*").alias("copies"), F.first("who").alias("who"), F.first("at").alias("at")))
+    start = F.col("at").bitwiseAND(F.lit((1 << START_BITS) - 1))
+    windows = F.shiftright("at", START_BITS).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
+    copied = seen.join(kept_once.where("copies > 1").select("g", "c"), ["g", "c"], "left_semi").select(
+        "who", start.alias("start"), (start + windows - 1 + length).alias("end")
+    )
+    # different contexts of one anchor: fetch their bytes
+    sizes = tables.write(kept_once.groupBy("g").count().where("count > 1"))
+    mixed = kept_once.join(sizes, "g").select("g", "copies", "who", "at", "count")
+
+    def fetch(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for who, raw, want in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                for w in want:
+                    lo, n, anchor = _unpacked(w["at"])
+                    for c, v in zip(out, (w["g"], w["copies"], who, lo, raw[lo : lo + anchor][::-1], raw[lo + anchor : lo + n - 1 + length])):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["g", "copies", "who", "lo", "before", "after"])
+
+    def fetched(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.groupBy("who").agg(F.collect_list(F.struct("g", "copies", "at")).alias("want"))  # of one text
+        return docs.join(wanted, "who").select("who", "t", "want").mapInArrow(fetch, CONTEXT)
+
+    marks = [copied, _marked(fetched(mixed.where(F.col("count") <= large)), length)]
+    largest = sizes.agg(F.max("count")).first()[0] or 0
+    if largest > large:
+        rows = tables.write(fetched(mixed.where(F.col("count") > large)))
+        marks += _dealt_marks(tables, rows, rows, length, large)
+    out = marks[0]
+    for m in marks[1:]:
+        out = out.unionByName(m)
+    out = Tables(docs.sparkSession).write(out)
+    tables.drop(*[frame for _, frame in tables.paths.values()])
+    return out
+
+
+def _numbered(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The frame with ``__who``, a number for each pair of id and text."""
+    own = F.col(f"`{doc_id}`")
+    if isinstance(df.schema[doc_id].dataType, T.IntegralType):
+        rows, named, distinct = df.agg(F.count("*"), F.count(own), F.count_distinct(own)).first()
+        if rows == named == distinct:
+            return df.withColumn("__who", own.cast("bigint"))
+    keyed = df.withColumns({"__rid": own.cast("string"), "__rkey": text_key(text)})
+    names = Tables(df.sparkSession).write(keyed.select(F.col("__rid").alias("__id"), F.col("__rkey").alias("__key")).distinct().withColumn("__who", F.monotonically_increasing_id()))
+    return keyed.join(names, F.col("__rid").eqNullSafe(F.col("__id")) & (F.col("__rkey") == F.col("__key"))).drop("__rid", "__rkey", "__id", "__key")
+
+
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, large: int = LARGE_ANCHOR) -> DataFrame:
     """Adds ``kept`` (bytes that remain), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs)."""
     outputs = ["kept", "n_bytes", "n_removed", "n_spans"]
     df = df.drop(*outputs)
-    marks = repeated_passages(df, doc_id, text, length)
-    spans = marks.distinct().groupBy(F.col("rid").alias("__id"), F.col("rkey").alias("__hash")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))  # of one text
-    keyed = df.withColumn("__rid", F.col(f"`{doc_id}`").cast("string")).withColumn("__rkey", text_key(text))
-    joined = keyed.join(spans, F.col("__rid").eqNullSafe(F.col("__id")) & (F.col("__rkey") == F.col("__hash")), "left").drop("__id", "__hash", "__rid", "__rkey")
+    numbered = _numbered(df, doc_id, text)
+    marks = repeated_passages(numbered.select(F.col("__who").alias("who"), F.col(f"`{text}`").alias("t")), length, large)
+    spans = marks.groupBy(F.col("who").alias("__who")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))  # of one text
+    joined = numbered.join(spans, "__who", "left").drop("__who")
     kept_columns = df.columns
     schema = T.StructType(
         [df.schema[c] for c in kept_columns]

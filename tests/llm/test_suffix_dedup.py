@@ -37,14 +37,26 @@ def cases(seed=1):
     return pairs + [x for x in ODD if not x[1] or len(x[1]) < 1000]
 
 
-@pytest.mark.parametrize("large", [suffix_dedup.LARGE_ANCHOR, 1])
+@pytest.mark.parametrize("large", [suffix_dedup.LARGE_ANCHOR, 3, 1])
 def test_removal_is_brute_forces(spark, tmp_path, monkeypatch, large):
-    monkeypatch.setattr(suffix_dedup.repeated_passages, "__defaults__", ("doc_id", "text", 200, large))
+    monkeypatch.setattr(suffix_dedup.remove_repeats, "__defaults__", ("doc_id", "text", 200, large))
     pairs = cases(large)
     docs(spark, pairs).write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(map(tuple, QUERIES["op7_suffix_dedup"](spark, str(tmp_path)).collect()), key=str) == brute(pairs)
 
 
+@pytest.mark.parametrize("size", [40, 110, 190, 199, 230, 420])
+def test_anchor_with_many_contexts(spark, size):
+    """A passage in many texts, also with one byte changed, is dealt out by the bytes around it."""
+    rng = random.Random(size)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, tails = word(size), [word(60) for _ in range(4)]
+    pairs = [(k, word(220) + rng.choice(tails) + passage + rng.choice(tails) + word(220)) for k in range(40)]
+    pairs += [(100 + k, word(150) + passage[: size // 2] + "#" + passage[size // 2 + 1 :] + word(150)) for k in range(10)]
+    found = suffix_dedup.remove_repeats(docs(spark, pairs), large=4)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in found.collect()) == sorted(brute(pairs))
+
+
 def test_texts_longer_than_a_portion(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1500)
     rng = random.Random(8)
