@@ -1,23 +1,27 @@
 """Operator 6: approximate nearest neighbours by balanced posting lists.
 
 Nearness is the largest inner product. Vectors get one more component so that all have the largest
-norm; then the nearest by distance is the one with the largest product. Centroids are fitted on a
-bounded sample and searched by an in-memory neighbour graph. Every vector is put into the posting
-list of its nearest centroid and, at a boundary, also of those at most ``SPREAD`` times as far, up
-to ``REPLICAS``. A query probes all lists at most ``ratio`` times as far as its nearest. The ratio
-is not guessed: a bounded sample of the queries is answered by brute force over all vectors, and
-the least ratio that covers ``COVER`` of the true neighbours is taken.
-
-Lists are balanced by splitting: a list over ``LIST_ROWS`` is cut into pieces by hash, and so are
-the queries that probe it over ``PROBE_ROWS``. Equal vectors are indexed once with their k + 1
-smallest ids, which is all that a result can hold of them; equal query vectors are searched once.
+norm; then the nearest by distance is the one with the largest product. About sqrt(n) centroids are
+fitted on a bounded sample, large clusters of it split in two, and searched by an in-memory
+neighbour graph. Every vector is put into the posting list of its nearest centroid and, at a
+boundary, also of those at most ``spread`` times as far, up to ``replicas``. A query probes all lists
+at most ``ratio`` times as far as its nearest. None of the three is guessed: a bounded sample of the
+queries is answered by brute force over all vectors, for each choice of spread and replicas the
+least ratio that covers ``COVER`` of the true neighbours is found, and the choice is taken that
+compares the fewest vectors.
+
+Lists are packed into bins of about ``BIN_ROWS`` postings; a bin meets the queries that probe any of
+its lists, a row a query, and gives each its k + 1 best. A list over ``BIN_ROWS`` is cut into pieces by
+hash, each a bin, and so are a bin's queries over ``PROBE_ROWS``. Equal vectors are indexed once with
+their k + 1 smallest ids, which is all that a result can hold of them; equal query vectors are
+searched once.
 
 Scores are inner products of the original vectors in double precision, summed in one fixed order.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null id,
-take no part; so do vectors of another length than the most frequent. Rows with the query's id are
-its own. Ties go to the smaller id; fewer candidates than k give them all; an empty table gives no
-rows; repeated rows count once.
+take no part. Vectors are met by those of their own length only; each length has an index of its
+own. Rows with the query's id are its own. Ties go to the smaller id; fewer candidates than k give
+them all; an empty table gives no rows; repeated rows count once; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,14 +33,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, table
 
-SAMPLE = 20_000
-LISTS, ROWS_A_LIST = 4096, 100
-SPREAD, REPLICAS = 1.1, 8
-COVER, CALIBRATION = 0.97, 200
-LIST_ROWS, PROBE_ROWS = 20_000, 20_000
-DEGREE, STARTS = 24, 32
+#: Vectors that the centroids are fitted on, at most about as many a list, and the most lists.
+SAMPLE, SAMPLE_A_LIST, LISTS = 131_072, 64, 16_384
+#: Choices of spread and replicas.
+REPLICATIONS = ((1.03, 2), (1.1, 2), (1.1, 4), (1.3, 8))
+#: Share of true neighbours that the probed lists must hold, and the queries it is measured on.
+COVER, CALIBRATION = 0.95, 200
+BIN_ROWS, PROBE_ROWS = 16_384, 16_384
+#: Edges of a centroid in the graph, entry points, and centroids expanded at a time.
+DEGREE, STARTS, EXPANDED = 16, 16, 4
+#: Rows up to which sizes of bins are broadcast; there is a row a bin.
+BROADCAST_ROWS = 200_000
+#: Lengths of vectors in one table.
+MOST_LENGTHS = 64
 
 
 class Centroids:
@@ -56,46 +67,67 @@ class Centroids:
         self.starts = np.unique(np.linspace(0, n - 1, min(STARTS, n)).astype(int))
 
     def search(self, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``keep`` nearest centres that a best-first walk finds for each row, with distances."""
-        n, rows = len(self.centres), np.arange(len(x))[:, None]
-        keep = min(keep, n)
+        """The ``keep`` nearest centres that a best-first walk finds for each row, nearest first, and their distances.
+
+        The nearest centres not expanded yet are expanded, of all rows at once, until none of the
+        ``keep`` nearest is left.
+        """
+        n, keep = len(self.centres), min(keep, len(self.centres))
         x = x.astype(np.float32)
         own = (x**2).sum(axis=1, keepdims=True)
+        rows = np.arange(len(x))[:, None]
         seen = np.full((len(x), n), np.inf, np.float32)
         seen[:, self.starts] = self.norms[self.starts] - 2 * x @ self.centres[self.starts].T
-        done = np.zeros((len(x), n), bool)
-        while True:
-            best = np.argpartition(seen, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(x), 1))
-            value = np.where(done[rows, best] | ~np.isfinite(seen[rows, best]), np.inf, seen[rows, best])
-            open_rows = np.flatnonzero(np.isfinite(value).any(axis=1))
-            if not len(open_rows) or not self.near.shape[1]:
+        todo = seen.copy()  # infinite where a centre was expanded or not met
+        active = np.arange(len(x))
+        pick = min(EXPANDED, keep)
+        while len(active) and self.near.shape[1]:
+            # a row is done when its nearest open centre is no nearer than its keep-th
+            at = rows[: len(active)]
+            node = np.argpartition(todo[active], pick - 1, axis=1)[:, :pick] if pick < n else np.tile(np.arange(n), (len(active), 1))
+            value = todo[active][at, node]
+            bound = np.partition(seen[active], keep - 1, axis=1)[:, keep - 1 : keep] if keep < n else np.full((len(active), 1), np.inf, np.float32)
+            valid = np.isfinite(value) & (value <= bound)
+            going = valid.any(axis=1)
+            active, node, valid = active[going], node[going], valid[going]
+            if not len(active):
                 break
-            # the eight nearest that were not expanded yet, their neighbours' distances at once
-            pick = min(8, keep)
-            chosen = np.argpartition(value[open_rows], pick - 1, axis=1)[:, :pick]
-            node = np.take_along_axis(best[open_rows], chosen, 1)
-            valid = np.isfinite(np.take_along_axis(value[open_rows], chosen, 1))
-            done[np.repeat(open_rows, pick)[valid.ravel()], node.ravel()[valid.ravel()]] = True
-            next_to = np.where(valid[:, :, None], self.near[node], node[:, :, None]).reshape(len(open_rows), -1)
-            seen[open_rows[:, None], next_to] = self.norms[next_to] - 2 * np.einsum("bd,bnd->bn", x[open_rows], self.centres[next_to])
+            todo[np.repeat(active, pick)[valid.ravel()], node[valid]] = np.inf
+            to = np.where(valid[:, :, None], self.near[node], node[:, :, None]).reshape(len(active), -1)
+            fresh = np.isinf(seen[active[:, None], to])
+            r, c = np.nonzero(fresh)
+            row, centre = active[r], to[r, c]
+            d = self.norms[centre] - 2 * np.einsum("nd,nd->n", x[row], self.centres[centre])
+            seen[row, centre] = d
+            todo[row, centre] = d
+        best = np.argpartition(seen, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(x), 1))
         order = np.argsort(seen[rows, best], axis=1, kind="stable")
         best = np.take_along_axis(best, order, 1)
         return best, np.sqrt(np.maximum(seen[rows, best] + own, 0))
 
-    def within(self, x: np.ndarray, ratio: float, first: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each row the centres at most ``ratio`` times as far as its nearest, and their distances."""
-        keep = min(first, len(self.centres))
-        best, far = self.search(x, keep)
-        while keep < len(self.centres) and (far[:, -1] <= ratio * far[:, 0]).any():
-            keep = min(4 * keep, len(self.centres))
-            best, far = self.search(x, keep)
-        for b, d in zip(best, far):
-            near = d <= ratio * d[0]
-            yield b[near], d[near]
-
-
-def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> Centroids:
-    """k-means over a sample; an empty cluster takes a point of the largest."""
+    def postings(self, x: np.ndarray, spread: float, replicas: int) -> np.ndarray:
+        """The lists of each row, its nearest first; -1 where there are less than ``replicas``."""
+        best, far = self.search(x, 2 * replicas + 8)
+        best, far = best[:, :replicas], far[:, :replicas]
+        out = np.where(far <= spread * far[:, :1], best, -1)
+        out[:, 0] = best[:, 0]
+        return np.pad(out, ((0, 0), (0, replicas - out.shape[1])), constant_values=-1)
+
+    def within(self, x: np.ndarray, ratio: float, first: int) -> Iterator[np.ndarray]:
+        """For each row the centres at most ``ratio`` times as far as its nearest; about ``first`` are expected."""
+        rows, keep = np.arange(len(x)), first
+        out: list = [None] * len(x)
+        while len(rows):
+            best, far = self.search(x[rows], keep)
+            whole = (far[:, -1] > ratio * far[:, 0]) | np.isinf(far[:, -1]) | (best.shape[1] == len(self.centres))
+            for k in np.flatnonzero(whole):
+                out[rows[k]] = best[k][far[k] <= ratio * far[k][0]]
+            rows, keep = rows[~whole], 2 * keep  # only rows with more go on
+        yield from out
+
+
+def fit_centroids(sample: np.ndarray, k: int, rounds: int = 5, seed: int = 3) -> Centroids:
+    """k-means over a sample; an empty cluster, like the least while one has over twice the mean, takes half of the largest."""
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), k, replace=False)].astype(np.float32)
     x = sample.astype(np.float32)
@@ -103,13 +135,17 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) ->
         norms = (centres**2).sum(axis=1)
         label = np.concatenate([np.argmin(norms - 2 * x[a : a + 2048] @ centres.T, axis=1) for a in range(0, len(x), 2048)])
         count = np.bincount(label, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, label, x)
-        full = count > 0
-        centres[full] = sums[full] / count[full, None]
-        big = np.flatnonzero(label == count.argmax())
-        for c in np.flatnonzero(~full):
-            centres[c] = x[rng.choice(big)]
+        order = np.argsort(label, kind="stable")
+        edge = np.concatenate(([0], np.cumsum(count)))
+        full = np.flatnonzero(count)
+        centres[full] = np.add.reduceat(x[order], edge[full], axis=0) / count[full, None]
+        least, most = np.argsort(count, kind="stable"), np.argsort(-count, kind="stable")
+        for low, high in zip(least.tolist(), most.tolist()):
+            if low == high or count[high] < 2 or (count[low] and count[high] <= 2 * len(x) / k):
+                break
+            members = order[edge[high] : edge[high + 1]]
+            a, b = x[rng.choice(members, 2, replace=False)]
+            centres[low], centres[high] = (a + centres[high]) / 2, (b + centres[high]) / 2
     return Centroids(centres)
 
 
@@ -147,98 +183,152 @@ def _best(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row among all other rows."""
-    spark = df.sparkSession
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     clean = df.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), F.col(f"`{embedding}`").alias("v"), is_query.alias("q")).where(
         "id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
     )
-    lengths = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
-        return empty
-    dim = lengths["d"]
-    clean = clean.where(F.size("v") == dim)
+    clean = clean.withColumn("key", F.xxhash64("v"))
+    lengths = [r[0] for r in clean.where("q").select(F.size("v").alias("d")).distinct().limit(MOST_LENGTHS + 1).collect()]
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of over {MOST_LENGTHS} lengths")
+    mine = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for dim in sorted(lengths):
+        some = clean.where(F.size("v") == dim)
+        asked = some.where("q").select("id", "key")
+        found = (
+            asked.select(F.col("id").alias("query_id"), "key").distinct().join(_candidates(some, dim, k), "key")
+            .where("query_id <> id").select("query_id", F.col("id").alias("vec_id"), "score")
+            .withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score")
+        )
+        out = out.unionByName(found) if len(lengths) > 1 else found
+    return out
+
+
+def _candidates(clean: DataFrame, dim: int, k: int) -> DataFrame:
+    """(key, id, score): the k + 1 nearest found of each query vector, by its key, of vectors of one length."""
+    spark = clean.sparkSession
     # equal vectors once, with the ids that a result can hold
-    few = clean.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
-    vectors = table(few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("key", F.xxhash64("v")))
-    asked = clean.where("q").select("id", "v", F.xxhash64("v").alias("key"))
-    queries = table(asked.groupBy("v").agg(F.first("key").alias("key")))
-    n = vectors.count()
-    norm = float(np.sqrt(vectors.agg(F.max(F.expr("aggregate(v, double(0), (s, x) -> s + double(x) * double(x))"))).first()[0]))
-    share = min(1.0, SAMPLE / n)
-    sample = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * SAMPLE).toArrow()
+    few = clean.withColumn("r", F.dense_rank().over(Window.partitionBy("key", "v").orderBy("id"))).where(F.col("r") <= k + 1)
+    vectors = table(few.groupBy("key", "v").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.max("q").alias("own")).select("v", "ids", "key", "own"))
+    # a query's vector may be that of k + 1 smaller ids, so queries are found by themselves
+    queries = table(clean.where("q").groupBy("key", "v").agg(F.lit(1)).select("v", "key"))
+    n, square = vectors.agg(F.count("*"), F.max(F.expr("aggregate(v, double(0), (s, x) -> s + double(x) * double(x))"))).first()
+    norm = float(np.sqrt(square))
+    lists = max(1, min(LISTS, round(n**0.5)))
+    share = min(1.0, min(SAMPLE, SAMPLE_A_LIST * lists) / n)
+    sample = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").limit(2 * SAMPLE).toArrow()
     if not len(sample):
         sample = vectors.select("v").limit(1).toArrow()
     points = _lifted(_matrix(sample.column(0), dim), norm)
-    centroids = fit_centroids(points, max(1, min(LISTS, n // ROWS_A_LIST, len(points) // 8)))
+    centroids = fit_centroids(points, max(1, min(lists, len(points) // 8)))
+    spread, replicas, ratio, first = _calibrated(vectors, queries, centroids, points, norm, dim, k)
     shared = spark.sparkContext.broadcast(centroids)  # at most LISTS centres
-    ratio = _calibrated_ratio(vectors, queries, centroids, norm, dim, k)
 
     def post(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                lists, rows = [], []
-                for r, (found, _) in enumerate(shared.value.within(_lifted(_matrix(part.column(0), dim), norm), SPREAD)):
-                    lists += found[:REPLICAS].tolist()
-                    rows += [r] * min(REPLICAS, len(found))
-                rows = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *(part.column(c).take(rows) for c in range(3))], names=["list", "v", "ids", "key"])
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                found = shared.value.postings(_lifted(_matrix(part.column(0), dim), norm), spread, replicas)
+                rows, at = np.nonzero(found >= 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[rows, at].astype(np.int32)), *(part.column(c).take(pa.array(rows)) for c in range(3))], names=["list", "v", "ids", "key"]
+                )
+
+    kind = vectors.schema["v"].dataType.simpleString()
+    postings = table(vectors.select("v", "ids", "key").mapInArrow(post, f"list int, v {kind}, ids array<bigint>, key bigint"))
+    # a row a list, of which there are LISTS at most
+    sizes = {r[0]: r[1] for r in postings.groupBy("list").count().collect()}
+    bin_of, pieces = np.full(len(centroids.centres), -1, np.int32), []
+    held = 0
+    for x in sorted(sizes):
+        if not pieces or held + sizes[x] > BIN_ROWS:
+            pieces.append(-(-sizes[x] // BIN_ROWS))
+            held = sizes[x] if pieces[-1] == 1 else BIN_ROWS
+        else:
+            held += sizes[x]
+        bin_of[x] = len(pieces) - 1
+    bins = spark.sparkContext.broadcast(bin_of)
 
     def probe(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                lists, rows = [], []
-                for r, (found, _) in enumerate(shared.value.within(_stretched(_matrix(part.column(0), dim), norm), ratio)):
-                    lists += found.tolist()
-                    rows += [r] * len(found)
-                rows = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column(0).take(rows), part.column(1).take(rows)], names=["list", "v", "key"])
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                rows, of, lists = [], [], []
+                for r, found in enumerate(shared.value.within(_stretched(_matrix(part.column(0), dim), norm), ratio, first)):
+                    found = np.sort(found[bins.value[found] >= 0])
+                    own, start = np.unique(bins.value[found], return_index=True)
+                    rows += [r] * len(own)
+                    of += own.tolist()
+                    lists += [x.tolist() for x in np.split(found, start[1:])] if len(own) else []
+                rows = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(of, pa.int32()), pa.array(lists, pa.list_(pa.int32())), part.column(0).take(rows), part.column(1).take(rows)], names=["bin", "lists", "v", "key"]
+                )
 
-    kind = vectors.schema["v"].dataType.simpleString()
-    postings = table(vectors.select("v", "ids", "key").mapInArrow(post, f"list int, v {kind}, ids array<bigint>, key bigint"))
-    probes = queries.select("v", "key").mapInArrow(probe, f"list int, v {kind}, key bigint")
-    # a row a list
-    pieces = postings.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("pieces"))
-    parts = probes.groupBy("list").agg(F.ceil(F.count("*") / PROBE_ROWS).cast("int").alias("parts"))
-    cut_up = F.broadcast(table(pieces.join(parts, "list")))
+    probes = table(queries.select("v", "key").mapInArrow(probe, f"bin int, lists array<int>, v {kind}, key bigint"))
+    parts = {r[0]: -(-r[1] // PROBE_ROWS) for r in probes.groupBy("bin").count().collect()}  # a row a bin
+    cut_up = spark.createDataFrame([(b, p, parts[b]) for b, p in enumerate(pieces) if b in parts], "bin int, pieces int, parts int")
+    cut_up = F.broadcast(cut_up) if small(cut_up, BROADCAST_ROWS) else cut_up
+    named = spark.createDataFrame([(x, int(bin_of[x])) for x in sizes], "list int, bin int")
     piece, part = F.pmod("key", F.col("pieces")).cast("int"), F.pmod("key", F.col("parts")).cast("int")
-    left = postings.join(cut_up, "list").select("list", piece.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "v", "ids", "key")
-    right = probes.join(cut_up, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), part.alias("part"), "v", "key")
+    left = postings.join(F.broadcast(named), "list").join(cut_up, "bin")  # LISTS rows
+    left = left.select("bin", piece.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "list", "v", "ids")
+    right = probes.join(cut_up, "bin").select("bin", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), part.alias("part"), "lists", "v", "key")
+    by = ["bin", "piece", "part"]
+    met = left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(_meet(dim, k, replicas), "key bigint, id array<bigint>, score array<double>")
+    first_of = Window.partitionBy("key").orderBy(F.desc("score"), "id")
+    return (
+        met.select("key", F.explode(F.arrays_zip("id", "score")).alias("x")).groupBy("key", "x.id").agg(F.max("x.score").alias("score"))
+        .withColumn("r", F.row_number().over(first_of)).where(F.col("r") <= k + 1).select("key", "id", "score")
+    )
 
-    def meet(vs: pa.Table, qs: pa.Table) -> pa.Table:
+
+def _meet(dim: int, k: int, replicas: int):
+    """The k + 1 best of a bin for each of its queries, list by list."""
+
+    def run(vs: pa.Table, qs: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if vs.num_rows and qs.num_rows:
-            v, q, keys, ids = _matrix(vs.column("v"), dim), _matrix(qs.column("v"), dim), qs.column("key").to_pylist(), vs.column("ids").to_pylist()
+            v, q, of, ids = _matrix(vs.column("v"), dim), _matrix(qs.column("v"), dim), vs.column("list").to_numpy(), vs.column("ids").to_pylist()
+            order = np.argsort(of, kind="stable")
+            names, start = np.unique(of[order], return_index=True)
+            members = dict(zip(names.tolist(), np.split(order, start[1:])))
+            # a vector is in several lists; a few more are kept, as rough products may misorder near ties
+            wide = replicas * (k + 1) + 8
+            best = np.full((len(q), wide), -np.inf)
+            place = np.full((len(q), wide), -1)
+            asked: dict[int, list[int]] = {}
+            for r, lists in enumerate(qs.column("lists").to_pylist()):
+                for x in lists:
+                    asked.setdefault(x, []).append(r)
+            for x, rows in asked.items():
+                if x not in members:
+                    continue
+                rows, at = np.array(rows), members[x]
+                score = np.concatenate((best[rows], q[rows] @ v[at].T), axis=1)
+                where = np.concatenate((place[rows], np.broadcast_to(at, (len(rows), len(at)))), axis=1)
+                top = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+                best[rows], place[rows] = np.take_along_axis(score, top, 1), np.take_along_axis(where, top, 1)
             for a in range(0, len(q), 256):
-                at, score = _best(q[a : a + 256], v, k + 1)
-                for key, row, scores in zip(keys[a : a + 256], at.tolist(), score.tolist()):
-                    out[0] += [key] * len(row)
-                    out[1] += [ids[x] for x in row]
-                    out[2] += scores
-        return pa.table({"key": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "score": pa.array(out[2], pa.float64())})
-
-    by = ["list", "piece", "part"]
-    met = left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(meet, "key bigint, ids array<bigint>, score double")
-    first = Window.partitionBy("key").orderBy(F.desc("score"), "id")
-    lists = (
-        met.select("key", F.explode("ids").alias("id"), "score").groupBy("key", "id").agg(F.max("score").alias("score"))
-        .withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")
-    )
-    mine = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        asked.select(F.col("id").alias("query_id"), "key").distinct().join(lists, "key")
-        .where("query_id <> id").select("query_id", F.col("id").alias("vec_id"), "score")
-        .withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+                exact = _products(q[a : a + 256], v[place[a : a + 256]])
+                for key, places, scores in zip(qs.column("key")[a : a + 256].to_pylist(), place[a : a + 256].tolist(), exact.tolist()):
+                    found = {i: s for p, s in zip(places, scores) if p >= 0 for i in ids[p]}
+                    near = sorted(found.items(), key=lambda x: (-x[1], x[0]))[: k + 1]
+                    out[0].append(key)
+                    out[1].append([i for i, _ in near])
+                    out[2].append([s for _, s in near])
+        return pa.table({"key": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.list_(pa.int64())), "score": pa.array(out[2], pa.list_(pa.float64()))})
 
+    return run
 
-def _calibrated_ratio(vectors: DataFrame, queries: DataFrame, centroids: Centroids, norm: float, dim: int, k: int) -> float:
-    """The least distance ratio at which COVER of the true neighbours of CALIBRATION queries are in a probed list."""
+
+def _calibrated(vectors: DataFrame, queries: DataFrame, centroids: Centroids, points: np.ndarray, norm: float, dim: int, k: int) -> tuple[float, int, float, int]:
+    """Spread, replicas and ratio that compare the fewest vectors of those that cover COVER, and how many lists a query then probes.
+
+    Covered are the true neighbours of CALIBRATION queries; ``points`` say how many lists a vector is put into.
+    """
     sample = queries.orderBy(F.xxhash64("key"), "key").limit(CALIBRATION).select("v").toArrow()
-    if not len(sample):
-        return 1.0
     q = _matrix(sample.column(0), dim)
     shared = vectors.sparkSession.sparkContext.broadcast(q)  # CALIBRATION rows
     kind = vectors.schema["v"].dataType.simpleString()
@@ -255,6 +345,17 @@ def _calibrated_ratio(vectors: DataFrame, queries: DataFrame, centroids: Centroi
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("score")))).where(F.col("r") <= k)
     true = ranked.select("s", "v").toArrow()  # CALIBRATION x k rows
     whose, x = true.column("s").to_numpy(), _lifted(_matrix(true.column("v"), dim), norm)
-    distance = np.sqrt(np.maximum((_stretched(q, norm) ** 2).sum(axis=1)[:, None] + centroids.norms - 2 * _stretched(q, norm) @ centroids.centres.T, 0))
-    needed = [(distance[s][lists[:REPLICAS]] / distance[s].min()).min() for s, (lists, _) in zip(whose, centroids.within(x, SPREAD))]
-    return float(np.quantile(needed, COVER, method="higher")) + 1e-6
+    stretched = _stretched(q, norm)
+    distance = np.sqrt(np.maximum((stretched**2).sum(axis=1)[:, None] + centroids.norms - 2 * stretched @ centroids.centres.T, 0))
+    ratios = distance / distance.min(axis=1, keepdims=True)
+    best = None
+    for spread, replicas in REPLICATIONS:
+        lists = centroids.postings(x, spread, replicas)
+        needed = np.where(lists >= 0, ratios[whose[:, None], lists], np.inf).min(axis=1)
+        ratio = float(np.quantile(needed, COVER, method="higher")) + 1e-6
+        probed = (ratios <= ratio).sum(axis=1)
+        copies = (centroids.postings(points[:2048], spread, replicas) >= 0).sum(axis=1).mean()
+        cost = probed.mean() * copies
+        if best is None or cost < best[0]:
+            best = (cost, spread, replicas, ratio, int(probed.max()) + 1)
+    return best[1:]

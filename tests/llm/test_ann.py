@@ -47,6 +47,41 @@ def test_recall_against_brute_force(spark, tmp_path):
     assert recall >= 0.9
 
 
+def test_recall_on_vectors_without_clusters(spark):
+    """Directions without any structure are the hardest case of an index."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 64))
+    rows = [(k, v) for k, v in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float))]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<float>")
+    got, want = found(ann.nearest(frame, F.col("vec_id") % 20 == 0, 20)), brute(rows, 20, 20)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_small_bins_and_parts(spark, monkeypatch):
+    """Lists cut into pieces, and their queries into parts, give the same neighbours."""
+    rows = vectors(600, dim=4, groups=3)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<float>")
+    whole = found(ann.nearest(frame, F.col("vec_id") % 20 == 0, 5))
+    monkeypatch.setattr(ann, "BIN_ROWS", 16)
+    monkeypatch.setattr(ann, "PROBE_ROWS", 7)
+    assert found(ann.nearest(frame, F.col("vec_id") % 20 == 0, 5)) == whole
+
+
+def test_lengths_have_their_own_index(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (20, [1.0, 0.0, 1.0]), (21, [2.0, 0.0, 0.0]), (22, [5.0])]
+    got = found(ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, 3))
+    assert got == {0: [(1, 0.5)], 20: [(21, 2.0)]}
+
+
+def test_graph_search_finds_the_nearest(spark):
+    rng = np.random.default_rng(5)
+    centroids, x = ann.fit_centroids(rng.normal(size=(4000, 16)), 300), rng.normal(size=(200, 16))
+    d = ((x[:, None] - centroids.centres[None]) ** 2).sum(axis=2)
+    best, far = centroids.search(x, 24)
+    assert (best[:, 0] == d.argmin(axis=1)).mean() > 0.95
+    assert far == pytest.approx(np.sqrt(np.take_along_axis(d, best, 1)), rel=1e-3)
+
+
 def test_odd_vectors_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (20, [1.0, 1.0]), (21, [-1.0, 0.0])]
     odd = [(4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, []), (10, [1.0, 2.0, 3.0]), (None, [9.0, 9.0])]
