@@ -9,14 +9,14 @@ t, n(e) texts holding value e, and n(e,t) texts holding both,
 A term discloses e where PMI >= alpha * IC and n(e,t) >= ``min_support``; with alpha = 1 the term is
 never seen without e. Each occurrence of such terms outside base spans, in texts that hold e, becomes
 a span of kind ``term``; ``sanitise`` replaces base spans by their kind and generalises terms. Copies
-of one text count once in all four counts, so copies alone are no evidence.
-
-``window``: with None, as the queries ask, terms are those of the whole text. With a number only
-those within so many words of e are counted in n(e,t) and marked, beside e.
-
-Cases: a null or empty text has no spans; ties in a start are listed in the order email, ip, card,
-phone, term; repeated rows get the same spans; an empty frame gives an empty frame; a column with
-an output's name is replaced.
+of one text count once in all four counts, so copies alone are no evidence: of the rows of one text
+those with the smallest id are counted, divided by their number. Texts are not shuffled for this;
+only their hashes and ids are.
+
+Cases: a null or empty text has no spans; very long texts are looked through whole, in time that
+grows with their length; ties in a start are listed in the order email, ip, card, phone, term;
+repeated rows get the same spans; an empty frame gives an empty frame; ``find_personal_data`` replaces
+columns with an output's name, ``sanitise`` keeps all columns but the text as they are.
 """
 
 from __future__ import annotations
@@ -26,19 +26,18 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small, small_batches, table, text_key, texts, with_arrow_columns
+from .common import cut, small, small_batches, text_key, texts, with_arrow_columns
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 4
 ALPHA, MIN_SUPPORT = 0.95, 3
-#: Rows of term spans up to which they are broadcast to the texts; beyond it both sides are shuffled.
+#: Rows up to which copied texts, values and disclosing terms are broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 100_000
-#: Terms counted in a Python worker before it hands its counts on.
-MOST_TERMS = 200_000
+#: Terms counted or listed in a Python worker before it hands them on.
+MOST_TERMS = 100_000
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -120,18 +119,9 @@ def _free(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]
     return free
 
 
-def _near(text: str, spans: list[tuple[str, int, int]], window: int) -> Iterator[tuple[str, str, int, int]]:
-    """(value, term, start, end) for the words within a window of each span, outside all spans."""
-    free, reach = _free(text, spans), 0
-    for kind, a, b in spans:
-        value = _value(kind, text[a:b])
-        while reach < len(free) and free[reach][0] < a:
-            reach += 1
-        after = reach
-        while after < len(free) and free[after][0] < b:
-            after += 1
-        for x, y in free[max(0, reach - window) : reach] + free[after : after + window]:
-            yield value, text[x:y].lower(), x, y
+def _protected(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """Hashes of the distinct protected values of a text."""
+    return {hashlib.blake2b(_value(k, text[a:b]).encode(), digest_size=8).hexdigest() for k, a, b in spans}
 
 
 def with_base_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
@@ -145,206 +135,186 @@ def with_base_spans(df: DataFrame, text: str = "text", out: str = "spans") -> Da
     return with_arrow_columns(df, [text], [T.StructField(out, T.ArrayType(SPAN))], make)
 
 
-def _contexts(df: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
-    """(id, text's key, value, term, start, end) of every word near a protected value.
+def _counted(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (rkey, t, share) that count, and how many texts there are; a text counts in ``share`` rows alike in id and text."""
+    ids = rows.select("rkey", F.coalesce("rid", F.lit("")).alias("rid")).groupBy("rkey", "rid").count()
+    of = ids.groupBy("rkey").agg(F.min(F.struct("rid", "count")).alias("first"), F.sum("count").alias("all"))
+    n_texts = of.count()
+    copied = _hinted(of.where("all > 1").select(F.col("rkey").alias("ckey"), F.col("first.rid").alias("crid"), F.col("first.count").alias("share")))
+    met = rows.join(copied, F.col("rkey") == F.col("ckey"), "left").where("ckey is null or crid = coalesce(rid, '')")
+    return met.select("rkey", "t", F.coalesce("share", F.lit(1)).alias("share")), n_texts
 
-    A last row with no term stands for each value, so that values without words near count too.
-    """
-    fed = df.select(F.col(f"`{doc_id}`").cast("string").alias("rid"), text_key(text).alias("rkey"), F.col(text).alias("t"))
 
-    def run(batches):
-        for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for rid, key, x in zip(ids, keys, texts(batch.column(2))):
-                if spans := base_spans(x):
-                    rows = [*_near(x, spans, window), *((v, None, None, None) for v in {_value(k, x[a:b]) for k, a, b in spans})]
-                    for value, term, a, b in rows:
-                        for c, v in zip(cols, (rid, key, hashlib.blake2b(value.encode(), digest_size=8).hexdigest(), term, a, b)):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))],
-                names=["rid", "rkey", "value", "term", "start", "end"],
-            )
-
-    return fed.mapInArrow(run, "rid string, rkey bigint, value string, term string, start bigint, end bigint")
+def _number(n: str) -> Column:
+    """Sum over counted rows, each divided by its share."""
+    return F.round(F.sum(F.col(n) / F.col("share"))).cast("bigint")
 
 
-def _term_counts(df: DataFrame, text: str) -> DataFrame:
-    """In how many of the rows each term occurs; counts of a task are summed before the shuffle."""
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """(term, n_term): in how many texts each term occurs; counts of a task are summed before the shuffle."""
 
     def run(batches):
-        counts: dict[str, int] = {}
+        counts: dict[tuple[str, int], int] = {}
 
         def flush():
+            keys = [list(x) for x in zip(*counts)] or [[], []]
             out = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
+                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "share", "n"]
             )
             counts.clear()
             return out
 
         for batch in batches:
-            for x in texts(batch.column(0)):
+            for x, share in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
                 for w in set(_TERM.findall(x.lower())):
-                    counts[w] = counts.get(w, 0) + 1
+                    counts[w, share] = counts.get((w, share), 0) + 1
                 if len(counts) >= MOST_TERMS:
                     yield flush()
         yield flush()
 
-    return df.select(text).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return rows.select("t", "share").mapInArrow(run, "term string, share bigint, n bigint").groupBy("term").agg(_number("n").alias("n_term"))
 
 
-def _values(df: DataFrame) -> DataFrame:
-    """(rkey, value) of each protected value in the texts (rkey, t)."""
+def _values(rows: DataFrame) -> DataFrame:
+    """(rkey, value) of each protected value in the texts."""
 
     def run(batches):
         for batch in batches:
             keys, values = [], []
             for key, x in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                for v in {_value(k, x[a:b]) for k, a, b in base_spans(x)}:
+                for v in _protected(x, base_spans(x)):
                     keys.append(key)
-                    values.append(hashlib.blake2b(v.encode(), digest_size=8).hexdigest())
+                    values.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.string())], names=["rkey", "value"])
 
-    return df.mapInArrow(run, "rkey bigint, value string")
+    return rows.select("rkey", "t").mapInArrow(run, "rkey bigint, value string").distinct()
 
 
-def _pair_counts(df: DataFrame) -> DataFrame:
-    """(value, term, n_pair) over texts (t, held): a task sums its own before the shuffle."""
+def _pair_counts(rows: DataFrame) -> DataFrame:
+    """(value, term, n_pair) over texts (t, held, share): a task sums its own before the shuffle."""
 
     def run(batches):
-        counts: dict[tuple[str, str], int] = {}
+        counts: dict[tuple[str, str, int], int] = {}
 
         def flush():
-            rows = [list(x) for x in zip(*counts)] or [[], []]
+            keys = [list(x) for x in zip(*counts)] or [[], [], []]
+            kinds = (pa.string(), pa.string(), pa.int64())
             out = pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["value", "term", "n"]
+                [*(pa.array(k, t) for k, t in zip(keys, kinds)), pa.array(list(counts.values()), pa.int64())], names=["value", "term", "share", "n"]
             )
             counts.clear()
             return out
 
         for batch in batches:
-            for x, held in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                for term in {x[a:b].lower() for a, b in _free(x, base_spans(x))}:
-                    for value in held:
-                        counts[value, term] = counts.get((value, term), 0) + 1
-                if len(counts) >= MOST_TERMS:
-                    yield flush()
+            for x, held, share in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                found = {x[a:b].lower() for a, b in _free(x, base_spans(x))}
+                for value in held:
+                    for term in found:
+                        counts[value, term, share] = counts.get((value, term, share), 0) + 1
+                    if len(counts) >= MOST_TERMS:
+                        yield flush()
         yield flush()
 
-    return df.select("t", "held").mapInArrow(run, "value string, term string, n bigint").groupBy("value", "term").agg(F.sum("n").alias("n_pair"))
+    counted = rows.select("t", "held", "share").mapInArrow(run, "value string, term string, share bigint, n bigint")
+    return counted.groupBy("value", "term").agg(_number("n").alias("n_pair"))
 
 
-def _text_terms(df: DataFrame) -> DataFrame:
+def _text_terms(rows: DataFrame) -> DataFrame:
     """(rkey, value, term) of each term in the texts (rkey, t, held) and each value there."""
 
     def run(batches):
+        cols: list[list] = [[], [], []]
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["rkey", "value", "term"])
+            for c in cols:
+                c.clear()
+            return out
+
         for batch in batches:
-            cols: list[list] = [[], [], []]
             for rkey, x, held in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist()):
-                for term in {x[a:b].lower() for a, b in _free(x, base_spans(x))}:
-                    for value in held:
+                found = {x[a:b].lower() for a, b in _free(x, base_spans(x))}
+                for value in held:
+                    for term in found:
                         for c, v in zip(cols, (rkey, value, term)):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["rkey", "value", "term"])
+                    if len(cols[0]) >= MOST_TERMS:
+                        yield flush()
+        yield flush()
 
-    return df.select("rkey", "t", "held").mapInArrow(run, "rkey bigint, value string, term string")
+    return rows.select("rkey", "t", "held").mapInArrow(run, "rkey bigint, value string, term string")
 
 
-def _occurrences(df: DataFrame) -> DataFrame:
-    """(rid, rkey, start, end) of each occurrence of a text's ``terms`` outside base spans."""
+def _disclosing(rows: DataFrame, alpha: float, min_support: int) -> tuple[DataFrame, DataFrame]:
+    """(value, term) of the terms that disclose a value, and the texts with values of enough support (rkey, t, share, held)."""
+    counted, n_texts = _counted(rows)
+    found = cut(_values(counted))
+    # values of few texts can't have support; only texts with other values are looked into
+    values = found.groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= min_support)
+    held = found.join(values.select("value"), "value", "left_semi").groupBy("rkey").agg(F.collect_list("value").alias("held"))  # of one text
+    holding = counted.join(_hinted(held), "rkey")
+    pairs = _pair_counts(holding).where(F.col("n_pair") >= min_support)
+    n = F.lit(float(max(n_texts, 1)))
+    # only terms of pairs with support take part in the join; the counts come from all texts
+    scored = (
+        pairs.join(values, "value").join(_term_counts(counted), "term")
+        .where(F.log2(n * F.col("n_pair") / (F.col("n_value") * F.col("n_term"))) >= alpha * F.log2(n / F.col("n_value")) - 1e-9)
+        .select("value", "term")
+    )
+    return cut(scored), holding
 
-    def run(batches):
-        for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for rid, rkey, x, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist()):
-                asked = set(terms)
-                for a, b in _free(x, base_spans(x)):
-                    if x[a:b].lower() in asked:
-                        for c, v in zip(cols, (rid, rkey, a, b)):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["rid", "rkey", "start", "end"]
-            )
 
-    return df.select("rid", "rkey", "t", "terms").mapInArrow(run, "rid string, rkey bigint, start bigint, end bigint")
+def _hinted(df: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if it is small."""
+    df = cut(df)
+    return F.broadcast(df) if small(df, BROADCAST_ROWS) else df
 
 
-def disclosing_spans(
-    df: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    alpha: float = ALPHA,
-    min_support: int = MIN_SUPPORT,
-    window: int | None = WINDOW,
+def find_personal_data(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA, min_support: int = MIN_SUPPORT, out: str = "spans", base: str = "base"
 ) -> DataFrame:
-    """(rid, rkey, start, end) of terms that disclose a value of their text, or near them within a window."""
+    """Adds ``out`` (base spans and terms, by start and kind) and ``base`` (base spans only)."""
+    df = df.drop(out, base)
     small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{doc_id}`").cast("string").alias("rid"), text_key(text).alias("rkey"), F.col(f"`{text}`").alias("t"))
-    total = rows.select("rkey").distinct().count()
-    if window is None:
-        # values of few texts can't have support; only texts with other values are looked into
-        found = cut(_values(rows.select("rkey", "t")).distinct())
-        values = found.groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= min_support)
-        holding = found.join(values.select("value"), "value", "left_semi").groupBy("rkey").agg(F.collect_list("value").alias("held"))
-        holding = table(rows.join(_hinted(holding), "rkey"))
-        once = holding.dropDuplicates(["rkey"])
-        pairs = _pair_counts(once).where(F.col("n_pair") >= min_support)
-    else:
-        near = cut(_contexts(df, doc_id, text, window))
-        seen = near.select("rkey", "value", "term").distinct()
-        pairs = seen.where("term is not null").groupBy("value", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= min_support)
-        values = seen.where("term is null").groupBy("value").agg(F.count("*").alias("n_value"))
-    terms = _term_counts(rows.dropDuplicates(["rkey"]), "t")
-    # only terms of pairs with support take part in the join; the counts come from all distinct texts
-    scored = (
-        pairs.join(values, "value")
-        .join(terms, "term")
-        .where(
-            F.log2(F.lit(float(max(total, 1))) * F.col("n_pair") / (F.col("n_value") * F.col("n_term")))
-            >= alpha * F.log2(F.lit(float(max(total, 1))) / F.col("n_value")) - 1e-9
-        )
-        .select("value", "term")
-    )
-    if window is not None:
-        return near.where("term is not null").join(scored, ["value", "term"], "left_semi").select("rid", "rkey", "start", "end").distinct()
-    scored = _hinted(scored)
-    marked = _text_terms(once).join(scored, ["value", "term"], "left_semi").groupBy("rkey").agg(F.collect_set("term").alias("terms"))
-    return _occurrences(holding.join(marked, "rkey")).distinct()
+    scored, holding = _disclosing(rows, alpha, min_support)
+    if small(scored, BROADCAST_ROWS):
+        terms_of: dict[str, set[str]] = {}
+        for value, term in scored.collect():  # at most BROADCAST_ROWS
+            terms_of.setdefault(value, set()).add(term)
+        shared = df.sparkSession.sparkContext.broadcast(terms_of)
+        return with_arrow_columns(df, [text], _span_fields(base, out), _marker(lambda x, spans: set().union(*(shared.value.get(v, ()) for v in _protected(x, spans)))))
+    marked = _text_terms(holding).join(scored, ["value", "term"], "left_semi").groupBy(F.col("rkey").alias("__rkey")).agg(F.collect_set("term").alias("__terms"))
+    joined = df.withColumn("__key", text_key(text)).join(_hinted(marked), F.col("__key") == F.col("__rkey"), "left")
+    return with_arrow_columns(joined, [text, "__terms"], _span_fields(base, out), _marker(lambda x, spans, terms: set(terms or ()))).drop("__key", "__rkey", "__terms")
 
 
-def _hinted(df: DataFrame) -> DataFrame:
-    """The frame, to be broadcast if it is small."""
-    df = cut(df)
-    return F.broadcast(df) if small(df, BROADCAST_ROWS) else df
+def _span_fields(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.ArrayType(SPAN)) for n in names]
+
+
+def _marker(asked):
+    """Base spans of texts, and with them the occurrences of the terms that ``asked`` gives for a text."""
+
+    def make():
+        def compute(column, *more):
+            base, both = [], []
+            for x, *given in zip(texts(column), *(c.to_pylist() for c in more)):
+                found = base_spans(x)
+                terms = asked(x, found, *given) if found else ()
+                marked = [("term", a, b) for a, b in _free(x, found) if x[a:b].lower() in terms] if terms else []
+                for spans, held in ((found, base), (sorted(found + marked, key=lambda s: (s[1], KINDS.index(s[0]))), both)):
+                    held.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
+            return [pa.array(base, _SPAN_ARROW), pa.array(both, _SPAN_ARROW)]
 
+        return compute
 
-def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Adds ``spans`` (base spans and terms, by start and kind) and ``base`` (base spans only)."""
-    extra = cut(
-        disclosing_spans(df, doc_id, text, **options)
-        .groupBy(F.col("rid").alias("__rid"), F.col("rkey").alias("__rkey"))
-        .agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("__terms"))
-    )
-    if small(extra, BROADCAST_ROWS):
-        extra = F.broadcast(extra)
-    base = with_base_spans(df.withColumn("__key", text_key(text)), text, "base")
-    both = F.concat("base", F.coalesce("__terms", F.array().cast(T.ArrayType(SPAN))))
-    keyed = F.expr(
-        "transform(array_sort(transform(__both, x -> struct(x.start, array_position(array('email', 'ip', 'card', 'phone', 'term'), x.kind) as k, x.end, x.kind))),"
-        " x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))"
-    )
-    return (
-        base.join(extra, (F.col(f"`{doc_id}`").cast("string").eqNullSafe(F.col("__rid"))) & (F.col("__key") == F.col("__rkey")), "left")
-        .withColumn("__both", both)
-        .withColumn("spans", keyed)
-        .drop("__rid", "__rkey", "__terms", "__both", "__key")
-    )
+    return make
 
 
 def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Replaces base spans by their kind in capitals and generalises disclosing terms; same columns."""
-    found = find_personal_data(df.drop("spans", "base"), doc_id, text, **options)
+    """Replaces base spans by their kind in capitals and generalises disclosing terms; other columns stay as they are."""
+    found = find_personal_data(df, doc_id, text, out="__spans", base="__base", **options)
     schema = df.schema[text]
 
     def make():
@@ -360,5 +330,5 @@ def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
 
         return lambda t, s: [pa.array([one(x, y) for x, y in zip(t.to_pylist(), s.to_pylist())], pa.string())]
 
-    out = with_arrow_columns(found, [text, "spans"], [T.StructField(text, schema.dataType, True)], make)
+    out = with_arrow_columns(found, [text, "__spans"], [T.StructField(text, schema.dataType, True)], make)
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -59,23 +59,19 @@ def corpus():
 
 
 def brute_terms(pairs):
-    """Terms beside a value that reveal it, by the module's formulas."""
-    texts = [(t or "") for _, t in pairs]
-    distinct = set(t for _, t in pairs)
-    near, value_in, term_in = {}, {}, {}
-    for t in texts:
-        for w in set(re.findall(r"[^\W\d_]{3,}", t.lower())):
-            term_in[w] = term_in.get(w, 0) + 1
+    """Terms of texts with a value that reveal it, by the module's formulas over distinct texts."""
+    both, value_in, term_in, distinct = {}, {}, {}, {(t or "") for _, t in pairs} | {None for _, t in pairs if t is None}
     for t in distinct:
-        for kind, a, b in brute(t):
-            v = (kind, t[a:b].lower())
-            value_in.setdefault(v, set()).add(t)
-            before = [m for m in re.finditer(r"[^\W\d_]{3,}", (t or "")[:a])][-4:]
-            after = [m for m in re.finditer(r"[^\W\d_]{3,}", (t or "")[b:])][:4]
-            for m in before + after:
-                near.setdefault((v, m[0].lower()), set()).add(t)
-    n = len(pairs)
-    return {w for (v, w), ts in near.items() if len(ts) >= 3 and math.log2(n * len(ts) / (len(value_in[v]) * term_in[w])) >= 0.95 * math.log2(n / len(value_in[v])) - 1e-9}
+        spans = brute(t)
+        for w in set(re.findall(r"[^\W\d_]{3,}", (t or "").lower())):
+            term_in[w] = term_in.get(w, 0) + 1
+        free = {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t or "") if not any(a < m.end() and m.start() < b for _, a, b in spans)}
+        for v in {(kind, t[a:b].lower()) for kind, a, b in spans}:
+            value_in[v] = value_in.get(v, 0) + 1
+            for w in free:
+                both[v, w] = both.get((v, w), 0) + 1
+    n = len(distinct)
+    return {w for (v, w), k in both.items() if k >= 3 and math.log2(n * k / (value_in[v] * term_in[w])) >= 0.95 * math.log2(n / value_in[v]) - 1e-9}
 
 
 def test_terms_that_disclose(spark):
@@ -83,18 +79,33 @@ def test_terms_that_disclose(spark):
     found = pii.find_personal_data(clashing(docs(spark, pairs), "rid", "start"))
     assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "rid", "start", "base", "spans"]
     terms = {r.text[s.start : s.end].lower() for r in found.collect() for s in r.spans if s.kind == "term"}
-    assert terms == brute_terms(pairs) == {"zelda", "quimby", "wrote"}
+    assert terms == brute_terms(pairs) == {"case", "zelda", "quimby", "wrote"}
 
 
 def test_sanitising(spark):
     frame = docs(spark, corpus())
-    clean = pii.sanitise(clashing(frame, "spans", "base"))
+    clean = pii.sanitise(clashing(frame, "spans", "base", "kind"))
     rows = {r.doc_id: r.text for r in clean.collect()}
-    assert clean.columns == [*frame.columns, "spans", "base"]
+    assert clean.columns == [*frame.columns, "spans", "base", "kind"]
+    assert {(r.spans, r.base, r.kind) for r in clean.collect()} == {("clash",) * 3}
     assert "[TERM] [TERM] [EMAIL]" in rows[200] and rows[300] == "[EMAIL] blue" and rows[301] is None
     assert all(rows[k] == t for k, t in corpus()[:80])
 
 
+@pytest.mark.parametrize("rows", [pii.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("most", [pii.MOST_TERMS, 7])
+def test_odd_and_long_texts(spark, monkeypatch, rows, most):
+    """Nulls, empty and very long texts, repeated rows and null ids, with values that many texts share."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(pii, "MOST_TERMS", most)
+    odd = [(i, t if not t or " " in t else t[:3000]) for i, t in ODD]  # the pattern itself takes squares of a word's length
+    pairs = odd + [(400 + k, f"{t} q@r.st 10.0.0.1") for k, (_, t) in enumerate(odd)] + corpus()
+    found = pii.find_personal_data(docs(spark, pairs)).collect()
+    assert sorted((str(r.doc_id), r.text or "", [tuple(s) for s in r.base]) for r in found) == sorted((str(i), t or "", brute(t)) for i, t in pairs)
+    terms = {r.text[s.start : s.end].lower() for r in found for s in r.spans if s.kind == "term"}
+    assert terms == brute_terms(pairs)
+
+
 def test_empty(spark):
     assert pii.find_personal_data(docs(spark, [])).count() == pii.sanitise(docs(spark, [])).count() == 0
 
@@ -109,10 +120,10 @@ def far_terms():
 
 def test_terms_anywhere_in_the_text(spark):
     pairs = far_terms()
-    found = pii.find_personal_data(docs(spark, pairs), window=None).collect()
+    found = pii.find_personal_data(docs(spark, pairs)).collect()
     marked = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "term"] for r in found}
     assert marked == {i: ["Quimby", "quimby"] * (i >= 200) for i, _ in pairs}
-    assert all("quimby" not in r.text.lower() for r in pii.sanitise(docs(spark, pairs), window=None).collect())
+    assert all("quimby" not in r.text.lower() for r in pii.sanitise(docs(spark, pairs)).collect())
 
 
 def test_query_and_pipeline_mark_terms_far_away(spark, tmp_path):
@@ -124,12 +135,14 @@ def test_query_and_pipeline_mark_terms_far_away(spark, tmp_path):
     assert all("quimby" not in r.text.lower() for r in corpus_pipeline.remove_personal_data(spark, frame, str(tmp_path)).collect())
 
 
-@pytest.mark.parametrize("window", [pii.WINDOW, None])
-def test_copies_count_once(spark, window):
+@pytest.mark.parametrize("rows", [pii.BROADCAST_ROWS, 0])
+def test_copies_count_once(spark, monkeypatch, rows):
+    """Copies with other ids and whole rows that repeat; terms broadcast or joined."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
     rng = random.Random(6)
     filler = lambda n: " ".join(rng.choice("red green blue happy little house river cloud".split()) for _ in range(n))
     pairs = [(k, filler(30)) for k in range(100)] + [(200 + k, f"{filler(9)} Quimby zq@mail.org {filler(9)}") for k in range(3)]
-    pairs += [(1000 + k, pairs[-1][1]) for k in range(50)]
-    found = pii.find_personal_data(docs(spark, pairs), window=window).collect()
+    pairs += [(1000 + k // 2, pairs[-1][1]) for k in range(50)] + [(1, pairs[1][1])] * 3
+    found = pii.find_personal_data(docs(spark, pairs)).collect()
     marked = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "term"] for r in found}
     assert marked == {i: ["Quimby"] * (i >= 200) for i, _ in pairs}
