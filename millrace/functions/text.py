@@ -61,9 +61,30 @@ def confidence_label(c: str | Column) -> Column:
 
 
 def parsed_ids(c: str | Column) -> Column:
-    """Ids of a comma-separated text, trimmed, without blanks; an id that is no number is null."""
-    parts = F.transform(F.split(_col(c), ","), py_trim)
-    return F.transform(F.filter(parts, lambda x: x != ""), lambda x: x.try_cast("bigint"))
+    """Ids of a comma-separated text, trimmed, without blanks; an id that is no number is an error."""
+    parts = F.filter(F.transform(F.split(_col(c), ","), py_trim), lambda x: x != "")
+    bad = lambda x: F.raise_error(F.concat(F.lit("not an id: "), x)).cast("bigint")
+    return F.transform(parts, lambda x: F.coalesce(x.try_cast("bigint"), bad(x)))
+
+
+def upper(c: str | Column) -> Column:
+    """How a family or an outcome is shown."""
+    return F.upper(_col(c))
+
+
+def fixed(c: str | Column, digits: int) -> Column:
+    """A number with so many digits after the point; null stays null."""
+    return F.when(_col(c).isNotNull(), F.format_string(f"%.{digits}f", _col(c).cast("double")))
+
+
+def kilobytes(c: str | Column) -> Column:
+    """A size in bytes as KB with one digit."""
+    return F.concat(fixed(_col(c) / 1024, 1), F.lit(" KB"))
+
+
+def base64_text(c: str | Column) -> Column:
+    """Binary content as one line of base64."""
+    return F.regexp_replace(F.base64(_col(c)), r"\s", "")
 
 
 def readings_label(readings: str | Column) -> Column:

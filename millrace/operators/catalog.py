@@ -57,3 +57,12 @@ def batch_attributes(domain, ids: list[int], family: bool = False) -> DataFrame:
     if family:
         return nested(asked, domain.product_cannabinoids, domain.cannabinoids, "cannabinoid_id", ["name", "family", "percent"], "cannabinoids")
     return nested(asked, domain.product_terpenes, domain.terpenes, "terpene_id", ["name", "percent"], "terpenes")
+
+
+def later_wins(maps: list[DataFrame], key: str) -> DataFrame:
+    """Frames of one shape as one with a row a key; of a key that comes more than once the last frame's row holds."""
+    every = maps[0].withColumn("__pos", F.lit(0))
+    for pos, more in enumerate(maps[1:], 1):
+        every = every.unionByName(more.withColumn("__pos", F.lit(pos)))
+    others = [c for c in maps[0].columns if c != key]
+    return every.groupBy(key).agg(F.max_by(F.struct(*others), "__pos").alias("__row")).select(key, *[F.col(f"__row.{c}").alias(c) for c in others])

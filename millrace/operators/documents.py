@@ -12,9 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clamp, falsy_or, joined_notes
+from ..functions.text import clamp, falsy_or, joined_notes, py_trim
+from ..sources.files import readings_json
 
 READINGS = "array<struct<name:string,percent:double>>"
+#: As a page has them: numbers, or texts such as ND; the unit is percent if there is none.
+PRINTED = "array<struct<name:string,percent:string,unit:string>>"
 TEXTS = ("lab_name", "lab_license", "test_date", "batch_id", "product_name", "pass_fail")
 DOCUMENT = (
     "struct<lab_name:string,lab_license:string,test_date:string,batch_id:string,product_name:string,total_terpenes:double,"
@@ -40,10 +43,21 @@ def canonical_name(c: str | Column) -> Column:
     return F.coalesce(F.element_at(table, c), c)
 
 
-def in_percent(value: str, unit: str) -> Column:
-    """A printed reading in percent: mg/g are tenths; ND and <LOQ, which are no number, are null."""
-    number = F.col(value).try_cast("double")
-    return F.when(F.col(unit) == "mg/g", number / 10).otherwise(number)
+#: Readings that are no number: not detected, or below what can be measured.
+NOT_MEASURED = ("ND", "<LOQ")
+
+
+def in_percent(value: str | Column, unit: str | Column) -> Column:
+    """A printed reading in percent: mg/g are tenths; a text that is no number is null."""
+    value, unit = (F.col(c) if isinstance(c, str) else c for c in (value, unit))
+    number = value.try_cast("double")
+    return F.when(unit == "mg/g", number / 10).otherwise(number)
+
+
+def measured(readings: Column) -> Column:
+    """Readings (name, percent and unit as text) as (name, percent): aliases resolved, those not measured left out."""
+    shown = F.filter(readings, lambda r: F.coalesce(~F.upper(py_trim(r["percent"])).isin(*NOT_MEASURED), F.lit(True)))
+    return F.transform(shown, lambda r: F.struct(canonical_name(r["name"]).alias("name"), in_percent(r["percent"], r["unit"]).alias("percent")))
 
 
 def without_fences(c: str | Column) -> Column:
@@ -62,9 +76,9 @@ def deviation_note(total: Column, readings: Column) -> Column:
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """(report_id, page_no, doc, error): each page's document, checked; doc is null where there is an error."""
-    kind = f"{DOCUMENT[:-1]},_bad:string>".removeprefix("struct<").removesuffix(">").replace(":", " ", 0)
-    read = pages.withColumn("p", F.from_json(without_fences("raw"), f"struct<{kind}>", {"columnNameOfCorruptRecord": "_bad"}))
-    readings = F.coalesce("p.terpenes", F.array().cast(READINGS))
+    kind = f"{DOCUMENT[:-1]},_bad:string>".replace(READINGS, PRINTED)
+    read = pages.withColumn("p", F.from_json(without_fences("raw"), kind, {"columnNameOfCorruptRecord": "_bad"}))
+    readings = F.coalesce(measured(F.col("p.terpenes")), F.array().cast(READINGS))
     error = (
         F.when(F.col("p").isNull() | F.col("p._bad").isNotNull(), "not a document")
         .when(F.exists(readings, lambda r: r["percent"].isNull() | (r["percent"] < 0) | (r["percent"] > MOST_PERCENT) | r["name"].isNull()), "reading out of range")
@@ -112,17 +126,27 @@ def merge_pages(parsed: DataFrame) -> DataFrame:
 
 
 def process_reports(pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """Reports after extraction; ``targets``: (report_id, product_id), product_id may be null.
+    """Reports after a request each; ``targets``: report_id, product_id, and if given request, pos and old_product_id.
 
-    failed with the message's first 1000 characters; applied where there are a product and
-    readings; else extracted.
+    A request takes its reports by ``pos`` and stops at the first that fails: what came before stays,
+    what comes after is pending still. A failed report has the message's first 1000 characters and
+    keeps the product it had; one with a product and readings is applied; else it is extracted.
+    Without a request each report is one by itself.
     """
-    out = merge_pages(parsed_pages(pages)).join(targets, "report_id", "left")
-    applied = F.col("error").isNull() & F.col("product_id").isNotNull() & (F.size("doc.terpenes") > 0)
+    if "request" not in targets.columns:
+        targets = targets.withColumns({"request": F.col("report_id"), "pos": F.lit(0)})
+    if "old_product_id" not in targets.columns:
+        targets = targets.withColumn("old_product_id", F.lit(None).cast(targets.schema["product_id"].dataType))
+    before = Window.partitionBy("request").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    out = targets.join(merge_pages(parsed_pages(pages)), "report_id").withColumn("stopped", F.coalesce(F.max(F.col("error").isNotNull()).over(before), F.lit(False)))
+    done = ~F.col("stopped") & F.col("error").isNull()
+    applied = done & F.col("product_id").isNotNull() & (F.size("doc.terpenes") > 0)
+    doc = {c: F.when(done, F.col(f"doc.{c}")).alias(c) for c in (*TEXTS, "total_terpenes", "terpenes", "confidence", "confidence_notes")}
     return out.select(
-        "report_id", "product_id", *[F.col(f"doc.{c}").alias(c) for c in TEXTS], "doc.total_terpenes", "doc.terpenes", "doc.confidence", "doc.confidence_notes",
-        F.when(F.col("error").isNotNull(), "failed").when(applied, "applied").otherwise("extracted").alias("status"),
-        F.coalesce(applied, F.lit(False)).alias("applied_to_product"), F.substring("error", 1, 1000).alias("error_message"),
+        "report_id", F.when(done, F.col("product_id")).otherwise(F.col("old_product_id")).alias("product_id"), *doc.values(),
+        F.when(done, readings_json("doc.terpenes")).alias("raw_terpenes_json"),
+        F.when(F.col("stopped"), "pending").when(~done, "failed").when(applied, "applied").otherwise("extracted").alias("status"),
+        F.coalesce(applied, F.lit(False)).alias("applied_to_product"), F.when(~F.col("stopped"), F.substring("error", 1, 1000)).alias("error_message"),
     )
 
 

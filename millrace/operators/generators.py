@@ -11,25 +11,28 @@ def _draw(low: int, high: int, seed: int, *keys: Column | str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys]), F.lit(high - low + 1)) + low).cast("int")
 
 
-def generate_purchases(customers: DataFrame, n_products: int, as_of: str, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def generate_purchases(customers: DataFrame, products: DataFrame, as_of: str, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(purchases, items): 5-15 purchases a customer in 180 days, of 1-3 distinct products at 3000-15000 cents.
 
-    Products are numbered from 0; the distinct ones are a drawn start and drawn steps round the circle.
+    A customer's purchases are numbered in the order of their times. Products are numbered by id; the
+    distinct ones of a purchase are a drawn start and drawn steps round the circle. Only ids of
+    products are numbered and joined.
     """
+    numbered = products.select(F.col("id").alias("product_id"), (F.row_number().over(Window.orderBy("id")) - 1).alias("number"))
+    n_products = products.count()
     if n_products < 3:
         raise ValueError("at least three products are needed")
-    bought = customers.select(F.col("id").alias("customer_id"), F.explode(F.sequence(F.lit(1), _draw(5, 15, seed, "id"))).alias("k"))
-    bought = bought.withColumn("id", F.concat_ws("-", "customer_id", "k")).withColumn(
-        "purchased_at", F.expr(f"timestamp_ntz '{as_of}'") - F.make_dt_interval(secs=_draw(0, 180 * 86_400, seed + 1, "id"))
-    )
+    drawn = F.transform(F.sequence(F.lit(1), _draw(5, 15, seed, "id")), lambda k: _draw(0, 180 * 86_400, seed + 1, "id", k))
+    bought = customers.select(F.col("id").alias("customer_id"), F.posexplode(F.reverse(F.array_sort(drawn))).alias("k", "ago"))  # the furthest back first
+    bought = bought.withColumn("id", F.concat_ws("-", "customer_id", F.col("k") + 1)).withColumn("purchased_at", F.expr(f"timestamp_ntz '{as_of}'") - F.make_dt_interval(secs=F.col("ago")))
     step = _draw(1, max(1, n_products // 3), seed + 3, "id")
     items = bought.select(F.col("id").alias("purchase_id"), F.explode(F.sequence(F.lit(0), _draw(0, 2, seed + 2, "id"))).alias("line"), _draw(0, n_products - 1, seed + 4, "id").alias("first"), step.alias("step"))
-    items = items.select(
-        F.concat_ws("-", "purchase_id", "line").alias("id"), "purchase_id", F.pmod(F.col("first") + F.col("line") * F.col("step"), F.lit(n_products)).alias("product_id"),
+    items = items.withColumn("number", F.pmod(F.col("first") + F.col("line") * F.col("step"), F.lit(n_products))).join(numbered, "number").select(
+        F.concat_ws("-", "purchase_id", "line").alias("id"), "purchase_id", "product_id",
         F.lit(1).alias("quantity"), _draw(3000, 15_000, seed + 5, "purchase_id", "line").alias("line_amount_cents"),
     )
     totals = items.groupBy("purchase_id").agg(F.sum("line_amount_cents").alias("total_amount_cents"))
-    return bought.join(totals.withColumnRenamed("purchase_id", "id"), "id").select("id", "customer_id", "purchased_at", "total_amount_cents", F.lit("manual").alias("source")), items
+    return bought.join(totals.withColumnRenamed("purchase_id", "id"), "id").select("id", "customer_id", (F.col("k") + 1).alias("number"), "purchased_at", "total_amount_cents", F.lit("manual").alias("source")), items
 
 
 def sample_attributes(products: DataFrame, dimension: DataFrame, low: int = 1, high: int = 4, seed: int = 1) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,24 @@ def check_unique(df: DataFrame, key: list[str]) -> None:
         raise ValueError(f"{key} comes twice: {twice[0]}")
 
 
-def new_customers(payload: DataFrame, now: str) -> DataFrame:
-    """Rows to append: trimmed texts, a key from the row and its time, times set."""
+#: Rows of one request, which are numbered in one window.
+MOST_PAYLOAD = 10_000
+
+
+def with_new_ids(table: DataFrame, payload: DataFrame, *order: str) -> DataFrame:
+    """The payload with ``id``: numbers after the table's largest, by the given columns, equal rows too."""
+    if payload.limit(MOST_PAYLOAD + 1).count() > MOST_PAYLOAD:
+        raise ValueError(f"at most {MOST_PAYLOAD} rows a request")
+    top = table.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("__top"))  # one row
+    k = F.row_number().over(Window.orderBy(*order))
+    return payload.withColumn("__k", k).join(F.broadcast(top)).withColumn("id", (F.col("__top") + F.col("__k")).cast(table.schema["id"].dataType)).drop("__top", "__k")
+
+
+def new_customers(customers: DataFrame, payload: DataFrame, now: str) -> DataFrame:
+    """Rows to append to the customers: trimmed texts, new keys, times set."""
     time = F.lit(now).cast("timestamp_ntz")
-    return payload.select(
-        F.abs(F.xxhash64("name", "phone", "email", time)).alias("id"), *[strip_if_given(c).alias(c) for c in ("name", "phone", "email")],
+    return with_new_ids(customers, payload, "name", "phone", "email").select(
+        "id", *[strip_if_given(c).alias(c) for c in ("name", "phone", "email")],
         F.coalesce("marketing_opt_in", F.lit(False)).alias("marketing_opt_in"), time.alias("created_at"), time.alias("updated_at"),
     )
 
@@ -42,11 +57,15 @@ def patch_customers(customers: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def patch_products(products: DataFrame, updates: DataFrame) -> DataFrame:
-    """Sets name, brand and is_active; an empty brand becomes null, one of blanks only becomes empty."""
-    given = updates.select("id", F.col("name").alias("new_name"), F.col("brand").alias("new_brand"), F.col("is_active").alias("new_is_active"))
+    """Sets name, brand, category and is_active; an empty brand becomes null, one of blanks only becomes empty."""
+    fields = ["name", "brand", "category", "is_active"]
+    given = updates.select("id", *[F.col(c).alias(f"new_{c}") for c in fields if c in updates.columns])
     joined = products.join(given, "id", "left")
-    joined = joined.withColumn("name", F.coalesce(py_trim("new_name"), "name")).withColumn("is_active", F.coalesce("new_is_active", "is_active"))
-    joined = joined.withColumn("brand", F.when(F.col("new_brand").isNull(), F.col("brand")).otherwise(strip_if_given("new_brand")))
+    for c, value in (("name", py_trim("new_name")), ("category", F.col("new_category")), ("is_active", F.col("new_is_active"))):
+        if c in updates.columns:
+            joined = joined.withColumn(c, F.coalesce(value, c))
+    if "brand" in updates.columns:
+        joined = joined.withColumn("brand", F.when(F.col("new_brand").isNull(), F.col("brand")).otherwise(strip_if_given("new_brand")))
     return joined.select(products.columns)
 
 
@@ -58,14 +77,14 @@ def delete_links(links: DataFrame, products: DataFrame) -> DataFrame:
 def upsert_dimension(dimension: DataFrame, names: DataFrame) -> DataFrame:
     """The dimension with the names it lacks: trimmed, blanks skipped, keys from the largest on.
 
-    Names that are known keep their row, whatever else the payload says of them.
+    New names take the payload's further columns, such as a family, from the row that comes first
+    (``pos`` if there is one). Names that are known keep their row, whatever else the payload says.
     """
-    wanted = names.select(py_trim("name").alias("name")).where("name <> ''").distinct()
-    fresh = wanted.join(dimension, "name", "left_anti")
-    top = dimension.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))  # one row
-    # a payload's names, few: numbered in one window
-    numbered = fresh.withColumn("k", F.row_number().over(Window.orderBy("name"))).join(F.broadcast(top))
-    new = numbered.select((F.col("top") + F.col("k")).cast(dimension.schema["id"].dataType).alias("id"), "name")
+    further = [c for c in names.columns if c in dimension.columns and c not in ("id", "name")]
+    rows = names.withColumn("name", py_trim("name")).where("name <> ''")
+    first = F.struct(*([F.col("pos")] if "pos" in names.columns else []), *further) if further else F.lit(1)
+    wanted = rows.groupBy("name").agg(F.min(first).alias("first")).select("name", *[F.col(f"first.{c}").alias(c) for c in further])
+    new = with_new_ids(dimension, wanted.join(dimension, "name", "left_anti"), "name").select("id", "name", *further)
     return dimension.unionByName(new, allowMissingColumns=True)
 
 
@@ -78,12 +97,104 @@ def replace_links(links: DataFrame, dimension: DataFrame, payload: DataFrame | N
     if payload is None:
         return links, dimension
     given = payload.withColumn("name", py_trim("name")).where("name <> ''")
-    check_unique(given, ["product_id", "name"])
+    check_unique(given, ["product_id", "name"])  # the links' primary key
     dimension = upsert_dimension(dimension, given)
     new = given.join(dimension.select(F.col("id").alias(key), "name"), "name").select("product_id", key, "percent")
     return delete_links(links, products).unionByName(new), dimension
 
 
+def create_products(domain, payload: DataFrame, terpenes: DataFrame, cannabinoids: DataFrame) -> dict[str, DataFrame]:
+    """The five tables after new products were added with their links; nothing is written, so a failure leaves no part.
+
+    payload: (pos, name, brand, category, is_active); terpenes: (pos, name, percent); cannabinoids:
+    (pos, name, family, percent), where pos names the product.
+    """
+    rows = with_new_ids(domain.products, payload, "pos").withColumns({"name": py_trim("name"), "brand": strip_if_given("brand")})
+    products = domain.products.unionByName(rows.drop("pos"), allowMissingColumns=True)
+    ids = rows.select("pos", F.col("id").alias("product_id"))
+    out = {"products": products}
+    for table, key, given in (("terpenes", "terpene_id", terpenes), ("cannabinoids", "cannabinoid_id", cannabinoids)):
+        links, dimension = replace_links(getattr(domain, f"product_{table}"), getattr(domain, table), given.join(ids, "pos").drop("pos"), ids, key)
+        out |= {table: dimension, f"product_{table}": links}
+    return out
+
+
+def update_product(domain, product_id: int, fields: dict, terpenes: DataFrame | None = None, cannabinoids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The five tables after one product was changed: fields that are not None, and link sets that are given."""
+    known = domain.products.where(F.col("id") == product_id)
+    if known.isEmpty():
+        raise ValueError("product not found")
+    kinds = domain.products.schema
+    update = known.select("id", *[F.lit(fields.get(c)).cast(kinds[c].dataType).alias(c) for c in ("name", "brand", "category", "is_active")])
+    out = {"products": patch_products(domain.products, update)}
+    one = known.select(F.col("id").alias("product_id"))
+    for table, key, given in (("terpenes", "terpene_id", terpenes), ("cannabinoids", "cannabinoid_id", cannabinoids)):
+        given = None if given is None else given.withColumn("product_id", F.lit(product_id).cast(kinds["id"].dataType))
+        links, dimension = replace_links(getattr(domain, f"product_{table}"), getattr(domain, table), given, one, key)
+        out |= {table: dimension, f"product_{table}": links}
+    return out
+
+
+def create_purchases(domain, payload: DataFrame, now: str) -> DataFrame:
+    """Rows to append to the purchases: known customers only, total 0, the request's time where none is given.
+
+    payload: (pos, customer_id, purchased_at, source, external_id, notes). An unknown customer refuses all.
+    """
+    missing = payload.join(domain.customers.select(F.col("id").alias("customer_id")), "customer_id", "left_anti").agg(F.min_by("customer_id", "pos")).first()[0]
+    if missing is not None:
+        raise ValueError(f"customer {missing} not found")
+    return with_new_ids(domain.purchases, payload, "pos").select(
+        "id", "customer_id", F.coalesce("purchased_at", F.lit(now).cast("timestamp_ntz")).alias("purchased_at"), F.lit(0).cast("bigint").alias("total_amount_cents"),
+        F.coalesce("source", F.lit("manual")).alias("source"), "external_id", "notes",
+    )
+
+
+def add_items(domain, items: DataFrame) -> DataFrame:
+    """Rows to append to the purchase items, with their product's name.
+
+    items: (pos, purchase_id, product_id, quantity, line_amount_cents). An unknown purchase or product refuses all.
+    """
+    for column, table in (("purchase_id", domain.purchases), ("product_id", domain.products)):
+        missing = items.join(table.select(F.col("id").alias(column)), column, "left_anti").agg(F.min_by(column, "pos")).first()[0]
+        if missing is not None:
+            raise ValueError(f"{column.removesuffix('_id')} {missing} not found")
+    names = domain.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
+    return with_new_ids(domain.purchase_items, items, "pos").join(names, "product_id").select(
+        "id", "purchase_id", "product_id", "product_name", "quantity", "line_amount_cents", F.lit(None).cast("string").alias("feedback"), F.lit(None).cast("timestamp_ntz").alias("feedback_at")
+    )
+
+
+def publish(tables: dict[str, DataFrame], folder: str) -> str:
+    """Writes tables as one version of a folder and returns its path.
+
+    All are written to a staging folder that gets its final name, ``version-`` and a number, in one
+    rename; where one fails, the staging folder goes and the versions before stay as they are.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    staging = f"{folder}/_staging-{uuid.uuid4().hex}"
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        for name, df in tables.items():
+            df.write.parquet(f"{staging}/{name}")
+        number = max([0, *(int(n) for n in versions(spark, folder))]) + 1
+        final = f"{folder}/version-{number:06d}"
+        if not fs.rename(path(staging), path(final)):
+            raise OSError(f"{final} could not be named")
+        return final
+    except Exception:
+        fs.delete(path(staging), True)
+        raise
+
+
+def versions(spark, folder: str) -> list[str]:
+    """Numbers of a folder's published versions, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(n.removeprefix("version-") for n in names if n.startswith("version-"))
+
+
 def link_customer(
     customers: DataFrame, auth_user_id: str, phone: str | None = None, email: str | None = None, name: str | None = None, opt_in: bool | None = None, now: str = "2001-08-01 00:00:00"
 ) -> tuple[DataFrame, dict]:

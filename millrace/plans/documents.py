@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import confidence_label
+from ..functions.text import confidence_label, iso_time
 from ..operators import documents as D
 from ..operators import paging
 from .registry import Plans, joined
@@ -73,16 +73,42 @@ def _(d):
 
 
 def _processed(d):
-    targets = d.products.select(F.col("id").alias("report_id"), F.when(F.col("id") % 2 == 0, F.floor(F.col("id") / 4) * 4).alias("product_id"))
+    """Requests of ten reports each, taken by number; some reports have had a product before."""
+    targets = d.products.select(
+        F.col("id").alias("report_id"), F.when(F.col("id") % 2 == 0, F.floor(F.col("id") / 4) * 4).alias("product_id"), F.floor(F.col("id") / 10).alias("request"), F.col("id").alias("pos"),
+        F.when(F.col("id") % 17 == 0, F.col("id") + 1).alias("old_product_id"),
+    )
     return D.process_reports(d.report_pages, targets)
 
 
-_PROCESSED = f"{_FOLD}, o as (select report_id, case when report_id % 2 = 0 then report_id // 4 * 4 end as product_id, case when error is not null then 'failed' when report_id % 2 = 0 and len(names) > 0 then 'applied' else 'extracted' end as status, error, confidence from m) "
+_JSON = "concat('[', coalesce(array_to_string(list_transform(range(1, len(names) + 1), lambda k: concat('{{\"name\":\"', names[k], '\",\"percent\":', cast(percents[k] as varchar), '}}')), ','), ''), ']')".replace("{{", "{").replace("}}", "}")
+_PROCESSED = (
+    _FOLD
+    + """, s as (select *, coalesce(max(case when error is null then 0 else 1 end) over (partition by report_id // 10 order by report_id rows between unbounded preceding and 1 preceding), 0) = 1 as stopped from m),
+n as (select *, not stopped and error is null as done, case when report_id % 2 = 0 then report_id // 4 * 4 end as target from s),
+o as (select report_id, case when done then target when report_id % 17 = 0 then report_id + 1 end as product_id,
+  case when stopped then 'pending' when not done then 'failed' when target is not null and len(names) > 0 then 'applied' else 'extracted' end as status,
+  case when not stopped then error end as error, case when done then lab_name end as lab_name, case when done then batch_id end as batch_id, case when done then total end as total,
+  case when done then 'PASS' end as pass_fail, case when done then """
+    + _LIST + " end as terpenes, case when done then " + _JSON + " end as raw_json, case when done then confidence end as confidence from n) "
+)
 
 
-@add("process_reports", "report_pages", f"{_PROCESSED} select report_id, product_id, status, status = 'applied' as applied_to_product, error as error_message, case when error is null then case when confidence >= 4 then 'High' when confidence = 3 then 'Medium' else 'Low' end end as sure from o")
+@add("process_reports", "report_pages", f"""{_PROCESSED} select report_id, product_id, status, status = 'applied' as applied_to_product, error as error_message, lab_name, cast(null as varchar) as lab_license, cast(null as varchar) as test_date, batch_id,
+cast(null as varchar) as product_name, total as total_terpenes, pass_fail, terpenes, raw_json as raw_terpenes_json, cast(confidence as int) as confidence, case when confidence >= 4 then 'High' when confidence = 3 then 'Medium' when confidence is not null then 'Low' end as sure from o""")
 def _(d):
-    return _processed(d).select("report_id", "product_id", "status", "applied_to_product", "error_message", F.when(F.col("confidence").isNotNull(), confidence_label("confidence")).alias("sure"))
+    listed = F.expr(_READINGS.format("terpenes"))
+    out = _processed(d)
+    return out.select(
+        "report_id", "product_id", "status", "applied_to_product", "error_message", *D.TEXTS, "total_terpenes", listed.alias("terpenes"), "raw_terpenes_json", "confidence",
+        F.when(F.col("confidence").isNotNull(), confidence_label("confidence")).alias("sure"),
+    )
+
+
+@add("pending_reports", "report_pages", f"{_PROCESSED} select report_id from o where status = 'pending'")
+def _(d):
+    """Reports that wait still, as the upload page lists them."""
+    return _processed(d).where("status = 'pending'").select("report_id")
 
 
 @add("apply_last_report", "report_pages", f"{_PROCESSED} select product_id, max(report_id) as report_id from o where status = 'applied' group by 1")
@@ -90,6 +116,12 @@ def _(d):
     return D.last_applied(_processed(d).withColumn("pos", F.col("report_id"))).select("product_id", "report_id")
 
 
-@add("page_lab_reports", "report_pages", f"{_PROCESSED} select report_id, product_id, status from o order by report_id desc limit 50")
+@add("page_lab_reports", "report_pages products", f"""{_PROCESSED} select cast(report_id as varchar) as id, status, lab_name, cast(null as varchar) as lab_license, cast(null as varchar) as test_date, batch_id, cast(null as varchar) as product_name_on_report, total as total_terpenes,
+pass_fail, cast(confidence as int) as confidence, cast(product_id as varchar) as product_id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') as created_at from o join (select id, created_at from products) p on p.id = report_id order by created_at desc, report_id desc limit 50""")
 def _(d):
-    return paging.page(_processed(d), [F.desc("report_id")]).select("report_id", "product_id", "status")
+    times = d.products.select(F.col("id").alias("report_id"), "created_at")
+    page = paging.page(_processed(d).join(times, "report_id"), [F.desc("created_at"), F.desc("report_id")])
+    return page.select(
+        F.col("report_id").cast("string").alias("id"), "status", "lab_name", "lab_license", "test_date", "batch_id", F.col("product_name").alias("product_name_on_report"), "total_terpenes",
+        "pass_fail", "confidence", F.col("product_id").cast("string").alias("product_id"), iso_time("created_at").alias("created_at"),
+    )

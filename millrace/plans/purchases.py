@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import generators
+from ..operators import catalog as C
+from ..operators import generators, serializers
 from ..operators import purchases as P
+from ..operators import writes as W
 from ..operators.preferences import AS_OF
 from .registry import Plans, joined
 
@@ -57,14 +59,39 @@ def _(d):
     return P.purchase_history(d, 88, category=True).withColumn("items", F.expr(_ITEM.format("x.product_category, ")))
 
 
-@add("history_with_terpenes", "purchases purchase_items products terpenes product_terpenes", "select i.id as item_id, p.name as product_name, count(t.terpene_id) as n_terpenes from purchases b join purchase_items i on i.purchase_id = b.id join products p on p.id = i.product_id left join product_terpenes t on t.product_id = p.id where b.customer_id = 88 group by 1, 2")
+@add("history_with_terpenes", "purchases purchase_items products terpenes product_terpenes", """, ts as (select pt.product_id, string_agg(concat(t.name, '=', coalesce(cast(percent as varchar), '-')), ';' order by t.name, percent) as s from product_terpenes pt join terpenes t on t.id = terpene_id group by 1)
+select i.id as item_id, p.name as product_name, coalesce(ts.s, '') as terpenes from purchases b join purchase_items i on i.purchase_id = b.id join products p on p.id = i.product_id left join ts on ts.product_id = p.id where b.customer_id = 88""")
 def _(d):
+    """Every item of one customer with the attributes of its product."""
     own = d.purchases.where("customer_id = 88").select(F.col("id").alias("purchase_id"))
     names = d.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
-    items = d.purchase_items.join(own, "purchase_id", "left_semi").join(names, "product_id")
-    links = d.product_terpenes.join(items, "product_id", "left_semi").groupBy("product_id").agg(F.count("*").alias("n_terpenes"))
-    counted = items.join(links, "product_id", "left").select(F.col("id").alias("item_id"), "product_name", F.coalesce("n_terpenes", F.lit(0)).alias("n"))
-    return counted.groupBy("item_id", "product_name").agg(F.sum("n").alias("n_terpenes"))
+    items = d.purchase_items.join(own, "purchase_id", "left_semi").join(names, "product_id").select("id", "product_id", "product_name")
+    nested = C.nested(items.select("product_id").distinct(), d.product_terpenes, d.terpenes, "terpene_id", ["name", "percent"], "terpenes")
+    flat = nested.select("product_id", F.expr(joined("terpenes", "concat(x.name, '=', coalesce(cast(x.percent as string), '-'))")).alias("terpenes"))
+    return items.join(flat, "product_id", "left").select(F.col("id").alias("item_id"), "product_name", F.coalesce("terpenes", F.lit("")).alias("terpenes"))
+
+
+@add("purchases_out", "purchases", "select cast(id as varchar) as id, cast(customer_id as varchar) as customer_id, strftime(purchased_at, '%Y-%m-%dT%H:%M:%SZ') as purchased_at, total_amount_cents, source, external_id, notes from purchases")
+def _(d):
+    return serializers.purchases_out(d.purchases)
+
+
+@add("items_out", "purchase_items products", "select cast(i.id as varchar) as id, cast(purchase_id as varchar) as purchase_id, cast(product_id as varchar) as product_id, name as product_name, quantity, line_amount_cents, feedback, strftime(feedback_at, '%Y-%m-%dT%H:%M:%SZ') as feedback_at from purchase_items i join products p on p.id = product_id")
+def _(d):
+    names = d.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
+    return serializers.items_out(d.purchase_items.join(names, "product_id"))
+
+
+@add("create_purchase", "purchases customers", f"""select (select max(id) from purchases) + k as id, id as customer_id, case when k = 1 then timestamp '2000-01-01 00:00:00' else timestamp '{AS_OF}' end as purchased_at, cast(0 as bigint) as total_amount_cents,
+case when k = 1 then 'pos_api' else 'manual' end as source, case when k = 1 then 'X1' end as external_id, case when k = 2 then 'by hand' end as notes from customers join (values (1, 4), (2, 5)) as v(k, cid) on cid = id""")
+def _(d):
+    rows = d.spark.createDataFrame([(1, 5, None, None, None, "by hand"), (0, 4, "2000-01-01 00:00:00", "pos_api", "X1", None)], "pos int, customer_id bigint, at string, source string, external_id string, notes string")
+    return W.create_purchases(d, rows.withColumn("purchased_at", F.col("at").cast("timestamp_ntz")), AS_OF)
+
+
+@add("add_item", "purchases purchase_items products", "select (select max(id) from purchase_items) + 1 as id, cast(5 as bigint) as purchase_id, id as product_id, name as product_name, 2 as quantity, 1250 as line_amount_cents, cast(null as varchar) as feedback, cast(null as timestamp) as feedback_at from products where id = 3")
+def _(d):
+    return W.add_items(d, d.spark.createDataFrame([(0, 5, 3, 2, 1250)], "pos int, purchase_id bigint, product_id bigint, quantity int, line_amount_cents int"))
 
 
 @add("distinct_products", "purchases purchase_items", "select distinct product_id from purchase_items where purchase_id in (select id from purchases where customer_id = 88)")
@@ -83,7 +110,7 @@ def _(d):
     return P.order_previews(d.purchase_items)
 
 
-@add("missing_products", "products", "select 999999991 as product_id")
+@add("missing_products", "products", "select pid as product_id from (values (1, 0), (999999991, 1), (999999990, 2)) as a(pid, pos) where pid not in (select id from products) order by pos limit 1")
 def _(d):
     asked = d.spark.createDataFrame([(1, 0), (999_999_991, 1), (999_999_990, 2)], "product_id bigint, pos int")
     return P.first_missing(asked, d.products)
@@ -107,11 +134,24 @@ def _(d):
     return P.owned_item(d, owner[0] if owner else -1, 101).select("id", "purchase_id", "product_id")
 
 
-@add("generated_purchases", "")
+@add("generated_purchases", "customers", "select id as customer_id, true as five_to_fifteen, true as in_window, true as in_order from customers")
 def _(d):
-    return generators.generate_purchases(d.customers, 100, AS_OF)[0]
+    """What must hold of each customer's generated purchases: their number, the window, and numbers in the order of time."""
+    bought, _ = generators.generate_purchases(d.customers, d.products, AS_OF)
+    inside = F.col("purchased_at").between(F.expr(f"timestamp_ntz '{AS_OF}' - interval 180 days"), F.expr(f"timestamp_ntz '{AS_OF}'"))
+    listed = F.array_sort(F.collect_list(F.struct("number", "purchased_at")))  # of one customer, at most 15
+    per = bought.withColumn("inside", inside).groupBy("customer_id").agg(F.count("*").alias("n"), F.every("inside").alias("in_window"), listed.alias("all"))
+    times = F.transform("all", lambda x: x["purchased_at"])
+    return per.select("customer_id", F.col("n").between(5, 15).alias("five_to_fifteen"), "in_window", (times == F.array_sort(times)).alias("in_order"))
 
 
-@add("generated_totals", "purchase_items", "select purchase_id, cast(count(*) as bigint) as n_lines, cast(sum(line_amount_cents) as bigint) as total_cents from purchase_items group by 1")
+@add("generated_totals", "customers", "select id as customer_id, true as totals_are_sums, true as one_to_three_lines, true as distinct_products, true as known_products from customers")
 def _(d):
-    return d.purchase_items.groupBy("purchase_id").agg(F.count("*").alias("n_lines"), F.sum("line_amount_cents").alias("total_cents"))
+    """Totals that the generator states against the sum of its lines, by customer."""
+    bought, items = generators.generate_purchases(d.customers, d.products, AS_OF)
+    lines = items.join(d.products.select(F.col("id").alias("product_id"), F.lit(1).alias("one")), "product_id", "left").groupBy("purchase_id").agg(
+        F.sum("line_amount_cents").alias("sum"), F.count("*").alias("n"), F.countDistinct("product_id").alias("d"), F.count("one").alias("k")
+    )
+    met = bought.join(lines, F.col("id") == F.col("purchase_id"), "left")
+    rules = {"totals_are_sums": F.col("total_amount_cents") == F.col("sum"), "one_to_three_lines": F.col("n").between(1, 3), "distinct_products": F.col("n") == F.col("d"), "known_products": F.col("n") == F.col("k")}
+    return met.groupBy("customer_id").agg(*[F.every(F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])

@@ -35,21 +35,38 @@ def write_rows(df: DataFrame, path: str, columns: list[str], order: list[str] |
     df.select(columns).write.csv(path, header=True, mode="errorifexists")
 
 
+#: Content types that are accepted whatever the file is called.
+UPLOAD_TYPES = ("application/pdf", "application/octet-stream")
+
+
+def upload_refusal(content_type: str | Column, filename: str | Column, length: str | Column, most: int = MOST_UPLOAD_BYTES) -> Column:
+    """Why an upload is refused, null where it is not: neither type nor name say PDF, too large, or empty."""
+    kind, name, size = (F.col(c) if isinstance(c, str) else c for c in (content_type, filename, length))
+    known = F.coalesce(kind.isin(*UPLOAD_TYPES), F.lit(False)) | F.coalesce(F.lower(name).endswith(".pdf"), F.lit(False))
+    return F.when(~known, "not a PDF").when(size > most, "too large").when(size == 0, "empty")
+
+
 def read_uploads(spark: SparkSession, path: str, most: int = MOST_UPLOAD_BYTES) -> DataFrame:
-    """Uploaded documents with a status: pending, or the reason for the refusal.
+    """Files as uploads with a status: pending, or the reason for the refusal.
 
-    The size is checked on the file's metadata, so content is only read of those that are kept.
-    Spark lists no empty files; a table of uploads can hold empty content, which is refused.
+    Files have no content type, so the name decides. The size is checked on the file's metadata, so
+    content is only read of those that are kept. Spark lists no empty files; ``accepted_uploads``
+    takes tables, where content can be empty.
     """
     files = spark.read.format("binaryFile").load(path)
-    reason = (
-        F.when(~F.lower("path").endswith(".pdf"), "not a PDF")
-        .when(F.col("length") > most, "too large")
-        .when(F.col("length") == 0, "empty")
-    )
+    reason = upload_refusal(F.lit(None).cast("string"), "path", "length", most)
     return files.select("path", "length", reason.alias("refused"), F.when(reason.isNull(), F.col("content")).alias("pdf_bytes"), F.when(reason.isNull(), "pending").alias("status"))
 
 
+def accepted_uploads(uploads: DataFrame, most: int = MOST_UPLOAD_BYTES) -> DataFrame:
+    """Pending reports (report_id, filename, pdf_bytes, status) of uploads (filename, content_type, content), refused if one is."""
+    reason = upload_refusal("content_type", "filename", F.octet_length("content"), most)
+    refused = uploads.select("filename", reason.alias("reason")).where("reason is not null").first()
+    if refused:
+        raise ValueError(f"{refused[0]}: {refused[1]}")
+    return uploads.select(F.expr("uuid()").alias("report_id"), "filename", F.col("content").alias("pdf_bytes"), F.lit("pending").alias("status"))
+
+
 def readings_json(readings: str | Column) -> Column:
     """Readings as the JSON text of a column."""
     return F.to_json(readings)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.sources import files
+from millrace.sources.database import jdbc_options
 from millrace.streaming.feedback import score_changes
 
 
@@ -23,6 +24,25 @@ def test_uploads(spark, tmp_path):
     assert rows["a.pdf"].status == "pending" and rows["b.txt"].refused == "not a PDF" and "c.PDF" not in rows and rows["b.txt"].pdf_bytes is None
 
 
+def test_accepted_uploads(spark):
+    rows = [("a.pdf", "text/plain", b"1"), ("b", "application/pdf", b"2"), ("c.x", "application/octet-stream", b"3")]
+    frame = lambda r: spark.createDataFrame([(n, t, bytearray(c)) for n, t, c in r], "filename string, content_type string, content binary")
+    kept = files.accepted_uploads(frame(rows)).collect()
+    assert len({r.report_id for r in kept}) == 3 and {r.status for r in kept} == {"pending"}
+    for bad, why in ((("d.txt", "text/plain", b"4"), "not a PDF"), (("d.PDF", None, b""), "empty"), ((None, None, b"1"), "not a PDF")):
+        with pytest.raises(ValueError, match=why):
+            files.accepted_uploads(frame([*rows, bad]))
+    with pytest.raises(ValueError, match="too large"):
+        files.accepted_uploads(frame(rows), most=0)
+
+
+def test_connection_options():
+    assert jdbc_options({"DATABASE_URL": " postgresql://x/y "}) == {"url": "jdbc:postgresql://x/y"}
+    assert jdbc_options({"DB_HOST": "h", "DB_USER": "u", "DB_PASSWORD": "p", "DB_PORT": "1"}) == {"url": "jdbc:postgresql://h:1/postgres", "user": "u", "password": "p"}
+    with pytest.raises(ValueError, match="DB_HOST, DB_PASSWORD"):
+        jdbc_options({"DB_USER": "u", "DB_PASSWORD": ""})
+
+
 def test_added_columns(spark):
     assert files.with_missing_columns(spark.range(1), {"id": "string", "note": "string"}).dtypes == [("id", "bigint"), ("note", "string")]
 

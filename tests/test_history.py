@@ -11,8 +11,9 @@ def test_history_with_terpenes_has_no_page(spark, monkeypatch):
         purchases=spark.range(150).selectExpr("id", "88L as customer_id", "timestamp_ntz '2001-01-01' + make_interval(0, 0, 0, cast(id as int)) as purchased_at", "1 as total_amount_cents", "'manual' as source", "'' as notes"),
         purchase_items=spark.range(150).selectExpr("id", "id as purchase_id", "id % 2 as product_id", "1 as quantity", "1 as line_amount_cents", "'like' as feedback", "timestamp_ntz '2001-01-01' as feedback_at"),
         products=spark.createDataFrame([(0, "a", "other"), (1, "b", "other")], "id bigint, name string, category string"),
-        product_terpenes=spark.createDataFrame([(0, 1), (0, 2)], "product_id bigint, terpene_id int"),
+        product_terpenes=spark.createDataFrame([(0, 1, 0.5), (0, 2, None)], "product_id bigint, terpene_id int, percent double"),
+        terpenes=spark.createDataFrame([(1, "t"), (2, "u")], "id int, name string"),
     )
     monkeypatch.setattr(registry, "Domain", lambda *_: domain)
     found = sorted(tuple(r) for r in QUERIES["history_with_terpenes"](spark, "").collect())
-    assert found == [(k, "ab"[k % 2], 2 - k % 2 * 2) for k in range(150)]
+    assert found == [(k, "ab"[k % 2], ["t=0.5;u=-", ""][k % 2]) for k in range(150)]

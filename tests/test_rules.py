@@ -1,5 +1,6 @@
 """Rules whose results were worked out by hand."""
 
+import base64
 from types import SimpleNamespace
 
 import pytest
@@ -108,9 +109,13 @@ def test_texts(spark):
     row = spark.createDataFrame([("  ", "", " a\t", None)], "b string, e string, a string, n string").select(
         X.strip_if_given("b").alias("kept"), X.strip_if_given("e").alias("empty"), X.blank_to_null("b").alias("null"), X.py_trim("a").alias("a"),
         X.clamp(F.lit(9), 1, 5).alias("nine"), X.clamp(F.lit(-1), 1, 5).alias("low"), X.clamp(F.lit(None).cast("int"), 1, 5).alias("none"),
-        X.dollars(F.lit(1234)).alias("cents"), X.feedback_label("n").alias("dash"), X.joined_notes("e", "n").alias("notes"), X.parsed_ids(F.lit(" 1, ,x,3")).alias("ids"),
+        X.dollars(F.lit(1234)).alias("cents"), X.feedback_label("n").alias("dash"), X.joined_notes("e", "n").alias("notes"), X.parsed_ids(F.lit(" 1, ,3")).alias("ids"),
+        X.upper(F.lit("thc")).alias("upper"), X.fixed(F.lit(0.25), 3).alias("fixed"), X.kilobytes(F.lit(1536)).alias("kb"), X.base64_text(F.lit(bytearray(b"x" * 90))).alias("b64"),
+        X.iso_time(F.lit("2001-02-03 04:05:06.7").cast("timestamp_ntz")).alias("time"),
     ).first()
-    assert tuple(row) == ("", None, None, "a", 5, 1, None, "$12.34", "—", None, [1, None, 3])
+    assert tuple(row) == ("", None, None, "a", 5, 1, None, "$12.34", "—", None, [1, 3], "THC", "0.250", "1.5 KB", base64.b64encode(b"x" * 90).decode(), "2001-02-03T04:05:06Z")
+    with pytest.raises(Exception, match="not an id: x"):
+        spark.range(1).select(X.parsed_ids(F.lit("1,x"))).collect()
 
 
 def test_missing_product_refuses_all(spark):
@@ -184,6 +189,51 @@ def test_processing(spark):
     assert {r.report_id: r.status for r in D.process_reports(pages, targets).collect()} == {1: "applied", 2: "extracted", 3: "failed", 4: "extracted"}
 
 
+def test_a_request_stops_at_the_first_failure(spark):
+    raw = {1: document([1.0]), 2: "x", 3: document([1.0]), 4: document([2.0]), 5: document([])}
+    pages = spark.createDataFrame([(k, 1, r) for k, r in raw.items()], "report_id bigint, page_no int, raw string")
+    targets = spark.createDataFrame([(1, 7, 1, 0, None), (2, 7, 1, 1, 3), (3, 7, 1, 2, 4), (4, 8, 2, 5, None), (5, 8, 2, 4, None)], "report_id bigint, product_id bigint, request int, pos int, old_product_id bigint")
+    got = {r.report_id: (r.status, r.product_id, r.error_message) for r in D.process_reports(pages, targets).collect()}
+    assert got == {1: ("applied", 7, None), 2: ("failed", 3, "not a document"), 3: ("pending", 4, None), 4: ("applied", 8, None), 5: ("extracted", 8, None)}
+
+
+def test_readings_that_are_no_number(spark):
+    page = '{"terpenes": [{"name": "BCP", "percent": "4.2", "unit": "mg/g"}, {"name": "Guaiol", "percent": "ND"}, {"name": "Linalool", "percent": " <loq "}, {"name": "x", "percent": 1.5}]}'
+    assert [(r.name, r.percent) for r in merged(spark, page).doc.terpenes] == [("Caryophyllene", 0.42), ("x", 1.5)]
+    assert merged(spark, page.replace("ND", "many")).error == "reading out of range"
+
+
+def test_new_names_get_the_payloads_family(spark):
+    kinds = spark.createDataFrame([(0, "CBD", "cbd")], "id int, name string, family string")
+    names = spark.createDataFrame([("CBD", "thc", 0), (" New", "thc", 1), ("New", "cbd", 2)], "name string, family string, pos int")
+    assert sorted(map(tuple, writes.upsert_dimension(kinds, names).collect())) == [(0, "CBD", "cbd"), (1, "New", "thc")]
+
+
+def test_unknown_ids_refuse_a_write(spark):
+    d = shop(spark, [(1, 1, "like")], [(1, 0, 0.5)])
+    d.customers = spark.createDataFrame([(1,)], "id bigint")
+    rows = spark.createDataFrame([(0, 1, None, None, None, None), (1, 9, None, None, None, None)], "pos int, customer_id bigint, purchased_at timestamp_ntz, source string, external_id string, notes string")
+    with pytest.raises(ValueError, match="customer 9"):
+        writes.create_purchases(d, rows, "2001-08-01 00:00:00")
+    items = spark.createDataFrame([(0, 1, 1, 1, 5), (1, 2, 1, 1, 5)], "pos int, purchase_id bigint, product_id bigint, quantity int, line_amount_cents int")
+    with pytest.raises(ValueError, match="purchase 2"):
+        writes.add_items(d, items)
+    with pytest.raises(ValueError, match="product 8"):
+        writes.add_items(d, items.where("pos = 0").withColumn("product_id", F.lit(8).cast("bigint")))
+    with pytest.raises(ValueError, match="product not found"):
+        writes.update_product(d, 99, {})
+
+
+def test_publishing_whole_versions(spark, tmp_path):
+    folder = str(tmp_path / "shop")
+    first = writes.publish({"a": spark.range(3), "b": spark.range(2)}, folder)
+    broken = spark.range(1).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        writes.publish({"a": spark.range(9), "b": broken}, folder)
+    assert writes.versions(spark, folder) == ["000001"] and spark.read.parquet(f"{first}/a").count() == 3
+    assert writes.publish({"a": spark.range(4)}, folder).endswith("version-000002") and writes.versions(spark, folder) == ["000001", "000002"]
+
+
 def test_extraction_stops_when_there_is_enough(spark):
     uploads = spark.createDataFrame([(1, bytearray(b"a,b,c,d")), (2, None)], "report_id bigint, pdf_bytes binary")
     out = D.extract_pages(uploads, lambda pdf: pdf.split(b","), lambda page: page.decode(), lambda raw: raw == "b")
@@ -191,12 +241,14 @@ def test_extraction_stops_when_there_is_enough(spark):
 
 
 def test_generated_purchases(spark):
-    bought, items = generators.generate_purchases(spark.range(40), 10, "2001-08-01 00:00:00")
+    bought, items = generators.generate_purchases(spark.range(40), spark.range(7, 300, 30), "2001-08-01 00:00:00")
     per = [r["count"] for r in bought.groupBy("customer_id").count().collect()]
     assert len(per) == 40 and min(per) >= 5 and max(per) <= 15
     lines = items.groupBy("purchase_id").agg(F.count("*").alias("n"), F.countDistinct("product_id").alias("d"), F.sum("line_amount_cents").alias("s"), F.min("line_amount_cents").alias("a"), F.max("line_amount_cents").alias("b")).collect()
     assert all(r.n == r.d and 1 <= r.n <= 3 and r.a >= 3000 and r.b <= 15_000 for r in lines)
     assert {(r.id, r.total_amount_cents) for r in bought.collect()} == {(r.purchase_id, r.s) for r in lines}
+    assert {r.product_id for r in items.collect()} == set(range(7, 300, 30))
+    assert [r.purchased_at for r in bought.orderBy("customer_id", "number").collect()] == [r.purchased_at for r in bought.orderBy("customer_id", "purchased_at").collect()]
     assert bought.where("purchased_at > timestamp_ntz '2001-08-01' or purchased_at < timestamp_ntz '2001-02-02'").count() == 0
 
 
