@@ -17,52 +17,87 @@ def words(text):
     return [*(text or "").encode().lower().split(), b""]
 
 
-def brute(pairs, states, mu=lm_score.MU, add=0.1):
+def brute(pairs, mu=lm_score.MU, add=0.1):
+    """Scores by the module's formulas, from counts of all three orders."""
     train = [words(t) for i, t in pairs if crc32(("" if i is None else str(i)).encode()) % 10]
     c = Counter(w for t in train for w in t)
     total, distinct = sum(c.values()), len(c)
-    size = total + add * (distinct + 1)
-    frequent = {w for w, _ in sorted(((w, n) for w, n in c.items() if w), key=lambda x: (-x[1], x[0]))[:states]} | {b""}
-    name = lambda w: w if w in frequent else None
-    pairs_seen, history = Counter(), Counter()
+    two, three, after = Counter(), Counter(), Counter({"start": len(train)})
     for t in train:
-        for h, w in zip(["start", *t[:-1]], t):
-            pairs_seen[h, name(w)] += 1
-            history[h] += 1
-    rest = max(1 - sum((c[w] + add) / size for w in frequent), add / size)
+        for u, v, w in zip([None, "start", *t[:-2]], ["start", *t[:-1]], t):
+            two[v, w] += 1
+            three[u, v, w] += 1
+        after.update(t)
     out = []
     for i, t in pairs:
         base = score = known = 0
-        for h, w in zip(["start", *words(t)[:-1]], words(t)):
-            p = (c[w] + add) / size
+        t = words(t)
+        for u, v, w in zip([None, "start", *t[:-2]], ["start", *t[:-1]], t):
+            p = (c[w] + add) / (total + add * (distinct + 1))
             base += math.log10(p)
             known += c[w] > 0
-            if h == "start" or h in frequent:
-                p *= (pairs_seen[h, name(w)] / (rest if name(w) is None else p) + mu) / (history[h] + mu)
+            p = (two[v, w] + mu * p) / (after[v] + mu)
+            if u is not None:
+                p = (three[u, v, w] + mu * p) / (two[u, v] + mu)
             score += math.log10(p)
-        out.append((i, len(words(t)), known, total, base, score))
+        out.append((i, len(t), known, total, base, score))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("states, block", [(2048, 16 << 20), (5, 600)])
-def test_scores_are_brute_forces(spark, monkeypatch, states, block):
-    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
+def scored(rows):
+    return sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows), key=str)
+
+
+def assert_same(got, want):
+    for a, b in zip(got, want, strict=True):
+        assert a[:4] == b[:4]
+        assert a[4:] == pytest.approx(b[4:], rel=1e-9)
+
+
+@pytest.mark.parametrize("block, part, salt, stretch", [(1_500_000, 1_000_000, 500_000, 512), (700, 300, 5, 3), (1, 2000, 1, 7)])
+def test_scores_are_brute_forces(spark, monkeypatch, block, part, salt, stretch):
+    """Whole, and with texts over several blocks, few tokens a part, frequent bigrams dealt out and short stretches."""
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(lm_score, "PORTION", 1 << 18 if block > 10**6 else 90)
+    monkeypatch.setattr(lm_score, "PART_TOKENS", part)
+    monkeypatch.setattr(lm_score, "PART_WORDS", part)
+    monkeypatch.setattr(lm_score, "STRETCH", stretch)
     docs_of = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()
     pairs = [(r.doc_id, (r.text or "")[:900]) for r in docs_of] + [x for x in ODD if not x[1] or len(x[1]) < 1000]
+    pairs += [(1000 + k, " ".join("the cat of the mat the cat the end".split() * (1 + k % 5))) for k in range(20)]
     frame = clashing(docs(spark, pairs), "score", "block")
-    rows = lm_score.score_texts(frame, ~hold_out("doc_id", 10), states=states).collect()
-    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows), key=str)
-    for a, b in zip(got, brute(pairs, states), strict=True):
-        assert a[:4] == b[:4]
-        assert a[4:] == pytest.approx(b[4:], rel=1e-9)
+    assert_same(scored(lm_score.score_texts(frame, ~hold_out("doc_id", 10), salt_count=salt).collect()), brute(pairs))
+
+
+def test_long_texts(spark):
+    pairs = [(7, "long words come " * 20_000), (8, "x" * 300_000), (11, " ".join(f"w{k % 977}" for k in range(50_000)))]
+    assert_same(scored(lm_score.score_texts(docs(spark, pairs), ~hold_out("doc_id", 10)).collect()), brute(pairs))
+
 
+@pytest.mark.parametrize("history", [[], ["a"], ["a", "b"], ["b", "a"], ["zzz"], ["zzz", "a"], ["a", "zzz"], ["c", "f"]])
+def test_probabilities_sum_to_one(spark, history):
+    """Over all known words, the end and the unknown words as one, after any history."""
+    train = [(1, "a b a c"), (2, "b a a d e f"), (3, "c c")]
+    follow = [*"abcdef", "unknown"]
+    asked = [(100 + k, " ".join([*history, w])) for k, w in enumerate(follow)] + [(200, " ".join(history))]
+    held = lm_score.score_texts(docs(spark, train + asked), F.col("doc_id") < 100).collect()
+    s = {r.doc_id: r.score for r in held}
+    c, two, three = Counter(), Counter(), Counter()
+    for _, t in train:
+        t = t.split()
+        c.update([*t, ""])
+        two.update(zip(["start", *t], [*t, ""]))
+        three.update(zip(["start", *t[:-1]], t, [*t[1:], ""]))
 
-def test_probabilities_sum_to_one(spark):
-    """Over all known words and the unknown ones, after any word."""
-    train = docs(spark, [(1, "a b a c"), (2, "b a a d e f"), (3, "c c")])
-    told = lm_score.score_texts(train.unionByName(docs(spark, [(100 + k, f"a {w}") for k, w in enumerate("abcdef")] + [(200, "a"), (201, "a zzz"), (202, "a a")])), F.col("doc_id") < 100, states=3)
-    s = {r.doc_id: r.score for r in told.collect()}
-    assert s[1] < 0 and all(math.isfinite(x) for x in s.values())
+    def end(words):  # what the end adds after these words
+        known = 10 ** math.log10((c[""] + 0.1) / (sum(c.values()) + 0.1 * (len(c) + 1)))
+        v, u = words[-1] if words else "start", (words[-2] if len(words) > 1 else "start") if words else None
+        p = (two[v, ""] + 30 * known) / ((c[v] if words else 3) + 30)
+        return p if u is None else (three[u, v, ""] + 30 * p) / (two[u, v] + 30)
+
+    before = 10 ** s[200] / end(history)  # the history alone
+    total = sum(10 ** s[100 + k] / end([*history, w]) for k, w in enumerate(follow)) + 10 ** s[200]
+    assert total / before == pytest.approx(1, rel=1e-9)
 
 
 def test_empty_and_untrained(spark):
@@ -78,14 +113,10 @@ def test_query(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_every_word_is_a_state(spark, tmp_path, monkeypatch):
-    """More words than any cap of states: each pair seen in training counts."""
-    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 8000)
+def test_every_pair_is_a_state(spark, tmp_path, monkeypatch):
+    """Many words in many blocks: each n-gram seen in training counts."""
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 1500)
     pairs = [(k, " ".join(f"w{k}x{j} v{j}" for j in range(30))) for k in range(100)]
     pairs += [(100 + k, pairs[k][1]) for k in range(0, 100, 3)] + [(300, "w0x0 unknown v0 w0x1"), (310, None)]
     docs(spark, pairs).write.parquet(str(tmp_path / "documents.parquet"))
-    rows = QUERIES["op10_lm_score"](spark, str(tmp_path)).collect()
-    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows), key=str)
-    for a, b in zip(got, brute(pairs, 10**9), strict=True):
-        assert a[:4] == b[:4]
-        assert a[4:] == pytest.approx(b[4:], rel=1e-9)
+    assert_same(scored(QUERIES["op10_lm_score"](spark, str(tmp_path)).collect()), brute(pairs))
