@@ -8,11 +8,12 @@ separates its languages in training. A text whose two nearest codewords are abou
 flagged ambiguous.
 
 The n-gram counts come from at most about ``rows_per_language`` labelled rows a language, chosen by
-a hash of the id: rare languages are used whole. The model has languages x features cells.
+a hash of id and text: rare languages are used whole. The model has languages x features cells.
 
 Cases: a null text or one without a letter gives ``und`` with score 0, not ambiguous; without any
 labelled row all is ``und``; with one language all texts with letters get it, score 1; a null id
-hashes as the empty text; a column with an output's name is replaced.
+hashes as the empty text; very long texts are read whole; repeated rows are drawn together and get the
+same answer; an empty frame gives an empty frame; a column with an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import portions, small_batches, texts, with_arrow_columns
 FEATURES = 1 << 15
 #: The bound on the training sample: labelled rows of a language, in expectation.
 ROWS_PER_LANGUAGE = 4000
+#: Languages a model may have, each with FEATURES counts.
+MOST_LANGUAGES = 512
 EXHAUSTIVE = 7
 #: A text is ambiguous where its score is under this.
 AMBIGUOUS = 0.5
@@ -136,11 +139,14 @@ def fit(
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows if where is None else rows.where(where)
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # one row a language
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}  # one row a language
     if not sizes:
         return Model([], np.zeros((0, FEATURES)))
     languages = sorted(sizes)
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(91)), F.lit(1 << 20))
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    # the text too, as rows without an id would else be drawn all or none
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text), F.lit(91)), F.lit(1 << 20))
     keep = F.lit(False)
     for x in languages:
         if sizes[x] <= rows_per_language:

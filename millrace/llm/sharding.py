@@ -11,9 +11,9 @@ the rows, so a task that runs again after an executor is lost deals its rows the
 Blocks and the bins in which a shard is permuted hold about ``ROWS_PER_BLOCK`` rows each, so no
 window is as large as a shard. The matrix has at most ``MOST_BLOCKS`` x shards cells.
 
-Cases: an empty frame gives an empty frame; rows that are alike in every column are dealt alike to
-a block and told apart by their rank there; nulls are hashed as nulls; columns named like an output
-are replaced.
+Cases: an empty frame gives an empty frame; rows that are alike in every column are counted first
+and numbered, so that each copy is dealt by itself, and it doesn't matter which is which; nulls are
+hashed as nulls; very long texts are hashed whole; columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -27,12 +27,34 @@ from pyspark.sql import types as T
 
 ROWS_PER_BLOCK = 100_000
 MOST_BLOCKS = 16_384
-#: Beyond this population numpy does not draw; log-gamma inversion takes over.
+#: Beyond this population numpy does not draw; inversion takes over.
 NUMPY_POPULATION = 10**9
 
 
-def _log_choose(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+def _stirling_error(n: int) -> float:
+    """log n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi)) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without the loss of digits where x is near the mean."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return (x * math.log(x / mean) if x else 0.0) + mean - x
+    v = (x - mean) / (x + mean)
+    out, term, k = (x - mean) * v, 2 * x * v**3, 3
+    while abs(term / k) > 1e-17 * abs(out):
+        out, term, k = out + term / k, term * v**2, k + 2
+    return out
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """Log-probability of x successes of n, to full precision (saddle-point expansion)."""
+    if x == 0 or x == n:
+        return n * (math.log1p(-q if x else -p))
+    c = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return c + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -40,8 +62,11 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
     if good + bad < NUMPY_POPULATION:
         return int(rng.hypergeometric(good, bad, draws)) if draws else 0
     low, high = max(0, draws - bad), min(good, draws)
+    if low == high:
+        return low
     mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    p = math.exp(_log_choose(good, mode) + _log_choose(bad, draws - mode) - _log_choose(good + bad, draws))
+    share, rest = draws / (good + bad), (good + bad - draws) / (good + bad)
+    p = math.exp(_log_binomial(mode, good, share, rest) + _log_binomial(draws - mode, bad, share, rest) - _log_binomial(draws, good + bad, share, rest))
     left = rng.random() - p
     down, up, p_down, p_up = mode, mode, p, p
     while left > 0 and (down > low or up < high):
@@ -93,6 +118,8 @@ def shuffle_to_shards(df: DataFrame, n_shards: int = 24, seed: int = 42, keys: l
     names = keys or [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     columns = [F.col(f"`{c}`") for c in names]
     total = df.count()
+    df = _copies_numbered(df, columns, total)
+    columns = [*columns, *([F.col("__copy")] if "__copy" in df.columns else [])]
     n_blocks = min(MOST_BLOCKS, max(2 * n_shards, math.ceil(total / ROWS_PER_BLOCK)))
     dealt = df.withColumns(
         {"__block": F.pmod(_uniform(columns, seed), F.lit(n_blocks)).cast("int"), "__draw": _uniform(columns, seed + 1)}
@@ -115,7 +142,7 @@ def shuffle_to_shards(df: DataFrame, n_shards: int = 24, seed: int = 42, keys: l
     local = Window.partitionBy("__block").orderBy("__draw")
     sent = (
         dealt.withColumn("__rank", F.row_number().over(local))
-        .join(F.broadcast(ends), "__block")  # MOST_BLOCKS rows of 2 x n_shards numbers
+        .join(_hinted(ends, 2 * n_shards * n_blocks), "__block")  # MOST_BLOCKS rows of 2 x n_shards numbers
         .withColumn("shard", F.expr("__shards[size(filter(__ends, e -> e < __rank))]"))
         .drop("__block", "__rank", "__ends", "__shards", "__draw")
     )
@@ -130,12 +157,31 @@ def shuffle_to_shards(df: DataFrame, n_shards: int = 24, seed: int = 42, keys: l
     within = Window.partitionBy("shard", "__bin").orderBy("__draw")
     return (
         sent.withColumn("__rank", F.row_number().over(within).cast("long") - 1)
-        .join(F.broadcast(offsets), ["shard", "__bin"])  # n_shards x n_bins rows, at most MOST_BLOCKS a shard
+        .join(_hinted(offsets, 3 * n_shards * n_bins), ["shard", "__bin"])  # at most MOST_BLOCKS rows a shard
         .withColumn("slot", F.col("__rank") + F.col("__offset"))
-        .select(*[F.col(f"`{c}`") for c in df.columns], "shard", "slot")
+        .select(*[F.col(f"`{c}`") for c in df.columns if c != "__copy"], "shard", "slot")
     )
 
 
+#: Numbers of a table up to which it is broadcast; beyond it both sides are shuffled.
+BROADCAST_NUMBERS = 4_000_000
+
+
+def _hinted(df: DataFrame, numbers: int) -> DataFrame:
+    return F.broadcast(df) if numbers <= BROADCAST_NUMBERS else df
+
+
+def _copies_numbered(df: DataFrame, columns: list[Column], total: int) -> DataFrame:
+    """The frame with ``__copy``, the number of each of rows that are alike, if there are such rows."""
+    if df.select(F.xxhash64(*columns)).distinct().count() == total or any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema):
+        return df
+    alike = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("__n"))
+    # in thousands, so that no array is as long as a row has copies
+    parts = alike.withColumn("__part", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / 1000))))
+    copy = F.explode(F.sequence(F.col("__part") * 1000, F.least(F.col("__part") * 1000 + 999, F.col("__n") - 1)))
+    return parts.withColumn("__copy", copy).drop("__n", "__part")
+
+
 def _by_block(cells: list[tuple[int, int, int, int]]) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
     out: dict[int, list] = {}
     for cell in cells:

@@ -16,6 +16,66 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def brute(learnt, asked):
+    """The language and score of texts by the module's formulas, gram by gram."""
+
+    def grams(text):
+        raw = [b if b >= 128 or chr(b).isalpha() else 32 for b in f"  {text.lower()}  ".encode()]
+        out = []
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            h = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+            out.append(h >> 17)
+        return out
+
+    # two more grams reach into the next text's first spaces, which the model counts too
+    tail = [language_id.grams([""])[0][k] for k in (1, 2)]
+    names = sorted({x for x, _ in learnt})
+    counts = {x: np.zeros(language_id.FEATURES) for x in names}
+    for x, t in learnt:
+        for g in grams(t) + list(tail):
+            counts[x][g] += 1
+    total = {x: sum(c) + 0.5 * len(c) for x, c in counts.items()}
+    share = {x: [(n + 0.5) / total[x] for n in c] for x, c in counts.items()}
+    codes = language_id.codewords(len(names))
+    bits = []
+    for column in codes.T:
+        ones, others = [[share[x] for x, b in zip(names, column) if b == s] for s in (1, -1)]
+        w = np.log(np.mean(ones, axis=0)) - np.log(np.mean(others, axis=0))
+        score = {x: sum(p * y for p, y in zip(share[x], w)) for x in names}
+        low, high = max(score[x] for x, b in zip(names, column) if b < 0), min(score[x] for x, b in zip(names, column) if b > 0)
+        bits.append((w - (low + high) / 2, max(1e-3, (high - low) / 2)))
+    scale = sum(x for _, x in bits) / len(bits)
+    out = []
+    for t in asked:
+        found = grams(t) + list(tail)
+        n = max(1, len(found) - 3)
+        loss = [sum(weight / scale * np.log1p(np.exp(-b * sum(w[g] for g in found) / n**0.5)) for b, (w, weight) in zip(code, bits)) for code in codes]
+        odds = [np.exp(min(loss) - x) for x in loss]
+        out.append((names[int(np.argmax(odds))], max(odds) / sum(odds)))
+    return out
+
+
+def test_model_is_brute_forces(spark):
+    words = {"aa": "alpha beta gamma été", "bb": "beta delta rho über", "cc": "omega kappa alpha rho", "dd": "sigma tau gamma ñu"}
+    learnt = [(x, " ".join(w.split()[(k * j) % 4] for j in range(6))) for k in range(5) for x, w in words.items()]
+    frame = docs(spark, [])
+    for x in words:
+        frame = frame.unionByName(docs(spark, list(enumerate(t for y, t in learnt if y == x)), x))
+    asked = ["alpha été", "über rho beta", "kappa omega 12 - kappa", "tau", "ñu sigma TAU", "neither of them"]
+    rows = {r.doc_id: r for r in language_id.identify(docs(spark, list(enumerate(asked))), language_id.fit(frame)).collect()}
+    for k, (language, score) in enumerate(brute(learnt, asked)):
+        assert rows[k].lang_pred == language and abs(rows[k].score - score) < 1e-4
+
+
+def test_rows_without_ids_are_drawn_like_others(spark):
+    rows = docs(spark, [(None, f"some words {k}") for k in range(400)], "xx").unionByName(docs(spark, [(1, "other ones")], "yy"))
+    model = language_id.fit(rows, rows_per_language=100)
+    assert model.languages == ["xx", "yy"] and np.isfinite(model.odds).all()
+    drawn = {x: language_id.fit(rows, rows_per_language=x).odds for x in (100, 10_000)}
+    assert not np.array_equal(drawn[100], drawn[10_000]) and np.abs(drawn[100]).max() > 1
+
+
 def test_odd_texts(spark):
     learnt = docs(spark, [(k, "the quick brown fox and the dog " * 3) for k in range(30)], "en").unionByName(
         docs(spark, [(100 + k, "der schnelle braune fuchs und der hund " * 3) for k in range(30)], "de")

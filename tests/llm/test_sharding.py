@@ -1,6 +1,8 @@
+import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import sharding
@@ -34,6 +36,40 @@ def test_more_shards_than_rows_and_odd_rows(spark):
     assert sharding.shuffle_to_shards(docs(spark, []), 3).count() == 0
 
 
+def test_assignment_is_recomputed(spark):
+    """Shards and slots from the same seed by the method's steps, one after the other."""
+    seed, shards, n = 9, 5, 700
+    rows = spark.range(n).select("id", *[F.xxhash64(F.xxhash64(F.lit(s), "id"), F.lit(s ^ 0x5DEECE66D)).alias(f"u{s}") for s in (seed, seed + 1)])
+    blocks, draws = {}, {r.id: r for r in rows.collect()}
+    n_blocks = max(2 * shards, -(-n // sharding.ROWS_PER_BLOCK))
+    for i, r in draws.items():
+        blocks.setdefault(r[f"u{seed}"] % n_blocks, []).append(i)
+    matrix = sharding.communication_matrix([len(blocks.get(b, [])) for b in range(n_blocks)], [n // shards + (s < n % shards) for s in range(shards)], seed)
+    to = {}
+    for b, ids in blocks.items():
+        ids.sort(key=lambda i: draws[i][f"u{seed + 1}"])
+        for s, k in enumerate(matrix[b]):
+            to |= {i: s for i in ids[:k]}
+            ids = ids[k:]
+    again = spark.createDataFrame(list(to.items()), "id bigint, shard int").select("id", "shard", F.xxhash64(F.xxhash64(F.lit(seed + 2), "id", "shard"), F.lit((seed + 2) ^ 0x5DEECE66D)).alias("u"))
+    n_bins = max(1, -(-64 // shards))
+    order = {}
+    for r in again.collect():
+        order.setdefault(r.shard, []).append((int(((r.u & (1 << 64) - 1) >> 33) * n_bins / (1 << 31)), r.u, r.id))
+    want = {(i, s, k) for s, x in order.items() for k, (_, _, i) in enumerate(sorted(x))}
+    assert {tuple(r) for r in sharding.shuffle_to_shards(spark.range(n), shards, seed).select("id", "shard", "slot").collect()} == want
+
+
+def test_copies_are_dealt_one_by_one(spark):
+    """Rows that are alike don't share a block."""
+    frame = docs(spark, [(1, "same")] * 3000 + [(k, "other") for k in range(2, 1000)])
+    rows = sharding.shuffle_to_shards(frame, 6)
+    check(rows.collect(), 3998, 6)
+    assert rows.where("doc_id = 1").count() == 3000
+    spread = [r["count"] for r in rows.where("doc_id = 1").groupBy("shard").count().collect()]
+    assert len(spread) == 6 and max(spread) < 600
+
+
 def test_uniform(spark):
     """Where a row ends up says nothing about where it was: chi-squared over ids by shards and by slots."""
     rows = sharding.shuffle_to_shards(spark.range(24_000), 24).collect()
@@ -56,6 +92,12 @@ def test_draws_of_large_populations():
     rng = np.random.default_rng(1)
     drawn = [sharding.hypergeometric(rng, 10**9, 2 * 10**9, 900) for _ in range(3000)]
     assert abs(np.mean(drawn) - 300) < 1 and abs(np.var(drawn) - 200) < 20
+    from fractions import Fraction
+
+    good, bad, draws, x = 4000, 6000, 900, 360  # against the exact probability
+    exact = Fraction(math.comb(good, x) * math.comb(bad, draws - x), math.comb(good + bad, draws))
+    told = sharding._log_binomial(x, good, 0.09, 0.91) + sharding._log_binomial(draws - x, bad, 0.09, 0.91) - sharding._log_binomial(draws, good + bad, 0.09, 0.91)
+    assert math.exp(told) == pytest.approx(float(exact), rel=1e-12)
 
 
 def test_query(spark, tmp_path):
