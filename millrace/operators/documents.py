@@ -70,6 +70,7 @@ def deviation_note(total: Column, readings: Column) -> Column:
     """A note where the readings' sum is over 15 % off the total; null where not, or where either is missing."""
     summed = F.aggregate(readings, F.lit(0.0), lambda s, r: s + r["percent"])
     off = F.abs(summed - total) / F.nullif(total, F.lit(0.0))
+    # Fixed value: the note's wording, which users see.
     text = F.concat(F.lit("sum of individuals ("), F.format_string("%.3f", summed), F.lit("%) deviates "), F.format_string("%.1f", off * 100), F.lit("% from total_terpenes ("), total.cast("string"), F.lit("%)"))
     return F.when((total > 0) & (F.size(readings) > 0) & (off > DEVIATION), text)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .paging import page, search
 
-#: The filter takes only these, though rows can have another.
+# The filter takes only these, though rows can have another.
 FILTER_SOURCES = ("manual", "pos_import")
 
 
