@@ -1,18 +1,18 @@
 """Operator 3: benchmark decontamination by a distributed positional inverted index (native).
 
-Postings of the documents' rarest words, (word, document, position), find where items may begin;
-alignments are then verified on slices of the documents' text, not on further postings. Of each
-window of ``window`` consecutive benchmark words the rarest in the documents is looked up
-first; its postings, moved by its offset in the item, say where the item would have to begin in a
-document (an alignment). Where m words of a window may miss, the m + 1 rarest are looked up. The
-other lists of an item are then met in its alignments only: the document's words from the
-alignment's start on, against the item's. Windows of which all words meet are exact matches, those
-of which a share does are proximity matches.
-
-Only postings that are asked for leave a task: the vocabulary of the benchmark is counted first,
-then the rarest words of the windows are posted. Of documents with an alignment the text is sent
-once, cut to the alignments. The benchmark side is broadcast only if counted small, else all joins
-shuffle. Everything is DataFrame and SQL expressions.
+Postings are (word, document, position). Of each window of ``window`` consecutive benchmark words the
+rarest in the documents is looked up first; its postings, moved by its offset in the item, say where
+the item would have to begin in a document (an alignment). Where m words of a window may miss, the
+m + 1 rarest are. Lists are then intersected from the rarest on: the next ``NEXT`` rarest words of
+each window are posted for documents with an alignment only, and met at alignment + offset; what
+lacks more than m of a window's words goes. For the documents that are left all benchmark words are
+posted, and the lists of all an item's words are met at its alignments. Windows of which all words
+meet are exact matches, those of which a share does are proximity matches.
+
+So of the index only what the rarest terms leave is ever written: three tables of postings, each a
+word at most once a document and position. No text is sent anywhere but for the join with the
+documents asked for, if these are too many to be broadcast. The benchmark side is broadcast only if
+counted small, else all joins shuffle. Everything is DataFrame and SQL expressions.
 
 Cases: null and empty texts have no words and no hits; an item without words has no window, one
 with fewer words than a window is one window; an item that comes twice, or with a null id, counts
@@ -27,13 +27,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, text_key
+from .common import Tables, cut, small, text_key
 
 WINDOW = 13
 #: Words of benchmark items up to which their side of a join is broadcast.
 BROADCAST_ROWS = 200_000
-#: Alignments of a text are verified together by stretches of so many words.
-STRETCH = 4096
+#: Words of a window that are looked up after the rarest, before all others.
+NEXT = 3
 #: Everything that is no word: ASCII other than digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,28 +57,67 @@ def item_words(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
     return named.where(F.size("words") > 0).distinct().select(F.xxhash64("name", "words").alias("item"), "name", F.size("words").alias("size"), "words")
 
 
-def alignments(docs: DataFrame, items: DataFrame, window: int, few: bool, misses: int = 0) -> DataFrame:
-    """(rid, rkey, item, start): where an item would begin, by the postings of each window's rarest words.
+def _places(items: DataFrame, frequency: DataFrame, window: int, misses: int) -> DataFrame:
+    """(item, first, need, rank, at, word): the rarest places of each window, from ``first`` on, and how many must meet.
 
-    ``docs``: rid, rkey, text. ``misses``: words of a window that need not meet; one more is looked up. start may lie before a document's first word or after its last.
+    A window with more words that no document has than may miss is left out. Windows are found per
+    item; an item is one text.
     """
-    vocabulary = items.select("word").distinct()
-    postings = docs.select("rid", "rkey", F.posexplode(words_of("text")).alias("pos", "word"))
-    frequency = cut(postings.join(_bench(vocabulary, few), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df")))
-    ranked = items.join(frequency, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    # the rarest word of each window, found per item; an item is one text
     span = Window.partitionBy("item").orderBy("at").rowsBetween(0, window - 1)
-    place = F.struct("df", "at", "word")
-    least = F.array(F.min(place).over(span)) if not misses else F.slice(F.array_sort(F.collect_list(place).over(span)), 1, misses + 1)
-    windows = ranked.withColumn("least", least).where((F.col("at") + window <= F.col("size")) | (F.col("at") == 0))
-    rarest = (
-        windows.select("item", F.explode("least").alias("least"))
-        .where("least.df > 0")  # a word that no document has ends its window's search
-        .select("item", F.col("least.at").alias("at"), F.col("least.word").alias("word"))
-        .distinct()
-    )
-    rarest = cut(rarest)
-    return postings.join(_bench(rarest, few), "word").select("rid", "rkey", "item", (F.col("pos") - F.col("at")).alias("start")).distinct()
+    ranked = items.join(frequency, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("df", "at", "word")).over(span)), 1, misses + 1 + NEXT)
+    windows = ranked.withColumn("rarest", rarest).where((F.col("at") + window <= F.col("size")) | (F.col("at") == 0))
+    return (
+        windows.select("item", F.col("at").alias("first"), (F.size("rarest") - misses).alias("need"), F.posexplode("rarest").alias("rank", "x"), F.count_if(F.col("df") == 0).over(span).alias("unknown"))
+        .where(F.col("unknown") <= misses)
+        .select("item", "first", "need", "rank", F.col("x.at").alias("at"), F.col("x.word").alias("word"))
+    )
+
+
+def _postings(docs: DataFrame, words: DataFrame, few: bool) -> DataFrame:
+    """(word, rid, rkey, pos) of the given words in the documents."""
+    every = docs.select("rid", "rkey", F.posexplode(words_of("text")).alias("pos", "word"))
+    return every.join(_bench(words.select("word").distinct(), few), "word", "left_semi")
+
+
+def _of_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of some rows (rid, rkey)."""
+    asked = cut(found.select(F.col("rid").alias("__rid"), F.col("rkey").alias("__rkey")).distinct())
+    return docs.join(_bench(asked, small(asked, BROADCAST_ROWS)), docs["rid"].eqNullSafe(F.col("__rid")) & (docs["rkey"] == F.col("__rkey")), "left_semi")
+
+
+def _met(lines: DataFrame, postings: DataFrame) -> DataFrame:
+    """Rows of ``lines`` (rid, rkey, pos, word, ...) whose word stands at their position."""
+    there = postings.select(F.col("rid").alias("__rid"), F.col("rkey").alias("__rkey"), F.col("pos").alias("__pos"), F.col("word").alias("__word"))
+    same = lines["rid"].eqNullSafe(there["__rid"]) & (lines["rkey"] == there["__rkey"]) & (lines["pos"] == there["__pos"]) & (lines["word"] == there["__word"])
+    return lines.join(there, same, "left_semi")
+
+
+LINE = ["rid", "rkey", "item", "start"]
+
+
+def alignments(tables: Tables, docs: DataFrame, items: DataFrame, window: int, few: bool, misses: int = 0) -> DataFrame:
+    """(rid, rkey, item, start): where an item begins, as far as the rarest words of some window of it tell.
+
+    ``docs``: rid, rkey, text. ``misses``: words of a window that need not meet. start may lie before a document's first word or after its last.
+    """
+    frequency = cut(_postings(docs, items, few).groupBy("word").agg(F.count("*").alias("df")))
+    places = tables.write(_places(items, frequency, window, misses))
+    hint = lambda df: _bench(df, few)
+    rarest = places.where(F.col("rank") <= misses).select("item", "at", "word").distinct()
+    # a table: what each of its words says of where items begin is asked for twice
+    first = tables.write(_postings(docs, rarest, few))
+    hits = tables.write(first.join(hint(rarest), "word").select("rid", "rkey", "item", (F.col("pos") - F.col("at")).alias("start"), "at"))
+    lines = hits.select(*LINE).distinct()
+    others = places.where(F.col("rank") > misses).select("item", "at", "word").distinct()
+    second = tables.write(_postings(_of_documents(docs, hits), others, few))
+    asked = lines.join(hint(others), "item").withColumn("pos", F.col("start") + F.col("at"))
+    # what is met of each window, of its words that were looked up
+    both = hits.unionByName(_met(asked, second).select(*LINE, "at"))
+    told = both.join(hint(places.select("item", "at", "first", "need")), ["item", "at"]).groupBy(*LINE, "first", "need").agg(F.count("*").alias("n"))
+    out = tables.write(told.where("n >= need").select(*LINE).distinct())
+    tables.drop(first, second, hits, places)
+    return out
 
 
 def matches(
@@ -88,30 +127,22 @@ def matches(
 
     A window's words are those of the document from start + at on, n of them. ``docs``: rid, rkey, text.
     """
+    tables = Tables(docs.sparkSession)
     named = cut(item_words(benchmark, item_id, item_text))
     items = named.select("item", "size", F.posexplode("words").alias("at", "word"))
     few = small(items, BROADCAST_ROWS)
     misses = window - math.ceil(share * window - 1e-9)
-    lines = cut(alignments(docs, items, window, few, misses).join(_bench(named.select("item", "size"), few), "item"))
-    # of one stretch of one text
-    asked = lines.groupBy(F.col("rid").alias("__rid"), F.col("rkey").alias("__rkey"), F.floor(F.col("start") / STRETCH).alias("stretch")).agg(
-        F.collect_list(F.struct("item", "start", "size")).alias("lines")
-    )
-    whole = docs.join(asked, docs["rid"].eqNullSafe(F.col("__rid")) & (docs["rkey"] == F.col("__rkey"))).select("rid", "rkey", "lines", words_of("text").alias("w"))
-    # the words of each alignment: those before the document's first are left out, and counted
-    parts = whole.select(
-        "rid", "rkey",
-        F.explode(F.expr("transform(lines, x -> struct(x.item as item, x.start as start, greatest(-x.start, 0) as skip, slice(w, greatest(x.start, 0) + 1, greatest(x.size + least(x.start, 0), 0)) as part))")).alias("p"),
-    ).select("rid", "rkey", "p.*")
+    lines = alignments(tables, docs, items, window, few, misses)
+    postings = tables.write(_postings(_of_documents(docs, lines), items, few))
+    asked = lines.join(_bench(items.select("item", "at", "word"), few), "item").withColumn("pos", F.col("start") + F.col("at"))
+    met = _met(asked, postings).groupBy(*LINE).agg(F.array_sort(F.collect_list("at")).alias("met"))  # of one item
     n = F.least(F.lit(window), F.col("size"))
-    flags = F.expr("array_join(transform(words, (x, k) -> if(k >= skip and k - skip < size(part) and x = part[greatest(least(k - skip, size(part) - 1), 0)], '1', '')), ',')")
-    marked = parts.where(F.size("part") > 0).join(_bench(named, few), "item").select("rid", "rkey", "name", "start", "size", n.alias("n"), F.split(flags, ",").alias("met"))
-    # how many words meet before each place, so that a window's number is a difference
-    summed = F.expr("aggregate(met, array(0), (s, x) -> array_append(s, element_at(s, -1) + length(x)))")
-    found = marked.where(F.array_contains("met", "1")).withColumn("sums", summed)
-    need = F.ceil(share * F.col("n") - 1e-9)
-    windows = F.filter(F.sequence(F.lit(0), F.col("size") - F.col("n")), lambda i: F.element_at("sums", i + F.col("n") + 1) - F.element_at("sums", i + 1) >= F.col("need"))
-    return found.withColumn("need", need).select("rid", "rkey", "name", "start", "n", F.explode(windows).alias("at"))
+    found = met.join(_bench(named.select("item", "name", "size"), few), "item").withColumns({"n": n, "need": F.greatest(F.lit(1), F.ceil(share * n - 1e-9)).cast("int")})
+    # need places that meet, from one to another less than a window apart, are in the windows that hold both
+    held = "transform(sequence(1, size(met) - need + 1), j -> struct(element_at(met, j) as a, element_at(met, j + need - 1) as b))"
+    spans = found.where("size(met) >= need").select("rid", "rkey", "name", "start", "size", "n", F.explode(F.expr(f"filter({held}, x -> x.b - x.a < n)")).alias("x"))
+    low, high = F.greatest(F.col("x.b") - F.col("n") + 1, F.lit(0)), F.least(F.col("x.a"), F.col("size") - F.col("n"))
+    return spans.where(low <= high).select("rid", "rkey", "name", "start", "n", F.explode(F.sequence(low, high)).alias("at")).distinct()
 
 
 def contamination(

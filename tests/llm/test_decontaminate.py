@@ -56,6 +56,44 @@ def test_by_shuffles_alone(spark, monkeypatch):
     assert got == sorted((b[:4] for b in brute(pairs, items)), key=str)
 
 
+def test_one_very_long_text(spark):
+    """Three million words with a passage here and there: hits are where they were put."""
+    item = " ".join(f"w{k}" for k in range(13))
+    filler = "some other words w3 w4 " * 100_000
+    frame = docs(spark, [(1, " ".join([filler, item] * 6)), (2, "short")])
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(frame, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert found == {1: (6 * 500_013, 6 * 13, 1), 2: (1, 0, 0)}
+
+
+def test_proximity_is_brute_forces(spark):
+    """Windows of which 10 of 13 words meet, against every place of every item."""
+    rng = random.Random(4)
+    vocabulary = [f"v{k}" for k in range(30)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([4, 13, 20])))) for k in range(5)]
+    texts = []
+    for k in range(25):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts.append((k, " ".join([rng.choice(vocabulary) for _ in range(3)] + w[rng.randrange(3) :] + ["end"])))
+    want = set()
+    for i, t in texts:
+        w = words(t)
+        for name, item in items:
+            x = words(item)
+            n = min(13, len(x))
+            need = -(-10 * n // 13)
+            for start in range(-len(x), len(w)):
+                for at in range(len(x) - n + 1):
+                    if sum(0 <= start + j < len(w) and w[start + j] == x[j] for j in range(at, at + n)) >= need:
+                        want.add((i, str(name), start, at))
+    keyed = docs(spark, texts).select(F.col("doc_id").alias("rid"), F.xxhash64("text").alias("rkey"), "text")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.rid, r.name, r.start, r.at) for r in decontaminate.matches(keyed, bench, share=10 / 13).collect()}
+    # an item shorter than a window may miss fewer words than the rule for whole windows looks up
+    assert got == want
+
+
 def test_empty_sides(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(docs(spark, []), none).count() == 0
