@@ -7,7 +7,8 @@ Following the stored tokens back from the end gives the ids. The work for a piec
 length times the number of tokens that end at a byte.
 
 Cases: a null or empty text gives no ids; special tokens inside a text become their own id, as the
-library does; repeated rows stay; a column with an output's name is replaced.
+library does; very long texts are encoded whole, in time that grows with their length; repeated rows
+stay; an empty frame gives an empty frame; a column with an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -23,30 +24,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import texts, with_arrow_columns
-from .vocabulary import SPACE, Vocabulary, byte_alphabet, loaded, pieces_of, read_vocabulary
+from .vocabulary import SPACE, Vocabulary, byte_alphabet, pieces_of, read_vocabulary
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-#: Words remembered in a Python worker, and the longest that is.
-MOST_WORDS, LONGEST_WORD = 200_000, 48
-#: Pairs of tokens whose compatibility is remembered.
-MOST_PAIRS = 500_000
+#: Words remembered in each of two generations in a Python worker, and the longest that is.
+MOST_WORDS, LONGEST_WORD = 100_000, 48
+#: Pairs of tokens whose compatibility is remembered, likewise.
+MOST_PAIRS = 250_000
 
 
-class _Words(dict):
-    """Remembers the result for short words; forgets all when full, so that memory stays bounded."""
+class Remembered(dict):
+    """Results of ``work`` for keys met lately, in bounded memory.
 
-    def __init__(self, work):
+    When the younger generation is full it becomes the older one, which is forgotten; a key that is
+    met again while it is old becomes young again.
+    """
+
+    def __init__(self, work, most: int, keeps=lambda key: True):
         super().__init__()
-        self.work = work
-
-    def __missing__(self, word):
-        out = self.work(word)
-        if len(word) <= LONGEST_WORD:
-            if len(self) >= MOST_WORDS:
-                self.clear()
-            self[word] = out
+        self.work, self.most, self.keeps, self.old = work, most, keeps, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.work(key)
+            if not self.keeps(key):
+                return out
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
         return out
 
+    def forget(self) -> None:
+        """Drops both generations."""
+        self.clear()
+        self.old = {}
+
+
+def short(word: str) -> bool:
+    """Whether a word is short enough to be remembered."""
+    return len(word) <= LONGEST_WORD
+
 
 #: A word with the space before it, or white space; pieces never cross these borders.
 WORDS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -61,14 +80,14 @@ class Encoder:
         self.printable = dict(enumerate(self.alphabet))
         self.pairs = {pair: rank for pair, (rank, _) in vocabulary.pairs.items()}
         self.made = vocabulary.made
-        self.stands: dict[int, bool] = {}
+        self.stands = Remembered(lambda pair: self._kept_apart(pair >> 32, pair & 0xFFFFFFFF), MOST_PAIRS)
         self.automaton = ahocorasick.Automaton()
         reachable = self._reachable()
         for token, raw in vocabulary.token_bytes.items():
             if token in reachable:
                 self.automaton.add_word("".join(self.alphabet[b] for b in raw), (len(raw), token))
         self.automaton.make_automaton()
-        self.words, self.pieces = _Words(self._word), _Words(self._piece)
+        self.words, self.pieces = Remembered(self._word, MOST_WORDS, short), Remembered(self._piece, MOST_WORDS, short)
 
     def _reachable(self) -> set[int]:
         """Tokens that BPE makes of their own bytes: both halves are made, and no earlier merge crosses them."""
@@ -104,7 +123,7 @@ class Encoder:
         symbols = piece.encode().decode("latin-1").translate(self.printable)
         ends = [0] * (len(symbols) + 1)
         lengths = [0] * (len(symbols) + 1)
-        stands, kept_apart = self.stands, self._kept_apart
+        stands = self.stands
         for at, (length, token) in self.automaton.iter(symbols):
             at += 1
             if lengths[at]:
@@ -113,13 +132,7 @@ class Encoder:
             if before:
                 if not lengths[before]:
                     continue
-                pair = ends[before] << 32 | token
-                fits = stands.get(pair)
-                if fits is None:
-                    if len(stands) > MOST_PAIRS:
-                        stands.clear()
-                    fits = stands[pair] = kept_apart(ends[before], token)
-                if not fits:
+                if not stands[ends[before] << 32 | token]:
                     continue
             ends[at], lengths[at] = token, length
         out, at = [], len(symbols)
@@ -127,10 +140,12 @@ class Encoder:
             out.append(ends[at])
             at -= lengths[at]
         out.reverse()
-        return struct.pack(f"<{len(out)}I", *out)  # cached by the hundred thousand: bytes cost the garbage collector nothing
+        return struct.pack(f"<{len(out)}I", *out)  # remembered by the ten thousand: bytes cost the garbage collector nothing
 
     def _word(self, word: str) -> bytes:
-        return b"".join([self.pieces[piece] for piece in pieces_of(word)])
+        found = pieces_of(word)
+        # a word that is one piece is remembered as a word only
+        return b"".join([self.pieces[piece] for piece in found]) if len(found) > 1 else self._piece(word)
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -166,7 +181,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "token_ids", vocabulary
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def make():
-        encoder = loaded(Encoder, shared.value)
+        encoder = Encoder(Vocabulary(shared.value))
         return lambda column: [pa.array([encoder.packed(x) for x in texts(column)], pa.binary())]
 
     return with_arrow_columns(df, [text], [T.StructField(out, T.BinaryType())], make)
@@ -178,7 +193,7 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", vocabula
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def make():
-        decoder = loaded(Decoder, shared.value)
+        decoder = Decoder(Vocabulary(shared.value))
         return lambda column: [pa.array([decoder.text(x or b"") for x in column.to_pylist()], pa.string())]
 
     return with_arrow_columns(df, [ids], [T.StructField(out, T.StringType())], make)
@@ -190,7 +205,7 @@ def encode_decode(df: DataFrame, text: str = "text", out: str = "token_ids", dec
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def make():
-        encoder = loaded(Encoder, shared.value)
+        encoder = Encoder(Vocabulary(shared.value))
         decoder = Decoder(encoder.vocabulary)
 
         def compute(column):
@@ -200,3 +215,25 @@ def encode_decode(df: DataFrame, text: str = "text", out: str = "token_ids", dec
         return compute
 
     return with_arrow_columns(df, [text], [T.StructField(out, T.BinaryType()), T.StructField(decoded, T.StringType())], make)
+
+
+def encode_checked(df: DataFrame, text: str = "text", out: str = "token_ids", same: str = "round_trip", vocabulary: str | None = None) -> DataFrame:
+    """Adds the ids of each text, and whether they decode to the text; the text itself is left out of the result."""
+    path = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
+    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+
+    def make():
+        encoder = Encoder(Vocabulary(shared.value))
+        decoder = Decoder(encoder.vocabulary)
+
+        def compute(column):
+            ids, good = [], []
+            for x in texts(column):
+                ids.append(encoder.packed(x))
+                good.append(decoder.text(ids[-1]) == x)
+            return [pa.array(ids, pa.binary()), pa.array(good, pa.bool_())]
+
+        return compute
+
+    fields = [T.StructField(out, T.BinaryType()), T.StructField(same, T.BooleanType())]
+    return with_arrow_columns(df, [text], fields, make, without=[text])

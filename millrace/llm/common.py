@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -97,14 +98,16 @@ def with_arrow_columns(
     inputs: list[str],
     outputs: list[T.StructField],
     make: Callable[[], Callable[..., list[pa.Array]]],
+    without: list[str] | None = None,
 ) -> DataFrame:
     """Adds columns computed batch by batch in Python.
 
     ``make()`` runs once in a task and returns a function from the input arrays of a batch to the
-    output arrays. Existing columns with an output's name are replaced.
+    output arrays. Existing columns with an output's name are replaced; those in ``without`` go to
+    Python, but don't come back.
     """
     small_batches(df.sparkSession)
-    names = {f.name for f in outputs}
+    names = {f.name for f in outputs} | set(without or ())
     kept = [c for c in df.columns if c not in names]
     missing = [c for c in inputs if c not in df.columns]
     if missing:
@@ -122,6 +125,10 @@ def with_arrow_columns(
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             fresh = compute(*[batch.column(batch.schema.get_field_index(c)) for c in takes])
             yield pa.RecordBatch.from_arrays(columns + fresh, names=kept + [f.name for f in outputs])
+        # workers outlive their tasks: what one operator holds must not stand beside the next one's
+        del compute
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
     return fed.mapInArrow(run, schema)
 

@@ -5,7 +5,8 @@ place. The lowest pair is popped and merged again and again. The count is the nu
 symbols less the number of merges; no ids are made.
 
 Cases: a null or empty text has 0 tokens and 0 bytes; a special token inside a text counts as one;
-a column with an output's name is replaced.
+very long texts are counted whole; repeated rows are counted alike; an empty frame gives an empty
+frame; a column with an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe_codec import DEFAULT_VOCABULARY, WORDS, _Words
+from .bpe_codec import DEFAULT_VOCABULARY, MOST_WORDS, WORDS, Remembered, short
 from .common import texts, with_arrow_columns
-from .vocabulary import Vocabulary, loaded, pieces_of, read_vocabulary
+from .vocabulary import Vocabulary, pieces_of, read_vocabulary
 
 
 class Counter:
@@ -27,7 +28,7 @@ class Counter:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.words, self.pieces = _Words(self._word), _Words(self._piece)
+        self.words, self.pieces = Remembered(self._word, MOST_WORDS, short), Remembered(self._piece, MOST_WORDS, short)
 
     def merges(self, raw: bytes) -> int:
         """How many merges BPE makes in one piece."""
@@ -64,7 +65,8 @@ class Counter:
         return len(raw) - self.merges(raw)
 
     def _word(self, word: str) -> int:
-        return sum(self.pieces[p] for p in pieces_of(word))
+        found = pieces_of(word)
+        return sum([self.pieces[p] for p in found]) if len(found) > 1 else self._piece(word)
 
     def count(self, text: str) -> int:
         """Tokens of a text."""
@@ -82,7 +84,7 @@ def count_tokens(
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def make():
-        counter = loaded(Counter, shared.value)
+        counter = Counter(Vocabulary(shared.value))
 
         def compute(column):
             whole = list(texts(column))

@@ -104,15 +104,3 @@ def read_vocabulary(path: str) -> str:
     if len(text) > MOST_BYTES:
         raise ValueError(f"{path} is over {MOST_BYTES} characters")
     return text
-
-
-_LOADED: dict[tuple[type, int], object] = {}
-
-
-def loaded(kind: type, text: str):
-    """One object of a kind for each vocabulary and Python worker."""
-    key = (kind, hash(text))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = kind(Vocabulary(text))
-    return _LOADED[key]
