@@ -142,8 +142,10 @@ def edited(seed=8, n=260):
     return pairs + [(2 * n + k, " ".join([*line * 40, *new(60)])) for k in range(4)]
 
 
-@pytest.mark.parametrize("small", [similar.SMALL_BUCKET, 1])
-def test_similar_groups_are_brute_forces(spark, small):
+@pytest.mark.parametrize("small, tile", [(similar.SMALL_BUCKET, similar.TILE), (1, 4)])
+def test_similar_groups_are_brute_forces(spark, monkeypatch, small, tile):
+    monkeypatch.setattr(similar, "TILE", tile)
+    monkeypatch.setattr(similar, "TURNS", 2 if small > 1 else 1)
     pairs = edited(n=260 if small > 1 else 30)
     hub = pairs[0][1].split()
     for k in range(30):  # a large group, some members alike and some not
