@@ -28,9 +28,9 @@ from .vocabulary import SPACE, Vocabulary, byte_alphabet, pieces_of, read_vocabu
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Words remembered in each of two generations in a Python worker, and the longest that is.
-MOST_WORDS, LONGEST_WORD = 100_000, 48
+MOST_WORDS, LONGEST_WORD = 65_536, 48
 #: Pairs of tokens whose compatibility is remembered, likewise.
-MOST_PAIRS = 250_000
+MOST_PAIRS = 150_000
 
 
 class Remembered(dict):
