@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_codec, decontaminate, language_id, lm_score, pii, sharding, simhash, suffix_dedup, token_counts
+from . import alignment, ann, bpe_codec, decontaminate, fill_in_middle, language_id, lm_score, pii, sharding, simhash, suffix_dedup, token_counts, warc
 from .common import hold_out
 
 
@@ -97,11 +97,34 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(docs, ~hold_out("doc_id", 10))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rearranged for infilling, and their texts rebuilt from the outputs."""
+    made = fill_in_middle.rearrange(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", _digest("output").alias("output_sha256"),
+        F.sha2(fill_in_middle.restored("output", "form").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    return warc.round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups of all documents, and how often their links occur."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(_digest("groups"))
+    found = alignment.link_statistics(docs, derived={"groups_sha256": digest})
+    return found.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe_codec, op2_shuffle_shards, op3_decontaminate, op4_simhash, op5_token_counts,
         op6_ann, op7_suffix_dedup, op8_language_id, op9_pii, op10_lm_score,
+        op11_fill_in_middle, op12_warc, op13_alignment,
     )
 }
 
