@@ -56,7 +56,8 @@ def in_percent(value: str | Column, unit: str | Column) -> Column:
 
 def measured(readings: Column) -> Column:
     """Readings (name, percent and unit as text) as (name, percent): aliases resolved, those not measured left out."""
-    shown = F.filter(readings, lambda r: F.coalesce(~F.upper(py_trim(r["percent"])).isin(*NOT_MEASURED), F.lit(True)))
+    number = lambda r: r["percent"].try_cast("double").isNotNull()
+    shown = F.filter(readings, lambda r: F.when(number(r), True).otherwise(F.coalesce(~F.upper(py_trim(r["percent"])).isin(*NOT_MEASURED), F.lit(True))))
     return F.transform(shown, lambda r: F.struct(canonical_name(r["name"]).alias("name"), in_percent(r["percent"], r["unit"]).alias("percent")))
 
 
@@ -76,22 +77,27 @@ def deviation_note(total: Column, readings: Column) -> Column:
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """(report_id, page_no, doc, error): each page's document, checked; doc is null where there is an error."""
+    """(report_id, page_no, doc, error): each page's document, checked; doc is null where there is an error.
+
+    ``pages``: report_id, page_no, raw, and if given error, with which the extraction of a page ended.
+    """
     kind = f"{DOCUMENT[:-1]},_bad:string>".replace(READINGS, PRINTED)
     read = pages.withColumn("p", F.from_json(without_fences("raw"), kind, {"columnNameOfCorruptRecord": "_bad"}))
-    readings = F.coalesce(measured(F.col("p.terpenes")), F.array().cast(READINGS))
+    # columns of their own, so that each is evaluated once
+    read = read.withColumn("readings", F.coalesce(measured(F.col("p.terpenes")), F.array().cast(READINGS)))
+    read = read.withColumn("rounded", F.transform("readings", lambda r: F.struct(r["name"].alias("name"), F.round(r["percent"], 4).alias("percent"))))
     error = (
         F.when(F.col("p").isNull() | F.col("p._bad").isNotNull(), "not a document")
-        .when(F.exists(readings, lambda r: r["percent"].isNull() | (r["percent"] < 0) | (r["percent"] > MOST_PERCENT) | r["name"].isNull()), "reading out of range")
+        .when(F.exists("readings", lambda r: r["percent"].isNull() | (r["percent"] < 0) | (r["percent"] > MOST_PERCENT) | r["name"].isNull()), "reading out of range")
         .when((F.col("p.total_terpenes") < 0) | (F.col("p.total_terpenes") > 100), "total out of range")
     )
-    rounded = F.transform(readings, lambda r: F.struct(r["name"].alias("name"), F.round(r["percent"], 4).alias("percent")))
-    notes = joined_notes(F.col("p.confidence_notes"), F.coalesce(deviation_note(F.col("p.total_terpenes"), rounded), F.lit("")))
+    error = F.coalesce(F.col("error"), error) if "error" in pages.columns else error
+    notes = joined_notes(F.col("p.confidence_notes"), F.coalesce(deviation_note(F.col("p.total_terpenes"), F.col("rounded")), F.lit("")))
     doc = F.struct(
         *[F.col(f"p.{c}").alias(c) for c in TEXTS[:5]], F.col("p.total_terpenes").alias("total_terpenes"), F.col("p.pass_fail").alias("pass_fail"),
-        rounded.alias("terpenes"), F.coalesce(clamp("p.confidence", 1, 5), F.lit(1)).alias("confidence"), notes.alias("confidence_notes"),
+        F.col("rounded").alias("terpenes"), F.coalesce(clamp("p.confidence", 1, 5), F.lit(1)).alias("confidence"), notes.alias("confidence_notes"),
     ).cast(DOCUMENT)
-    return read.select("report_id", "page_no", F.when(error.isNull(), doc).alias("doc"), error.alias("error"))
+    return read.withColumn("error", error).select("report_id", "page_no", F.when(F.col("error").isNull(), doc).alias("doc"), "error")
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -126,51 +132,86 @@ def merge_pages(parsed: DataFrame) -> DataFrame:
     return lists.select("report_id", folded.alias("s")).select("report_id", "s.doc", "s.error")
 
 
+NO_PAGES = "the document has no pages"
+
+
+def extracted(reports: DataFrame, pages: DataFrame) -> DataFrame:
+    """``reports`` (report_id, ...) with doc and error; one without any page has an error, as has one whose extraction failed."""
+    found = merge_pages(parsed_pages(pages))
+    error = F.when(F.col("doc").isNull(), F.coalesce("error", F.lit(NO_PAGES)))
+    return reports.join(found, "report_id", "left").withColumn("error", F.substring(error, 1, 1000))
+
+
 def process_reports(pages: DataFrame, targets: DataFrame) -> DataFrame:
     """Reports after a request each; ``targets``: report_id, product_id, and if given request, pos and old_product_id.
 
     A request takes its reports by ``pos`` and stops at the first that fails: what came before stays,
     what comes after is pending still. A failed report has the message's first 1000 characters and
     keeps the product it had; one with a product and readings is applied; else it is extracted.
-    Without a request each report is one by itself.
+    Without a request each report is one by itself. No report may come twice: ``process_requests``
+    takes those too, and writes the products' links.
     """
     if "request" not in targets.columns:
         targets = targets.withColumns({"request": F.col("report_id"), "pos": F.lit(0)})
     if "old_product_id" not in targets.columns:
         targets = targets.withColumn("old_product_id", F.lit(None).cast(targets.schema["product_id"].dataType))
     before = Window.partitionBy("request").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    out = targets.join(merge_pages(parsed_pages(pages)), "report_id").withColumn("stopped", F.coalesce(F.max(F.col("error").isNotNull()).over(before), F.lit(False)))
+    out = extracted(targets, pages).withColumn("stopped", F.coalesce(F.max(F.col("error").isNotNull()).over(before), F.lit(False)))
     done = ~F.col("stopped") & F.col("error").isNull()
     applied = done & F.col("product_id").isNotNull() & (F.size("doc.terpenes") > 0)
-    doc = {c: F.when(done, F.col(f"doc.{c}")).alias(c) for c in (*TEXTS, "total_terpenes", "terpenes", "confidence", "confidence_notes")}
     return out.select(
-        "report_id", F.when(done, F.col("product_id")).otherwise(F.col("old_product_id")).alias("product_id"), *doc.values(),
-        F.when(done, readings_json("doc.terpenes")).alias("raw_terpenes_json"),
+        "report_id", F.when(done, F.col("product_id")).otherwise(F.col("old_product_id")).alias("product_id"), *[c.alias(n) for n, c in document_columns(done).items()],
         F.when(F.col("stopped"), "pending").when(~done, "failed").when(applied, "applied").otherwise("extracted").alias("status"),
-        F.coalesce(applied, F.lit(False)).alias("applied_to_product"), F.when(~F.col("stopped"), F.substring("error", 1, 1000)).alias("error_message"),
+        F.coalesce(applied, F.lit(False)).alias("applied_to_product"), F.when(~F.col("stopped"), F.col("error")).alias("error_message"),
     )
 
 
+def document_columns(shown: Column) -> dict[str, Column]:
+    """The columns of ``doc`` where the condition holds, and its readings as JSON."""
+    names = (*TEXTS, "total_terpenes", "terpenes", "confidence", "confidence_notes")
+    return {**{c: F.when(shown, F.col(f"doc.{c}")) for c in names}, "raw_terpenes_json": F.when(shown, readings_json("doc.terpenes"))}
+
+
 def last_applied(processed: DataFrame) -> DataFrame:
     """Of several reports applied to one product the last in input order (``pos``) holds."""
     last = Window.partitionBy("product_id").orderBy(F.desc("pos"))
     return processed.where("applied_to_product").withColumn("k", F.row_number().over(last)).where("k = 1").drop("k")
 
 
-def extract_pages(uploads: DataFrame, render: Callable[[bytes], list[bytes]], extract: Callable[[bytes], str], enough: Callable[[str], bool] = lambda raw: False) -> DataFrame:
-    """(report_id, page_no, raw) of uploads (report_id, pdf_bytes) by given functions, in Arrow batches.
+PAGES = "report_id bigint, page_no int, raw string, error string"
+
 
-    Pages after one that is ``enough`` are not extracted, so that no paid call is wasted.
+def extract_pages(
+    uploads: DataFrame, render: Callable[[bytes], list[bytes]], extract: Callable[[bytes], str], enough: Callable[[str], bool] = lambda raw: False, known: DataFrame | None = None
+) -> DataFrame:
+    """(report_id, page_no, raw, error) of uploads (report_id, pdf_bytes) by given functions, in Arrow batches.
+
+    Pages after one that is ``enough`` are not extracted, so that no paid call is wasted. An exception
+    of either function is the error of that report and ends it, and no other: it has no raw, and page 0
+    where nothing could be rendered. Reports that ``known`` pages have are not extracted again; their
+    rows are part of the result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for report, pdf in zip(batch["report_id"], batch["pdf_bytes"]):
-                for number, image in enumerate(render(bytes(pdf))[:MOST_PAGES], 1):
-                    rows.append((report, number, extract(image)))
-                    if enough(rows[-1][2]):
-                        break
-            yield pd.DataFrame(rows, columns=["report_id", "page_no", "raw"])
-
-    return uploads.where("pdf_bytes is not null").select("report_id", "pdf_bytes").mapInPandas(run, "report_id bigint, page_no int, raw string")
+                number = 0
+                try:
+                    images = render(bytes(pdf))[:MOST_PAGES]
+                    if not images:
+                        raise ValueError(NO_PAGES)
+                    for number, image in enumerate(images, 1):
+                        raw = extract(image)
+                        rows.append((report, number, raw, None))
+                        if enough(raw):
+                            break
+                except Exception as problem:  # whatever the given functions raise
+                    rows.append((report, number, None, str(problem)[:1000] or type(problem).__name__))
+            yield pd.DataFrame(rows, columns=["report_id", "page_no", "raw", "error"])
+
+    new = uploads.where("pdf_bytes is not null").select("report_id", "pdf_bytes")
+    if known is not None:
+        new = new.join(known.select("report_id").distinct(), "report_id", "left_anti")
+    found = new.mapInPandas(run, PAGES)
+    return found if known is None else known.unionByName(found, allowMissingColumns=True)

@@ -7,20 +7,33 @@ from pyspark.sql import functions as F
 from ..functions.text import confidence_label, iso_time
 from ..operators import documents as D
 from ..operators import paging
+from ..operators.requests import process_requests
 from .registry import Plans, joined
 
 PLANS = Plans()
 add = PLANS.add
 
 _READINGS = joined("{0}", "concat(x.name, '=', cast(x.percent as string))")
-_PARSED = r""", j as (select report_id, page_no, trim(regexp_replace(regexp_replace(trim(raw), '^```(?:json)?\s*', ''), '\s*```$', '')) as t from report_pages),
+def _note(total, percents):
+    """SQL for the note where readings are far from their total."""
+    off = f"abs(list_sum({percents}) - {total}) / {total}"
+    return f"case when {total} > 0 and len({percents}) > 0 and {off} > 0.15 then printf('sum of individuals (%.3f%%) deviates %.1f%% from total_terpenes (%s%%)', list_sum({percents}), {off} * 100, cast({total} as varchar)) end"
+
+
+def _notes(*notes):
+    """SQL for notes joined, without those that are empty."""
+    return f"nullif(concat_ws('; ', {', '.join(f'nullif({n}, {chr(39) * 2})' for n in notes)}), '')"
+
+
+_TEXTS = ("lab_name", "lab_license", "test_date", "batch_id", "product_name", "pass_fail")
+_PARSED = f""", j as (select report_id, page_no, trim(regexp_replace(regexp_replace(trim(raw), '^```(?:json)?\\s*', ''), '\\s*```$', '')) as t from report_pages),
 p as (select report_id, page_no, case when json_valid(t) then t end as t from j),
-f as (select report_id, page_no, t is null as bad, json_extract_string(t, '$.lab_name') as lab_name, json_extract_string(t, '$.batch_id') as batch_id,
-  cast(json_extract_string(t, '$.total_terpenes') as double) as total, json_extract_string(t, '$.pass_fail') as pass_fail,
+f as (select report_id, page_no, t is null as bad, {', '.join(f"json_extract_string(t, '$.{c}') as {c}" for c in _TEXTS)},
+  cast(json_extract_string(t, '$.total_terpenes') as double) as total,
   coalesce(list_transform(cast(json_extract(t, '$.terpenes') as json[]), lambda x: json_extract_string(x, '$.name')), []) as names,
   coalesce(list_transform(cast(json_extract(t, '$.terpenes') as json[]), lambda x: cast(json_extract_string(x, '$.percent') as double)), []) as percents,
-  greatest(1, least(5, cast(json_extract_string(t, '$.confidence') as int))) as confidence, json_extract_string(t, '$.confidence_notes') as notes from p),
-g as (select *, case when bad then 'not a document' when list_max(percents) > 20 then 'reading out of range' end as error from f)"""
+  greatest(1, least(5, cast(json_extract_string(t, '$.confidence') as int))) as confidence, json_extract_string(t, '$.confidence_notes') as own_notes from p),
+g as (select *, {_notes('own_notes', _note('total', 'percents'))} as notes, case when bad then 'not a document' when list_max(percents) > 20 then 'reading out of range' end as error from f)"""
 _LIST = "coalesce(array_to_string(list_transform(range(1, len(names) + 1), lambda k: concat(names[k], '=', cast(percents[k] as varchar))), ';'), '')"
 
 
@@ -50,25 +63,35 @@ def _(d):
     return D.parsed_pages(d.report_pages).where("error is null").select("report_id", "page_no", note.alias("note")).where("note is not null")
 
 
+def _step(left, right, done, k):
+    """SQL columns of two documents as one, the left alone where it is done: names, percents, confidence, texts, total, notes."""
+    more = f"not {done} and len({right}.names) > len({left('names')})"
+    texts = ", ".join(f"case when {done} then {left(c)} else coalesce(nullif({left(c)}, ''), {right}.{c}) end as {c}{k}" for c in _TEXTS)
+    lists = ", ".join(f"case when {more} then {right}.{c} else {left(c)} end as {c}{k}" for c in ("names", "percents"))
+    return f"""{lists}, {texts}, case when {done} then {left('confidence')} else greatest({left('confidence')}, {right}.confidence) end as confidence{k},
+  case when {done} then {left('total')} when {more} then coalesce(nullif({right}.total, 0), {left('total')}) else coalesce(nullif({left('total')}, 0), {right}.total) end as total{k},
+  case when {done} then {left('notes')} else {_notes(left('notes'), f'{right}.notes', _note(f'total{k}', f'percents{k}'))} end as notes{k}"""
+
+
 # three pages at most: the fold written out, page by page
 _FOLD = f"""{_PARSED}, q as (select a.report_id, a, b, c, len(a.names) > 0 and a.confidence >= 3 as done1 from g a join g b using (report_id) join g c using (report_id) where a.page_no = 1 and b.page_no = 2 and c.page_no = 3),
-m2 as (select *, case when done1 then a.error else coalesce(a.error, b.error) end as e2,
-  case when not done1 and len(b.names) > len(a.names) then b.names else a.names end as n2, case when not done1 and len(b.names) > len(a.names) then b.percents else a.percents end as p2,
-  case when done1 then a.confidence else greatest(a.confidence, b.confidence) end as c2, case when done1 then a.lab_name else coalesce(nullif(a.lab_name, ''), b.lab_name) end as l2,
-  case when done1 then a.batch_id else coalesce(nullif(a.batch_id, ''), b.batch_id) end as b2,
-  case when done1 then a.total when len(b.names) > len(a.names) then coalesce(nullif(b.total, 0), a.total) else coalesce(nullif(a.total, 0), b.total) end as t2 from q),
-m3 as (select *, e2 is not null or (len(n2) > 0 and c2 >= 3) as done2 from m2),
-m as (select report_id, case when done2 then e2 else c.error end as error,
-  case when not done2 and len(c.names) > len(n2) then c.names else n2 end as names, case when not done2 and len(c.names) > len(n2) then c.percents else p2 end as percents,
-  case when done2 then c2 else greatest(c2, c.confidence) end as confidence, case when done2 then l2 else coalesce(nullif(l2, ''), c.lab_name) end as lab_name,
-  case when done2 then b2 else coalesce(nullif(b2, ''), c.batch_id) end as batch_id,
-  case when done2 then t2 when len(c.names) > len(n2) then coalesce(nullif(c.total, 0), t2) else coalesce(nullif(t2, 0), c.total) end as total from m3) """
-
-
-@add("merge_extractions", "report_pages", f"{_FOLD} select report_id, error, case when error is null then lab_name end as lab_name, case when error is null then batch_id end as batch_id, case when error is null then total end as total_terpenes, case when error is null then {_LIST} end as terpenes, case when error is null then confidence end as confidence from m")
+m2 as (select *, case when done1 then a.error else coalesce(a.error, b.error) end as e2, {_step(lambda x: f'a.{x}', 'b', 'done1', 2)} from q),
+m3 as (select *, e2 is not null or (len(names2) > 0 and confidence2 >= 3) as done2 from m2),
+n3 as (select *, case when done2 then e2 else c.error end as error, {_step(lambda x: f'{x}2', 'c', 'done2', 3)} from m3),
+m as (select report_id, error, {', '.join(f'{x}3 as {x}' for x in ('names', 'percents', *_TEXTS, 'confidence', 'total', 'notes'))} from n3) """
+_SHOWN = ("lab_name", "lab_license", "test_date", "batch_id", "product_name", "total", "pass_fail", "confidence", "notes")
+
+
+def _shown(when):
+    """SQL for a document's columns, null where the condition doesn't hold."""
+    named = {"total": "total_terpenes", "notes": "confidence_notes"}
+    return ", ".join(f"case when {when} then {c} end as {named.get(c, c)}" for c in _SHOWN) + f", case when {when} then {_LIST} end as terpenes"
+
+
+@add("merge_extractions", "report_pages", f"{_FOLD} select report_id, error, {_shown('error is null')} from m")
 def _(d):
     return D.merge_pages(D.parsed_pages(d.report_pages)).select(
-        "report_id", "error", "doc.lab_name", "doc.batch_id", "doc.total_terpenes", F.expr(_READINGS.format("doc.terpenes")).alias("terpenes"), "doc.confidence"
+        "report_id", "error", *[f"doc.{c}" for c in (*D.TEXTS, "total_terpenes", "confidence", "confidence_notes")], F.expr(_READINGS.format("doc.terpenes")).alias("terpenes")
     )
 
 
@@ -82,25 +105,20 @@ def _processed(d):
 
 
 _JSON = "concat('[', coalesce(array_to_string(list_transform(range(1, len(names) + 1), lambda k: concat('{{\"name\":\"', names[k], '\",\"percent\":', cast(percents[k] as varchar), '}}')), ','), ''), ']')".replace("{{", "{").replace("}}", "}")
-_PROCESSED = (
-    _FOLD
-    + """, s as (select *, coalesce(max(case when error is null then 0 else 1 end) over (partition by report_id // 10 order by report_id rows between unbounded preceding and 1 preceding), 0) = 1 as stopped from m),
+_PROCESSED = f"""{_FOLD}, s as (select *, coalesce(max(case when error is null then 0 else 1 end) over (partition by report_id // 10 order by report_id rows between unbounded preceding and 1 preceding), 0) = 1 as stopped from m),
 n as (select *, not stopped and error is null as done, case when report_id % 2 = 0 then report_id // 4 * 4 end as target from s),
 o as (select report_id, case when done then target when report_id % 17 = 0 then report_id + 1 end as product_id,
   case when stopped then 'pending' when not done then 'failed' when target is not null and len(names) > 0 then 'applied' else 'extracted' end as status,
-  case when not stopped then error end as error, case when done then lab_name end as lab_name, case when done then batch_id end as batch_id, case when done then total end as total,
-  case when done then 'PASS' end as pass_fail, case when done then """
-    + _LIST + " end as terpenes, case when done then " + _JSON + " end as raw_json, case when done then confidence end as confidence from n) "
-)
+  case when not stopped then error end as error, {_shown('done')}, case when done then {_JSON} end as raw_json from n) """
 
 
-@add("process_reports", "report_pages", f"""{_PROCESSED} select report_id, product_id, status, status = 'applied' as applied_to_product, error as error_message, lab_name, cast(null as varchar) as lab_license, cast(null as varchar) as test_date, batch_id,
-cast(null as varchar) as product_name, total as total_terpenes, pass_fail, terpenes, raw_json as raw_terpenes_json, cast(confidence as int) as confidence, case when confidence >= 4 then 'High' when confidence = 3 then 'Medium' when confidence is not null then 'Low' end as sure from o""")
+@add("process_reports", "report_pages", f"""{_PROCESSED} select report_id, product_id, status, status = 'applied' as applied_to_product, error as error_message, lab_name, lab_license, test_date, batch_id,
+product_name, total_terpenes, pass_fail, terpenes, raw_json as raw_terpenes_json, cast(confidence as int) as confidence, confidence_notes, case when confidence >= 4 then 'High' when confidence = 3 then 'Medium' when confidence is not null then 'Low' end as sure from o""")
 def _(d):
     listed = F.expr(_READINGS.format("terpenes"))
     out = _processed(d)
     return out.select(
-        "report_id", "product_id", "status", "applied_to_product", "error_message", *D.TEXTS, "total_terpenes", listed.alias("terpenes"), "raw_terpenes_json", "confidence",
+        "report_id", "product_id", "status", "applied_to_product", "error_message", *D.TEXTS, "total_terpenes", listed.alias("terpenes"), "raw_terpenes_json", "confidence", "confidence_notes",
         F.when(F.col("confidence").isNotNull(), confidence_label("confidence")).alias("sure"),
     )
 
@@ -116,7 +134,7 @@ def _(d):
     return D.last_applied(_processed(d).withColumn("pos", F.col("report_id"))).select("product_id", "report_id")
 
 
-@add("page_lab_reports", "report_pages products", f"""{_PROCESSED} select cast(report_id as varchar) as id, status, lab_name, cast(null as varchar) as lab_license, cast(null as varchar) as test_date, batch_id, cast(null as varchar) as product_name_on_report, total as total_terpenes,
+@add("page_lab_reports", "report_pages products", f"""{_PROCESSED} select cast(report_id as varchar) as id, status, lab_name, lab_license, test_date, batch_id, product_name as product_name_on_report, total_terpenes,
 pass_fail, cast(confidence as int) as confidence, cast(product_id as varchar) as product_id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') as created_at from o join (select id, created_at from products) p on p.id = report_id order by created_at desc, report_id desc limit 50""")
 def _(d):
     times = d.products.select(F.col("id").alias("report_id"), "created_at")
@@ -125,3 +143,53 @@ def _(d):
         F.col("report_id").cast("string").alias("id"), "status", "lab_name", "lab_license", "test_date", "batch_id", F.col("product_name").alias("product_name_on_report"), "total_terpenes",
         "pass_fail", "confidence", F.col("product_id").cast("string").alias("product_id"), iso_time("created_at").alias("created_at"),
     )
+
+
+def _requested(d):
+    """Requests of ten reports each: some without a product, some with one that isn't known, three in a row on one product."""
+    request = F.floor(F.col("id") / 10)
+    product = F.when(request % 4 == 0, None).when(request % 9 == 5, -1).otherwise(F.floor(request / 3) + 1).cast("bigint")
+    return d.products.select(request.alias("request"), F.col("id").alias("pos"), F.col("id").alias("report_id"), product.alias("product_id"))
+
+
+def _after_requests(d):
+    return process_requests(d, _requested(d), d.report_pages)
+
+
+_WANTED = "report_id // 10 as request, case when report_id // 10 % 4 = 0 then null when report_id // 10 % 9 = 5 then -1 else report_id // 10 // 3 + 1 end as product_id"
+_CLEAN = "list_filter(list_transform(names, lambda x: trim(x)), lambda x: x <> '')"
+_REQUESTED = f"""{_FOLD}, w as (select *, {_WANTED} from m),
+b as (select *, case when product_id is not null and product_id not in (select id from products) then 'product not found' when report_id % 29 = 0 then 'no stored document'
+  when error is null and product_id is not null and len(list_distinct({_CLEAN})) < len({_CLEAN}) then 'an attribute comes twice' else error end as reason from w),
+r as (select *, coalesce(max(case when reason is null then 0 else 1 end) over (partition by request order by report_id rows between unbounded preceding and 1 preceding), 0) = 0 as reached from b),
+o as (select *, reached and reason is null as done, reached and reason is null and product_id is not null and len(names) > 0 as applied from r)"""
+
+
+@add("request_answers", "report_pages products", f"{_REQUESTED} select request, report_id, product_id, case when applied then 'applied' else 'extracted' end as status, applied as applied_to_product, {_shown('true')} from o where done")
+def _(d):
+    """What requests answer, report by report."""
+    answers = _after_requests(d)["answers"]
+    names = [c for c in answers.columns if c not in ("pos", "raw_terpenes_json", "terpenes")]
+    return answers.select(*names, F.expr(_READINGS.format("terpenes")).alias("terpenes"))
+
+
+@add("request_stops", "report_pages products", f"{_REQUESTED} select request, report_id, reason from o where reached and reason is not null")
+def _(d):
+    """Where requests stopped, and why."""
+    return _after_requests(d)["stops"].select("request", "report_id", "reason")
+
+
+@add("reports_after_requests", "report_pages products lab_reports", f"""{_REQUESTED} select l.report_id, case when done then o.product_id else l.product_id end as product_id,
+case when applied then 'applied' when done then 'extracted' when reached and reason = error then 'failed' else l.status end as status, l.has_document and not (done or (reached and coalesce(reason = error, false))) as has_document,
+case when reached and reason = error then error end as error_message from lab_reports l join o using (report_id)""")
+def _(d):
+    return _after_requests(d)["lab_reports"]
+
+
+@add("applied_links", "report_pages products product_terpenes terpenes", f"""{_REQUESTED}, last as (select product_id, max(report_id) as report_id from o where applied group by 1)
+select product_id, name, percent from product_terpenes join terpenes on terpenes.id = terpene_id where product_id not in (select product_id from last)
+union all select product_id, trim(unnest(names)), unnest(percents) from last join o using (product_id, report_id)""")
+def _(d):
+    """The links of all products after several requests on each; reports without readings leave them."""
+    after = _after_requests(d)
+    return after["product_terpenes"].join(after["terpenes"], F.col("id") == F.col("terpene_id")).select("product_id", "name", "percent")
