@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .paging import page, search
+from .paging import check_range, page, search
+from .writes import ITEM_RULES, add_items, check
 
 # The filter takes only these, though rows can have another.
 FILTER_SOURCES = ("manual", "pos_import")
@@ -71,13 +72,27 @@ def first_missing(items: DataFrame, products: DataFrame) -> DataFrame:
     return unknown.agg(F.min_by("product_id", "pos").alias("product_id")).where("product_id is not null")
 
 
-def batch_items(domain, purchase_id: int, items: DataFrame) -> DataFrame:
-    """New items of one purchase with their product's name; an unknown product refuses all."""
+#: Items of one batch.
+MOST_ITEMS = 100
+
+
+def batch_items(domain, purchase_id: int, items: DataFrame, now: str = "2001-08-01 00:00:00") -> DataFrame:
+    """Rows to append for one purchase, all or none, with their product's name, in the order of ``pos``.
+
+    items: (pos, product_id, quantity, line_amount_cents, and if given external_id), 1 to 100 of them.
+    Refused in this order: a line that breaks a rule, an unknown purchase, no items or too many, the
+    first unknown product.
+    """
+    broken = check(items, ITEM_RULES)[1].orderBy("pos").select("pos", "broken").first()
+    if broken:
+        raise ValueError(f"line {broken['pos']}: {', '.join(broken['broken'])}")
+    if domain.purchases.where(F.col("id") == purchase_id).isEmpty():
+        raise ValueError(f"purchase {purchase_id} not found")
+    check_range("items", items.limit(MOST_ITEMS + 1).count(), 1, MOST_ITEMS)
     missing = first_missing(items, domain.products).first()
     if missing:
         raise ValueError(f"product {missing[0]} not found")
-    names = domain.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
-    return items.join(names, "product_id").select(F.lit(purchase_id).cast("bigint").alias("purchase_id"), "pos", "product_id", "product_name", "quantity", "line_amount_cents")
+    return add_items(domain, items.withColumn("purchase_id", F.lit(purchase_id).cast(domain.purchases.schema["id"].dataType)), now)
 
 
 def apply_feedback(items: DataFrame, updates: DataFrame, now: str) -> DataFrame:

@@ -143,25 +143,36 @@ def create_purchases(domain, payload: DataFrame, now: str) -> DataFrame:
     missing = payload.join(domain.customers.select(F.col("id").alias("customer_id")), "customer_id", "left_anti").agg(F.min_by("customer_id", "pos")).first()[0]
     if missing is not None:
         raise ValueError(f"customer {missing} not found")
+    time = F.lit(now).cast("timestamp_ntz")
     return with_new_ids(domain.purchases, payload, "pos").select(
-        "id", "customer_id", F.coalesce("purchased_at", F.lit(now).cast("timestamp_ntz")).alias("purchased_at"), F.lit(0).cast("bigint").alias("total_amount_cents"),
-        F.coalesce("source", F.lit("manual")).alias("source"), "external_id", "notes",
+        "id", "customer_id", F.coalesce("purchased_at", time).alias("purchased_at"), F.lit(0).cast("bigint").alias("total_amount_cents"),
+        F.coalesce("source", F.lit("manual")).alias("source"), "external_id", "notes", time.alias("created_at"), time.alias("updated_at"),
     )
 
 
-def add_items(domain, items: DataFrame) -> DataFrame:
+#: What a line must meet; a null quantity is one.
+ITEM_RULES = {"quantity from 1 to 100": "coalesce(quantity, 1) between 1 and 100", "line_amount_cents from 0": "line_amount_cents >= 0"}
+
+
+def add_items(domain, items: DataFrame, now: str = "2001-08-01 00:00:00") -> DataFrame:
     """Rows to append to the purchase items, with their product's name.
 
-    items: (pos, purchase_id, product_id, quantity, line_amount_cents). An unknown purchase or product refuses all.
+    items: (pos, purchase_id, product_id, quantity, line_amount_cents, and if given external_id). A line
+    that breaks a rule, an unknown purchase or product refuses all.
     """
+    broken = check(items, ITEM_RULES)[1].orderBy("pos").select("pos", "broken").first()
+    if broken:
+        raise ValueError(f"line {broken['pos']}: {', '.join(broken['broken'])}")
     for column, table in (("purchase_id", domain.purchases), ("product_id", domain.products)):
         missing = items.join(table.select(F.col("id").alias(column)), column, "left_anti").agg(F.min_by(column, "pos")).first()[0]
         if missing is not None:
             raise ValueError(f"{column.removesuffix('_id')} {missing} not found")
     names = domain.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
+    time, outside = F.lit(now).cast("timestamp_ntz"), F.col("external_id") if "external_id" in items.columns else F.lit(None).cast("string")
     return with_new_ids(domain.purchase_items, items, "pos").join(names, "product_id").select(
-        "id", "purchase_id", "product_id", "product_name", "quantity", "line_amount_cents", F.lit(None).cast("string").alias("feedback"), F.lit(None).cast("timestamp_ntz").alias("feedback_at")
-    )
+        "id", "purchase_id", "product_id", "product_name", F.coalesce("quantity", F.lit(1)).alias("quantity"), "line_amount_cents", outside.alias("external_id"),
+        F.lit(None).cast("string").alias("feedback"), F.lit(None).cast("timestamp_ntz").alias("feedback_at"), time.alias("created_at"), time.alias("updated_at"),
+    )
 
 
 def publish(tables: dict[str, DataFrame], folder: str) -> str:

@@ -83,13 +83,13 @@ def _(d):
 
 
 @add("create_purchase", "purchases customers", f"""select (select max(id) from purchases) + k as id, id as customer_id, case when k = 1 then timestamp '2000-01-01 00:00:00' else timestamp '{AS_OF}' end as purchased_at, cast(0 as bigint) as total_amount_cents,
-case when k = 1 then 'pos_api' else 'manual' end as source, case when k = 1 then 'X1' end as external_id, case when k = 2 then 'by hand' end as notes from customers join (values (1, 4), (2, 5)) as v(k, cid) on cid = id""")
+case when k = 1 then 'pos_api' else 'manual' end as source, case when k = 1 then 'X1' end as external_id, case when k = 2 then 'by hand' end as notes, timestamp '{AS_OF}' as created_at, timestamp '{AS_OF}' as updated_at from customers join (values (1, 4), (2, 5)) as v(k, cid) on cid = id""")
 def _(d):
     rows = d.spark.createDataFrame([(1, 5, None, None, None, "by hand"), (0, 4, "2000-01-01 00:00:00", "pos_api", "X1", None)], "pos int, customer_id bigint, at string, source string, external_id string, notes string")
     return W.create_purchases(d, rows.withColumn("purchased_at", F.col("at").cast("timestamp_ntz")), AS_OF)
 
 
-@add("add_item", "purchases purchase_items products", "select (select max(id) from purchase_items) + 1 as id, cast(5 as bigint) as purchase_id, id as product_id, name as product_name, 2 as quantity, 1250 as line_amount_cents, cast(null as varchar) as feedback, cast(null as timestamp) as feedback_at from products where id = 3")
+@add("add_item", "purchases purchase_items products", f"select (select max(id) from purchase_items) + 1 as id, cast(5 as bigint) as purchase_id, id as product_id, name as product_name, 2 as quantity, 1250 as line_amount_cents, cast(null as varchar) as external_id, cast(null as varchar) as feedback, cast(null as timestamp) as feedback_at, timestamp '{AS_OF}' as created_at, timestamp '{AS_OF}' as updated_at from products where id = 3")
 def _(d):
     return W.add_items(d, d.spark.createDataFrame([(0, 5, 3, 2, 1250)], "pos int, purchase_id bigint, product_id bigint, quantity int, line_amount_cents int"))
 
@@ -116,10 +116,11 @@ def _(d):
     return P.first_missing(asked, d.products)
 
 
-@add("batch_items", "products", "select 5 as purchase_id, pos, id as product_id, name as product_name, 2 as quantity, 100 * pos as line_amount_cents from products join (values (3, 0), (7, 1)) as a(pid, pos) on pid = id")
+@add("batch_items", "products purchase_items", f"""select (select max(id) from purchase_items) + 1 + pos as id, cast(5 as bigint) as purchase_id, id as product_id, name as product_name, case pos when 0 then 1 else 2 end as quantity, 100 * pos as line_amount_cents,
+case pos when 1 then 'X-9' end as external_id, cast(null as varchar) as feedback, cast(null as timestamp) as feedback_at, timestamp '{AS_OF}' as created_at, timestamp '{AS_OF}' as updated_at from products join (values (3, 0), (7, 1), (3, 2)) as a(pid, pos) on pid = id""")
 def _(d):
-    given = d.spark.createDataFrame([(3, 0, 2, 0), (7, 1, 2, 100)], "product_id bigint, pos int, quantity int, line_amount_cents int")
-    return P.batch_items(d, 5, given)
+    given = d.spark.createDataFrame([(3, 0, None, 0, None), (7, 1, 2, 100, "X-9"), (3, 2, 2, 200, None)], "product_id bigint, pos int, quantity int, line_amount_cents int, external_id string")
+    return P.batch_items(d, 5, given, AS_OF)
 
 
 @add("apply_feedback", "purchase_items", "select id, case id % 7 when 0 then 'like' when 1 then null else feedback end as feedback, case id % 7 when 0 then timestamp '2001-08-01 00:00:00' when 1 then null else feedback_at end as feedback_at from purchase_items")

@@ -123,6 +123,17 @@ def test_missing_product_refuses_all(spark):
     items = spark.createDataFrame([(1, 0, 1, 1), (8, 1, 1, 1), (9, 2, 1, 1)], "product_id bigint, pos int, quantity int, line_amount_cents int")
     with pytest.raises(ValueError, match="product 8 "):
         purchases.batch_items(d, 1, items)
+    with pytest.raises(ValueError, match="purchase 999 "):
+        purchases.batch_items(d, 999, items)
+    for bad, why in ((items.where("false"), "items must be"), (items.where("pos = 0").crossJoin(spark.range(101)).withColumn("pos", F.col("id")).drop("id"), "items must be")):
+        with pytest.raises(ValueError, match=why):
+            purchases.batch_items(d, 1, bad)
+    for column, value in (("quantity", 0), ("quantity", 101), ("line_amount_cents", -1), ("line_amount_cents", None)):
+        with pytest.raises(ValueError, match="line 0: "):
+            purchases.batch_items(d, 1, items.where("pos = 0").withColumn(column, F.lit(value).cast("int")))
+    most = items.where("pos = 0").crossJoin(spark.range(100)).withColumn("pos", F.col("id")).drop("id").withColumn("external_id", F.col("pos").cast("string"))
+    rows = sorted(purchases.batch_items(d, 1, most).collect(), key=lambda r: r.id)
+    assert [r.id for r in rows] == list(range(101, 201)) and [r.external_id for r in rows] == [str(k) for k in range(100)]
 
 
 def test_replacing_links(spark):
