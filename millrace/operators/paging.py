@@ -33,11 +33,11 @@ def search(df: DataFrame, q: str | None, columns: list[str]) -> DataFrame:
     """
     if not q:
         return df
-    pattern = f"%{_escaped(q.strip())}%"
+    pattern = f"%{escaped(q.strip())}%"
     return df.where(reduce(lambda a, b: a | b, [F.col(c).ilike(pattern) for c in columns]))
 
 
-def _escaped(q: str) -> str:
+def escaped(q: str) -> str:
     """A backslash before an ordinary character stands for that character alone."""
     out, k = [], 0
     while k < len(q):
