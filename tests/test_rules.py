@@ -62,10 +62,13 @@ def test_brand_swamps_attributes_and_ties_go_by_name_then_id(spark):
     assert best(d, limit=2) == [(1, 1002.0), (2, 1000.0)]
 
 
-def test_recommendations_are_brute_forces(spark):
+@pytest.mark.parametrize("groups", [preferences.MOST_GROUPS, 0])
+def test_recommendations_are_brute_forces(spark, monkeypatch, groups):
     import random
 
     rng = random.Random(5)
+    monkeypatch.setattr(preferences, "PRODUCT_BLOCK", 7)
+    monkeypatch.setattr(preferences, "MOST_GROUPS", groups)
     goods = [(p, rng.choice("abc"), rng.choice([None, "", "B", "C"]), "other", rng.random() < 0.9) for p in range(60)]
     links = [(p, t, rng.choice([None, 0.0, 0.25, 1.5])) for p in range(60) for t in rng.sample(range(6), rng.choice([0, 0, 1, 2]))]
     items = [(k, rng.randrange(60), rng.choice(["like", "dislike", "neutral", None])) for k in range(12)]
@@ -88,6 +91,17 @@ def test_recommendations_are_brute_forces(spark):
         assert best(d, limit=limit) == [(p, -s + 0.0) for s, _, p in sorted(want)[:limit]]
 
 
+def test_few_pairs_are_scored(spark, monkeypatch):
+    from millrace.sources.bridge import Domain
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    pairs = preferences.preference_scores(d).select("customer_id").distinct().count() * d.products.where("is_active").count()
+    count = lambda: preferences._candidates(d, None, preferences.AS_OF, 180, 10).groupBy("customer_id").agg(F.max("scored").alias("n")).agg(F.sum("n")).first()[0]
+    assert count() < 0.3 * pairs  # of 174 products; the more there are, the fewer
+    monkeypatch.setattr(preferences, "MOST_GROUPS", 0)
+    assert count() == pairs
+
+
 def test_window_edges(spark):
     cutoff = ["2001-02-02 00:00:00", "2001-02-01 23:59:59.999999"]
     d = shop(spark, [(1, 1, "like", cutoff[0]), (2, 1, "like", cutoff[1])], [(1, 0, 0.5)])
