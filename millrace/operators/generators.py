@@ -5,29 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def _draw(low: int, high: int, seed: int, *keys: Column | str) -> Column:
     """A whole number from low to high, from a hash of the keys."""
     return (F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys]), F.lit(high - low + 1)) + low).cast("int")
 
 
+def numbered(df: DataFrame, key: str, out: str = "number") -> DataFrame:
+    """Adds the place of each row in the order of the key, from 0 on, without one task for all.
+
+    Rows are dealt by ranges of the key and sorted in them; a row's number is its place in its range
+    and the rows of the ranges before, of which one number a range comes to the driver.
+    """
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(ranges, key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id())
+    dealt = cut(dealt.withColumn("__range", F.shiftrightunsigned("__at", 33).cast("int")))
+    counts = {r["__range"]: r.n for r in dealt.groupBy("__range").agg(F.count("*").alias("n")).collect()}
+    before, starts = 0, {}
+    for k in sorted(counts):
+        starts[k] = before
+        before += counts[k]
+    if not starts:
+        return dealt.withColumn(out, F.lit(0).cast("bigint")).drop("__at", "__range")
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("__range"))
+    return dealt.withColumn(out, start.cast("bigint") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__range")
+
+
+def sampled(n: int, k: Column, seed: int, *keys: str) -> Column:
+    """k distinct numbers below n, each set of them as likely as any other.
+
+    The j-th of the last k numbers below n gives way to a number drawn from 0 to itself, unless that
+    is chosen already: the drawn one then stays out and the number itself comes in.
+    """
+    def chosen(held, j):
+        draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in keys], j), j + 1)
+        return F.array_append(held, F.when(F.array_contains(held, draw), j).otherwise(draw))
+
+    last = F.lit(n - 1).cast("bigint")
+    return F.aggregate(F.sequence(last - k + 1, last), F.array().cast("array<bigint>"), chosen)
+
+
 def generate_purchases(customers: DataFrame, products: DataFrame, as_of: str, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(purchases, items): 5-15 purchases a customer in 180 days, of 1-3 distinct products at 3000-15000 cents.
 
-    A customer's purchases are numbered in the order of their times. Products are numbered by id; the
-    distinct ones of a purchase are a drawn start and drawn steps round the circle. Only ids of
-    products are numbered and joined.
+    A customer's purchases are numbered in the order of their times. Products are numbered by id, and
+    a purchase's are a uniform sample of the numbers. Only ids of products are numbered and joined.
     """
-    numbered = products.select(F.col("id").alias("product_id"), (F.row_number().over(Window.orderBy("id")) - 1).alias("number"))
-    n_products = products.count()
+    known = numbered(products.select(F.col("id").alias("product_id")), "product_id")
+    n_products = known.count()
     if n_products < 3:
         raise ValueError("at least three products are needed")
     drawn = F.transform(F.sequence(F.lit(1), _draw(5, 15, seed, "id")), lambda k: _draw(0, 180 * 86_400, seed + 1, "id", k))
     bought = customers.select(F.col("id").alias("customer_id"), F.posexplode(F.reverse(F.array_sort(drawn))).alias("k", "ago"))  # the furthest back first
     bought = bought.withColumn("id", F.concat_ws("-", "customer_id", F.col("k") + 1)).withColumn("purchased_at", F.expr(f"timestamp_ntz '{as_of}'") - F.make_dt_interval(secs=F.col("ago")))
-    step = _draw(1, max(1, n_products // 3), seed + 3, "id")
-    items = bought.select(F.col("id").alias("purchase_id"), F.explode(F.sequence(F.lit(0), _draw(0, 2, seed + 2, "id"))).alias("line"), _draw(0, n_products - 1, seed + 4, "id").alias("first"), step.alias("step"))
-    items = items.withColumn("number", F.pmod(F.col("first") + F.col("line") * F.col("step"), F.lit(n_products))).join(numbered, "number").select(
+    lines = sampled(n_products, _draw(1, 3, seed + 2, "id").cast("bigint"), seed + 3, "id")
+    items = bought.select(F.col("id").alias("purchase_id"), F.posexplode(lines).alias("line", "number"))
+    items = items.join(known, "number").select(
         F.concat_ws("-", "purchase_id", "line").alias("id"), "purchase_id", "product_id",
         F.lit(1).alias("quantity"), _draw(3000, 15_000, seed + 5, "purchase_id", "line").alias("line_amount_cents"),
     )

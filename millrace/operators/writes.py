@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, py_trim, strip_if_given
+from ..sources.versions import Conflict, Store
 
 
 def check(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -28,19 +29,53 @@ def check_unique(df: DataFrame, key: list[str]) -> None:
 MOST_PAYLOAD = 10_000
 
 
-def with_new_ids(table: DataFrame, payload: DataFrame, *order: str) -> DataFrame:
-    """The payload with ``id``: numbers after the table's largest, by the given columns, equal rows too."""
+def with_new_ids(table: DataFrame, payload: DataFrame, *order: str, start: int | None = None) -> DataFrame:
+    """The payload with ``id``: numbers by the given columns, equal rows too, from ``start`` or after the table's largest.
+
+    Two requests from one base would get the same numbers; with ``reserve`` they get starts of their own.
+    """
     if payload.limit(MOST_PAYLOAD + 1).count() > MOST_PAYLOAD:
         raise ValueError(f"at most {MOST_PAYLOAD} rows a request")
-    top = table.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("__top"))  # one row
     k = F.row_number().over(Window.orderBy(*order))
-    return payload.withColumn("__k", k).join(F.broadcast(top)).withColumn("id", (F.col("__top") + F.col("__k")).cast(table.schema["id"].dataType)).drop("__top", "__k")
+    kind = table.schema["id"].dataType
+    if start is not None:
+        return payload.withColumn("id", (k + F.lit(start - 1)).cast(kind))
+    top = table.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("__top"))  # one row
+    return payload.withColumn("__k", k).join(F.broadcast(top)).withColumn("id", (F.col("__top") + F.col("__k")).cast(kind)).drop("__top", "__k")
 
 
-def new_customers(customers: DataFrame, payload: DataFrame, now: str) -> DataFrame:
+SEQUENCES = "sequences"
+
+
+def reserve(store: Store, name: str, n: int, tries: int = 100) -> int:
+    """The first of n keys of a table that no other request gets, in a version of their own.
+
+    The next free key of each table is a row of the store; the first reservation begins after the
+    table's largest key. Where another request came first, this one reads again.
+    """
+    for _ in range(tries):
+        t = store.begin()
+        try:
+            known = t.tables.get(SEQUENCES)
+            row = t.read(SEQUENCES).where(F.col("name") == name).first() if known else None
+            start = row["next"] if row else (t.read(name).agg(F.max("id")).first()[0] if name in t.tables else None)
+            start = start if row else (0 if start is None else start + 1)
+            after = store.spark.createDataFrame([(name, start + n)], "name string, next bigint")
+            if known:
+                t.upsert(SEQUENCES, after)
+            else:
+                t.replace(SEQUENCES, after, ["name"])
+            t.commit()
+            return start
+        except Conflict:
+            continue
+    raise Conflict(f"{name}: others came first {tries} times")
+
+
+def new_customers(customers: DataFrame, payload: DataFrame, now: str, start: int | None = None) -> DataFrame:
     """Rows to append to the customers: trimmed texts, new keys, times set."""
     time = F.lit(now).cast("timestamp_ntz")
-    return with_new_ids(customers, payload, "name", "phone", "email").select(
+    return with_new_ids(customers, payload, "name", "phone", "email", start=start).select(
         "id", *[strip_if_given(c).alias(c) for c in ("name", "phone", "email")],
         F.coalesce("marketing_opt_in", F.lit(False)).alias("marketing_opt_in"), time.alias("created_at"), time.alias("updated_at"),
     )
@@ -135,7 +170,7 @@ def update_product(domain, product_id: int, fields: dict, terpenes: DataFrame |
     return out
 
 
-def create_purchases(domain, payload: DataFrame, now: str) -> DataFrame:
+def create_purchases(domain, payload: DataFrame, now: str, start: int | None = None) -> DataFrame:
     """Rows to append to the purchases: known customers only, total 0, the request's time where none is given.
 
     payload: (pos, customer_id, purchased_at, source, external_id, notes). An unknown customer refuses all.
@@ -144,7 +179,7 @@ def create_purchases(domain, payload: DataFrame, now: str) -> DataFrame:
     if missing is not None:
         raise ValueError(f"customer {missing} not found")
     time = F.lit(now).cast("timestamp_ntz")
-    return with_new_ids(domain.purchases, payload, "pos").select(
+    return with_new_ids(domain.purchases, payload, "pos", start=start).select(
         "id", "customer_id", F.coalesce("purchased_at", time).alias("purchased_at"), F.lit(0).cast("bigint").alias("total_amount_cents"),
         F.coalesce("source", F.lit("manual")).alias("source"), "external_id", "notes", time.alias("created_at"), time.alias("updated_at"),
     )
@@ -154,7 +189,7 @@ def create_purchases(domain, payload: DataFrame, now: str) -> DataFrame:
 ITEM_RULES = {"quantity from 1 to 100": "coalesce(quantity, 1) between 1 and 100", "line_amount_cents from 0": "line_amount_cents >= 0"}
 
 
-def add_items(domain, items: DataFrame, now: str = "2001-08-01 00:00:00") -> DataFrame:
+def add_items(domain, items: DataFrame, now: str = "2001-08-01 00:00:00", start: int | None = None) -> DataFrame:
     """Rows to append to the purchase items, with their product's name.
 
     items: (pos, purchase_id, product_id, quantity, line_amount_cents, and if given external_id). A line
@@ -169,7 +204,7 @@ def add_items(domain, items: DataFrame, now: str = "2001-08-01 00:00:00") -> Dat
             raise ValueError(f"{column.removesuffix('_id')} {missing} not found")
     names = domain.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
     time, outside = F.lit(now).cast("timestamp_ntz"), F.col("external_id") if "external_id" in items.columns else F.lit(None).cast("string")
-    return with_new_ids(domain.purchase_items, items, "pos").join(names, "product_id").select(
+    return with_new_ids(domain.purchase_items, items, "pos", start=start).join(names, "product_id").select(
         "id", "purchase_id", "product_id", "product_name", F.coalesce("quantity", F.lit(1)).alias("quantity"), "line_amount_cents", outside.alias("external_id"),
         F.lit(None).cast("string").alias("feedback"), F.lit(None).cast("timestamp_ntz").alias("feedback_at"), time.alias("created_at"), time.alias("updated_at"),
     )

@@ -6,9 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import preferences as R
+from ..operators import purchases as P
 from ..operators import substrings, writes
+from ..sources import bucketed
 from ..sources.shared import shared_folder
 from ..sources.versions import Conflict, Store
+from ..streaming import scores as streaming
 from .registry import Plans
 
 PLANS = Plans()
@@ -106,3 +110,43 @@ def _(d):
     names = d.customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"), F.col("phone").alias("customer_phone"))
     listed = d.purchases.select("id", "customer_id", "external_id").join(names, "customer_id")
     return _indexed(d, listed, ["customer_name", "customer_phone", "external_id"], "x12", 10 * PART_ROWS).select("id", "customer_name", "customer_phone", "external_id")
+
+
+def _bucketed(d):
+    return bucketed.write(d, f"buckets_{uuid.uuid4().hex}", d.spark.sparkContext.defaultParallelism)
+
+
+@add("bucketed_totals", "purchases purchase_items", "select p.id, p.customer_id, cast(coalesce(sum(i.line_amount_cents), 0) as bigint) as total_amount_cents from purchases p left join purchase_items i on i.purchase_id = p.id group by 1, 2")
+def _(d):
+    """Totals of all purchases from tables bucketed by purchase."""
+    return P.finalized(_bucketed(d)).select("id", "customer_id", "total_amount_cents")
+
+
+@add("bucketed_counts", "purchases purchase_items", "select b.customer_id, i.product_id, count(*) as purchased_count from purchase_items i join purchases b on b.id = i.purchase_id group by all")
+def _(d):
+    """Lines of each customer and product from tables bucketed by purchase."""
+    return R.purchase_counts(_bucketed(d))
+
+
+_FEEDBACK = """, f as (select i.id, b.customer_id, i.product_id, case when i.id % 11 = 0 then null when i.id % 7 = 0 then 'dislike' when i.id % 13 = 0 then 'like' else i.feedback end as feedback from purchase_items i join purchases b on b.id = i.purchase_id)"""
+
+
+@add("stream_scores", "purchases purchase_items product_terpenes", f"""{_FEEDBACK}, s as (select customer_id, terpene_id, cast(sum(case feedback when 'like' then 1 when 'dislike' then -1 else 0 end * cast(round(coalesce(percent, 0.1) * 10000) as bigint)) as bigint) as s,
+count(case when feedback = 'like' then 1 end) as likes, count(case when feedback = 'dislike' then 1 end) as dislikes, count(case when feedback = 'neutral' then 1 end) as neutrals from f join product_terpenes l on l.product_id = f.product_id where feedback is not null group by all)
+select customer_id, terpene_id, s / 10000.0 as score, likes, dislikes, neutrals from s""")
+def _(d):
+    """Scores kept by three batches of feedback: all that was given, some given anew, some cleared; the second batch comes twice."""
+    store = Store(d.spark, f"{shared_folder(d.spark)}/scores-{uuid.uuid4().hex}")
+    owner = d.purchases.select(F.col("id").alias("purchase_id"), "customer_id")
+    items = d.purchase_items.join(owner, "purchase_id").select(F.col("id").alias("item_id"), "customer_id", "product_id", "feedback")
+    streaming.create(store, items)
+    given = lambda value, rule, at: items.where(rule).withColumns({"feedback": value, "at": F.lit(at)})
+    none = F.lit(None).cast("string")
+    batches = [
+        items.where("feedback is not null").withColumn("at", F.lit(0)),
+        given(F.lit("like"), "item_id % 13 = 0", 1).unionByName(given(none, "item_id % 7 = 0", 1)).unionByName(given(F.lit("dislike"), "item_id % 7 = 0", 2)),
+        given(none, "item_id % 11 = 0", 3),
+    ]
+    for k in (0, 1, 1, 2):
+        streaming.apply_batch(store, d.product_terpenes, batches[k], k)
+    return streaming.scores(store)

@@ -277,6 +277,30 @@ def test_generated_purchases(spark):
     assert bought.where("purchased_at > timestamp_ntz '2001-08-01' or purchased_at < timestamp_ntz '2001-02-02'").count() == 0
 
 
+def test_numbers_without_one_task(spark):
+    rows = [(k * 7919 % 1000, "x") for k in range(1000)] + [(5, "again")]
+    out = generators.numbered(spark.createDataFrame(rows, "id bigint, x string").repartition(7), "id")
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.number, r.id) for r in out.collect())
+    assert [n for n, _ in got] == list(range(1001)) and [i for _, i in got] == sorted(r[0] for r in rows)
+    assert generators.numbered(spark.createDataFrame([], "id bigint"), "id").count() == 0
+
+
+def test_samples_are_uniform(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    n, draws = 7, 21_000
+    for k in (2, 3):
+        drawn = spark.range(draws).select(generators.sampled(n, F.lit(k).cast("bigint"), 9, "id").alias("x")).collect()
+        sets = Counter(tuple(sorted(r.x)) for r in drawn)
+        assert set(sets) == set(combinations(range(n), k))
+        mean = draws / len(sets)
+        # 20 and 34 degrees of freedom: 45.3 and 65.2 are passed by chance once in a thousand times
+        assert sum((x - mean) ** 2 / mean for x in sets.values()) < {2: 45.3, 3: 65.2}[k]
+    assert spark.range(1).select(generators.sampled(3, F.lit(3).cast("bigint"), 1, "id").alias("x")).first().x.__len__() == 3
+
+
 def test_generated_links(spark):
     products, kinds = spark.range(50), spark.createDataFrame([(k, f"n{k}", "thc" if k < 4 else "cbd") for k in range(10)], "id int, name string, family string")
     n = generators.sample_attributes(products, kinds).groupBy("product_id").agg(F.count("*").alias("n"), F.countDistinct("attribute_id").alias("d")).collect()
