@@ -27,10 +27,10 @@ from .common import texts, with_arrow_columns
 from .vocabulary import SPACE, Vocabulary, byte_alphabet, pieces_of, read_vocabulary
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-#: Words remembered in each of two generations in a Python worker, and the longest that is.
-MOST_WORDS, LONGEST_WORD = 65_536, 48
+#: Words remembered in each of two generations in a Python worker (about 200 bytes each), and the longest that is.
+MOST_WORDS, LONGEST_WORD = 200_000, 48
 #: Pairs of tokens whose compatibility is remembered, likewise.
-MOST_PAIRS = 150_000
+MOST_PAIRS = 300_000
 
 
 class Remembered(dict):
@@ -56,11 +56,6 @@ class Remembered(dict):
         self[key] = out
         return out
 
-    def forget(self) -> None:
-        """Drops both generations."""
-        self.clear()
-        self.old = {}
-
 
 def short(word: str) -> bool:
     """Whether a word is short enough to be remembered."""
@@ -74,20 +69,20 @@ WORDS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 class Encoder:
     """Encodes texts of one vocabulary."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = MOST_WORDS, most_pairs: int = MOST_PAIRS):
         self.vocabulary = vocabulary
         self.alphabet = byte_alphabet()
         self.printable = dict(enumerate(self.alphabet))
         self.pairs = {pair: rank for pair, (rank, _) in vocabulary.pairs.items()}
         self.made = vocabulary.made
-        self.stands = Remembered(lambda pair: self._kept_apart(pair >> 32, pair & 0xFFFFFFFF), MOST_PAIRS)
+        self.stands = Remembered(lambda pair: self._kept_apart(pair >> 32, pair & 0xFFFFFFFF), most_pairs)
         self.automaton = ahocorasick.Automaton()
         reachable = self._reachable()
         for token, raw in vocabulary.token_bytes.items():
             if token in reachable:
                 self.automaton.add_word("".join(self.alphabet[b] for b in raw), (len(raw), token))
         self.automaton.make_automaton()
-        self.words, self.pieces = Remembered(self._word, MOST_WORDS, short), Remembered(self._piece, MOST_WORDS, short)
+        self.words, self.pieces = Remembered(self._word, most_words, short), Remembered(self._piece, most_words, short)
 
     def _reachable(self) -> set[int]:
         """Tokens that BPE makes of their own bytes: both halves are made, and no earlier merge crosses them."""
@@ -217,13 +212,16 @@ def encode_decode(df: DataFrame, text: str = "text", out: str = "token_ids", dec
     return with_arrow_columns(df, [text], [T.StructField(out, T.BinaryType()), T.StructField(decoded, T.StringType())], make)
 
 
-def encode_checked(df: DataFrame, text: str = "text", out: str = "token_ids", same: str = "round_trip", vocabulary: str | None = None) -> DataFrame:
-    """Adds the ids of each text, and whether they decode to the text; the text itself is left out of the result."""
+def encode_checked(df: DataFrame, text: str = "text", out: str = "token_ids", same: str = "round_trip", vocabulary: str | None = None, most_words: int = MOST_WORDS, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """Adds the ids of each text, and whether they decode to the text; the text itself is left out of the result.
+
+    ``most_words`` and ``most_pairs`` are remembered in each of two generations: less memory, more time.
+    """
     path = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def make():
-        encoder = Encoder(Vocabulary(shared.value))
+        encoder = Encoder(Vocabulary(shared.value), most_words, most_pairs)
         decoder = Decoder(encoder.vocabulary)
 
         def compute(column):
