@@ -3,12 +3,13 @@
 Nearness is the largest inner product. Vectors get one more component so that all have the largest
 norm; then the nearest by distance is the one with the largest product. About sqrt(n) centroids are
 fitted on a bounded sample, large clusters of it split in two, and searched by an in-memory
-neighbour graph. Every vector is put into the posting list of its nearest centroid and, at a
+neighbour graph that is entered at hubs. Every vector is put into the posting list of its nearest centroid and, at a
 boundary, also of those at most ``spread`` times as far, up to ``replicas``. A query probes all lists
 at most ``ratio`` times as far as its nearest. None of the three is guessed: a bounded sample of the
 queries is answered by brute force over all vectors, for each choice of spread and replicas the
 least ratio that covers ``COVER`` of the true neighbours is found, and the choice is taken that
-compares the fewest vectors.
+compares the fewest vectors. A query that has found fewer than k neighbours although there are more
+probes on, up to all lists.
 
 Lists are packed into bins of about ``BIN_ROWS`` postings; a bin meets the queries that probe any of
 its lists, a row a query, and gives each its k + 1 best. A list over ``BIN_ROWS`` is cut into pieces by
@@ -42,8 +43,10 @@ REPLICATIONS = ((1.03, 2), (1.1, 2), (1.1, 4), (1.3, 8))
 #: Share of true neighbours that the probed lists must hold, and the queries it is measured on.
 COVER, CALIBRATION = 0.95, 200
 BIN_ROWS, PROBE_ROWS = 16_384, 16_384
-#: Edges of a centroid in the graph, entry points, and centroids expanded at a time.
+#: Edges of a centroid in the graph, hubs at least, and centroids expanded at a time.
 DEGREE, STARTS, EXPANDED = 16, 16, 4
+#: Centres that a search holds at least.
+LEAST_BEAM = 64
 #: Rows up to which sizes of bins are broadcast; there is a row a bin.
 BROADCAST_ROWS = 200_000
 #: Lengths of vectors in one table.
@@ -51,7 +54,12 @@ MOST_LENGTHS = 64
 
 
 class Centroids:
-    """Centres of the posting lists and the graph through which they are searched."""
+    """Centres of the posting lists and the graph through which they are searched.
+
+    Every centre has an edge to its nearest others. Some centres, about twice the square root of them
+    all, are hubs: a search is compared with all hubs, begins at the nearest, and goes along edges
+    with a beam of bounded width. Its work grows with the hubs and the beam, not with the centres.
+    """
 
     def __init__(self, centres: np.ndarray):
         self.centres = centres.astype(np.float32)
@@ -64,46 +72,51 @@ class Centroids:
             d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
             if degree:
                 self.near[a : a + 512] = np.argpartition(d, degree - 1, axis=1)[:, :degree]
-        self.starts = np.unique(np.linspace(0, n - 1, min(STARTS, n)).astype(int))
+        self.hubs = np.unique(np.linspace(0, n - 1, min(n, max(STARTS, 2 * int(n**0.5)))).astype(int))
 
     def search(self, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``keep`` nearest centres that a best-first walk finds for each row, nearest first, and their distances.
+        """The ``keep`` nearest centres that a walk finds for each row, nearest first, and their distances.
 
-        The nearest centres not expanded yet are expanded, of all rows at once, until none of the
-        ``keep`` nearest is left.
+        The beam holds the nearest centres met, ``keep`` or ``LEAST_BEAM`` of them. Its nearest ones
+        not expanded yet are expanded, of all rows at once, until a row has none left.
         """
         n, keep = len(self.centres), min(keep, len(self.centres))
         x = x.astype(np.float32)
-        own = (x**2).sum(axis=1, keepdims=True)
-        rows = np.arange(len(x))[:, None]
-        seen = np.full((len(x), n), np.inf, np.float32)
-        seen[:, self.starts] = self.norms[self.starts] - 2 * x @ self.centres[self.starts].T
-        todo = seen.copy()  # infinite where a centre was expanded or not met
-        active = np.arange(len(x))
-        pick = min(EXPANDED, keep)
-        while len(active) and self.near.shape[1]:
-            # a row is done when its nearest open centre is no nearer than its keep-th
-            at = rows[: len(active)]
-            node = np.argpartition(todo[active], pick - 1, axis=1)[:, :pick] if pick < n else np.tile(np.arange(n), (len(active), 1))
-            value = todo[active][at, node]
-            bound = np.partition(seen[active], keep - 1, axis=1)[:, keep - 1 : keep] if keep < n else np.full((len(active), 1), np.inf, np.float32)
-            valid = np.isfinite(value) & (value <= bound)
-            going = valid.any(axis=1)
-            active, node, valid = active[going], node[going], valid[going]
-            if not len(active):
-                break
-            todo[np.repeat(active, pick)[valid.ravel()], node[valid]] = np.inf
-            to = np.where(valid[:, :, None], self.near[node], node[:, :, None]).reshape(len(active), -1)
-            fresh = np.isinf(seen[active[:, None], to])
+        wide = min(n, max(keep, LEAST_BEAM))
+        far = self.norms[self.hubs] - 2 * x @ self.centres[self.hubs].T
+        first = np.argpartition(far, min(wide, len(self.hubs)) - 1, axis=1)[:, :wide]
+        node, value = self.hubs[first], np.take_along_axis(far, first, 1)
+        fill = ((0, 0), (0, wide - node.shape[1]))
+        node, value = np.pad(node, fill, constant_values=-1), np.pad(value, fill, constant_values=np.inf)
+        unmet = np.ones((len(x), n), bool)  # looked up, never scanned
+        unmet[np.arange(len(x))[:, None], self.hubs[first]] = False
+        todo = np.isfinite(value)
+        active = np.flatnonzero(todo.any(axis=1)) if self.near.shape[1] else np.zeros(0, np.int64)
+        pick = min(EXPANDED, wide)
+        while len(active):
+            rows = np.arange(len(active))[:, None]
+            now = np.where(todo[active], value[active], np.inf)
+            chosen = np.argpartition(now, pick - 1, axis=1)[:, :pick]
+            usable = np.isfinite(now[rows, chosen])
+            todo[active[:, None], chosen] = False
+            to = self.near[np.where(usable, node[active[:, None], chosen], 0)]
+            to = np.sort(np.where(usable[:, :, None], to, -1).reshape(len(active), -1), axis=1)
+            fresh = (to >= 0) & unmet[active[:, None], to]
+            fresh[:, 1:] &= to[:, 1:] != to[:, :-1]
             r, c = np.nonzero(fresh)
-            row, centre = active[r], to[r, c]
-            d = self.norms[centre] - 2 * np.einsum("nd,nd->n", x[row], self.centres[centre])
-            seen[row, centre] = d
-            todo[row, centre] = d
-        best = np.argpartition(seen, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(x), 1))
-        order = np.argsort(seen[rows, best], axis=1, kind="stable")
-        best = np.take_along_axis(best, order, 1)
-        return best, np.sqrt(np.maximum(seen[rows, best] + own, 0))
+            unmet[active[r], to[r, c]] = False
+            reach = np.full(to.shape, np.inf, np.float32)
+            reach[r, c] = self.norms[to[r, c]] - 2 * np.einsum("nd,nd->n", x[active[r]], self.centres[to[r, c]])
+            every = np.concatenate((value[active], reach), axis=1)
+            best = np.argpartition(every, wide - 1, axis=1)[:, :wide]
+            value[active] = np.take_along_axis(every, best, 1)
+            node[active] = np.take_along_axis(np.concatenate((node[active], to), axis=1), best, 1)
+            todo[active] = np.take_along_axis(np.concatenate((todo[active], fresh), axis=1), best, 1)
+            active = active[todo[active].any(axis=1)]
+        order = np.argsort(value, axis=1, kind="stable")[:, :keep]
+        best, value = np.take_along_axis(node, order, 1), np.take_along_axis(value, order, 1)
+        own = (x**2).sum(axis=1, keepdims=True)
+        return best, np.sqrt(np.maximum(value + own, 0))
 
     def postings(self, x: np.ndarray, spread: float, replicas: int) -> np.ndarray:
         """The lists of each row, its nearest first; -1 where there are less than ``replicas``."""
@@ -113,17 +126,11 @@ class Centroids:
         out[:, 0] = best[:, 0]
         return np.pad(out, ((0, 0), (0, replicas - out.shape[1])), constant_values=-1)
 
-    def within(self, x: np.ndarray, ratio: float, first: int) -> Iterator[np.ndarray]:
-        """For each row the centres at most ``ratio`` times as far as its nearest; about ``first`` are expected."""
-        rows, keep = np.arange(len(x)), first
-        out: list = [None] * len(x)
-        while len(rows):
-            best, far = self.search(x[rows], keep)
-            whole = (far[:, -1] > ratio * far[:, 0]) | np.isinf(far[:, -1]) | (best.shape[1] == len(self.centres))
-            for k in np.flatnonzero(whole):
-                out[rows[k]] = best[k][far[k] <= ratio * far[k][0]]
-            rows, keep = rows[~whole], 2 * keep  # only rows with more go on
-        yield from out
+    def within(self, x: np.ndarray, ratio: float, keep: int) -> Iterator[np.ndarray]:
+        """For each row those of its ``keep`` nearest centres that are at most ``ratio`` times as far as the nearest."""
+        best, far = self.search(x, keep)
+        for row, distance in zip(best, far):
+            yield row[(row >= 0) & (distance <= ratio * distance[0])]
 
 
 def fit_centroids(sample: np.ndarray, k: int, rounds: int = 5, seed: int = 3) -> Centroids:
@@ -222,7 +229,7 @@ def _candidates(clean: DataFrame, dim: int, k: int) -> DataFrame:
         sample = vectors.select("v").limit(1).toArrow()
     points = _lifted(_matrix(sample.column(0), dim), norm)
     centroids = fit_centroids(points, max(1, min(lists, len(points) // 8)))
-    spread, replicas, ratio, first = _calibrated(vectors, queries, centroids, points, norm, dim, k)
+    spread, replicas, ratio, keep = _calibrated(vectors, queries, centroids, points, norm, dim, k)
     shared = spark.sparkContext.broadcast(centroids)  # at most LISTS centres
 
     def post(batches):
@@ -250,38 +257,55 @@ def _candidates(clean: DataFrame, dim: int, k: int) -> DataFrame:
         bin_of[x] = len(pieces) - 1
     bins = spark.sparkContext.broadcast(bin_of)
 
-    def probe(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                rows, of, lists = [], [], []
-                for r, found in enumerate(shared.value.within(_stretched(_matrix(part.column(0), dim), norm), ratio, first)):
-                    found = np.sort(found[bins.value[found] >= 0])
-                    own, start = np.unique(bins.value[found], return_index=True)
-                    rows += [r] * len(own)
-                    of += own.tolist()
-                    lists += [x.tolist() for x in np.split(found, start[1:])] if len(own) else []
-                rows = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(of, pa.int32()), pa.array(lists, pa.list_(pa.int32())), part.column(0).take(rows), part.column(1).take(rows)], names=["bin", "lists", "v", "key"]
-                )
-
-    probes = table(queries.select("v", "key").mapInArrow(probe, f"bin int, lists array<int>, v {kind}, key bigint"))
-    parts = {r[0]: -(-r[1] // PROBE_ROWS) for r in probes.groupBy("bin").count().collect()}  # a row a bin
-    cut_up = spark.createDataFrame([(b, p, parts[b]) for b, p in enumerate(pieces) if b in parts], "bin int, pieces int, parts int")
-    cut_up = F.broadcast(cut_up) if small(cut_up, BROADCAST_ROWS) else cut_up
     named = spark.createDataFrame([(x, int(bin_of[x])) for x in sizes], "list int, bin int")
-    piece, part = F.pmod("key", F.col("pieces")).cast("int"), F.pmod("key", F.col("parts")).cast("int")
-    left = postings.join(F.broadcast(named), "list").join(cut_up, "bin")  # LISTS rows
-    left = left.select("bin", piece.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "list", "v", "ids")
-    right = probes.join(cut_up, "bin").select("bin", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), part.alias("part"), "lists", "v", "key")
-    by = ["bin", "piece", "part"]
-    met = left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(_meet(dim, k, replicas), "key bigint, id array<bigint>, score array<double>")
-    first_of = Window.partitionBy("key").orderBy(F.desc("score"), "id")
-    return (
-        met.select("key", F.explode(F.arrays_zip("id", "score")).alias("x")).groupBy("key", "x.id").agg(F.max("x.score").alias("score"))
-        .withColumn("r", F.row_number().over(first_of)).where(F.col("r") <= k + 1).select("key", "id", "score")
-    )
+
+    def looked_up(asked: DataFrame, ratio: float, keep: int) -> DataFrame:
+        """(key, id, score): the k + 1 best of the lists that queries (v, key) probe, as a table."""
+
+        def probe(batches):
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    rows, of, lists = [], [], []
+                    for r, found in enumerate(shared.value.within(_stretched(_matrix(part.column(0), dim), norm), ratio, keep)):
+                        found = np.sort(found[bins.value[found] >= 0])
+                        own, start = np.unique(bins.value[found], return_index=True)
+                        rows += [r] * len(own)
+                        of += own.tolist()
+                        lists += [x.tolist() for x in np.split(found, start[1:])] if len(own) else []
+                    rows = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(of, pa.int32()), pa.array(lists, pa.list_(pa.int32())), part.column(0).take(rows), part.column(1).take(rows)], names=["bin", "lists", "v", "key"]
+                    )
+
+        probes = table(asked.select("v", "key").mapInArrow(probe, f"bin int, lists array<int>, v {kind}, key bigint"))
+        parts = {r[0]: -(-r[1] // PROBE_ROWS) for r in probes.groupBy("bin").count().collect()}  # a row a bin
+        cut_up = spark.createDataFrame([(b, p, parts[b]) for b, p in enumerate(pieces) if b in parts], "bin int, pieces int, parts int")
+        cut_up = F.broadcast(cut_up) if small(cut_up, BROADCAST_ROWS) else cut_up
+        piece, part = F.pmod("key", F.col("pieces")).cast("int"), F.pmod("key", F.col("parts")).cast("int")
+        left = postings.join(F.broadcast(named), "list").join(cut_up, "bin")  # LISTS rows
+        left = left.select("bin", piece.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "list", "v", "ids")
+        right = probes.join(cut_up, "bin").select("bin", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), part.alias("part"), "lists", "v", "key")
+        by = ["bin", "piece", "part"]
+        met = left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(_meet(dim, k, replicas), "key bigint, id array<bigint>, score array<double>")
+        first_of = Window.partitionBy("key").orderBy(F.desc("score"), "id")
+        return table(
+            met.select("key", F.explode(F.arrays_zip("id", "score")).alias("x")).groupBy("key", "x.id").agg(F.max("x.score").alias("score"))
+            .withColumn("r", F.row_number().over(first_of)).where(F.col("r") <= k + 1).select("key", "id", "score")
+        )
+
+    # every query gets k neighbours, or all there are: those that found too few probe on, four times as many lists each time
+    enough = vectors.select(F.explode("ids").alias("id")).distinct().limit(k + 1).count()
+    found = looked_up(queries, ratio, keep)
+    while keep < len(centroids.centres) or ratio < np.inf:
+        counts = found.groupBy("key").agg(F.count("*").alias("n"))
+        lacking = table(queries.join(counts, "key", "left").where(F.coalesce("n", F.lit(0)) < enough).select("v", "key"))
+        if lacking.isEmpty():
+            break
+        keep = min(4 * keep, len(centroids.centres))
+        ratio = 2 * ratio if keep < len(centroids.centres) else np.inf
+        found = found.join(lacking.select("key"), "key", "left_anti").unionByName(looked_up(lacking, ratio, keep))
+    return found
 
 
 def _meet(dim: int, k: int, replicas: int):
@@ -324,9 +348,10 @@ def _meet(dim: int, k: int, replicas: int):
 
 
 def _calibrated(vectors: DataFrame, queries: DataFrame, centroids: Centroids, points: np.ndarray, norm: float, dim: int, k: int) -> tuple[float, int, float, int]:
-    """Spread, replicas and ratio that compare the fewest vectors of those that cover COVER, and how many lists a query then probes.
+    """Spread, replicas and ratio that compare the fewest vectors of those that cover COVER, and how many centres a search keeps.
 
-    Covered are the true neighbours of CALIBRATION queries; ``points`` say how many lists a vector is put into.
+    Covered are the true neighbours of CALIBRATION queries by the search itself; it keeps the fewest
+    centres with which any choice covers enough. ``points`` say how many lists a vector is put into.
     """
     sample = queries.orderBy(F.xxhash64("key"), "key").limit(CALIBRATION).select("v").toArrow()
     q = _matrix(sample.column(0), dim)
@@ -346,16 +371,23 @@ def _calibrated(vectors: DataFrame, queries: DataFrame, centroids: Centroids, po
     true = ranked.select("s", "v").toArrow()  # CALIBRATION x k rows
     whose, x = true.column("s").to_numpy(), _lifted(_matrix(true.column("v"), dim), norm)
     stretched = _stretched(q, norm)
-    distance = np.sqrt(np.maximum((stretched**2).sum(axis=1)[:, None] + centroids.norms - 2 * stretched @ centroids.centres.T, 0))
-    ratios = distance / distance.min(axis=1, keepdims=True)
-    best = None
-    for spread, replicas in REPLICATIONS:
-        lists = centroids.postings(x, spread, replicas)
-        needed = np.where(lists >= 0, ratios[whose[:, None], lists], np.inf).min(axis=1)
-        ratio = float(np.quantile(needed, COVER, method="higher")) + 1e-6
-        probed = (ratios <= ratio).sum(axis=1)
-        copies = (centroids.postings(points[:2048], spread, replicas) >= 0).sum(axis=1).mean()
-        cost = probed.mean() * copies
-        if best is None or cost < best[0]:
-            best = (cost, spread, replicas, ratio, int(probed.max()) + 1)
+    n, best = len(centroids.centres), None
+    for keep in sorted({min(n, LEAST_BEAM << x) for x in range(n.bit_length())}):
+        # with the search that probes: what it doesn't find is not covered
+        near, distance = centroids.search(stretched, keep)
+        ratios = np.full((len(q), n), np.inf)
+        ratios[np.arange(len(q))[:, None], near] = distance / np.maximum(distance[:, :1], 1e-12)
+        for spread, replicas in REPLICATIONS:
+            lists = centroids.postings(x, spread, replicas)
+            needed = np.where(lists >= 0, ratios[whose[:, None], lists], np.inf).min(axis=1)
+            ratio = float(np.quantile(needed, COVER, method="higher")) + 1e-6
+            if not np.isfinite(ratio):
+                continue
+            probed = (ratios <= ratio).sum(axis=1)
+            copies = (centroids.postings(points[:2048], spread, replicas) >= 0).sum(axis=1).mean()
+            cost = probed.mean() * copies
+            if best is None or cost < best[0]:
+                best = (cost, spread, replicas, ratio, keep)
+        if best:
+            break
     return best[1:]

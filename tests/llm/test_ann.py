@@ -96,5 +96,38 @@ def test_many_equal_vectors(spark):
     assert got == brute([(i, np.array(v)) for i, v in rows], 5, 20)
 
 
+@pytest.mark.parametrize("n", [5, 30, 100, 500])
+def test_small_tables_give_all_neighbours(spark, n):
+    """Lists are few and short here, so that the first probes find too few."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32))
+    rows = [(k, v) for k, v in enumerate(x.astype(np.float32).astype(float))]
+    got = found(ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<float>"), F.col("vec_id") % 20 == 0, 20))
+    assert {q: len(v) for q, v in got.items()} == {k: min(20, n - 1) for k in range(0, n, 20)}
+
+
+def test_queries_that_find_too_few_probe_on(spark, monkeypatch):
+    """With a ratio that covers next to nothing every query still gets its k, and with all lists probed the true ones."""
+    rows = vectors(800, dim=8, groups=5)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(ann, "_calibrated", lambda *a: (1.0, 1, 1.0, 1))
+    got = found(ann.nearest(frame, F.col("vec_id") % 20 == 0, 60))
+    assert all(len(x) == 60 for x in got.values()) and len(got) == 40
+    assert found(ann.nearest(frame, F.col("vec_id") % 20 == 0, 799)) == {q: [(i, pytest.approx(s)) for i, s in x] for q, x in brute(rows, 799, 20).items()}
+
+
+def test_the_graph_is_searched_in_bounded_work():
+    """The centres that a search compares don't grow with their number."""
+    rng = np.random.default_rng(2)
+    share = []
+    for n in (1000, 8000):
+        centroids, x = ann.Centroids(rng.normal(size=(n, 16))), rng.normal(size=(64, 16)).astype(np.float32)
+        best, _ = centroids.search(x, 16)
+        d = ((x[:, None] - centroids.centres[None]) ** 2).sum(axis=2)
+        assert (best[:, 0] == d.argmin(axis=1)).mean() > 0.9
+        share.append(len(centroids.hubs) / n)
+    assert share[1] < 0.4 * share[0]
+
+
 def test_empty(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
