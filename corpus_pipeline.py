@@ -61,7 +61,8 @@ def encode_and_check(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts have no ids; rows that repeat stay. Texts are compared where they are
     decoded, so that they don't come back.
     """
-    coded = bpe_codec.encode_checked(docs.select("doc_id", "lang", "source", "text"))
+    # workers still hold what earlier stages needed: fewer words are remembered than for encoding alone
+    coded = bpe_codec.encode_checked(docs.select("doc_id", "lang", "source", "text"), most_words=65_536, most_pairs=150_000)
     return coded.select("doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"), "token_ids", "round_trip")
 
 
