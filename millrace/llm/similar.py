@@ -8,8 +8,13 @@ Texts with one set of shingles are one node. A band's bucket of up to ``SMALL_BU
 its pairs. In larger ones each node first meets a single pivot, that of its largest bucket, then for a
 few rounds one of another bucket, so that a large group of copies is joined by a few pairs a node.
 What isn't joined then is compared whole: buckets that hold nodes of different classes are dealt into
-tiles of about ``TILE`` nodes a side, with their texts. Each pair of a bucket is in one tile, and a tile
-gives only links that join what it knows to be apart, never its pairs.
+tiles of about ``TILE`` nodes and ``TILE_SHINGLES`` shingles a side, with their texts. Each pair of a bucket
+is in one tile, and a tile gives only links that join what it knows to be apart, never its pairs.
+
+Cases: a null, empty or wordless text has no shingles, and all such texts are one node; a text
+shorter than a shingle is one shingle; very long texts are compared whole, their hashes held by one
+task; repeated rows and texts are one node; a component without any non-null id has a null id; an
+empty frame gives an empty frame.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ BANDS, ROWS = 20, 4
 SMALL_BUCKET = 8
 #: Rounds in which a node of large buckets meets one pivot only.
 TURNS = 2
-#: Nodes of a side of a tile, and cells of a matrix of nodes by shingles.
-TILE, CELLS = 1024, 1 << 22
+#: Nodes and shingles of a side of a tile, about, and cells of a matrix of nodes by shingles.
+TILE, TILE_SHINGLES, CELLS = 1024, 1 << 20, 1 << 22
 #: Pairs of one node that a task verifies; more are dealt out.
 PAIRS_A_TASK = 512
 #: Shingles whose min-hashes are taken at a time.
@@ -233,9 +238,9 @@ def similar_groups(df: DataFrame, doc_id: str, text: str, width: int, similarity
         links = found if links is None else links.unionByName(found)
         classes = components(links).select("node", "component")
     # large buckets that hold pairs neither joined nor compared
-    open_ = cut(classed(buckets.where(large)).groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("most").alias("most")).where("low <> high").select("key", "most"))
+    open_ = cut(classed(buckets.where(large)).groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("most").alias("most"), F.sum("n").alias("held")).where("low <> high").select("key", "most", "held"))
     if not open_.isEmpty():
-        rest = classed(buckets.drop("most", "n").join(open_, "key")).withColumn("tiles", F.ceil(F.col("most") / TILE).cast("int"))
+        rest = classed(buckets.drop("most", "n").join(open_, "key")).withColumn("tiles", F.greatest(F.ceil(F.col("most") / TILE), F.ceil(F.col("held") / TILE_SHINGLES)).cast("int"))
         dealt = rest.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "class")
         held = tables.write(rows.select("rkey", "text").join(nodes.join(rest.select("node").distinct(), "node").select("node", "rkey"), "rkey").select("node", "text").dropDuplicates(["node"]))
