@@ -6,8 +6,10 @@ the item would have to begin in a document (an alignment). Where m words of a wi
 m + 1 rarest are. Lists are then intersected from the rarest on: the next ``NEXT`` rarest words of
 each window are posted for documents with an alignment only, and met at alignment + offset; what
 lacks more than m of a window's words goes. For the documents that are left all benchmark words are
-posted, and the lists of all an item's words are met at its alignments. Windows of which all words
-meet are exact matches, those of which a share does are proximity matches.
+posted, and the lists of the words of those windows are met at their alignments. Windows of which all
+words meet are exact matches, those of which a share does are proximity matches. An item's windows
+with the same words are looked for once, so that a word or a line repeated in an item and in a
+document meets once a place and not at every offset.
 
 So of the index only what the rarest terms leave is ever written: three tables of postings, each a
 word at most once a document and position. No text is sent anywhere but for the join with the
@@ -16,8 +18,8 @@ counted small, else all joins shuffle. Everything is DataFrame and SQL expressio
 
 Cases: null and empty texts have no words and no hits; an item without words has no window, one
 with fewer words than a window is one window; an item that comes twice, or with a null id, counts
-by its id as text, null as the empty text; repeated documents get the same figures; an empty
-benchmark hits nothing; columns of other names are left alone.
+by its id as text, null as the empty text; repeated documents get the same figures; very long
+texts are looked through whole, as rows of words; an empty benchmark hits nothing; columns of other names are left alone.
 """
 
 from __future__ import annotations
@@ -58,19 +60,22 @@ def item_words(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
 
 
 def _places(items: DataFrame, frequency: DataFrame, window: int, misses: int) -> DataFrame:
-    """(item, first, need, rank, at, word): the rarest places of each window, from ``first`` on, and how many must meet.
+    """(item, first, n, need, rank, at, word): the rarest places of each window of n words, from ``first`` on, and how many must meet.
 
-    A window with more words that no document has than may miss is left out. Windows are found per
-    item; an item is one text.
+    Of an item's windows with the same words only the first is looked for, as it is found wherever the
+    others are. A window with more words that no document has than may miss is left out. Windows are
+    found per item; an item is one text.
     """
     span = Window.partitionBy("item").orderBy("at").rowsBetween(0, window - 1)
     ranked = items.join(frequency, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = F.slice(F.array_sort(F.collect_list(F.struct("df", "at", "word")).over(span)), 1, misses + 1 + NEXT)
-    windows = ranked.withColumn("rarest", rarest).where((F.col("at") + window <= F.col("size")) | (F.col("at") == 0))
+    told = ranked.withColumns({"rarest": rarest, "phrase": F.collect_list("word").over(span), "unknown": F.count_if(F.col("df") == 0).over(span)})
+    whole = told.where((F.col("at") + window <= F.col("size")) | (F.col("at") == 0)).where(F.col("unknown") <= misses)
+    alike = Window.partitionBy("item", "phrase")
     return (
-        windows.select("item", F.col("at").alias("first"), (F.size("rarest") - misses).alias("need"), F.posexplode("rarest").alias("rank", "x"), F.count_if(F.col("df") == 0).over(span).alias("unknown"))
-        .where(F.col("unknown") <= misses)
-        .select("item", "first", "need", "rank", F.col("x.at").alias("at"), F.col("x.word").alias("word"))
+        whole.withColumn("least", F.min("at").over(alike)).where("at = least")
+        .select("item", F.col("at").alias("first"), F.least(F.lit(window), F.col("size")).alias("n"), (F.size("rarest") - misses).alias("need"), F.posexplode("rarest").alias("rank", "x"))
+        .select("item", "first", "n", "need", "rank", F.col("x.at").alias("at"), F.col("x.word").alias("word"))
     )
 
 
@@ -97,25 +102,26 @@ LINE = ["rid", "rkey", "item", "start"]
 
 
 def alignments(tables: Tables, docs: DataFrame, items: DataFrame, window: int, few: bool, misses: int = 0) -> DataFrame:
-    """(rid, rkey, item, start): where an item begins, as far as the rarest words of some window of it tell.
+    """(rid, rkey, item, start, first, n): where an item would begin if its window of n words from ``first`` on is there, as far as its rarest words tell.
 
-    ``docs``: rid, rkey, text. ``misses``: words of a window that need not meet. start may lie before a document's first word or after its last.
+    ``docs``: rid, rkey, text. ``misses``: words of a window that need not meet. start may lie before a
+    document's first word or after its last. What a posting says is asked of its own windows only.
     """
     frequency = cut(_postings(docs, items, few).groupBy("word").agg(F.count("*").alias("df")))
     places = tables.write(_places(items, frequency, window, misses))
     hint = lambda df: _bench(df, few)
-    rarest = places.where(F.col("rank") <= misses).select("item", "at", "word").distinct()
-    # a table: what each of its words says of where items begin is asked for twice
-    first = tables.write(_postings(docs, rarest, few))
-    hits = tables.write(first.join(hint(rarest), "word").select("rid", "rkey", "item", (F.col("pos") - F.col("at")).alias("start"), "at"))
-    lines = hits.select(*LINE).distinct()
-    others = places.where(F.col("rank") > misses).select("item", "at", "word").distinct()
+    rarest, others = places.where(F.col("rank") <= misses), places.where(F.col("rank") > misses)
+    words = rarest.select("item", "at", "word").distinct()
+    # a table: what each of its words says of where windows are is asked for twice
+    first = tables.write(_postings(docs, words, few))
+    hits = first.join(hint(words), "word").select("rid", "rkey", "item", (F.col("pos") - F.col("at")).alias("start"), "at")
+    hits = tables.write(hits.join(hint(rarest.select("item", "at", "first", "n", "need")), ["item", "at"]).select(*LINE, "first", "n", "need"))
     second = tables.write(_postings(_of_documents(docs, hits), others, few))
-    asked = lines.join(hint(others), "item").withColumn("pos", F.col("start") + F.col("at"))
+    asked = hits.select(*LINE, "first", "n", "need").distinct() if misses else hits
+    asked = asked.join(hint(others.select("item", "first", "at", "word")), ["item", "first"]).withColumn("pos", F.col("start") + F.col("at"))
     # what is met of each window, of its words that were looked up
-    both = hits.unionByName(_met(asked, second).select(*LINE, "at"))
-    told = both.join(hint(places.select("item", "at", "first", "need")), ["item", "at"]).groupBy(*LINE, "first", "need").agg(F.count("*").alias("n"))
-    out = tables.write(told.where("n >= need").select(*LINE).distinct())
+    both = hits.unionByName(_met(asked, second).select(*LINE, "first", "n", "need"))
+    out = tables.write(both.groupBy(*LINE, "first", "n", "need").agg(F.count("*").alias("met")).where("met >= need").select(*LINE, "first", "n"))
     tables.drop(first, second, hits, places)
     return out
 
@@ -126,6 +132,7 @@ def matches(
     """(rid, rkey, name, start, n, at): windows, by their offset ``at`` in the item, of which a share of the words meets.
 
     A window's words are those of the document from start + at on, n of them. ``docs``: rid, rkey, text.
+    Of an item's windows with the same words the first stands for all.
     """
     tables = Tables(docs.sparkSession)
     named = cut(item_words(benchmark, item_id, item_text))
@@ -134,7 +141,10 @@ def matches(
     misses = window - math.ceil(share * window - 1e-9)
     lines = alignments(tables, docs, items, window, few, misses)
     postings = tables.write(_postings(_of_documents(docs, lines), items, few))
-    asked = lines.join(_bench(items.select("item", "at", "word"), few), "item").withColumn("pos", F.col("start") + F.col("at"))
+    # the places of all windows of a line, each once
+    wanted = F.array_distinct(F.flatten(F.transform(F.collect_list(F.struct("first", "n")), lambda x: F.sequence(x["first"], x["first"] + x["n"] - 1))))
+    asked = lines.groupBy(*LINE).agg(wanted.alias("ats")).select(*LINE, F.explode("ats").alias("at"))
+    asked = asked.join(_bench(items.select("item", "at", "word"), few), ["item", "at"]).withColumn("pos", F.col("start") + F.col("at"))
     met = _met(asked, postings).groupBy(*LINE).agg(F.array_sort(F.collect_list("at")).alias("met"))  # of one item
     n = F.least(F.lit(window), F.col("size"))
     found = met.join(_bench(named.select("item", "name", "size"), few), "item").withColumns({"n": n, "need": F.greatest(F.lit(1), F.ceil(share * n - 1e-9)).cast("int")})

@@ -13,8 +13,9 @@ of one text count once in all four counts, so copies alone are no evidence: of t
 those with the smallest id are counted, divided by their number. Texts are not shuffled for this;
 only their hashes and ids are.
 
-Cases: a null or empty text has no spans; very long texts are looked through whole, in time that
-grows with their length; ties in a start are listed in the order email, ip, card, phone, term;
+Cases: a null or empty text has no spans; very long texts are looked through whole: patterns take time
+that grows with their length, co-occurrence the number of their terms times that of their sets of
+values which ``min_support`` other texts tell apart; ties in a start are listed in the order email, ip, card, phone, term;
 repeated rows get the same spans; an empty frame gives an empty frame; ``find_personal_data`` replaces
 columns with an output's name, ``sanitise`` keeps all columns but the text as they are.
 """
@@ -245,12 +246,22 @@ def _text_terms(rows: DataFrame) -> DataFrame:
     return rows.select("rkey", "t", "held").mapInArrow(run, "rkey bigint, value string, term string")
 
 
-def _disclosing(rows: DataFrame, alpha: float, min_support: int) -> tuple[DataFrame, DataFrame]:
-    """(value, term) of the terms that disclose a value, and the texts with values of enough support (rkey, t, share, held)."""
+def _disclosing(rows: DataFrame, alpha: float, min_support: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(value, term) of the terms that disclose a leading value, the texts with such values (rkey, t, share, held), and (other, value): the leading value of each.
+
+    Values that are in the same texts have the same counts with every term. One of them, the least,
+    leads the others and is counted for all, so that a list of many values that is in a few texts is
+    one value to be met with their terms.
+    """
     counted, n_texts = _counted(rows)
     found = cut(_values(counted))
     # values of few texts can't have support; only texts with other values are looked into
-    values = found.groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= min_support)
+    alike = ["n_value", "x", "y"]  # how many texts, and 128 bits of which
+    values = found.groupBy("value").agg(F.count("*").alias("n_value"), F.bit_xor(F.xxhash64("rkey")).alias("x"), F.bit_xor(F.xxhash64("rkey", F.lit(7))).alias("y")).where(F.col("n_value") >= min_support)
+    values = cut(values)
+    leaders = values.groupBy(*alike).agg(F.min("value").alias("lead"))
+    led = cut(values.join(leaders, alike).select(F.col("value").alias("other"), F.col("lead").alias("value")))
+    values = leaders.select(F.col("lead").alias("value"), "n_value")
     held = found.join(values.select("value"), "value", "left_semi").groupBy("rkey").agg(F.collect_list("value").alias("held"))  # of one text
     holding = counted.join(_hinted(held), "rkey")
     pairs = _pair_counts(holding).where(F.col("n_pair") >= min_support)
@@ -261,7 +272,7 @@ def _disclosing(rows: DataFrame, alpha: float, min_support: int) -> tuple[DataFr
         .where(F.log2(n * F.col("n_pair") / (F.col("n_value") * F.col("n_term"))) >= alpha * F.log2(n / F.col("n_value")) - 1e-9)
         .select("value", "term")
     )
-    return cut(scored), holding
+    return cut(scored), holding, led
 
 
 def _hinted(df: DataFrame) -> DataFrame:
@@ -277,13 +288,14 @@ def find_personal_data(
     df = df.drop(out, base)
     small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{doc_id}`").cast("string").alias("rid"), text_key(text).alias("rkey"), F.col(f"`{text}`").alias("t"))
-    scored, holding = _disclosing(rows, alpha, min_support)
-    if small(scored, BROADCAST_ROWS):
-        terms_of: dict[str, set[str]] = {}
+    scored, holding, led = _disclosing(rows, alpha, min_support)
+    named = cut(led.join(scored.select("value").distinct(), "value", "left_semi"))
+    if small(scored, BROADCAST_ROWS) and small(named, BROADCAST_ROWS):
+        of_leader: dict[str, set[str]] = {}
         for value, term in scored.collect():  # at most BROADCAST_ROWS
-            terms_of.setdefault(value, set()).add(term)
-        shared = df.sparkSession.sparkContext.broadcast(terms_of)
-        return with_arrow_columns(df, [text], _span_fields(base, out), _marker(lambda x, spans: set().union(*(shared.value.get(v, ()) for v in _protected(x, spans)))))
+            of_leader.setdefault(value, set()).add(term)
+        shared = df.sparkSession.sparkContext.broadcast({r.other: of_leader[r.value] for r in named.collect()})  # as many
+        return with_arrow_columns(df, [text], _span_fields(base, out), _marker(lambda x, spans: set().union(*{id(t): t for v in _protected(x, spans) if (t := shared.value.get(v))}.values())))
     marked = _text_terms(holding).join(scored, ["value", "term"], "left_semi").groupBy(F.col("rkey").alias("__rkey")).agg(F.collect_set("term").alias("__terms"))
     joined = df.withColumn("__key", text_key(text)).join(_hinted(marked), F.col("__key") == F.col("__rkey"), "left")
     return with_arrow_columns(joined, [text, "__terms"], _span_fields(base, out), _marker(lambda x, spans, terms: set(terms or ()))).drop("__key", "__rkey", "__terms")

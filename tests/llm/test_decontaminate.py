@@ -115,3 +115,31 @@ def test_dropping(spark):
     frame = docs(spark, [(1, item), (2, "clean"), (None, item), (None, None), (3, item + " filler" * 300)])
     kept = decontaminate.drop_contaminated(frame, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
     assert kept.columns == frame.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "None"]
+
+
+def test_repeated_words_and_lines(spark):
+    """A word, or a line, repeated through an item and through documents: against every place of every window."""
+    rng = random.Random(8)
+    line = "one two three four five".split()
+    items = [(1, ["same"] * 60), (2, line * 12), (3, [*["same"] * 5, *line, *["same"] * 20]), (4, [rng.choice("ab") for _ in range(60)])]
+    texts = [(1, ["same"] * 80), (2, [*line * 9, "x", *line * 2]), (3, [*["same"] * 12, "y", *["same"] * 13]), (4, ["z", *line, *["same"] * 9]), (5, items[3][1][7:40]), (6, [rng.choice("ab") for _ in range(300)])]
+    found = decontaminate.contamination(docs(spark, [(i, " ".join(w)) for i, w in texts]), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")).collect()
+    for r in found:
+        w, hit, names = dict(texts)[r.doc_id], set(), set()
+        for name, x in items:
+            windows = {tuple(x[k : k + 13]) for k in range(len(x) - 12)}
+            for k in range(len(w) - 12):
+                if tuple(w[k : k + 13]) in windows:
+                    hit |= set(range(k, k + 13))
+                    names.add(str(name))
+        assert (r.n_words, r.n_hit, r.n_items, r["items"]) == (len(w), len(hit), len(names), sorted(names))
+
+
+def test_one_word_twenty_thousand_times(spark):
+    import time
+
+    text = "same " * 20_000
+    began = time.perf_counter()
+    found = decontaminate.contamination(docs(spark, [(1, text), (2, f"x {text}"), (3, "same word")]), spark.createDataFrame([(1, text)], "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.n_hit) for r in found} == {(1, 20_000), (2, 20_000), (3, 0)}
+    assert time.perf_counter() - began < 60

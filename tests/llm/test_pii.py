@@ -146,3 +146,35 @@ def test_copies_count_once(spark, monkeypatch, rows):
     found = pii.find_personal_data(docs(spark, pairs)).collect()
     marked = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "term"] for r in found}
     assert marked == {i: ["Quimby"] * (i >= 200) for i, _ in pairs}
+
+
+@pytest.mark.parametrize("rows", [pii.BROADCAST_ROWS, 0])
+def test_values_of_the_same_texts_are_counted_as_one(spark, monkeypatch, rows):
+    """A list of addresses in a few texts: every term that discloses one discloses all, and is met once."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
+    addresses = [f"user{k}@list.org" for k in range(40)]
+    pairs = [(k, "red green blue house") for k in range(1)] + [(100 + k, f"red {' '.join(addresses)} Quimby green {k}") for k in range(4)]
+    pairs += [(200 + k, f"word{k} blue {addresses[0]} Zelda") for k in range(3)] + [(300 + k, f"plain text number {'abcdefgh'[k]}") for k in range(8)]
+    frame = docs(spark, pairs)
+    found = pii.find_personal_data(frame).collect()
+    terms = {r.text[s.start : s.end].lower() for r in found for s in r.spans if s.kind == "term"}
+    assert terms == brute_terms(pairs)
+    keyed = frame.selectExpr("cast(doc_id as string) as rid", "hash(text) as rkey", "text as t")
+    _, holding, led = pii._disclosing(keyed.withColumn("rkey", keyed.rkey.cast("bigint")), pii.ALPHA, pii.MIN_SUPPORT)
+    assert max(len(r.held) for r in holding.collect()) == 2 and led.select("value").distinct().count() == 2 and led.count() == 40
+
+
+def test_lists_of_addresses_take_time_by_length(spark):
+    """Three texts of some 100 KB with the same addresses among as many words."""
+    import time
+
+    took = []
+    for n in (250, 4000):
+        text = " ".join(f"user{k}@list.org {''.join('abcdefghij'[int(d)] for d in str(1000 + k))}" for k in range(n))
+        frame = docs(spark, [(k, f"{text} {'xyz'[k] * 3}") for k in range(3)]).cache()
+        frame.count()
+        began = time.perf_counter()
+        spans = {r.doc_id: len(r.spans) for r in pii.find_personal_data(frame).collect()}
+        took.append(time.perf_counter() - began)
+        assert all(n <= x for x in spans.values())
+    assert took[1] < 30 + 3 * took[0]
