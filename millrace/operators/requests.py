@@ -18,11 +18,14 @@ depend on each other, and two where no report is named twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from types import SimpleNamespace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_trim
 from ..sources.shared import cut
+from ..sources.versions import Store
 from .documents import document_columns, extracted
 from .writes import replace_links, upsert_dimension
 
@@ -33,7 +36,7 @@ NO_PRODUCT, NO_REPORT, NO_DOCUMENT, TWICE = "product not found", "report not fou
 def _mentions(requests: DataFrame, reports: DataFrame, products: DataFrame, pages: DataFrame) -> DataFrame:
     """Each report that a request names, with what can be said of it whatever other requests do."""
     known = products.select(F.col("id").alias("product_id"), F.lit(True).alias("is_product"))
-    stored = reports.select("report_id", F.coalesce("has_document", F.lit(False)).alias("stored"))
+    stored = reports.select("report_id", _has_document(reports).alias("stored"))
     named = requests.select("request", "pos", "report_id", "product_id").join(known, "product_id", "left").join(stored, "report_id", "left")
     every = extracted(named, pages)
     names = F.filter(F.transform("doc.terpenes", lambda r: py_trim(r["name"])), lambda x: x != "")
@@ -45,6 +48,11 @@ def _mentions(requests: DataFrame, reports: DataFrame, products: DataFrame, page
     return every.withColumn("barred", barred).drop("is_product", "stored")
 
 
+def _has_document(reports: DataFrame) -> Column:
+    """Whether a report's document is stored: by a column of that name, else by pdf_bytes."""
+    return F.coalesce("has_document", F.lit(False)) if "has_document" in reports.columns else F.col("pdf_bytes").isNotNull()
+
+
 def _folded(mentions: DataFrame) -> DataFrame:
     """``mentions`` (request, pos, report_id, barred, failed) with reached, gone and taken.
 
@@ -68,12 +76,12 @@ def process_requests(domain, requests: DataFrame, pages: DataFrame) -> dict[str,
 
     requests: (request, pos, report_id, product_id), the product the same in all rows of a request, or
     null; pages: (report_id, page_no, raw, and if given error). domain has products, lab_reports
-    (report_id, product_id, status, has_document, and others), product_terpenes and terpenes.
+    (report_id, product_id, status, has_document or pdf_bytes, and others), product_terpenes and terpenes.
 
     answers: the reports that were processed without failing, as they are shown; stops: the report at
     which a request stopped, and why. Of several reports applied to a product the last in the order of
     requests holds; reports without readings leave the links. New names are kept, also those of
-    reports that others followed.
+    reports that others followed. taken and relinked are the keys of the reports and products that changed.
     """
     mentions = cut(_mentions(requests, domain.lab_reports, domain.products, pages))
     flags = _folded(mentions.select("request", "pos", "report_id", "barred", F.col("error").isNotNull().alias("failed")))
@@ -87,7 +95,8 @@ def process_requests(domain, requests: DataFrame, pages: DataFrame) -> dict[str,
     reason = F.when(F.col("gone") & ~early, NO_DOCUMENT).otherwise(F.coalesce("barred", "error"))
     first = F.row_number().over(Window.partitionBy("request").orderBy("pos"))
     stops = told.where("reached and not done").withColumn("k", first).where("k = 1").select("request", "pos", "report_id", reason.alias("reason"))
-    return {"answers": answers, "stops": stops, "lab_reports": _reports_after(domain.lab_reports, told.where("taken")), **_links_after(domain, told.where("status = 'applied'"))}
+    keys = {"taken": told.where("taken").select("report_id"), "relinked": told.where("status = 'applied'").select("product_id").distinct()}
+    return {"answers": answers, "stops": stops, **keys, "lab_reports": _reports_after(domain.lab_reports, told.where("taken")), **_links_after(domain, told.where("status = 'applied'"))}
 
 
 def _reports_after(reports: DataFrame, taken: DataFrame) -> DataFrame:
@@ -96,7 +105,9 @@ def _reports_after(reports: DataFrame, taken: DataFrame) -> DataFrame:
     new = taken.select("report_id", "done", F.col("product_id").alias("new_product_id"), F.col("status").alias("new_status"), F.col("error").alias("new_error"), *[c.alias(f"new_{n}") for n, c in document_columns(done).items()])
     joined = reports.join(new, "report_id", "left")
     is_new = F.col("new_status").isNotNull()
-    changed = {"status": F.coalesce("new_status", "status"), "has_document": F.col("has_document") & ~is_new, "product_id": F.when(done, F.col("new_product_id")).otherwise(F.col("product_id"))}
+    gone = {"has_document": F.col("has_document") & ~is_new} if "has_document" in reports.columns else {}
+    gone |= {"pdf_bytes": F.when(~is_new, F.col("pdf_bytes"))} if "pdf_bytes" in reports.columns else {}
+    changed = {**gone, "status": F.coalesce("new_status", "status"), "product_id": F.when(done, F.col("new_product_id")).otherwise(F.col("product_id"))}
     for n in document_columns(done):
         if n in reports.columns:
             changed[n] = F.when(done, F.col(f"new_{n}")).otherwise(F.col(n))
@@ -115,3 +126,20 @@ def _links_after(domain, applied: DataFrame) -> dict[str, DataFrame]:
     payload = held.select("product_id", F.inline("terpenes"))
     links, dimension = replace_links(domain.product_terpenes, dimension, payload, last)
     return {"product_terpenes": links, "terpenes": dimension}
+
+
+def apply_requests(store: Store, requests: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
+    """Processes requests on a store's tables; reports, links and names change in one version, or none does.
+
+    Only rows that change are written. ``Conflict`` if another writer changed one of the tables since.
+    The frames given back are those of ``process_requests``.
+    """
+    with store.begin() as t:
+        names = ("products", "lab_reports", "product_terpenes", "terpenes")
+        before = {n: t.read(n) for n in names}
+        after = process_requests(SimpleNamespace(spark=store.spark, **before), requests, pages)
+        t.upsert("lab_reports", after["lab_reports"].join(after["taken"], "report_id", "left_semi"))
+        t.append("terpenes", after["terpenes"].join(before["terpenes"].select("id"), "id", "left_anti"))
+        t.delete("product_terpenes", before["product_terpenes"].join(after["relinked"], "product_id", "left_semi"))
+        t.upsert("product_terpenes", after["product_terpenes"].join(after["relinked"], "product_id", "left_semi"))
+    return after

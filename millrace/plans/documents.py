@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import confidence_label, iso_time
 from ..operators import documents as D
 from ..operators import paging
-from ..operators.requests import process_requests
+from ..operators.requests import apply_requests, process_requests
+from ..sources.shared import shared_folder
+from ..sources.versions import Store
 from .registry import Plans, joined
 
 PLANS = Plans()
@@ -193,3 +197,17 @@ def _(d):
     """The links of all products after several requests on each; reports without readings leave them."""
     after = _after_requests(d)
     return after["product_terpenes"].join(after["terpenes"], F.col("id") == F.col("terpene_id")).select("product_id", "name", "percent")
+
+
+@add("stored_links", "report_pages products product_terpenes terpenes", f"""{_REQUESTED}, last as (select product_id, max(report_id) as report_id from o where applied group by 1)
+select product_id, name, percent from product_terpenes join terpenes on terpenes.id = terpene_id where product_id not in (select product_id from last)
+union all select product_id, trim(unnest(names)), unnest(percents) from last join o using (product_id, report_id)""")
+def _(d):
+    """The same, committed to a store as one version and read back from it."""
+    store = Store(d.spark, f"{shared_folder(d.spark)}/requests-{uuid.uuid4().hex}")
+    with store.begin() as t:
+        for name, key in (("products", ["id"]), ("terpenes", ["id"]), ("lab_reports", ["report_id"]), ("product_terpenes", ["product_id", "terpene_id"])):
+            t.replace(name, getattr(d, name), key)
+    apply_requests(store, _requested(d), d.report_pages)
+    names = store.read("terpenes").select(F.col("id").alias("terpene_id"), "name")
+    return store.read("product_terpenes").join(names, "terpene_id").select("product_id", "name", "percent")

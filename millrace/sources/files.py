@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_trim
@@ -58,13 +60,24 @@ def read_uploads(spark: SparkSession, path: str, most: int = MOST_UPLOAD_BYTES)
     return files.select("path", "length", reason.alias("refused"), F.when(reason.isNull(), F.col("content")).alias("pdf_bytes"), F.when(reason.isNull(), "pending").alias("status"))
 
 
-def accepted_uploads(uploads: DataFrame, most: int = MOST_UPLOAD_BYTES) -> DataFrame:
-    """Pending reports (report_id, filename, pdf_bytes, status) of uploads (filename, content_type, content), refused if one is."""
+def accepted_uploads(uploads: DataFrame, most: int = MOST_UPLOAD_BYTES, request: str | None = None) -> DataFrame:
+    """Pending reports (report_id, filename, pdf_bytes, status) of uploads (filename, content_type, content), refused if one is.
+
+    An id depends on the request, the file and which of several equal files it is, so a task that is
+    run again gives the same. ``request`` names the request; by default it is a new one.
+    """
     reason = upload_refusal("content_type", "filename", F.octet_length("content"), most)
     refused = uploads.select("filename", reason.alias("reason")).where("reason is not null").first()
     if refused:
         raise ValueError(f"{refused[0]}: {refused[1]}")
-    return uploads.select(F.expr("uuid()").alias("report_id"), "filename", F.col("content").alias("pdf_bytes"), F.lit("pending").alias("status"))
+    if uploads.isEmpty():
+        raise ValueError("no files")
+    file = F.sha2(F.concat(F.coalesce("filename", F.lit("")).cast("binary"), F.lit("/").cast("binary"), "content"), 256)
+    told = uploads.withColumn("__file", file)
+    nth = F.row_number().over(Window.partitionBy("__file").orderBy("__file"))
+    digest = F.md5(F.concat_ws(":", F.lit(request or uuid.uuid4().hex), "__file", nth.cast("string")).cast("binary"))
+    report_id = F.regexp_replace(digest, "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-3$3-a$4-$5")
+    return told.select(report_id.alias("report_id"), "filename", F.col("content").alias("pdf_bytes"), F.lit("pending").alias("status"))
 
 
 def readings_json(readings: str | Column) -> Column:

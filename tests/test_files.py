@@ -36,6 +36,15 @@ def test_accepted_uploads(spark):
         files.accepted_uploads(frame(rows), most=0)
 
 
+def test_ids_of_uploads_depend_on_the_request(spark):
+    rows = [("a.pdf", None, bytearray(b"1")), ("a.pdf", None, bytearray(b"1")), ("b.pdf", None, bytearray(b"1"))]
+    frame = spark.createDataFrame(rows, "filename string, content_type string, content binary")
+    ids = lambda request: sorted(r.report_id for r in files.accepted_uploads(frame.repartition(3), request=request).collect())
+    assert ids("r1") == ids("r1") != ids("r2") and len(set(ids("r1"))) == 3 and ids(None) != ids(None)
+    with pytest.raises(ValueError, match="no files"):
+        files.accepted_uploads(frame.limit(0))
+
+
 def test_connection_options():
     assert jdbc_options({"DATABASE_URL": " postgresql://x/y "}) == {"url": "jdbc:postgresql://x/y"}
     assert jdbc_options({"DB_HOST": "h", "DB_USER": "u", "DB_PASSWORD": "p", "DB_PORT": "1"}) == {"url": "jdbc:postgresql://h:1/postgres", "user": "u", "password": "p"}

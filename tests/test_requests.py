@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import documents as D
 from millrace.operators import requests as Q
+from millrace.sources.versions import Conflict, Store
 
 
 def page(readings, confidence=3):
@@ -121,3 +122,32 @@ def test_what_is_known_is_not_extracted_again(spark, tmp_path):
     uploads = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"bad"))], "report_id bigint, pdf_bytes binary")
     known = spark.createDataFrame([(1, 1, "kept", None)], D.PAGES)
     assert sorted((r.report_id, r.raw, r.error and r.error[:1]) for r in D.extract_pages(uploads, render, extract, known=known).collect()) == [(1, "kept", None), (2, None, "x")]
+
+
+def test_requests_are_one_version(spark, tmp_path):
+    reports = [(r, True) for r in range(1, 6)]
+    documents = {1: [("c", 1.0)], 2: [("a", 2.0), ("d ", 3.0)], 3: [], 4: None, 5: [("e", 1.0)]}
+    requests = [(1, [1, 2]), (2, [3, 4, 5])]
+    rows = [(k, pos, r, product) for k, (product, listed) in enumerate(requests) for pos, r in enumerate(listed)]
+    pages = spark.createDataFrame([(r, 1, page(x)) for r, x in documents.items() if x is not None], "report_id bigint, page_no int, raw string")
+    asked = spark.createDataFrame(rows, "request int, pos int, report_id bigint, product_id bigint")
+    d, store = shop(spark, reports), Store(spark, str(tmp_path / "s"))
+    documents_stored = d.lab_reports.withColumn("pdf_bytes", F.lit(bytearray(b"x"))).drop("has_document")
+    with store.begin() as t:
+        for name, df, key in (("products", d.products, ["id"]), ("terpenes", d.terpenes, ["id"]), ("lab_reports", documents_stored, ["report_id"]), ("product_terpenes", d.product_terpenes, ["product_id", "terpene_id"])):
+            t.replace(name, df, key)
+    late = store.begin()
+    late.read("product_terpenes")
+    Q.apply_requests(store, asked, pages)
+    assert store.version() == 2
+    names = {r.id: r.name for r in store.read("terpenes").collect()}
+    links = {(r.product_id, names[r.terpene_id], r.percent) for r in store.read("product_terpenes").collect()}
+    assert links == {(1, "a", 2.0), (1, "d", 3.0), (2, "b", 0.1)} and set(names.values()) == {"a", "b", "c", "d"}
+    got = {r.report_id: (r.status, r.product_id, r.pdf_bytes is None) for r in store.read("lab_reports").collect()}
+    assert got == {1: ("applied", 1, True), 2: ("applied", 1, True), 3: ("extracted", 2, True), 4: ("failed", None, True), 5: ("pending", None, False)}
+    assert [log["rows"] for log in store.tables()["lab_reports"]["logs"]] == [4]
+    late.upsert("product_terpenes", d.product_terpenes.limit(1))
+    with pytest.raises(Conflict):
+        late.commit()
+    Q.apply_requests(store, asked, pages)  # all documents but one are gone: report 1 and 3 stop their requests
+    assert {r.report_id: r.status for r in store.read("lab_reports").collect()} == {r: x[0] for r, x in got.items()}
