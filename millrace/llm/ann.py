@@ -38,6 +38,8 @@ from .common import small, table
 
 #: Vectors that the centroids are fitted on, at most about as many a list, and the most lists.
 SAMPLE, SAMPLE_A_LIST, LISTS = 131_072, 64, 16_384
+#: Bytes of the sample, in double precision, on the driver.
+SAMPLE_BYTES = 128 << 20
 #: Choices of spread and replicas.
 REPLICATIONS = ((1.03, 2), (1.1, 2), (1.1, 4), (1.3, 8))
 #: Share of true neighbours that the probed lists must hold, and the queries it is measured on.
@@ -223,8 +225,9 @@ def _candidates(clean: DataFrame, dim: int, k: int) -> DataFrame:
     n, square = vectors.agg(F.count("*"), F.max(F.expr("aggregate(v, double(0), (s, x) -> s + double(x) * double(x))"))).first()
     norm = float(np.sqrt(square))
     lists = max(1, min(LISTS, round(n**0.5)))
-    share = min(1.0, min(SAMPLE, SAMPLE_A_LIST * lists) / n)
-    sample = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").limit(2 * SAMPLE).toArrow()
+    most = min(SAMPLE, SAMPLE_A_LIST * lists, SAMPLE_BYTES // (8 * (dim + 1)))
+    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+    sample = vectors.where(drawn < int(min(1.0, most / n) * (1 << 30)) + 1).orderBy(drawn, "key").select("v").limit(2 * most).toArrow()
     if not len(sample):
         sample = vectors.select("v").limit(1).toArrow()
     points = _lifted(_matrix(sample.column(0), dim), norm)

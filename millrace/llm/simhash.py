@@ -14,8 +14,9 @@ verified by their full distance, and only links that join parts of the bucket no
 emitted, never all pairs of a group. A bucket over ``LARGE_BUCKET`` is dealt out again by all bits
 (exact agreement in one of DISTANCE + 1 parts, again by the pigeonhole).
 
-``keep_one`` asks for a similarity of word shingles instead of a distance, which fingerprints are too
-coarse to tell: there the sets of shingles themselves are compared (``similar``).
+``keep_one`` asks for a similarity of word shingles instead of a distance. Close fingerprints of the
+sets of shingles, found by the same probes, are its first candidates; they are too coarse to be the
+only ones, or to decide, so there are others, and the sets themselves are compared (``similar``).
 
 Cases: null, empty and wordless texts have fingerprint zero, linked like any other; shorter texts
 than a shingle hash whole; repeated rows are in the same component; a component without any
@@ -327,7 +328,7 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     Rows that repeat id and text count as copies. A component without ids keeps the text whose hash
     is smallest. Texts without words are all copies of each other.
     """
-    found = similar_groups(df, doc_id, text, shingle, similarity)
+    found = similar_groups(df, doc_id, text, shingle, similarity, near=near_links)
     stays = cut(
         found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("rkey").alias("rkey"))
         .unionByName(found.where("component_id is null").groupBy("class").agg(F.min("rkey").alias("rkey")).select(F.lit(None).cast(df.schema[doc_id].dataType).alias("doc_id"), "rkey"))

@@ -4,6 +4,9 @@ Candidates are texts that agree in one of ``BANDS`` bands of ``ROWS`` min-hashes
 s a pair is missed with probability (1 - s ** ROWS) ** BANDS, 0.00003 at 0.8. A candidate becomes a
 link only where its distinct shingles, compared whole, are similar enough; none below it is linked.
 
+Where close fingerprints are given, their texts are candidates before all others: copies with few
+changes then are joined already.
+
 Texts with one set of shingles are one node. A band's bucket of up to ``SMALL_BUCKET`` nodes gives all
 its pairs. In larger ones each node first meets a single pivot, that of its largest bucket, then for a
 few rounds one of another bucket, so that a large group of copies is joined by a few pairs a node.
@@ -19,7 +22,7 @@ empty frame gives an empty frame.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -77,22 +80,32 @@ def bands(found: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def majority(found: np.ndarray) -> int:
+    """The 64-bit fingerprint of a set of hashes: the bits that more than half of them have."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(found), SLICE):
+        ones += np.unpackbits(found[k : k + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found)).view(">u8")[0])
+
+
 def _with_sets(df: DataFrame, width: int) -> DataFrame:
-    """Adds node (hash of the set of shingles), n (its size) and keys (of its bands)."""
+    """Adds node (hash of the set of shingles), n (its size), keys (of its bands) and fp (its fingerprint)."""
 
     def make():
         def compute(column):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, fps = [], [], [], []
             for raw in text_bytes(column):
                 found = shingles(raw, width)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
                 sizes.append(len(found))
                 keys.append(bands(found))
-            return [pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                fps.append(majority(found))
+            nodes, fps = (pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (nodes, fps))
+            return [nodes, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), fps]
 
         return compute
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]
     return with_arrow_columns(df, ["text"], fields, make)
 
 
@@ -200,13 +213,18 @@ def _one_pivot(buckets: DataFrame, ratio: Fraction, turn: int) -> DataFrame:
     return met.where(fits).groupBy("node").agg(F.max_by("p.node", best).alias("a")).select("a", F.col("node").alias("b"))
 
 
-def similar_groups(df: DataFrame, doc_id: str, text: str, width: int, similarity: float, small: int = SMALL_BUCKET) -> DataFrame:
-    """(doc_id, rkey, class, component_id): one row a row of ``df``; rkey is the hash of the text."""
+def similar_groups(
+    df: DataFrame, doc_id: str, text: str, width: int, similarity: float, small: int = SMALL_BUCKET, near: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """(doc_id, rkey, class, component_id): one row a row of ``df``; rkey is the hash of the text.
+
+    ``near``: links (a0, b0) between fingerprints (fp) that are close, the first candidates.
+    """
     small_batches(df.sparkSession)
     ratio, tables = Fraction(str(similarity)), Tables(df.sparkSession)
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), text_key(text).alias("rkey"))
     docs = cut(_with_sets(rows, width).drop("text"))
-    nodes = cut(docs.dropDuplicates(["node"]).select("node", "n", "keys", "rkey"))
+    nodes = cut(docs.dropDuplicates(["node"]).select("node", "n", "keys", "rkey", "fp"))
     buckets = nodes.select(F.explode("keys").alias("key"), "node", "n")
     sizes = buckets.groupBy("key").agg(F.count("*").alias("most")).where("most > 1")
     buckets = tables.write(buckets.join(sizes, "key"))
@@ -228,6 +246,13 @@ def similar_groups(df: DataFrame, doc_id: str, text: str, width: int, similarity
         tables.drop(held)
         return found
 
+    if near:
+        # sets with one fingerprint meet the least of them, and those of close fingerprints each other
+        lead = cut(nodes.groupBy("fp").agg(F.min("node").alias("lead")))
+        same = nodes.join(lead, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        sides = [lead.select(F.col("fp").alias(f"{x}0"), F.col("lead").alias(x)) for x in "ab"]
+        links = verified(cut(same.unionByName(near(lead.select("fp")).join(sides[0], "a0").join(sides[1], "b0").select("a", "b")).distinct()))
+        classes = components(links).select("node", "component")
     large = F.col("most") > small
     for turn in range(TURNS):
         pairs = _one_pivot(classed(buckets.where(large)), ratio, turn)

@@ -162,4 +162,5 @@ def test_similar_groups_are_brute_forces(spark, monkeypatch, small, tile):
     want = {i: least[r] for (i, _), r in zip(pairs, root)}
     found = {r.doc_id: r.component_id for r in similar.similar_groups(docs(spark, pairs), "doc_id", "text", 5, 0.8, small).collect()}
     assert found == want
+    assert similar.majority(np.array([0b0110, 0b0101, 0b0100, 0b1010], np.uint64)) == 0b0100 and similar.majority(np.zeros(0, np.uint64)) == 0
     assert {r.doc_id for r in simhash.keep_one(docs(spark, pairs)).collect()} == set(want.values())
