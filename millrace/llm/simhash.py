@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_bytes, text_key, with_arrow_columns
+from .common import cut, small, text_bytes, text_key, with_arrow_columns
 from .components import components
-from .similar import similar_groups
+from .similar import BROADCAST_ROWS, similar_groups
 
 BITS, DISTANCE, SHINGLE = 64, 4, 4
 PARTITIONS = (1, 2, 3, 4, 5)
@@ -334,9 +334,12 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         .unionByName(found.where("component_id is null").groupBy("class").agg(F.min("rkey").alias("rkey")).select(F.lit(None).cast(df.schema[doc_id].dataType).alias("doc_id"), "rkey"))
         .select(F.col("doc_id").alias("__id"), F.col("rkey").alias("__key"))
     )
-    kept = df.withColumn("__text", text_key(text)).join(
-        stays, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi"
-    )
+    # what goes is less than what stays; few rows are sent to the texts, so that these aren't shuffled
+    names = found.select(F.col("doc_id").alias("__id"), F.col("rkey").alias("__key")).distinct()
+    same = names["__id"].eqNullSafe(stays["__id"]) & (names["__key"] == stays["__key"])
+    gone = cut(names.join(stays, same, "left_anti"))
+    gone = F.broadcast(gone) if small(gone, BROADCAST_ROWS) else gone
+    kept = df.withColumn("__text", text_key(text)).join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_anti")
     repeats = found.groupBy("doc_id", "rkey").count().where("count > 1").limit(1).count()
     kept = kept.dropDuplicates([doc_id, "__text"]) if repeats else kept
     return kept.drop("__text")

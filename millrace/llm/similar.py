@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tables, cut, small_batches, text_bytes, text_key, with_arrow_columns
+from .common import Tables, cut, small as small_enough, small_batches, text_bytes, text_key, with_arrow_columns
 from .components import components
 
 BANDS, ROWS = 20, 4
@@ -41,6 +41,8 @@ SMALL_BUCKET = 8
 TURNS = 2
 #: Nodes and shingles of a side of a tile, about, and cells of a matrix of nodes by shingles.
 TILE, TILE_SHINGLES, CELLS = 1024, 1 << 20, 1 << 22
+#: Nodes up to which they are broadcast to the texts.
+BROADCAST_ROWS = 200_000
 #: Pairs of one node that a task verifies; more are dealt out.
 PAIRS_A_TASK = 512
 #: Shingles whose min-hashes are taken at a time.
@@ -235,10 +237,15 @@ def similar_groups(
             return of.withColumn("class", F.col("node"))
         return of.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
 
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(node, text) of nodes; few nodes go to the texts, so that these aren't shuffled."""
+        wanted = cut(some.join(nodes.select("node", "rkey"), "node"))
+        wanted = F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted
+        return tables.write(rows.select("rkey", "text").join(wanted, "rkey").select("node", "text").dropDuplicates(["node"]))
+
     def verified(pairs: DataFrame) -> DataFrame:
         of = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("chunks"))
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rkey"), "node")
-        held = tables.write(rows.select("rkey", "text").join(wanted, "rkey").select("node", "text").dropDuplicates(["node"]))
+        held = texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         own = held.join(of, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("bigint").alias("b"), "text")
         others = pairs.join(of, "a").join(held, F.col("b") == F.col("node")).select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b", "text")
         found = own.unionByName(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b").mapInArrow(_verify(width, ratio), "a bigint, b bigint")
@@ -268,7 +275,7 @@ def similar_groups(
         rest = classed(buckets.drop("most", "n").join(open_, "key")).withColumn("tiles", F.greatest(F.ceil(F.col("most") / TILE), F.ceil(F.col("held") / TILE_SHINGLES)).cast("int"))
         dealt = rest.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "class")
-        held = tables.write(rows.select("rkey", "text").join(nodes.join(rest.select("node").distinct(), "node").select("node", "rkey"), "rkey").select("node", "text").dropDuplicates(["node"]))
+        held = texts_of(rest.select("node").distinct())
         found = cut(dealt.join(held, "node").groupBy("key", "low", "high").applyInArrow(_tile_links(width, ratio), "a bigint, b bigint"))
         tables.drop(held)
         classes = components(links.unionByName(found)).select("node", "component")

@@ -10,7 +10,7 @@ from functools import cached_property
 
 import regex
 
-#: Pieces of text between which no merge happens, and the white space that the pattern's \s stands for.
+# The pattern whose pieces no merge crosses, and the white space that its \s stands for.
 PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
