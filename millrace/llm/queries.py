@@ -177,5 +177,32 @@ sums as (select doc_id, sum(b - a) as removed, count(*) as spans from runs group
 select d.doc_id, cast(d.n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans,
   sha256(unhex(coalesce(rest.h, d.h))) as kept_sha256
 from d left join sums using (doc_id) left join rest using (doc_id)
+""",
+    "op11_fill_in_middle": r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, sha256(concat('42:', coalesce(cast(doc_id as varchar), ''))) as h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w
+  from documents
+), d as (
+  select doc_id, text, w, cast(len(w) as bigint) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from t
+), c as (
+  select doc_id, text, w, n, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form
+  from d
+), p as (
+  select doc_id, text, n, form, array_to_string(w[1:a], '') as prefix, array_to_string(w[a + 1:b], '') as middle, array_to_string(w[b + 1:], '') as suffix from c
+)
+select doc_id, n, form, case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then concat('<P>', prefix, '<S>', suffix, '<M>', middle) else concat('<S>', suffix, '<P>', prefix, '<M>', middle) end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+""",
+    "op12_warc": """
+with p as (
+  select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as n, coalesce(html, '') as html, max(page_id) over (partition by coalesce(html, '')) as kept from pages
+)
+select page_id, n as payload_bytes, sha1(html) as payload_digest, case when n >= 1000 and page_id is distinct from kept and kept is not null then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id is distinct from kept then kept end as refers_to
+from p
 """,
 }
