@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -93,6 +94,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Returns the memory that a worker no longer uses to the machine, as far as its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def with_arrow_columns(
     df: DataFrame,
     inputs: list[str],
@@ -127,8 +137,7 @@ def with_arrow_columns(
             yield pa.RecordBatch.from_arrays(columns + fresh, names=kept + [f.name for f in outputs])
         # workers outlive their tasks: what one operator holds must not stand beside the next one's
         del compute
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return fed.mapInArrow(run, schema)
 
