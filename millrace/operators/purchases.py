@@ -41,7 +41,7 @@ def purchase_history(domain, customer_id: int, limit: int = 20, offset: int = 0,
     """A page of one customer's purchases with their items nested; none gives an empty array."""
     rows = page(domain.purchases.where(F.col("customer_id") == customer_id), _newest(), limit, offset, most=100)
     names = domain.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), F.col("category").alias("product_category"))
-    items = domain.purchase_items.join(rows.select(F.col("id").alias("purchase_id")), "purchase_id", "left_semi").dropDuplicates(["id"]).join(names, "product_id", "left")
+    items = domain.purchase_items.join(rows.select(F.col("id").alias("purchase_id")), "purchase_id", "left_semi").join(names, "product_id", "left")
     fields = ["id", "purchase_id", "product_id", "product_name", *(["product_category"] if category else []), "quantity", "line_amount_cents", "feedback", "feedback_at"]
     lists = items.groupBy("purchase_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
     return (

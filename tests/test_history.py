@@ -2,6 +2,7 @@
 
 from types import SimpleNamespace
 
+from millrace.operators.purchases import purchase_history
 from millrace.plans import QUERIES, registry
 
 
@@ -17,3 +18,14 @@ def test_history_with_terpenes_has_no_page(spark, monkeypatch):
     monkeypatch.setattr(registry, "Domain", lambda *_: domain)
     found = sorted(tuple(r) for r in QUERIES["history_with_terpenes"](spark, "").collect())
     assert found == [(k, "ab"[k % 2], ["t=0.5;u=-", ""][k % 2]) for k in range(150)]
+
+
+def test_history_keeps_items_whose_ids_meet_those_of_another_purchase(spark):
+    """Ids are numbered from 100 times the purchase, so one of 150 lines runs into the next purchase's."""
+    many = spark.range(300).selectExpr("1 + id div 150 as purchase_id", "id % 150 + 1 as k").selectExpr("purchase_id * 100 + k as id", "purchase_id")
+    domain = SimpleNamespace(
+        purchases=spark.range(1, 3).selectExpr("id", "88L as customer_id", "timestamp_ntz '2001-01-01' as purchased_at", "1 as total_amount_cents", "'manual' as source", "'' as notes"),
+        purchase_items=many.selectExpr("id", "purchase_id", "1L as product_id", "1 as quantity", "1 as line_amount_cents", "'like' as feedback", "timestamp_ntz '2001-01-01' as feedback_at"),
+        products=spark.createDataFrame([(1, "a", "other")], "id bigint, name string, category string"),
+    )
+    assert [(r.id, len(r["items"])) for r in purchase_history(domain, 88).collect()] == [(2, 150), (1, 150)]
