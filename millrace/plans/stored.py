@@ -113,7 +113,7 @@ def _(d):
 
 
 def _bucketed(d):
-    return bucketed.write(d, f"buckets_{uuid.uuid4().hex}", d.spark.sparkContext.defaultParallelism)
+    return bucketed.write(d, f"buckets_{uuid.uuid4().hex}")
 
 
 @add("bucketed_totals", "purchases purchase_items", "select p.id, p.customer_id, cast(coalesce(sum(i.line_amount_cents), 0) as bigint) as total_amount_cents from purchases p left join purchase_items i on i.purchase_id = p.id group by 1, 2")

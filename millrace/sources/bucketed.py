@@ -11,6 +11,8 @@ from .shared import shared_folder
 
 #: Tables and the column that their rows are dealt by.
 KEYS = {"purchases": "id", "purchase_items": "purchase_id"}
+#: Items of a bucket, which one task sorts.
+BUCKET_ROWS = 500_000
 
 
 class Bucketed:
@@ -26,12 +28,14 @@ class Bucketed:
         return getattr(self.domain, name)
 
 
-def write(domain: Domain, database: str, buckets: int) -> Bucketed:
+def write(domain: Domain, database: str, buckets: int | None = None) -> Bucketed:
     """Writes both tables in as many buckets, sorted by purchase, and gives the domain that reads them.
 
-    All rows of a purchase are in one bucket. There should be as many buckets as tasks are wanted:
-    a bucket is read by one task, and about 200 MB each are good.
+    All rows of a purchase are in one bucket, which is read by one task. If their number isn't given
+    there is one a core, or more so that a bucket has about ``BUCKET_ROWS`` items.
     """
+    if buckets is None:
+        buckets = max(domain.spark.sparkContext.defaultParallelism, -(-domain.purchase_items.count() // BUCKET_ROWS))
     if not re.fullmatch(r"\w+", database):
         raise ValueError(f"not a name: {database}")
     spark, folder = domain.spark, f"{shared_folder(domain.spark)}/{database}"
