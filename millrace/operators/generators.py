@@ -51,7 +51,8 @@ def generate_purchases(customers: DataFrame, products: DataFrame, as_of: str, se
     """(purchases, items): 5-15 purchases a customer in 180 days, of 1-3 distinct products at 3000-15000 cents.
 
     A customer's purchases are numbered in the order of their times. Products are numbered by id, and
-    a purchase's are a uniform sample of the numbers. Only ids of products are numbered and joined.
+    a purchase's are a uniform sample of the numbers. Only ids of products are numbered and joined, and
+    not by a broadcast, which the driver would have to hold; totals come from the draws of the lines.
     """
     known = numbered(products.select(F.col("id").alias("product_id")), "product_id")
     n_products = known.count()
@@ -61,13 +62,15 @@ def generate_purchases(customers: DataFrame, products: DataFrame, as_of: str, se
     bought = customers.select(F.col("id").alias("customer_id"), F.posexplode(F.reverse(F.array_sort(drawn))).alias("k", "ago"))  # the furthest back first
     bought = bought.withColumn("id", F.concat_ws("-", "customer_id", F.col("k") + 1)).withColumn("purchased_at", F.expr(f"timestamp_ntz '{as_of}'") - F.make_dt_interval(secs=F.col("ago")))
     lines = sampled(n_products, _draw(1, 3, seed + 2, "id").cast("bigint"), seed + 3, "id")
+    amount = lambda purchase, line: _draw(3000, 15_000, seed + 5, purchase, line)
     items = bought.select(F.col("id").alias("purchase_id"), F.posexplode(lines).alias("line", "number"))
-    items = items.join(known, "number").select(
+    items = items.join(known.hint("merge"), "number").select(
         F.concat_ws("-", "purchase_id", "line").alias("id"), "purchase_id", "product_id",
-        F.lit(1).alias("quantity"), _draw(3000, 15_000, seed + 5, "purchase_id", "line").alias("line_amount_cents"),
+        F.lit(1).alias("quantity"), amount("purchase_id", "line").alias("line_amount_cents"),
     )
-    totals = items.groupBy("purchase_id").agg(F.sum("line_amount_cents").alias("total_amount_cents"))
-    return bought.join(totals.withColumnRenamed("purchase_id", "id"), "id").select("id", "customer_id", (F.col("k") + 1).alias("number"), "purchased_at", "total_amount_cents", F.lit("manual").alias("source")), items
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    total = F.aggregate(places, F.lit(0).cast("bigint"), lambda s, line: s + amount("id", line))
+    return bought.select("id", "customer_id", (F.col("k") + 1).alias("number"), "purchased_at", total.alias("total_amount_cents"), F.lit("manual").alias("source")), items
 
 
 def sample_attributes(products: DataFrame, dimension: DataFrame, low: int = 1, high: int = 4, seed: int = 1) -> DataFrame:
