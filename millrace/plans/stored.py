@@ -10,7 +10,7 @@ from ..operators import preferences as R
 from ..operators import purchases as P
 from ..operators import substrings, writes
 from ..sources import bucketed
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, table
 from ..sources.versions import Conflict, Store
 from ..streaming import scores as streaming
 from .registry import Plans
@@ -138,7 +138,8 @@ def _(d):
     """Scores kept by three batches of feedback: all that was given, some given anew, some cleared; the second batch comes twice."""
     store = Store(d.spark, f"{shared_folder(d.spark)}/scores-{uuid.uuid4().hex}")
     owner = d.purchases.select(F.col("id").alias("purchase_id"), "customer_id")
-    items = d.purchase_items.join(owner, "purchase_id").select(F.col("id").alias("item_id"), "customer_id", "product_id", "feedback")
+    # read by every batch: numbered and joined once
+    items = table(d.purchase_items.join(owner, "purchase_id").select(F.col("id").alias("item_id"), "customer_id", "product_id", "feedback"))
     streaming.create(store, items)
     given = lambda value, rule, at: items.where(rule).withColumns({"feedback": value, "at": F.lit(at)})
     none = F.lit(None).cast("string")

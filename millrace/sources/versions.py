@@ -85,6 +85,8 @@ class Store:
         logged = T.StructType([*schema.fields, T.StructField(GONE, T.BooleanType())])
         each = [self._load([log["path"]], logged).withColumn(AT, F.lit(k)) for k, log in enumerate(entry["logs"])]
         others = [c for c in logged.names if c not in entry["key"]]
+        if len(each) == 1:  # a key is in a log once
+            return each[0].drop(AT)
         last = reduce(DataFrame.unionByName, each).groupBy(*entry["key"]).agg(F.max_by(F.struct(*others), AT).alias("__last"))
         return last.select(*entry["key"], "__last.*")
 
@@ -175,11 +177,11 @@ class Transaction:
     def rows(self, name: str, keys: DataFrame) -> DataFrame:
         """The table's rows with the given keys; few keys reach the scan as a filter."""
         key = self._entry(name)["key"]
-        listed = keys.select(*key).distinct()
+        listed = keys.select(*key)
         if len(key) == 1:
             some = [r[0] for r in listed.limit(MOST_LISTED + 1).collect()]
             if len(some) <= MOST_LISTED:
-                return self.read(name).where(F.col(key[0]).isin(some))
+                return self.read(name).where(F.col(key[0]).isin(sorted({k for k in some if k is not None})))
         return self.read(name).join(listed, key, "left_semi")
 
     def replace(self, name: str, df: DataFrame, key: list[str] | None = None) -> None:
@@ -201,9 +203,12 @@ class Transaction:
             raise ValueError(f"{name} has the key already: {twice.asDict()}")
         self.made[name] = {**entry, "parts": [*entry["parts"], path]}
 
-    def upsert(self, name: str, df: DataFrame) -> None:
-        """Changes rows by key, or adds them: only these rows are written."""
-        self._log(name, df, False)
+    def upsert(self, name: str, df: DataFrame, once: bool = False) -> None:
+        """Changes rows by key, or adds them: only these rows are written.
+
+        ``once``: the frame is grouped by the key, so that what is written needn't be looked at again.
+        """
+        self._log(name, df, False, once)
 
     def delete(self, name: str, keys: DataFrame) -> None:
         """Takes rows away by key: only the keys are written."""
@@ -214,14 +219,14 @@ class Transaction:
         fields = T.StructType.fromJson(entry["schema"]).fields
         return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
-    def _log(self, name: str, df: DataFrame, gone: bool) -> None:
+    def _log(self, name: str, df: DataFrame, gone: bool, once: bool = False) -> None:
         self.seen.add(name)
         entry = self._entry(name)
         key = entry["key"]
         rows = self._as_table(df.select(*key).distinct() if gone else df, entry).withColumn(GONE, F.lit(gone))
         path = self._write(rows, name)
         written = self.store.spark.read.parquet(f"{self.store.folder}/{path}")
-        twice = None if gone else written.groupBy(*key).count().where("count > 1").first()
+        twice = None if gone or once else written.groupBy(*key).count().where("count > 1").first()
         if twice:
             self.roll_back()
             raise ValueError(f"{name} gets the key twice: {twice.asDict()}")

@@ -47,14 +47,15 @@ def apply_batch(store: Store, links: DataFrame, changes: DataFrame, batch: int,
         return False
     value = F.struct("customer_id", "product_id", "feedback")
     last = changes.groupBy("item_id").agg(F.max_by(value, F.struct("at", "feedback")).alias("x")).select("item_id", "x.*")
-    t.upsert(ITEMS, last)
+    t.upsert(ITEMS, last, once=True)
     new = store.spark.read.parquet(f"{store.folder}/{t.made[ITEMS]['logs'][-1]['path']}").drop("__gone")  # as it was written, once
     old = store.begin()  # the state before; the same base unless another writer came, which commit() finds
     before = old.rows(ITEMS, new)
     sums = _weights(before, links, -1).unionByName(_weights(new, links, 1)).groupBy("customer_id", "terpene_id").agg(*[F.sum(c).alias(c) for c in ("s", *COUNTS)])
-    known = t.read(SUMS).join(sums.select("customer_id", "terpene_id"), ["customer_id", "terpene_id"], "left_semi")
-    after = known.unionByName(sums).groupBy("customer_id", "terpene_id").agg(*[F.sum(c).alias(c) for c in ("s", *COUNTS)])
-    t.upsert(SUMS, after)
+    known = t.read(SUMS).withColumnsRenamed({c: f"known_{c}" for c in ("s", *COUNTS)})
+    both = sums.join(known, ["customer_id", "terpene_id"], "left")  # the changes' sums are used once, so that they are made once
+    after = both.select("customer_id", "terpene_id", *[(F.col(c) + F.coalesce(f"known_{c}", F.lit(0))).alias(c) for c in ("s", *COUNTS)])
+    t.upsert(SUMS, after, once=True)
     t.upsert(BATCHES, store.spark.createDataFrame([(stream, batch)], "stream string, batch bigint"))
     t.commit()
     return True
