@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_trim
-from ..sources.shared import cut
+from ..sources.shared import cut, table
 from ..sources.versions import Store
 from .documents import document_columns, extracted
 from .writes import replace_links, upsert_dimension
@@ -83,47 +83,51 @@ def process_requests(domain, requests: DataFrame, pages: DataFrame) -> dict[str,
     requests holds; reports without readings leave the links. New names are kept, also those of
     reports that others followed. taken and relinked are the keys of the reports and products that changed.
     """
-    mentions = cut(_mentions(requests, domain.lab_reports, domain.products, pages))
+    # documents are written once, and read again only for what shows them; all else is folded without them
+    mentions = table(_mentions(requests, domain.lab_reports, domain.products, pages).withColumn("readings", F.size("doc.terpenes")))
     flags = _folded(mentions.select("request", "pos", "report_id", "barred", F.col("error").isNotNull().alias("failed")))
-    told = cut(mentions.join(flags.select("request", "pos", "taken", "reached", "gone"), ["request", "pos"]))
+    told = mentions.drop("doc").join(flags.select("request", "pos", "taken", "reached", "gone"), ["request", "pos"])
     done, failed = F.col("taken") & F.col("error").isNull(), F.col("taken") & F.col("error").isNotNull()
-    applied = done & F.col("product_id").isNotNull() & (F.size("doc.terpenes") > 0)
-    told = told.withColumns({"done": done, "status": F.when(applied, "applied").when(done, "extracted").when(failed, "failed")})
+    applied = done & F.col("product_id").isNotNull() & (F.col("readings") > 0)
+    told = table(told.withColumns({"done": done, "status": F.when(applied, "applied").when(done, "extracted").when(failed, "failed")}))
+    documents = mentions.select("request", "pos", "doc")
     shown = [c.alias(n) for n, c in document_columns(F.lit(True)).items()]
-    answers = told.where("done").select("request", "pos", "report_id", "product_id", *shown, "status", (F.col("status") == "applied").alias("applied_to_product"))
+    answers = told.where("done").join(documents, ["request", "pos"]).select("request", "pos", "report_id", "product_id", *shown, "status", (F.col("status") == "applied").alias("applied_to_product"))
     early = F.coalesce(F.col("barred") != TWICE, F.lit(False))  # what is looked at before the document is
     reason = F.when(F.col("gone") & ~early, NO_DOCUMENT).otherwise(F.coalesce("barred", "error"))
     first = F.row_number().over(Window.partitionBy("request").orderBy("pos"))
     stops = told.where("reached and not done").withColumn("k", first).where("k = 1").select("request", "pos", "report_id", reason.alias("reason"))
     keys = {"taken": told.where("taken").select("report_id"), "relinked": told.where("status = 'applied'").select("product_id").distinct()}
-    return {"answers": answers, "stops": stops, **keys, "lab_reports": _reports_after(domain.lab_reports, told.where("taken")), **_links_after(domain, told.where("status = 'applied'"))}
+    reports = _reports_after(domain.lab_reports, told.where("taken"), documents)
+    return {"answers": answers, "stops": stops, **keys, "lab_reports": reports, **_links_after(domain, told.where("status = 'applied'"), documents)}
 
 
-def _reports_after(reports: DataFrame, taken: DataFrame) -> DataFrame:
+def _reports_after(reports: DataFrame, taken: DataFrame, documents: DataFrame) -> DataFrame:
     """Reports with the results of those that were taken, each once; a failed one keeps all but its status and document."""
     done = F.coalesce(F.col("done"), F.lit(False))
-    new = taken.select("report_id", "done", F.col("product_id").alias("new_product_id"), F.col("status").alias("new_status"), F.col("error").alias("new_error"), *[c.alias(f"new_{n}") for n, c in document_columns(done).items()])
+    shown = {n: c for n, c in document_columns(done).items() if n in reports.columns}
+    taken = taken.join(documents, ["request", "pos"]) if shown else taken
+    new = taken.select("report_id", "done", F.col("product_id").alias("new_product_id"), F.col("status").alias("new_status"), F.col("error").alias("new_error"), *[c.alias(f"new_{n}") for n, c in shown.items()])
     joined = reports.join(new, "report_id", "left")
     is_new = F.col("new_status").isNotNull()
     gone = {"has_document": F.col("has_document") & ~is_new} if "has_document" in reports.columns else {}
     gone |= {"pdf_bytes": F.when(~is_new, F.col("pdf_bytes"))} if "pdf_bytes" in reports.columns else {}
     changed = {**gone, "status": F.coalesce("new_status", "status"), "product_id": F.when(done, F.col("new_product_id")).otherwise(F.col("product_id"))}
-    for n in document_columns(done):
-        if n in reports.columns:
-            changed[n] = F.when(done, F.col(f"new_{n}")).otherwise(F.col(n))
+    for n in shown:
+        changed[n] = F.when(done, F.col(f"new_{n}")).otherwise(F.col(n))
     if "error_message" in reports.columns:
         changed["error_message"] = F.coalesce("new_error", "error_message")
     return joined.withColumns(changed).select(reports.columns)
 
 
-def _links_after(domain, applied: DataFrame) -> dict[str, DataFrame]:
+def _links_after(domain, applied: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
     """Links and dimension after reports were applied: each product has the readings of its last."""
-    names = applied.select(F.explode("doc.terpenes").alias("r")).select("r.name")
+    names = applied.select("request", "pos").join(documents, ["request", "pos"]).select(F.explode("doc.terpenes").alias("r")).select("r.name")
     dimension = upsert_dimension(domain.terpenes, names)
     # the last is found by keys alone, so that one row of readings a product is all that moves
     last = applied.groupBy("product_id").agg(F.max(F.struct("request", "pos")).alias("at")).select("product_id", "at.request", "at.pos")
-    held = applied.select("request", "pos", "product_id", "doc.terpenes").join(last, ["request", "pos", "product_id"])
-    payload = held.select("product_id", F.inline("terpenes"))
+    held = last.join(documents, ["request", "pos"])
+    payload = held.select("product_id", F.inline("doc.terpenes"))
     links, dimension = replace_links(domain.product_terpenes, dimension, payload, last)
     return {"product_terpenes": links, "terpenes": dimension}
 
