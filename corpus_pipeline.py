@@ -62,7 +62,7 @@ def encode_and_check(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     decoded, so that they don't come back.
     """
     # workers still hold what earlier stages needed: fewer words are remembered than for encoding alone
-    coded = bpe_codec.encode_checked(docs.select("doc_id", "lang", "source", "text"), most_words=65_536, most_pairs=150_000)
+    coded = bpe_codec.encode_checked(docs.select("doc_id", "lang", "source", "text"), most_words=32_768, most_pairs=1 << 18)
     return coded.select("doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"), "token_ids", "round_trip")
 
 

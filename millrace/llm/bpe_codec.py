@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -29,8 +30,8 @@ from .vocabulary import SPACE, Vocabulary, byte_alphabet, pieces_of, read_vocabu
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Words remembered in each of two generations in a Python worker (about 200 bytes each), and the longest that is.
 MOST_WORDS, LONGEST_WORD = 200_000, 48
-#: Pairs of tokens whose compatibility is remembered, likewise.
-MOST_PAIRS = 300_000
+#: Places for pairs of tokens whose compatibility is remembered (8 bytes each), a power of two; a later pair takes an earlier one's place.
+MOST_PAIRS = 1 << 20
 
 
 class Remembered(dict):
@@ -75,7 +76,9 @@ class Encoder:
         self.printable = dict(enumerate(self.alphabet))
         self.pairs = {pair: rank for pair, (rank, _) in vocabulary.pairs.items()}
         self.made = vocabulary.made
-        self.stands = Remembered(lambda pair: self._kept_apart(pair >> 32, pair & 0xFFFFFFFF), most_pairs)
+        if most_pairs & (most_pairs - 1):
+            raise ValueError("places for pairs must be a power of two")
+        self.stands = array("Q", [0]) * most_pairs  # (pair + 1) * 2 + whether it stands; 0: free
         self.automaton = ahocorasick.Automaton()
         reachable = self._reachable()
         for token, raw in vocabulary.token_bytes.items():
@@ -118,7 +121,7 @@ class Encoder:
         symbols = piece.encode().decode("latin-1").translate(self.printable)
         ends = [0] * (len(symbols) + 1)
         lengths = [0] * (len(symbols) + 1)
-        stands = self.stands
+        stands, most = self.stands, len(self.stands) - 1
         for at, (length, token) in self.automaton.iter(symbols):
             at += 1
             if lengths[at]:
@@ -127,7 +130,12 @@ class Encoder:
             if before:
                 if not lengths[before]:
                     continue
-                if not stands[ends[before] << 32 | token]:
+                last = ends[before]
+                pair, place = (last << 31 | token) + 1, (last * 40503 ^ token) & most
+                known = stands[place]
+                if known >> 1 != pair:
+                    stands[place] = known = pair << 1 | self._kept_apart(last, token)
+                if not known & 1:
                     continue
             ends[at], lengths[at] = token, length
         out, at = [], len(symbols)
@@ -215,7 +223,7 @@ def encode_decode(df: DataFrame, text: str = "text", out: str = "token_ids", dec
 def encode_checked(df: DataFrame, text: str = "text", out: str = "token_ids", same: str = "round_trip", vocabulary: str | None = None, most_words: int = MOST_WORDS, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """Adds the ids of each text, and whether they decode to the text; the text itself is left out of the result.
 
-    ``most_words`` and ``most_pairs`` are remembered in each of two generations: less memory, more time.
+    ``most_words`` are remembered in each of two generations, ``most_pairs`` in all: less memory, more time.
     """
     path = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
