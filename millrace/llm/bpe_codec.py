@@ -74,8 +74,12 @@ class Encoder:
         self.vocabulary = vocabulary
         self.alphabet = byte_alphabet()
         self.printable = dict(enumerate(self.alphabet))
-        self.pairs = {pair: rank for pair, (rank, _) in vocabulary.pairs.items()}
-        self.made = vocabulary.made
+        self.pairs = {left << 31 | right: rank for (left, right), (rank, _) in vocabulary.pairs.items()}
+        # of each token: the two it is made of and the rank of that merge, -1 if it is a single byte
+        size = max(vocabulary.token_bytes, default=0) + 1
+        self.lefts, self.rights, self.ranks = (array("i", [-1]) * size for _ in range(3))
+        for token, (left, right, rank) in vocabulary.made.items():
+            self.lefts[token], self.rights[token], self.ranks[token] = left, right, rank
         if most_pairs & (most_pairs - 1):
             raise ValueError("places for pairs must be a power of two")
         self.stands = array("Q", [0]) * most_pairs  # (pair + 1) * 2 + whether it stands; 0: free
@@ -90,7 +94,8 @@ class Encoder:
     def _reachable(self) -> set[int]:
         """Tokens that BPE makes of their own bytes: both halves are made, and no earlier merge crosses them."""
         out = set(self.vocabulary.byte_ids)
-        for token, (left, right, _) in sorted(self.made.items(), key=lambda x: x[1][2]):
+        for token in sorted((t for t, rank in enumerate(self.ranks) if rank >= 0), key=self.ranks.__getitem__):
+            left, right = self.lefts[token], self.rights[token]
             if left in out and right in out and self._kept_apart(left, right, top=False):
                 out.add(token)
         return out
@@ -102,19 +107,19 @@ class Encoder:
         the symbols that face each other at the border must not have had a merge that would have
         come before the one just undone; of equal ranks the one further left comes first.
         """
-        last = float("inf")
+        last, pairs, ranks = float("inf"), self.pairs, self.ranks
         while True:
-            rank = self.pairs.get((left, right))
+            rank = pairs.get(left << 31 | right)
             if top and rank is not None and rank < last:
                 return False
             top = True
-            a, b = self.made.get(left), self.made.get(right)
-            if a is None and b is None:
+            a, b = ranks[left], ranks[right]
+            if a < 0 and b < 0:
                 return True
-            if b is None or (a is not None and a[2] > b[2]):
-                last, left = a[2], a[1]
+            if a > b:
+                last, left = a, self.rights[left]
             else:
-                last, right = b[2] + 1, b[0]
+                last, right = b + 1, self.lefts[right]
 
     def _piece(self, piece: str) -> bytes:
         """Packed ids of one piece: the last token of every prefix, then back from the end."""
@@ -230,6 +235,7 @@ def encode_checked(df: DataFrame, text: str = "text", out: str = "token_ids", sa
 
     def make():
         encoder = Encoder(Vocabulary(shared.value), most_words, most_pairs)
+        encoder.vocabulary.forget_merges()
         decoder = Decoder(encoder.vocabulary)
 
         def compute(column):

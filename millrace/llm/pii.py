@@ -285,7 +285,12 @@ def find_personal_data(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA, min_support: int = MIN_SUPPORT, out: str = "spans", base: str = "base"
 ) -> DataFrame:
     """Adds ``out`` (base spans and terms, by start and kind) and ``base`` (base spans only)."""
-    df = df.drop(out, base)
+    lists = lambda x, found, marked: [[dict(zip(("kind", "start", "end"), s)) for s in spans] for spans in (found, marked)]
+    return _by_spans(df.drop(out, base), doc_id, text, _span_fields(base, out), [_SPAN_ARROW] * 2, lists, alpha, min_support)
+
+
+def _by_spans(df: DataFrame, doc_id: str, text: str, fields: list[T.StructField], kinds: list[pa.DataType], row, alpha: float = ALPHA, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """Adds ``fields``, of ``row(text, base spans, all spans)``: spans are found and used in one pass over the texts."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{doc_id}`").cast("string").alias("rid"), text_key(text).alias("rkey"), F.col(f"`{text}`").alias("t"))
     scored, holding, led = _disclosing(rows, alpha, min_support)
@@ -295,52 +300,52 @@ def find_personal_data(
         for value, term in scored.collect():  # at most BROADCAST_ROWS
             of_leader.setdefault(value, set()).add(term)
         shared = df.sparkSession.sparkContext.broadcast({r.other: of_leader[r.value] for r in named.collect()})  # as many
-        return with_arrow_columns(df, [text], _span_fields(base, out), _marker(lambda x, spans: set().union(*{id(t): t for v in _protected(x, spans) if (t := shared.value.get(v))}.values())))
+        return with_arrow_columns(df, [text], fields, _marker(kinds, row, lambda x, spans: set().union(*{id(t): t for v in _protected(x, spans) if (t := shared.value.get(v))}.values())))
     marked = _text_terms(holding).join(scored, ["value", "term"], "left_semi").groupBy(F.col("rkey").alias("__rkey")).agg(F.collect_set("term").alias("__terms"))
     joined = df.withColumn("__key", text_key(text)).join(_hinted(marked), F.col("__key") == F.col("__rkey"), "left")
-    return with_arrow_columns(joined, [text, "__terms"], _span_fields(base, out), _marker(lambda x, spans, terms: set(terms or ()))).drop("__key", "__rkey", "__terms")
+    return with_arrow_columns(joined, [text, "__terms"], fields, _marker(kinds, row, lambda x, spans, terms: set(terms or ()))).drop("__key", "__rkey", "__terms")
 
 
 def _span_fields(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.ArrayType(SPAN)) for n in names]
 
 
-def _marker(asked):
-    """Base spans of texts, and with them the occurrences of the terms that ``asked`` gives for a text."""
+def _marker(kinds: list[pa.DataType], row, asked):
+    """What ``row`` makes of a text, its base spans, and these with the occurrences of the terms that ``asked`` gives for it."""
 
     def make():
         def compute(column, *more):
-            base, both = [], []
-            for x, *given in zip(texts(column), *(c.to_pylist() for c in more)):
-                found = base_spans(x)
-                terms = asked(x, found, *given) if found else ()
-                marked = [("term", a, b) for a, b in _free(x, found) if x[a:b].lower() in terms] if terms else []
-                for spans, held in ((found, base), (sorted(found + marked, key=lambda s: (s[1], KINDS.index(s[0]))), both)):
-                    held.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
-            return [pa.array(base, _SPAN_ARROW), pa.array(both, _SPAN_ARROW)]
+            out = []
+            for x, *given in zip(column.to_pylist(), *(c.to_pylist() for c in more)):
+                whole = x or ""
+                found = base_spans(whole)
+                terms = asked(whole, found, *given) if found else ()
+                marked = [("term", a, b) for a, b in _free(whole, found) if whole[a:b].lower() in terms] if terms else []
+                out.append(row(x, found, sorted(found + marked, key=lambda s: (s[1], KINDS.index(s[0])))))
+            return [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
 
         return compute
 
     return make
 
 
+def _replaced(x: str | None, spans: list[tuple[str, int, int]]) -> str | None:
+    """The text with each span's kind in its place; of spans that overlap the first is named."""
+    if x is None or not spans:
+        return x
+    out, at = [], 0
+    for kind, start, end in spans:
+        if start >= at:
+            out += [x[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*out, x[at:]])
+
+
 def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Replaces base spans by their kind in capitals and generalises disclosing terms; other columns stay as they are."""
-    found = find_personal_data(df, doc_id, text, out="__spans", base="__base", **options)
-    schema = df.schema[text]
+    """Replaces base spans by their kind in capitals and generalises disclosing terms; other columns stay as they are.
 
-    def make():
-        def one(x, spans):
-            if x is None or not spans:
-                return x
-            out, at = [], 0
-            for s in spans:
-                if s["start"] >= at:
-                    out += [x[at : s["start"]], f"[{s['kind'].upper()}]"]
-                at = max(at, s["end"])
-            return "".join([*out, x[at:]])
-
-        return lambda t, s: [pa.array([one(x, y) for x, y in zip(t.to_pylist(), s.to_pylist())], pa.string())]
-
-    out = with_arrow_columns(found, [text, "__spans"], [T.StructField(text, schema.dataType, True)], make)
+    Texts go to Python once: a second pass behind the first would need a second worker beside each, which outlives the stage.
+    """
+    fields = [T.StructField(text, df.schema[text].dataType, True)]
+    out = _by_spans(df, doc_id, text, fields, [pa.string()], lambda x, found, spans: [_replaced(x, spans)], **options)
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -82,6 +82,10 @@ class Vocabulary:
             self.specials[token["content"]] = token["id"]
             self.token_bytes[token["id"]] = token["content"].encode()
 
+    def forget_merges(self) -> None:
+        """Drops the merges, for those who hold them in a form of their own."""
+        self.pairs, self.made = {}, {}
+
     @cached_property
     def special_pattern(self) -> regex.Pattern | None:
         """Splits a text at special tokens, the longest first."""
