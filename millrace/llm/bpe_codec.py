@@ -4,7 +4,8 @@ For every prefix of a piece there is exactly one token that can come last in its
 automaton over the vocabulary lists the tokens that end at each byte; of those, the one whose pair
 with the last token of the remaining prefix is a pair BPE itself would leave standing is stored.
 Following the stored tokens back from the end gives the ids. The work for a piece is linear in its
-length times the number of tokens that end at a byte.
+length times the number of tokens that end at a byte. The short pieces of many texts are worked on side
+by side, a byte of each at a time; long ones alone.
 
 Cases: a null or empty text gives no ids; special tokens inside a text become their own id, as the
 library does; very long texts are encoded whole, in time that grows with their length; repeated rows
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import texts, with_arrow_columns
-from .vocabulary import SPACE, Vocabulary, byte_alphabet, pieces_of, read_vocabulary
+from .common import portions, texts, with_arrow_columns
+from .vocabulary import SPACE, Vocabulary, pieces_of, read_vocabulary
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Words remembered in each of two generations in a Python worker (about 200 bytes each), and the longest that is.
 MOST_WORDS, LONGEST_WORD = 200_000, 48
 #: Places for pairs of tokens whose compatibility is remembered (8 bytes each), a power of two; a later pair takes an earlier one's place.
 MOST_PAIRS = 1 << 20
+#: Characters of the texts whose new pieces are encoded side by side, so many of these at a time; fewer than ``FEW`` aren't worth it.
+SIDE_BY_SIDE, MOST_PIECES, FEW = 1 << 19, 1 << 14, 256
 
 
 class Remembered(dict):
@@ -51,11 +55,22 @@ class Remembered(dict):
             out = self.work(key)
             if not self.keeps(key):
                 return out
-        if len(self) >= self.most:
+        self.remember({key: out})
+        return out
+
+    def remember(self, found: dict) -> None:
+        """Makes results young; more than ``most`` are so only if they come together."""
+        if len(self) + len(found) > self.most:
             self.old = dict(self)
             self.clear()
-        self[key] = out
-        return out
+        self.update(found)
+
+    def unknown(self, keys) -> list:
+        """Those of the keys that are to be worked on and remembered; old ones become young again."""
+        new = set(keys).difference(self)
+        again = {key: self.old[key] for key in new if key in self.old}
+        self.remember(again)
+        return [key for key in new if key not in again and self.keeps(key)]
 
 
 def short(word: str) -> bool:
@@ -67,28 +82,74 @@ def short(word: str) -> bool:
 WORDS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
+class Suffixes:
+    """The automaton that lists the tokens ending at a byte, as arrays: it steps in many pieces at once.
+
+    States are numbered by depth, and a state's children by byte, so that the edges (state << 8 | byte) are
+    in order and the edge at place k leads to state k + 1.
+    """
+
+    def __init__(self, tokens: dict[int, bytes]):
+        ids, raws = np.fromiter(tokens, np.int64, len(tokens)), list(tokens.values())
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        flat, starts = np.frombuffer(b"".join(raws), np.uint8), np.cumsum(sizes) - sizes
+        at, count, levels = np.zeros(len(raws), np.int64), 1, []
+        for depth in range(sizes.max()):
+            longer = np.flatnonzero(sizes > depth)
+            edges, which = np.unique(at[longer] << 8 | flat[starts[longer] + depth], return_inverse=True)
+            at[longer] = count + which
+            count += len(edges)
+            levels.append(edges)
+        self.edges = np.append(np.concatenate(levels), 1 << 62)
+        self.fails = np.zeros(count, np.int64)
+        #: Of each state: the longest token that ends there. Of each token: its bytes, and the longest that ends with it.
+        self.longest = np.full(count, -1)
+        self.longest[at] = ids
+        count = 1
+        for edges in levels:
+            states = np.arange(count, count + len(edges))
+            if count > 1:
+                self.fails[states] = self.step(self.fails[edges >> 8], edges & 255)
+            none = states[self.longest[states] < 0]
+            self.longest[none] = self.longest[self.fails[none]]
+            count += len(edges)
+        self.sizes, self.shorter = (np.full(ids.max() + 1, -1) for _ in range(2))
+        self.sizes[ids], self.shorter[ids] = sizes, self.longest[self.fails[at]]
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The states after one more byte each; every byte is a token, so the first state has an edge for it."""
+        out, left = np.empty(len(states), np.int64), np.arange(len(states))
+        while left.size:
+            wanted = states << 8 | symbols
+            found = np.searchsorted(self.edges, wanted)
+            out[left] = found + 1
+            other = self.edges[found] != wanted
+            left, states, symbols = left[other], self.fails[states[other]], symbols[other]
+        return out
+
+
 class Encoder:
     """Encodes texts of one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary, most_words: int = MOST_WORDS, most_pairs: int = MOST_PAIRS):
         self.vocabulary = vocabulary
-        self.alphabet = byte_alphabet()
-        self.printable = dict(enumerate(self.alphabet))
         self.pairs = {left << 31 | right: rank for (left, right), (rank, _) in vocabulary.pairs.items()}
         # of each token: the two it is made of and the rank of that merge, -1 if it is a single byte
-        size = max(vocabulary.token_bytes, default=0) + 1
+        size = max(vocabulary.token_bytes, default=0) + 2  # the last stands for the start of a piece, which no merge crosses
         self.lefts, self.rights, self.ranks = (array("i", [-1]) * size for _ in range(3))
         for token, (left, right, rank) in vocabulary.made.items():
             self.lefts[token], self.rights[token], self.ranks[token] = left, right, rank
         if most_pairs & (most_pairs - 1):
             raise ValueError("places for pairs must be a power of two")
         self.stands = array("Q", [0]) * most_pairs  # (pair + 1) * 2 + whether it stands; 0: free
+        self.verdicts = np.frombuffer(self.stands, np.int64)
         self.automaton = ahocorasick.Automaton()
         reachable = self._reachable()
-        for token, raw in vocabulary.token_bytes.items():
-            if token in reachable:
-                self.automaton.add_word("".join(self.alphabet[b] for b in raw), (len(raw), token))
+        tokens = {token: raw for token, raw in vocabulary.token_bytes.items() if token in reachable}
+        for token, raw in tokens.items():
+            self.automaton.add_word(raw.decode("latin-1"), (len(raw), token))
         self.automaton.make_automaton()
+        self.suffixes = Suffixes(tokens)
         self.words, self.pieces = Remembered(self._word, most_words, short), Remembered(self._piece, most_words, short)
 
     def _reachable(self) -> set[int]:
@@ -123,7 +184,7 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Packed ids of one piece: the last token of every prefix, then back from the end."""
-        symbols = piece.encode().decode("latin-1").translate(self.printable)
+        symbols = piece.encode().decode("latin-1")
         ends = [0] * (len(symbols) + 1)
         lengths = [0] * (len(symbols) + 1)
         stands, most = self.stands, len(self.stands) - 1
@@ -150,20 +211,89 @@ class Encoder:
         out.reverse()
         return struct.pack(f"<{len(out)}I", *out)  # remembered by the ten thousand: bytes cost the garbage collector nothing
 
+    def _stand(self, lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
+        """Of many pairs of tokens: whether BPE leaves them side by side."""
+        pairs, places = (lefts << 31 | rights) + 1, (lefts * 40503 ^ rights) & len(self.stands) - 1
+        known = self.verdicts[places]
+        new = np.flatnonzero(known >> 1 != pairs)
+        if new.size:
+            fresh, which = np.unique(pairs[new], return_inverse=True)
+            apart = [self._kept_apart(pair - 1 >> 31, pair - 1 & 0x7FFFFFFF) for pair in fresh.tolist()]
+            known[new] = (fresh << 1 | np.array(apart))[which]
+            self.verdicts[places[new]] = known[new]
+        return known & 1 == 1
+
+    def _side_by_side(self, pieces: list[str]) -> dict[str, bytes]:
+        """Packed ids of many pieces: the last token of every prefix of each, then back from the ends."""
+        raws = [piece.encode() for piece in pieces]
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        flat, starts = np.frombuffer(b"".join(raws), np.uint8), np.cumsum(lengths) - lengths
+        order = np.argsort(-lengths, kind="stable")  # at each byte those that are as long come first
+        lengths, starts, rows = lengths[order], starts[order], np.arange(len(raws))
+        ends = np.full((lengths[0] + 1, len(raws)), len(self.ranks) - 1, np.int32)
+        sizes, states = self.suffixes.sizes, np.zeros(len(pieces), np.int64)
+        for at in range(1, lengths[0] + 1):
+            left = rows[: np.searchsorted(-lengths, -at, "right")]
+            states = self.suffixes.step(states[: len(left)], flat[starts[left] + at - 1])
+            tokens = self.suffixes.longest[states]
+            while left.size:
+                good = self._stand(ends[at - sizes[tokens], left].astype(np.int64), tokens)
+                ends[at, left[good]] = tokens[good]
+                left, tokens = left[~good], self.suffixes.shorter[tokens[~good]]
+        steps, counts = [], np.zeros(len(raws), np.int64)
+        while rows.size:
+            tokens = ends[lengths[rows], rows]
+            steps.append((rows, tokens))
+            counts[rows] += 1
+            lengths[rows] -= sizes[tokens]
+            rows = rows[lengths[rows] > 0]
+        stops = np.cumsum(counts)
+        ids = np.empty(stops[-1], "<u4")
+        for k, (rows, tokens) in enumerate(steps, 1):
+            ids[stops[rows] - k] = tokens
+        packed, stops = ids.tobytes(), [0, *(stops * 4).tolist()]
+        return {pieces[k]: packed[a:b] for k, a, b in zip(order.tolist(), stops, stops[1:])}
+
+    def _learn(self, words: list[list[str]]) -> None:
+        """Remembers the words of several texts, those that are new worked on side by side."""
+        new = self.words.unknown(set(chain.from_iterable(words)).difference(self.vocabulary.specials))
+        if len(new) < FEW:
+            return
+        found = [pieces_of(word) for word in new]
+        parts = self.pieces.unknown(piece for pieces in found if len(pieces) > 1 for piece in pieces)
+        # a word that is one piece is remembered as a word only
+        todo, ids = list({*parts, *(pieces[0] for pieces in found if len(pieces) == 1)}), {}
+        for k in range(0, len(todo), MOST_PIECES):
+            ids |= self._side_by_side(todo[k : k + MOST_PIECES])
+        self.pieces.remember({piece: ids[piece] for piece in parts})
+        self.words.remember({w: ids[w] if len(pieces) == 1 else b"".join([self.pieces[x] for x in pieces]) for w, pieces in zip(new, found)})
+
     def _word(self, word: str) -> bytes:
+        special = self.vocabulary.specials.get(word)
+        if special is not None:
+            return struct.pack("<I", special)
         found = pieces_of(word)
-        # a word that is one piece is remembered as a word only
         return b"".join([self.pieces[piece] for piece in found]) if len(found) > 1 else self._piece(word)
 
+    def _words(self, text: str) -> list[str]:
+        """Words of a text and, in their places, special tokens, which no word contains."""
+        parts = self.vocabulary.parts(text)
+        if len(parts) == 1:
+            return WORDS.findall(text)
+        return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else WORDS.findall(part))]
+
+    def all_packed(self, whole: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        known, out = self.words, []
+        for some in portions(whole, SIDE_BY_SIDE):
+            words = [self._words(x) for x in whole[some]]
+            self._learn(words)
+            out += [b"".join([known[w] for w in x]) for x in words]
+        return out
+
     def packed(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        words, out = self.words, []
-        for k, part in enumerate(self.vocabulary.parts(text)):
-            if k % 2:
-                out.append(struct.pack("<I", self.vocabulary.specials[part]))
-            else:
-                out += [words[w] for w in WORDS.findall(part)]
-        return b"".join(out)
+        """Ids of one text."""
+        return self.all_packed([text])[0]
 
 
 class Decoder:
@@ -190,7 +320,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "token_ids", vocabulary
 
     def make():
         encoder = Encoder(Vocabulary(shared.value))
-        return lambda column: [pa.array([encoder.packed(x) for x in texts(column)], pa.binary())]
+        return lambda column: [pa.array(encoder.all_packed(list(texts(column))), pa.binary())]
 
     return with_arrow_columns(df, [text], [T.StructField(out, T.BinaryType())], make)
 
@@ -217,7 +347,7 @@ def encode_decode(df: DataFrame, text: str = "text", out: str = "token_ids", dec
         decoder = Decoder(encoder.vocabulary)
 
         def compute(column):
-            ids = [encoder.packed(x) for x in texts(column)]
+            ids = encoder.all_packed(list(texts(column)))
             return [pa.array(ids, pa.binary()), pa.array([decoder.text(x) for x in ids], pa.string())]
 
         return compute
@@ -239,10 +369,9 @@ def encode_checked(df: DataFrame, text: str = "text", out: str = "token_ids", sa
         decoder = Decoder(encoder.vocabulary)
 
         def compute(column):
-            ids, good = [], []
-            for x in texts(column):
-                ids.append(encoder.packed(x))
-                good.append(decoder.text(ids[-1]) == x)
+            whole = list(texts(column))
+            ids = encoder.all_packed(whole)
+            good = [decoder.text(i) == x for i, x in zip(ids, whole)]
             return [pa.array(ids, pa.binary()), pa.array(good, pa.bool_())]
 
         return compute

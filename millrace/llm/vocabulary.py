@@ -6,6 +6,7 @@ A vocabulary file is a fixed-size model file (a few MB), so its broadcast does n
 from __future__ import annotations
 
 import json
+import re
 from functools import cached_property
 
 import regex
@@ -16,13 +17,13 @@ PIECES = regex.compile(
 )
 SPACE = "\t-\r \x85\xa0  -     　"
 
+#: Letters up to U+024F after one space at most: a single piece.
+LATIN = re.compile(" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+")
 
 
 def pieces_of(word: str) -> list[str]:
-    """The pieces of one word; ASCII letters after one space at most are a single piece."""
-    if word.isascii() and (word.isalpha() or (word[0] == " " and word[1:].isalpha())):
-        return [word]
-    return PIECES.findall(word)
+    """The pieces of one word; Latin letters after one space at most are a single piece."""
+    return [word] if LATIN.fullmatch(word) else PIECES.findall(word)
 
 
 #: Largest vocabulary file that is broadcast.
