@@ -17,9 +17,9 @@ from __future__ import annotations
 import re
 import struct
 from array import array
+from bisect import bisect_left
 from itertools import chain
 
-import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -35,7 +35,7 @@ MOST_WORDS, LONGEST_WORD = 200_000, 48
 #: Places for pairs of tokens whose compatibility is remembered (8 bytes each), a power of two; a later pair takes an earlier one's place.
 MOST_PAIRS = 1 << 20
 #: Characters of the texts whose new pieces are encoded side by side, so many of these at a time; fewer than ``FEW`` aren't worth it.
-SIDE_BY_SIDE, MOST_PIECES, FEW = 1 << 19, 1 << 14, 256
+SIDE_BY_SIDE, MOST_PIECES, FEW = 1 << 18, 1 << 13, 256
 
 
 class Remembered(dict):
@@ -66,11 +66,11 @@ class Remembered(dict):
         self.update(found)
 
     def unknown(self, keys) -> list:
-        """Those of the keys that are to be worked on and remembered; old ones become young again."""
+        """Those of the keys that are not remembered; old ones become young again."""
         new = set(keys).difference(self)
         again = {key: self.old[key] for key in new if key in self.old}
         self.remember(again)
-        return [key for key in new if key not in again and self.keeps(key)]
+        return [key for key in new if key not in again]
 
 
 def short(word: str) -> bool:
@@ -83,7 +83,7 @@ WORDS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 class Suffixes:
-    """The automaton that lists the tokens ending at a byte, as arrays: it steps in many pieces at once.
+    """The automaton that lists the tokens ending at a byte, as arrays: for a single piece, and as numpy's for many at once.
 
     States are numbered by depth, and a state's children by byte, so that the edges (state << 8 | byte) are
     in order and the edge at place k leads to state k + 1.
@@ -100,31 +100,36 @@ class Suffixes:
             at[longer] = count + which
             count += len(edges)
             levels.append(edges)
-        self.edges = np.append(np.concatenate(levels), 1 << 62)
-        self.fails = np.zeros(count, np.int64)
+        self.edges = array("q", np.append(np.concatenate(levels), 1 << 62).tobytes())
+        #: Of each state: the place of its first edge.
+        self.starts = array("i", np.searchsorted(self.edges, np.arange(count + 1) << 8).astype(np.int32).tobytes())
+        self.fails = array("i", [0]) * count
         #: Of each state: the longest token that ends there. Of each token: its bytes, and the longest that ends with it.
-        self.longest = np.full(count, -1)
-        self.longest[at] = ids
+        self.longest = array("i", [-1]) * count
+        self.sizes, self.shorter = (array("i", [-1]) * (int(ids.max()) + 1) for _ in range(2))
+        self.many = [np.frombuffer(x, x.typecode) for x in (self.edges, self.fails, self.longest, self.sizes, self.shorter)]
+        _, fails, longest, lengths, shorter = self.many
+        longest[at] = ids
         count = 1
         for edges in levels:
             states = np.arange(count, count + len(edges))
             if count > 1:
-                self.fails[states] = self.step(self.fails[edges >> 8], edges & 255)
-            none = states[self.longest[states] < 0]
-            self.longest[none] = self.longest[self.fails[none]]
+                fails[states] = self.step(fails[edges >> 8], edges & 255)
+            none = states[longest[states] < 0]
+            longest[none] = longest[fails[none]]
             count += len(edges)
-        self.sizes, self.shorter = (np.full(ids.max() + 1, -1) for _ in range(2))
-        self.sizes[ids], self.shorter[ids] = sizes, self.longest[self.fails[at]]
+        lengths[ids], shorter[ids] = sizes, longest[fails[at]]
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The states after one more byte each; every byte is a token, so the first state has an edge for it."""
+        edges, fails = self.many[:2]
         out, left = np.empty(len(states), np.int64), np.arange(len(states))
         while left.size:
-            wanted = states << 8 | symbols
-            found = np.searchsorted(self.edges, wanted)
+            wanted = states.astype(np.int64) << 8 | symbols
+            found = np.searchsorted(edges, wanted)
             out[left] = found + 1
-            other = self.edges[found] != wanted
-            left, states, symbols = left[other], self.fails[states[other]], symbols[other]
+            other = edges[found] != wanted
+            left, states, symbols = left[other], fails[states[other]], symbols[other]
         return out
 
 
@@ -143,13 +148,8 @@ class Encoder:
             raise ValueError("places for pairs must be a power of two")
         self.stands = array("Q", [0]) * most_pairs  # (pair + 1) * 2 + whether it stands; 0: free
         self.verdicts = np.frombuffer(self.stands, np.int64)
-        self.automaton = ahocorasick.Automaton()
         reachable = self._reachable()
-        tokens = {token: raw for token, raw in vocabulary.token_bytes.items() if token in reachable}
-        for token, raw in tokens.items():
-            self.automaton.add_word(raw.decode("latin-1"), (len(raw), token))
-        self.automaton.make_automaton()
-        self.suffixes = Suffixes(tokens)
+        self.suffixes = Suffixes({token: raw for token, raw in vocabulary.token_bytes.items() if token in reachable})
         self.words, self.pieces = Remembered(self._word, most_words, short), Remembered(self._piece, most_words, short)
 
     def _reachable(self) -> set[int]:
@@ -184,35 +184,38 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Packed ids of one piece: the last token of every prefix, then back from the end."""
-        symbols = piece.encode().decode("latin-1")
-        ends = [0] * (len(symbols) + 1)
-        lengths = [0] * (len(symbols) + 1)
+        raw, known = piece.encode(), self.suffixes
+        edges, first, fails, longest, sizes, shorter = known.edges, known.starts, known.fails, known.longest, known.sizes, known.shorter
+        ends = [len(self.ranks) - 1] * (len(raw) + 1)
         stands, most = self.stands, len(self.stands) - 1
-        for at, (length, token) in self.automaton.iter(symbols):
-            at += 1
-            if lengths[at]:
-                continue
-            before = at - length
-            if before:
-                if not lengths[before]:
-                    continue
-                last = ends[before]
+        state = 0
+        for at, symbol in enumerate(raw, 1):
+            wanted = state << 8 | symbol
+            while edges[found := bisect_left(edges, wanted, first[state], first[state + 1])] != wanted:
+                state = fails[state]
+                wanted = state << 8 | symbol
+            state = found + 1
+            token = longest[state]
+            while True:
+                last = ends[at - sizes[token]]
                 pair, place = (last << 31 | token) + 1, (last * 40503 ^ token) & most
-                known = stands[place]
-                if known >> 1 != pair:
-                    stands[place] = known = pair << 1 | self._kept_apart(last, token)
-                if not known & 1:
-                    continue
-            ends[at], lengths[at] = token, length
-        out, at = [], len(symbols)
+                verdict = stands[place]
+                if verdict >> 1 != pair:
+                    stands[place] = verdict = pair << 1 | self._kept_apart(last, token)
+                if verdict & 1:
+                    break
+                token = shorter[token]
+            ends[at] = token
+        out, at = [], len(raw)
         while at:
             out.append(ends[at])
-            at -= lengths[at]
+            at -= sizes[ends[at]]
         out.reverse()
         return struct.pack(f"<{len(out)}I", *out)  # remembered by the ten thousand: bytes cost the garbage collector nothing
 
     def _stand(self, lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
         """Of many pairs of tokens: whether BPE leaves them side by side."""
+        lefts, rights = lefts.astype(np.int64), rights.astype(np.int64)
         pairs, places = (lefts << 31 | rights) + 1, (lefts * 40503 ^ rights) & len(self.stands) - 1
         known = self.verdicts[places]
         new = np.flatnonzero(known >> 1 != pairs)
@@ -231,15 +234,16 @@ class Encoder:
         order = np.argsort(-lengths, kind="stable")  # at each byte those that are as long come first
         lengths, starts, rows = lengths[order], starts[order], np.arange(len(raws))
         ends = np.full((lengths[0] + 1, len(raws)), len(self.ranks) - 1, np.int32)
-        sizes, states = self.suffixes.sizes, np.zeros(len(pieces), np.int64)
+        _, _, longest, sizes, shorter = self.suffixes.many
+        states = np.zeros(len(raws), np.int64)
         for at in range(1, lengths[0] + 1):
             left = rows[: np.searchsorted(-lengths, -at, "right")]
             states = self.suffixes.step(states[: len(left)], flat[starts[left] + at - 1])
-            tokens = self.suffixes.longest[states]
+            tokens = longest[states]
             while left.size:
-                good = self._stand(ends[at - sizes[tokens], left].astype(np.int64), tokens)
+                good = self._stand(ends[at - sizes[tokens], left], tokens)
                 ends[at, left[good]] = tokens[good]
-                left, tokens = left[~good], self.suffixes.shorter[tokens[~good]]
+                left, tokens = left[~good], shorter[tokens[~good]]
         steps, counts = [], np.zeros(len(raws), np.int64)
         while rows.size:
             tokens = ends[lengths[rows], rows]
@@ -260,13 +264,13 @@ class Encoder:
         if len(new) < FEW:
             return
         found = [pieces_of(word) for word in new]
-        parts = self.pieces.unknown(piece for pieces in found if len(pieces) > 1 for piece in pieces)
+        parts = list(filter(short, self.pieces.unknown(piece for pieces in found if len(pieces) > 1 for piece in pieces)))
         # a word that is one piece is remembered as a word only
-        todo, ids = list({*parts, *(pieces[0] for pieces in found if len(pieces) == 1)}), {}
+        todo, ids = list({*parts, *(word for word, pieces in zip(new, found) if len(pieces) == 1 and short(word))}), {}
         for k in range(0, len(todo), MOST_PIECES):
             ids |= self._side_by_side(todo[k : k + MOST_PIECES])
         self.pieces.remember({piece: ids[piece] for piece in parts})
-        self.words.remember({w: ids[w] if len(pieces) == 1 else b"".join([self.pieces[x] for x in pieces]) for w, pieces in zip(new, found)})
+        self.words.remember({w: ids[w] if len(pieces) == 1 else b"".join([self.pieces[x] for x in pieces]) for w, pieces in zip(new, found) if short(w)})
 
     def _word(self, word: str) -> bytes:
         special = self.vocabulary.specials.get(word)
