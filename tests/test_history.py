@@ -34,7 +34,7 @@ def test_history_keeps_items_whose_ids_meet_those_of_another_purchase(spark):
     assert [(r.id, len(r["items"])) for r in purchase_history(domain, 88).collect()] == [(2, 150), (1, 150)]
 
 
-@pytest.mark.parametrize("name", ["portal_history"])
+@pytest.mark.parametrize("name", ["portal_history", "purchase_history"])
 def test_a_purchase_without_items_is_written_as_in_the_sql(spark, tmp_path, name):
     """The SQL writes it as '-|-', the operator has an empty array; the given small tables have none of customer 88."""
     orders = spark.createDataFrame([(k, 88, 10.0, k) for k in (1, 2, 3)], "o_orderkey bigint, o_custkey bigint, o_totalprice double, day int")
